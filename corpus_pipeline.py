@@ -1,10 +1,54 @@
-"""A corpus cleaned in five stages: quality, near duplicates, contamination, secrets, tokens."""
+"""A corpus cleaned in five stages: quality, near duplicates, contamination, secrets, tokens.
+
+Each stage takes what its predecessor kept, with the columns of ``documents``; the last returns one row of
+token counts and digests for each document that is left.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tenorlake.llm.base import checkpointed
+from tenorlake.llm.bpe import encode_documents
+from tenorlake.llm.decontamination import drop_contaminated
+from tenorlake.llm.quality_qda import keep_good
+from tenorlake.llm.queries import WORD_BPE, table
+from tenorlake.llm.secrets import redact_documents
+from tenorlake.llm.simhash_dedup import keep_one_of_each
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return keep_one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts."""
+    return redact_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text."""
+    return encode_documents(docs, WORD_BPE, digests=True)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("tokens", tokens)]
+#: SQL cannot express the classifier, the tiling or the tokens.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -107,3 +107,25 @@ def redact(text: str) -> str:
         out += text[at:start], f"[{kind}]"
         at = end
     return "".join([*out, text[at:]])
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with every secret in the text replaced by its kind in brackets.
+
+    ``size_col``, if it is there and was not null, becomes the new number of characters of a changed text.
+    A null text stays null.
+    """
+    at = docs.columns.index(text_col)
+    size = docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def of(batches):
+        for batch in pieces(batches, text=text_col):
+            before = batch.column(at).to_pylist()
+            after = [None if t is None else redact(t) for t in before]
+            columns = list(batch.columns)
+            columns[at] = pa.array(after, columns[at].type)
+            if size is not None:
+                columns[size] = pa.array([n if n is None or a == b else len(b) for n, a, b in zip(columns[size].to_pylist(), before, after)], columns[size].type)
+            yield pa.record_batch(columns, schema=batch.schema)
+
+    return docs.mapInArrow(of, docs.schema)

@@ -232,3 +232,19 @@ def near_duplicate_classes(docs: DataFrame, threshold: int = 3, shingle: int = 3
     least = grouped.groupBy("component").agg(F.min("first").alias("least"))
     named = checkpointed(grouped.join(least, "component").select("fp", F.nullif("least", F.lit((1 << 63) - 1)).alias("component_id")))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, threshold: int = 3, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their class of near duplicates.
+
+    The document with the class's smallest id stays; of rows that repeat that id, the one with the smallest
+    text. Rows without an id can't be named by a class and stay.
+    """
+    classes = near_duplicate_classes(docs, threshold, shingle)
+    named = checkpointed(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    first = docs.join(named.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    # an id that is repeated: rare, so only these rows are ordered
+    again = docs.join(named.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    text = F.col("text").cast("string")
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(text, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))).alias("row")).select("row.*")
+    return first.unionByName(again).unionByName(docs.where("doc_id is null"))
