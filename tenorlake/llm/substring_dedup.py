@@ -138,7 +138,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, period: int = 7,
     anchor = window - period + 1
     if anchor < 1 or period not in COVERS:
         raise ValueError(f"the period must be one of {sorted(COVERS)} and no longer than the window")
-    buckets = 2 * shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
     blocks = max(buckets, -(-docs.count() // BLOCK_ROWS))
     source = id_and_text(docs, id_col, text_col)
     source = source.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
