@@ -67,7 +67,7 @@ def ids(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def pieces(batches, limit: int = 4 << 20, text: str = "text"):
+def pieces(batches, limit: int = 1 << 20, text: str = "text"):
     """Record batches cut so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
         n = batch.num_rows

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .base import id_and_text, pieces, texts
 
 #: Words that a task remembers; it starts again when there are more.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 #: From this many bytes on a word has a tree of its own.
 LONG_WORD = 256
 NONE = np.int32(2**31 - 1)
@@ -87,7 +87,7 @@ class Vocabulary:
                 for i in group:
                     out[i] = self.encode_long(words[i])
                 continue
-            step = max(1, (1 << 19) // int(w))
+            step = max(1, (1 << 17) // int(w))
             for k in range(0, len(group), step):
                 own = group[k : k + step]
                 for i, x in zip(own.tolist(), self.encode_group([words[j] for j in own], int(w))):
@@ -250,7 +250,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def of(batches):
         vocabulary = load(path)
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches):
             words = [vocabulary.split(t) for t in texts(batch.column("text"))]
             vocabulary.learn(set().union(*words))
             get = vocabulary.cache.__getitem__
