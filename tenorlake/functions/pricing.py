@@ -6,8 +6,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_pdf(x: Column) -> Column:
@@ -22,29 +23,35 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
-def d1(spot: Column, strike: Column, years: Column, iv: Column, rate: Column) -> Column:
-    return (F.ln(spot / strike) + (rate + iv * iv / 2) * years) / (iv * F.sqrt(years))
-
-
-def greeks(spot: Column, strike: Column, years: Column, iv: Column, is_call: Column, rate: Column | None = None) -> dict[str, Column]:
-    """``price, delta, gamma, vega`` (a volatility point) and ``theta`` (a day). Null unless spot, strike, years and iv are positive."""
-    rate = F.lit(0.0) if rate is None else rate
-    good = (spot > 0) & (strike > 0) & (years > 0) & (iv > 0)
-    spot, strike, years, iv = (F.when(good, c) for c in (spot, strike, years, iv))
-    a = d1(spot, strike, years, iv, rate)
-    b = a - iv * F.sqrt(years)
-    discount = F.exp(-rate * years)
-    call = spot * normal_cdf(a) - strike * discount * normal_cdf(b)
-    put = call - spot + strike * discount
-    decay = -spot * normal_pdf(a) * iv / (2 * F.sqrt(years))
-    carry = rate * strike * discount
-    return {
-        "price": F.when(is_call, call).otherwise(put),
-        "delta": F.when(is_call, normal_cdf(a)).otherwise(normal_cdf(a) - 1),
-        "gamma": normal_pdf(a) / (spot * iv * F.sqrt(years)),
-        "vega": spot * normal_pdf(a) * F.sqrt(years) / 100,
-        "theta": F.when(is_call, decay - carry * normal_cdf(b)).otherwise(decay + carry * (1 - normal_cdf(b))) / 365,
-    }
+def with_greeks(df: DataFrame, spot: str, strike: str, years: str, iv: str, is_call: str, rate: str | None = None) -> DataFrame:
+    """Adds ``price, delta, gamma, vega`` (a volatility point) and ``theta`` (a day); null unless spot, strike, years and iv are positive.
+
+    Values that several results share are columns of their own, so each is computed once and code stays small.
+    """
+    good = (F.col(spot) > 0) & (F.col(strike) > 0) & (F.col(years) > 0) & (F.col(iv) > 0)
+    s, k, t, v = (F.when(good, F.col(c)) for c in (spot, strike, years, iv))
+    out = df.withColumns({"_s": s, "_k": k, "_v": v, "_root": F.sqrt(t), "_t": t, "_r": F.col(rate) if rate else F.lit(0.0)})
+    out = out.withColumn("_a", (F.ln(F.col("_s") / F.col("_k")) + (F.col("_r") + F.col("_v") * F.col("_v") / 2) * F.col("_t")) / (F.col("_v") * F.col("_root")))
+    out = out.withColumns({"_b": F.col("_a") - F.col("_v") * F.col("_root"), "_d": F.exp(-F.col("_r") * F.col("_t")), "_pa": normal_pdf(F.col("_a"))})
+    out = out.withColumns({"_na": normal_cdf(F.col("_a")), "_nb": normal_cdf(F.col("_b"))})
+    call = F.col("_s") * F.col("_na") - F.col("_k") * F.col("_d") * F.col("_nb")
+    decay = -F.col("_s") * F.col("_pa") * F.col("_v") / (2 * F.col("_root"))
+    carry = F.col("_r") * F.col("_k") * F.col("_d")
+    out = out.withColumns({
+        "price": F.when(F.col(is_call), call).otherwise(call - F.col("_s") + F.col("_k") * F.col("_d")),
+        "delta": F.when(F.col(is_call), F.col("_na")).otherwise(F.col("_na") - 1),
+        "gamma": F.col("_pa") / (F.col("_s") * F.col("_v") * F.col("_root")),
+        "vega": F.col("_s") * F.col("_pa") * F.col("_root") / 100,
+        "theta": F.when(F.col(is_call), decay - carry * F.col("_nb")).otherwise(decay + carry * (1 - F.col("_nb"))) / 365,
+    })
+    return out.drop("_s", "_k", "_v", "_root", "_t", "_r", "_a", "_b", "_d", "_pa", "_na", "_nb")
+
+
+def vega_convention(rows: DataFrame, vega: str, move: str, majority: float = 2 / 3) -> DataFrame:
+    """``n, per_point_share, per_point``: does ``vega`` explain the price ``move`` of one volatility point better as it is than as of a unit?"""
+    better = F.abs(F.col(vega) - F.col(move)) < F.abs(F.col(vega) / 100 - F.col(move))
+    share = F.avg(better.cast("double"))
+    return rows.agg(F.count("*").alias("n"), share.alias("per_point_share"), (share >= majority).alias("per_point"))
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:
@@ -54,7 +61,7 @@ def _cdf(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 - upper, upper)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def implied_vol(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, is_call: pd.Series, rate: pd.Series) -> pd.Series:
     """Volatility in [1e-4, 5] at which the value is ``price``, by 60 halvings of all rows at once; null where there is none."""
     p, s, k, t, r = (x.to_numpy(float) for x in (price, spot, strike, years, rate))
@@ -73,4 +80,4 @@ def implied_vol(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.
             middle = (low + high) / 2
             above = value(middle) > p
             low, high = np.where(above, low, middle), np.where(above, middle, high)
-    return pd.Series(np.where(good, (low + high) / 2, np.nan)).replace(np.nan, None).astype("Float64").astype(object).where(lambda x: x.notna(), None)
+    return pd.Series(pd.array(np.where(good, (low + high) / 2, np.nan), "Float64"))
