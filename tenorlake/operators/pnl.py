@@ -237,3 +237,12 @@ def per_vega(records: DataFrame) -> DataFrame:
     over = lambda c, v: F.when(F.col(v) > 0, F.col(c) / F.col(v))
     return rows.select("date", "symbol", over("pnl", "entry_vega").alias("pnl_per_vega"), over("cost", "entry_vega").alias("cost_per_vega"), over("exit_cost", "inception_vega").alias("exit_cost_per_vega"), "dollar_vega", "entry_vega", "event")
 
+
+
+def dollar_vega(vega: Column, contracts: Column) -> Column:
+    """P&L of ``contracts`` straddles for one volatility point."""
+    return vega * MULTIPLIER * contracts
+
+
+def hedge_shares(delta: Column, contracts: Column) -> Column:
+    return -delta * MULTIPLIER * contracts

@@ -192,13 +192,11 @@ def j8_event_in_hold(r: Roles):
     return asof.flag_events(r.chain.select(F.col("date").alias("entry_day"), "symbol", "expiration").distinct(), r.announcements)
 
 
-@query(with_roles("chain", """w as (select distinct date from chain), d as (select date, lag(date) over (order by date) as previous from w)
+@query(with_roles("chain", """d as (select distinct date, date - 28 as previous from chain)
     select c.date, c.symbol, c.expiration, c.strike, c."right", coalesce(c.bid = p.bid and c.ask = p.ask, false) as stale from chain c join d on d.date = c.date
     left join chain p on p.date = d.previous and p.symbol = c.symbol and p.expiration = c.expiration and p.strike = c.strike and p."right" = c."right" """))
 def j9_stale_quotes(r: Roles):
-    from pyspark.sql import Window
-
-    days = r.chain.select("date").distinct().withColumn("previous", F.lag("date").over(Window.orderBy("date")))
+    days = r.chain.select("date", F.date_sub("date", 28).alias("previous")).distinct()
     out = joins.mark_stale(r.chain, days, ["symbol", "expiration", "strike", "right"], ["bid", "ask"])
     return out.select("date", "symbol", "expiration", "strike", "right", "stale")
 
@@ -208,10 +206,10 @@ def j10_lagged_key(r: Roles):
     return joins.lag_key(r.bars.select("date", "symbol", "close"), r.sessions)
 
 
-@query(with_roles("chain", """f as (select symbol, date, date + 7 as entry_day, expiration, min(strike) as strike from chain group by 1, 2, 3, 4)
+@query(with_roles("chain", """f as (select symbol, date, date + 28 as entry_day, expiration, min(strike) as strike from chain group by 1, 2, 3, 4)
     select f.symbol, f.entry_day, f.expiration, f.strike, f.date as formation_day, c."right", c.bid, c.ask from f join chain c on c.symbol = f.symbol and c.date = f.entry_day and c.expiration = f.expiration and c.strike = f.strike"""))
 def j11_entry_quotes(r: Roles):
-    formation = r.chain.groupBy("symbol", "date", "expiration").agg(F.min("strike").alias("strike")).select("symbol", F.date_add("date", 7).alias("entry_day"), "expiration", "strike", F.col("date").alias("formation_day"))
+    formation = r.chain.groupBy("symbol", "date", "expiration").agg(F.min("strike").alias("strike")).select("symbol", F.date_add("date", 28).alias("entry_day"), "expiration", "strike", F.col("date").alias("formation_day"))
     return joins.pair_entries(formation, r.chain.select("symbol", F.col("date").alias("entry_day"), "expiration", "strike", "right", "bid", "ask"))
 
 
