@@ -34,10 +34,10 @@ def canonical_url(url: Column) -> Column:
 
 
 def lower_keys(headers: Column) -> Column:
-    """The map with keys in lower case; of keys that become equal the first stays. Null is empty."""
+    """The map with keys in lower case; of keys that become equal the first by its bytes stays. Null is empty."""
     empty = F.create_map().cast("map<string,string>")
     one = lambda e: F.create_map(F.lower(e["key"]), e["value"])
-    return F.coalesce(F.aggregate(F.map_entries(headers), empty, lambda m, e: F.when(F.map_contains_key(m, F.lower(e["key"])), m).otherwise(F.map_concat(m, one(e)))), empty)
+    return F.coalesce(F.aggregate(F.array_sort(F.map_entries(headers)), empty, lambda m, e: F.when(F.map_contains_key(m, F.lower(e["key"])), m).otherwise(F.map_concat(m, one(e)))), empty)
 
 
 def resolve_revisits(captures: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
