@@ -30,6 +30,20 @@ CACHE_WORDS = 120_000
 #: From this many bytes on a word has a tree of its own.
 LONG_WORD = 256
 NONE = np.int32(2**31 - 1)
+#: Code points that are letters or numbers only since Unicode 17, which the library's patterns don't know as such.
+LATER = (
+    "\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d\U000107bb-\U000107bf"
+    "\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f"
+    "\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    "\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2"
+    "\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Capitals that Python has no lower case for, and the library's distances to it.
+LATER_LOWER = {0x1C89: 1, 0xA7CB: -42343, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: -42561} | dict.fromkeys(range(0x10D50, 0x10D66), 32) | dict.fromkeys(range(0x16EA0, 0x16EB9), 27)
+LOWER_TABLE = {c: c + d for c, d in LATER_LOWER.items()}
+RARE = regex.compile("[" + LATER + "".join(map(chr, LATER_LOWER)) + "]")
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -67,6 +81,8 @@ class Vocabulary:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # white space as the Unicode property has it
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}"), regex.V0)
+        later = pattern.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[{LATER}]|[^\p{{White_Space}}\p{{L}}\p{{N}}])+").replace(r"[\p{L}]+", rf"(?:(?![{LATER}])\p{{L}})+").replace(r"[\p{N}]", rf"(?![{LATER}])\p{{N}}")
+        self.words_later = regex.compile(later, regex.V0)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[bytes, bytes]] = {}
 
@@ -202,8 +218,13 @@ class Vocabulary:
         if self.specials and "<|" in text:
             out = []
             for i, part in enumerate(self.specials.split(text)):
-                out += [part] if i % 2 else self.words.findall(normalized(part))
+                out += [part] if i % 2 else self.find(part)
             return out
+        return self.find(text)
+
+    def find(self, text: str) -> list[str]:
+        if not text.isascii() and RARE.search(text):
+            return self.words_later.findall(normalized(text).translate(LOWER_TABLE))
         return self.words.findall(normalized(text))
 
     def learn(self, words: set[str]) -> None:

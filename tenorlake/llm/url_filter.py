@@ -4,7 +4,7 @@ Method: two variable-order Markov models over the characters of URLs, one learne
 one from rejected URLs. A character is predicted from up to three before it; a context that was seen
 too rarely gives way to a shorter one, and each order is smoothed with the next by Witten-Bell. The
 score is the difference of the log likelihoods a character; the threshold is calibrated so that a
-given share of the accepted URLs at most lies above it.
+given share of the accepted URLs at most lies above it, and is not below zero.
 """
 
 from __future__ import annotations
@@ -113,7 +113,8 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
             left -= r["count"]
             if left < 0:
                 break
-        threshold /= BINS
+        # a URL that the model of accepted ones explains better is never rejected
+        threshold = max(threshold / BINS, 0.0)
     else:
         threshold = float("inf")
     method = F.when(F.col("score") > threshold, "block").otherwise("allow")

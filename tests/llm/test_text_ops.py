@@ -27,7 +27,7 @@ from tenorlake.llm.warc_revisits import canonical_url, resolve_revisits
 from .conftest import ODD
 
 TOKENS = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-SAMPLES = ["it's we're don't", "İstanbul ΣΑΣ ς é", "<|endoftext|>X <|startoftext|> <|endoftext", "x" * 700 + " " + "ab" * 300, "漢字かな 한글 🎉 ½ 1234", "\x1c a\x85b\u3000c", ""]
+SAMPLES = [":\U0003d000 ab\u0c5cc \U00011de0 \ua7ceX \u1c89 \U00010d50", "it's we're don't", "İstanbul ΣΑΣ ς é", "<|endoftext|>X <|startoftext|> <|endoftext", "x" * 700 + " " + "ab" * 300, "漢字かな 한글 🎉 ½ 1234", "\x1c a\x85b\u3000c", ""]
 
 
 def key(x):
@@ -176,7 +176,7 @@ def test_tiles_match_brute_force_and_catch_reordering(make, spark):
     rng = random.Random(6)
     items = [[f"t{rng.randrange(40)}" for _ in range(30)] for _ in range(4)]
     docs = []
-    for d in range(24):
+    for d in range(100, 124):
         item = rng.choice(items)
         cut = rng.randrange(6, 24)
         parts = [item[cut:], item[:cut]] if d % 2 else [item[: rng.randrange(3, 30)]]
@@ -196,7 +196,7 @@ def test_tiles_match_brute_force_and_catch_reordering(make, spark):
         assert list(got[d].item_ids) == [f[0] for f in found] and got[d].contaminated == bool(found)
         if found:
             assert abs(got[d].coverage - max(f[1] for f in found)) < 1e-12
-    assert sum(got[d].contaminated for d, _ in docs) > 12 and not got[5].contaminated
+    assert sum(got[d].contaminated for d, _ in docs) > 12
     kept = gst.drop_contaminated(make(rows), bench)
     assert kept.columns == make(rows).columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(d or -1 for d, _ in rows if not (d in got and d is not None and got[d].contaminated))
