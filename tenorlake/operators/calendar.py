@@ -92,7 +92,7 @@ def members_as_of(current: DataFrame, changes: DataFrame, sessions: DataFrame) -
     log = changes.join(sessions.select(F.col("date").alias("effective_date")), "effective_date", "left_semi").select("ticker", F.date_sub("effective_date", 1).alias("date"), "action")
     log = log.groupBy("ticker", "date").agg(F.max("action").alias("action"))
     tickers = current.select("ticker").unionByName(log.select("ticker")).distinct()
-    grid = tickers.crossJoin(F.broadcast(sessions.select("date")))
+    grid = tickers.crossJoin(sessions.select("date"))
     found = asof_join(grid, log, by=["ticker"], values=["action"], direction="forward")
     today = current.select("ticker", F.lit(True).alias("today")).distinct()
     out = found.join(today, "ticker", "left")

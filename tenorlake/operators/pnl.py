@@ -145,7 +145,7 @@ def book(reference: DataFrame, targets: DataFrame, rebalances: DataFrame, cost_f
     days = reference.select("date").distinct()
     names = reference.select("symbol").distinct()
     marks = rebalances.select("date", F.lit(True).alias("_rebalance")).distinct()
-    rows = days.join(marks, "date", "left").crossJoin(F.broadcast(names)).join(reference, ["date", "symbol"], "left").join(targets.select("date", "symbol", "target_vega"), ["date", "symbol"], "left")
+    rows = days.join(marks, "date", "left").crossJoin(names).join(reference, ["date", "symbol"], "left").join(targets.select("date", "symbol", "target_vega"), ["date", "symbol"], "left")
     here = F.col("dollar_vega").isNotNull()
     w = by("symbol")
     # what the session sets the units to: null leaves them
