@@ -25,23 +25,12 @@ from .components import components
 ANCHOR_ROWS = 8192
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """SimHash over XXH64 (seed 42) of word shingles of the text with A-Z in lower case."""
-    words = text.encode().lower().split()
-    n = len(words)
-    if not n:
-        return 0
-    if n <= shingle:
-        hashes = [xxh64_intdigest(b" ".join(words), 42)]
-    elif shingle == 3:
-        hashes = [xxh64_intdigest(b"%b %b %b" % x, 42) for x in zip(words, words[1:], words[2:])]
-    else:
-        hashes = [xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n - shingle + 1)]
+def majority(hashes: list[int]) -> int:
+    """The bits that are set in over half of the 64-bit ``hashes``."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
-        part = np.array(hashes[at : at + 65536], ">u8").view(np.uint8).reshape(-1, 8)
-        # bits are summed a few hundred rows at a time in bytes that cannot overflow
-        bits = np.unpackbits(part, axis=1)
+        bits = np.unpackbits(np.array(hashes[at : at + 65536], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        # bits are summed 255 rows at a time in bytes that cannot overflow
         whole = len(bits) // 255 * 255
         if whole:
             total += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
@@ -49,15 +38,45 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (fp: the fingerprint's bits as a long), one row for each row of ``doc_id, text``."""
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """SimHash over XXH64 (seed 42) of word shingles of the text with A-Z in lower case."""
+    return of_shingles(text.encode().lower().split(), shingle)
+
+
+def of_shingles(words: list[bytes], shingle: int) -> int:
+    n = len(words)
+    if not n:
+        return 0
+    if n <= shingle:
+        return majority([xxh64_intdigest(b" ".join(words), 42)])
+    if shingle == 3:
+        return majority([xxh64_intdigest(b"%b %b %b" % x, 42) for x in zip(words, words[1:], words[2:])])
+    return majority([xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n - shingle + 1)])
+
+
+def of_words(words: list[bytes], seed: int) -> int:
+    """SimHash over the distinct words: a changed word moves it far less than it moves one over shingles."""
+    return majority([xxh64_intdigest(w, seed) for w in set(words)]) if words else 0
+
+
+def signed(values: list) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = ()) -> DataFrame:
+    """``doc_id, fp, fps``, one row for each row of ``doc_id, text``: the fingerprint over shingles, and those that anchors are sought for.
+
+    The latter are over distinct words, one for each of ``seeds``; without seeds ``fp`` alone. Bits are kept as longs.
+    """
 
     def of(batches):
         for batch in pieces(batches):
-            fp = np.array([fingerprint(t, shingle) for t in texts(batch.column("text"))], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            words = [t.encode().lower().split() for t in texts(batch.column("text"))]
+            fp = signed([of_shingles(w, shingle) for w in words])
+            rows = list(signed([[of_words(w, s) for s in seeds] for w in words]).reshape(-1, len(seeds))) if seeds else fp.reshape(-1, 1).tolist()
+            yield pa.record_batch([batch.column("doc_id"), pa.array(fp), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "fp", "fps"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long, fps array<long>")
 
 
 def syndrome(half: np.ndarray) -> np.ndarray:
@@ -118,8 +137,11 @@ def close(fp_a: np.ndarray, fp_b: np.ndarray, threshold: int) -> np.ndarray:
     return np.bitwise_count(fp_a ^ fp_b) <= threshold
 
 
-def spanning(anchor, fp, node, is_home, threshold: int, chunk: int = 1 << 20):
-    """Links between homes and replicas of equal anchors (rows sorted by anchor), as a forest."""
+def spanning(anchor, fp, check, node, is_home, threshold: int, agree: int, chunk: int = 1 << 20):
+    """Links between homes and replicas of equal anchors (rows sorted by anchor), as a forest.
+
+    Linked are nodes whose ``fp`` differ in at most ``threshold`` and ``check`` in at most ``agree`` bits.
+    """
     forest, links = Forest(), []
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     size = np.diff(np.append(starts, len(anchor)))
@@ -133,7 +155,7 @@ def spanning(anchor, fp, node, is_home, threshold: int, chunk: int = 1 << 20):
         h, w = homes[at:to], width[at:to]
         left = np.repeat(h, w)
         right = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(starts[run[h]], w)
-        near = close(fp[left], fp[right], threshold) & (node[left] != node[right])
+        near = close(fp[left], fp[right], threshold) & close(check[left], check[right], agree) & (node[left] != node[right])
         for a, b in zip(node[left[near]].tolist(), node[right[near]].tolist()):
             if forest.joins(a, b):
                 links.append((a, b))
@@ -141,53 +163,59 @@ def spanning(anchor, fp, node, is_home, threshold: int, chunk: int = 1 << 20):
     return links
 
 
-def near_links(nodes: DataFrame, threshold: int = 3) -> DataFrame:
-    """``a, b``: links that connect all of ``nodes (node long, fp long)`` within ``threshold`` bits.
+def near_links(nodes: DataFrame, threshold: int = 3, agree: int = 64) -> DataFrame:
+    """``a, b``: links that connect all of ``nodes (node long, fp long, fps array<long>)`` that are close.
 
-    ``nodes`` has each fingerprint once. Not every close pair is returned, but every close pair is
-    connected through what is returned.
+    Close are two nodes if some element of ``fps`` differs from the other's at that place in at most
+    ``threshold`` bits and ``fp`` in at most ``agree``. ``nodes`` has each node once. Not every close pair is
+    returned, but every close pair is connected through what is returned.
     """
     if threshold > 3:
         raise ValueError("two halves cover at most 3 differing bits")
     spark = nodes.sparkSession
     buckets = 4 * shuffle_partitions(spark)
-    sent = "bucket int, part_a int, part_b int, anchor long, fp long, node long, home boolean"
+    sent = "bucket int, part_a int, part_b int, anchor long, fp long, check long, node long, home boolean"
 
     def send(batches):
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            if not batch.num_rows:
+                continue
+            check = batch.column("fp").to_numpy(zero_copy_only=False)
             node = batch.column("node").to_numpy(zero_copy_only=False)
-            for which in (0, 1):
+            every = batch.column("fps").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).view(np.uint64)
+            for place, which in ((p, w) for p in range(every.shape[1]) for w in (0, 1)):
+                fp = np.ascontiguousarray(every[:, place])
                 half = (fp >> np.uint64(32 * which)).astype(np.uint32)
                 for k, anchor in enumerate(replicas(half)):
                     own = slice(None) if k < 2 else anchor != home(half)
-                    key = anchor[own].astype(np.int64) | (which << 32)
+                    key = anchor[own].astype(np.int64) | ((2 * place + which) << 32)
                     n = len(key)
                     bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
                     none = pa.array(np.zeros(n, np.int32))
-                    yield pa.record_batch([pa.array(bucket.astype(np.int32)), none, none, pa.array(key), pa.array(fp[own].view(np.int64)), pa.array(node[own]), pa.array(np.full(n, k == 0))], sent_names)
+                    yield pa.record_batch([pa.array(bucket.astype(np.int32)), none, none, pa.array(key), pa.array(fp[own].view(np.int64)), pa.array(check[own]), pa.array(node[own]), pa.array(np.full(n, k == 0))], sent_names)
 
     sent_names = [x.split()[0] for x in sent.split(", ")]
     compared = sent + ", link boolean"
 
     def arrays(table: pa.Table):
-        table = table.select(["anchor", "fp", "node", "home"]).sort_by("anchor")
+        table = table.select(["anchor", "fp", "check", "node", "home"]).sort_by("anchor")
         out = [table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in table.column_names]
-        out[1] = out[1].view(np.uint64)
+        out[1], out[2] = out[1].view(np.uint64), out[2].view(np.uint64)
         return out
 
     def linked(links: list) -> dict:
         a, b = (np.array(links, np.int64).reshape(-1, 2)).T
         n, zero = len(a), np.zeros(len(a), np.int32)
-        return {"bucket": zero, "part_a": zero, "part_b": zero, "anchor": a, "fp": b, "node": b, "home": np.ones(n, bool), "link": np.ones(n, bool)}
+        return {"bucket": zero, "part_a": zero, "part_b": zero, "anchor": a, "fp": b, "check": b, "node": b, "home": np.ones(n, bool), "link": np.ones(n, bool)}
 
     def compare(table: pa.Table) -> pa.Table:
         """Links; or, for an anchor with very many rows, its rows again with pairs of blocks to compare."""
-        anchor, fp, node, is_home = arrays(table)
+        anchor, fp, check, node, is_home = arrays(table)
         starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         size = np.diff(np.append(starts, len(anchor)))
         large = np.repeat(size > ANCHOR_ROWS, size)
-        rows = [linked(spanning(anchor[~large], fp[~large], node[~large], is_home[~large], threshold))] if not large.all() else []
+        small = ~large
+        rows = [linked(spanning(anchor[small], fp[small], check[small], node[small], is_home[small], threshold, agree))] if small.any() else []
         for s, n in zip(starts[size > ANCHOR_ROWS].tolist(), size[size > ANCHOR_ROWS].tolist()):
             parts = -(-n // ANCHOR_ROWS)
             own = slice(s, s + n)
@@ -198,16 +226,16 @@ def near_links(nodes: DataFrame, threshold: int = 3) -> DataFrame:
                     k = len(mine)
                     task = (int(anchor[s]) * 1_000_003 + a * parts + b) % (1 << 31)
                     # in the task for (a, b) the homes are those of block a
-                    rows.append({"bucket": np.full(k, task, np.int32), "part_a": np.full(k, a, np.int32), "part_b": np.full(k, b, np.int32), "anchor": anchor[mine], "fp": fp[mine].view(np.int64), "node": node[mine], "home": is_home[mine] & (part[mine - s] == a), "link": np.zeros(k, bool)})
+                    rows.append({"bucket": np.full(k, task, np.int32), "part_a": np.full(k, a, np.int32), "part_b": np.full(k, b, np.int32), "anchor": anchor[mine], "fp": fp[mine].view(np.int64), "check": check[mine].view(np.int64), "node": node[mine], "home": is_home[mine] & (part[mine - s] == a), "link": np.zeros(k, bool)})
         names = [*sent_names, "link"]
         return pa.table({c: np.concatenate([r[c] for r in rows]) if rows else [] for c in names})
 
     def compare_blocks(table: pa.Table) -> pa.Table:
-        links = spanning(*arrays(table), threshold)
+        links = spanning(*arrays(table), threshold, agree)
         a, b = (np.array(links, np.int64).reshape(-1, 2)).T
         return pa.table({"a": a, "b": b})
 
-    first = checkpointed(nodes.select("node", "fp").mapInArrow(send, sent).groupBy("bucket").applyInArrow(compare, compared))
+    first = checkpointed(nodes.select("node", "fp", "fps").mapInArrow(send, sent).groupBy("bucket").applyInArrow(compare, compared))
     links = first.where("link").select(F.col("anchor").alias("a"), F.col("fp").alias("b"))
     again = first.where("not link").drop("link").groupBy("bucket", "part_a", "part_b").applyInArrow(compare_blocks, "a long, b long")
     return links.unionByName(again)
@@ -222,25 +250,38 @@ def near_duplicate_classes(docs: DataFrame, threshold: int = 3, shingle: int = 3
     returned as null, and so is a component that only such documents form. Repeated ids and
     rows share their fingerprint's component. An empty table gives an empty result.
     """
-    source = id_and_text(docs, id_col, text_col)
-    prints = checkpointed(fingerprints(source, shingle))
-    own = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(own).alias("first")))
-    # a node is a fingerprint; several may begin with the same id, so ids are not the nodes
-    labels = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), threshold))
-    grouped = nodes.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    out = classified(id_and_text(docs, id_col, text_col), threshold, shingle)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classified(source: DataFrame, threshold: int, shingle: int, agree: int = 64, seeds: tuple[int, ...] = ()) -> DataFrame:
+    """``doc_id, fp, component_id`` of ``doc_id, text``."""
+    largest = F.lit((1 << 63) - 1)
+    node = F.xxhash64("fp", "fps") if seeds else F.col("fp")
+    prints = checkpointed(fingerprints(source, shingle, seeds).withColumn("node", node))
+    # documents with equal fingerprints are one node
+    nodes = checkpointed(prints.groupBy("node", "fp", "fps").agg(F.min(F.coalesce("doc_id", largest)).alias("first")))
+    labels = components(near_links(nodes, threshold, agree))
+    grouped = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first").alias("least"))
-    named = checkpointed(grouped.join(least, "component").select("fp", F.nullif("least", F.lit((1 << 63) - 1)).alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = checkpointed(grouped.join(least, "component").select("node", F.nullif("least", largest).alias("component_id")))
+    return prints.join(named, "node").select("doc_id", "fp", "component_id")
+
+
+#: For whole near copies: seeds of the fingerprints over words that anchors are sought for, shingle and bits for the agreement.
+#: Texts whose five-word shingles are 0.8 alike differ in about 10 of 64 bits, unrelated ones in about 32.
+COPY_SEEDS, COPY_SHINGLE, COPY_AGREE = (1, 2, 3, 4), 5, 14
 
 
-def keep_one_of_each(docs: DataFrame, threshold: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their class of near duplicates.
+def keep_one_of_each(docs: DataFrame, threshold: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their class of near copies.
 
-    The document with the class's smallest id stays; of rows that repeat that id, the one with the smallest
-    text. Rows without an id can't be named by a class and stay.
+    Near copies share most of their five-word shingles (about 0.8 and more): their fingerprints over words, of which
+    there are four, lead to common anchors, and those over five-word shingles must agree. The document with
+    the class's smallest id stays; of rows that repeat that id, the one with the smallest text. Rows without an id
+    can't be named by a class and stay.
     """
-    classes = near_duplicate_classes(docs, threshold, shingle)
+    classes = classified(id_and_text(docs), threshold, COPY_SHINGLE, COPY_AGREE, COPY_SEEDS)
     named = checkpointed(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
     first = docs.join(named.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
     # an id that is repeated: rare, so only these rows are ordered

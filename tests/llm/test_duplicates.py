@@ -134,7 +134,7 @@ def test_links_connect_planted_fingerprints_also_in_blocks(spark, monkeypatch):
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     for most in (8192, 2):
         monkeypatch.setattr(sim, "ANCHOR_ROWS", most)
-        links = sim.near_links(spark.createDataFrame([(s, s) for s in signed], "node long, fp long"))
+        links = sim.near_links(spark.createDataFrame([(s, s, [s]) for s in signed], "node long, fp long, fps array<long>"))
         label = {r.node: r.component for r in components(links).collect()}
         groups = {}
         for p, s in zip(prints, signed):
@@ -158,3 +158,19 @@ def test_one_of_each_class_stays(make):
     kept = sim.keep_one_of_each(make(rows))
     assert kept.columns == make(rows).columns
     assert sorted((r.doc_id or 0, hashlib.md5(r.text.encode()).hexdigest()) for r in kept.collect()) == sorted((d, hashlib.md5(t.encode()).hexdigest()) for d, t in [(2, text.upper()), (9, "other words here"), (0, text)])
+
+
+def test_near_copies_of_many_edits_are_one_class(make):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, at = [], 0
+    for _ in range(25):
+        base = [word() for _ in range(300)]
+        for copy in range(3):
+            text = list(base)
+            for _ in range(3 * copy):
+                text[rng.randrange(300)] = word()
+            rows.append((at, " ".join(text)))
+            at += 1
+    kept = sorted(r.doc_id for r in sim.keep_one_of_each(make(rows)).collect())
+    assert set(range(0, 75, 3)) <= set(kept) and len(kept) <= 27
