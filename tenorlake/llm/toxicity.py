@@ -181,7 +181,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", id
             x = lexicon.features(texts(batch.column("text")))
             yield pa.record_batch([batch.column("y"), *(pa.array(v) for v in x.T)], ["y", "a", "b", "c"])
 
-    rows = sample.mapInArrow(measure, "y int, a double, b double, c double").orderBy("y", "a", "b", "c").toPandas()
+    rows = sample.mapInArrow(measure, "y int, a double, b double, c double").toPandas().sort_values(["y", "a", "b", "c"])
     y = rows["y"].to_numpy()
     share = np.array([totals.get(k, 0) / used[k] if used.get(k) else 1.0 for k in (0, 1)])
     beta = logistic(rows[["a", "b", "c"]].to_numpy(), y, share[y]) if len(rows) else np.zeros(4)
