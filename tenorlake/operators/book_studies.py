@@ -73,7 +73,7 @@ def tercile_spread(rows: DataFrame, score: str, value: str, period: str) -> Data
     return portfolio_returns(sorted_rows, [value], (period,), top=3).filter("decile = 0").agg(*summary_columns(F.col(value)))
 
 
-def chain_stock_months(chain: DataFrame, step: int = 28) -> DataFrame:
+def chain_stock_months(chain: DataFrame, step: int = 28, traded: bool = True) -> DataFrame:
     """Stock-months on a chain whose contracts are quoted every ``step`` days: formed on one quote day, entered on the next.
 
     Trailing volatility stands on the mean IV of the day, spot at expiry on that of the expiry's day.
@@ -86,4 +86,4 @@ def chain_stock_months(chain: DataFrame, step: int = 28) -> DataFrame:
     spots = level.select(F.col("date").alias("expiration"), "symbol", (100 * F.col("hv") / 0.15).alias("spot_at_expiry"))
     wide = wide.join(level, ["date", "symbol"], "left").join(spots, ["expiration", "symbol"], "left").withColumns({"call_iv_error": F.lit(0.0), "put_iv_error": F.lit(0.0)})
     plan = chain.select(F.col("date").alias("month"), F.col("date").alias("formation_day"), F.date_add("date", step).alias("entry_day"), "expiration").filter(F.col("expiration") > F.col("entry_day"))
-    return stock_months(wide, plan.groupBy("month", "formation_day", "entry_day").agg(F.min("expiration").alias("expiration")))
+    return stock_months(wide, plan.groupBy("month", "formation_day", "entry_day").agg(F.min("expiration").alias("expiration")), traded)

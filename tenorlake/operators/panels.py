@@ -92,14 +92,15 @@ def event_straddles(events: DataFrame, quotes: DataFrame, entry: str = "entry_da
     return first_by(rows, ["symbol", "event_session"], order).select("symbol", "event_session", entry, "expiration", "strike")
 
 
-def stock_months(wide: DataFrame, schedule: DataFrame) -> DataFrame:
+def stock_months(wide: DataFrame, schedule: DataFrame, traded: bool = True) -> DataFrame:
     """One contract for each symbol and month: picked on the formation day, with its entry quotes and payoff at expiry.
 
     ``wide``: contract-days with calls and puts side by side (``call_bid`` ...), ``underlying``, ``hv``,
     ``spot_at_expiry`` and ``call_stale``/``put_stale``. Both sides must be clean on both days and have a
-    valid IV on the first; the strike nearest to spot wins, the lower of two as near.
+    valid IV on the first; the strike nearest to spot wins, the lower of two as near. Index options need a
+    quote only, no volume: ``traded=False``.
     """
-    clean = is_clean("call_") & is_clean("put_")
+    clean = is_clean("call_") & is_clean("put_") if traded else is_quoted("call_") & is_quoted("put_")
     valid = has_valid_iv("call_iv", "call_iv_error") & has_valid_iv("put_iv", "put_iv_error")
     plan = schedule.select("month", F.col("formation_day").alias("date"), "entry_day", "expiration")
     formed = wide.join(plan, ["date", "expiration"]).filter(clean & valid & F.col("hv").isNotNull())

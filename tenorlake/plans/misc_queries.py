@@ -99,3 +99,29 @@ def a23_strategy_deciles(r: Roles):
     """Two strategies by decile: the month's return before and after a fixed cost."""
     panel = stock_panel(r).withColumn("net", F.col("ret") - 0.002)
     return summarized(reports.returns_table(reports.portfolio_returns(panel, ["ret", "net"]), ["ret", "net"]))
+
+
+@query(with_roles("xs_bars", f"{_PANEL} select {_SUMMARY.replace('v)', 'ret)').replace('(v', '(ret').replace('1 + v', '1 + ret')} from panel"))
+def a5_summary(r: Roles):
+    """Summary statistics of all returns of the panel."""
+    return summarized(stock_panel(r).agg(*reports.summary_columns(F.col("ret"))))
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 4) as quantity, grouping(l_returnflag) + 2 * grouping(l_linestatus) as level from lineitem group by cube (l_returnflag, l_linestatus)")
+def a22_subtotals(r: Roles):
+    """All subtotals of two keys in one pass."""
+    level = F.grouping("l_returnflag").cast("long") + 2 * F.grouping("l_linestatus").cast("long")
+    return r.table("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"), level.alias("level"))
+
+
+@query(with_roles("xs_bars sectors", "f as (select date, sector as factor, round(avg(close), 6) as ret from xs_bars join sectors using (symbol) group by 1, 2) select * from f where date between date '1996-01-01' and date '1996-06-30' and factor in ('ASIA', 'EUROPE')"))
+def s10_risk_table_window(r: Roles):
+    """A window of a long factor table, some factors."""
+    table = r.xs_bars.join(r.sectors, "symbol").groupBy("date", F.col("sector").alias("factor")).agg(F.round(F.avg("close"), 6).alias("ret"))
+    return store.in_window(table, "1996-01-01", "1996-06-30").filter(F.col("factor").isin("ASIA", "EUROPE"))
+
+
+@query(with_roles("chain", "select symbol, count(*) filter (iv > 0 and abs(iv - 0.15) <= 0.05) as valid, count(*) as n from chain group by 1"))
+def p4_valid_iv(r: Roles):
+    good = q.has_valid_iv(tolerance=0.05)
+    return r.chain.withColumn("iv_error", F.col("iv") - 0.15).groupBy("symbol").agg(F.count_if(good).alias("valid"), F.count("*").alias("n"))

@@ -89,11 +89,19 @@ _RET = """ret as (select date, symbol, 100 * ln(close / lag(close) over (partiti
 
 
 def returns(r: Roles):
+    return r.kept("returns", lambda: _returns(r))
+
+
+def _returns(r: Roles):
     return r.xs_bars.select("date", "symbol", (100 * vol.log_return()).alias("pnl_per_vega"), F.col("volume").cast("double").alias("dollar_vega"))
 
 
 def factors(r: Roles):
-    return risk.factor_returns(returns(r), r.sectors)
+    return r.kept("factors", lambda: risk.factor_returns(returns(r), r.sectors))
+
+
+def model(r: Roles):
+    return r.kept("model", lambda: risk.rolling_model(returns(r), factors(r), r.sectors, 36, 24))
 
 
 @query(with_roles("xs_bars sectors", f"{_RET} select date, factor, round(ret, 5) + 0.0 as ret from fr"))
@@ -106,9 +114,7 @@ def m11_factor_returns(r: Roles):
     l as (select *, (d * b - e * c) / (a * b - c * c) as l1, (e * a - d * c) / (a * b - c * c) as l2 from w where n >= 24)
     select date, symbol, round(l1, 4) + 0.0 as market_loading, round(l2, 4) + 0.0 as sector_loading, round(sqrt(greatest(0, (n - 1) * (v - l1 * d - l2 * e) / (n - 3))), 3) as idio_vol from l"""))
 def m12_rolling_loadings(r: Roles):
-    loadings, idio = risk.rolling_loadings(returns(r), factors(r), r.sectors, 36, 24)
-    wide = loadings.groupBy("date", "symbol").agg(F.max(F.when(F.col("factor") == risk.MARKET, F.col("loading"))).alias("market_loading"), F.max(F.when(F.col("factor") != risk.MARKET, F.col("loading"))).alias("sector_loading"))
-    return wide.join(idio, ["date", "symbol"]).select("date", "symbol", r6("market_loading", 4), r6("sector_loading", 4), r6("idio_vol", 3))
+    return model(r).select("date", "symbol", r6("market_loading", 4), r6("sector_loading", 4), r6("idio_vol", 3))
 
 
 @query(with_roles("xs_bars sectors", f"""{_RET}, x as (select cl.symbol, pnl_per_vega as y, m.ret as x1, s.ret as x2 from cl join sectors using (symbol) join fr m on m.date = cl.date and m.factor = 'MKT' join fr s on s.date = cl.date and s.factor = sector),
@@ -139,7 +145,7 @@ def m15_shrunk_covariance(r: Roles):
 
 
 def risk_tables(r: Roles):
-    loadings, idio = risk.rolling_loadings(returns(r), factors(r), r.sectors, 36, 24)
+    loadings, idio = risk.long_model(model(r))
     return loadings, risk.shrink(risk.factor_covariances(factors(r), 36, 24)), idio
 
 
@@ -156,7 +162,7 @@ def m16_model_covariance(r: Roles):
     l as (select date, symbol, (d * b - e * c) / (a * b - c * c) as l1, (e * a - d * c) / (a * b - c * c) as l2 from w where n >= 24), nx as (select date, lead(date) over (order by date) as nd from (select distinct date from xs_bars))
     select x.date, x.symbol, round(y, 4) + 0.0 as pnl_per_vega, round(y - l1 * x1 - l2 * x2, 2) + 0.0 as residual from x join nx on nx.nd = x.date join l on l.date = nx.date and l.symbol = x.symbol"""))
 def m17_residual_returns(r: Roles):
-    loadings, _ = risk.rolling_loadings(returns(r), factors(r), r.sectors, 36, 24)
+    loadings, _ = risk.long_model(model(r))
     out = risk.residual_returns(returns(r).filter("pnl_per_vega is not null and dollar_vega > 0"), factors(r), loadings, calendar.session_index(r.xs_bars))
     return out.select("date", "symbol", r6("pnl_per_vega", 4), r6("residual", 2))
 
@@ -322,10 +328,34 @@ def b17_reference_unit(r: Roles):
     return rounded(pnl.reference_unit(r.chain, 14, 5, 14, 90, 45), 5)
 
 
-@query(None)
+def _months(clean: str) -> str:
+    """Stock-months as SQL; ``clean``: the screen of both days' quotes."""
+    return f"""wd as (select date, symbol, expiration, strike, max(case when "right" = 'C' then bid end) as cb, max(case when "right" = 'C' then ask end) as ca, max(case when "right" = 'C' then iv end) as ci, max(case when "right" = 'C' then volume end) as cv, max(case when "right" = 'C' then delta end) as cd,
+        max(case when "right" = 'P' then bid end) as pb, max(case when "right" = 'P' then ask end) as pa, max(case when "right" = 'P' then iv end) as pi, max(case when "right" = 'P' then volume end) as pv from chain group by 1, 2, 3, 4),
+    lv as (select date, symbol, avg(iv) as hv from chain group by 1, 2), pl as (select date as month, date + 28 as entry_day, min(expiration) as expiration from chain where expiration > date + 28 group by 1, 2),
+    st as (select w.*, coalesce(w.cb = p.cb and w.ca = p.ca, false) as cs, coalesce(w.pb = p.pb and w.pa = p.pa, false) as ps from wd w left join wd p on p.date = w.date - 28 and p.symbol = w.symbol and p.expiration = w.expiration and p.strike = w.strike),
+    ok as (select * from st where {clean}),
+    fm as (select ok.*, month, entry_day, hv, row_number() over (partition by ok.symbol, month order by abs(strike / 100 - 1), strike) as n from ok join pl on pl.month = ok.date and pl.expiration = ok.expiration join lv on lv.date = ok.date and lv.symbol = ok.symbol where ci > 0 and pi > 0),
+    sp as (select date as expiration, symbol, 100 * hv / 0.15 as spot from lv),
+    sm as (select f.symbol, f.month, f.entry_day, f.expiration, f.strike, ln(f.hv) - ln((f.ci + f.pi) / 2) as signal, (e.cb + e.ca) / 2 as call_mid, (e.pb + e.pa) / 2 as put_mid, greatest(spot - f.strike, 0) as call_payoff, greatest(f.strike - spot, 0) as put_payoff
+        from fm f join ok e on e.symbol = f.symbol and e.date = f.entry_day and e.expiration = f.expiration and e.strike = f.strike join sp on sp.expiration = f.expiration and sp.symbol = f.symbol where f.n = 1 and spot > 0)
+    select symbol, month, entry_day, expiration, strike, round(signal, 6) + 0.0 as signal, round(call_mid, 6) as call_mid, round(put_mid, 6) as put_mid, round(call_payoff, 8) + 0.0 as call_payoff, round(put_payoff, 8) + 0.0 as put_payoff from sm"""
+
+
+def months_out(df):
+    return df.select("symbol", "month", "entry_day", "expiration", "strike", r6("signal"), r6("call_mid"), r6("put_mid"), r6("call_payoff", 8), r6("put_payoff", 8))
+
+
+@query(with_roles("chain", _months("cb > 0 and ca > cb and cv > 0 and not cs and pb > 0 and pa > pb and pv > 0 and not ps")))
 def t1_stock_months(r: Roles):
-    """One contract a name and month on the weekly chain, formed one week and entered the next."""
-    return rounded(book_studies.chain_stock_months(r.chain), 6)
+    """One contract a name and month, formed on one quote day and entered on the next."""
+    return months_out(book_studies.chain_stock_months(r.chain))
+
+
+@query(with_roles("chain", _months("cb > 0 and ca > cb and pb > 0 and pa > pb")))
+def b9_index_months(r: Roles):
+    """The same for index options: quoted, without screens of volume and staleness."""
+    return months_out(book_studies.chain_stock_months(r.chain, traded=False))
 
 
 @query(with_roles("chain", "select date, symbol, expiration, strike, \"right\", round(abs(volume) * ((ask - bid) / 2 * 100 * 0.5 + 0.65), 5) as option_cost, cast(round(abs(oi) * 0.005::double, 5) as double) as share_cost, round(volume * bid * 100, 5) as dollar_vega, round(-oi * delta * 100, 5) + 0.0 as hedge_shares from chain"))
