@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import quotes as q
 from ..operators import asof, calendar, corporate, joins
+from ..operators.panels import exit_marks, liquid_units
+from ..operators.vol import market_series
 from ..sources import store
 from ..sources.roles import Roles, with_roles
 from .registry import query, rounded
@@ -73,8 +75,6 @@ def s15_inventory(r: Roles):
 
 @query(with_roles("bars", "d as (select date, min(close) as close from bars group by date) select date, close, round(ln(close / lag(close) over (order by date)), 6) + 0.0 as market_return from d"))
 def s19_market_series(r: Roles):
-    from ..operators.vol import market_series
-
     return market_series(r.bars).withColumn("market_return", F.round("market_return", 6) + 0.0)
 
 
@@ -114,8 +114,6 @@ def p3_p5_p11_predicates(r: Roles):
 @query(with_roles("chain", """select date, symbol, expiration, strike, min(oi) as min_oi, round(max((ask - bid) / ((ask + bid) / 2)), 6) as spread from chain group by 1, 2, 3, 4
     having count(oi) = 2 and min(oi) >= 3 and max((ask - bid) / ((ask + bid) / 2)) <= 0.5"""))
 def p6_liquidity_screens(r: Roles):
-    from ..operators.panels import liquid_units
-
     return rounded(liquid_units(r.chain, max_spread=0.5, min_oi=3))
 
 
@@ -256,8 +254,6 @@ def j17_merged_features(r: Roles):
 @query(with_roles("sessions bars announcements", """a as (select a.symbol, a.date as entry_day, session_index as i, (select max(session_index) from sessions) as last from announcements a join sessions s on s.date = a.date)
     select a.symbol, a.entry_day, h.h as horizon, x.date as exit_day, b.close as exit_mark from a cross join (values (3), (5), (10)) h(h) join sessions x on x.session_index = least(a.i + h.h, a.last) left join bars b on b.date = x.date and b.symbol = a.symbol"""))
 def j18_exit_marks(r: Roles):
-    from ..operators.panels import exit_marks
-
     entries = r.announcements.join(r.sessions, "date", "left_semi").select("symbol", F.col("date").alias("entry_day"))
     return exit_marks(entries, r.sessions, r.bars.select("symbol", F.col("date").alias("exit_day"), F.col("close").alias("exit_mark")), (3, 5, 10))
 

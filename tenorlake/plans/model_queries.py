@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import by, rolling
+from ..functions.windows import by
 from ..operators import book_studies, calendar, har, pnl, reports, risk, signals, vol
 from ..operators.regress import fit_by, residuals_by
 from ..sources.roles import Roles, with_roles
 from .joins_queries import _EVENTS
-from .panel_queries import _LEGS, _OPT, _PANEL, option_panel, stock_panel, summarized
+from .panel_queries import _OPT, option_panel
 from .registry import query, r6, rounded
 
 # ---- cross-section ---------------------------------------------------------------------------------------------

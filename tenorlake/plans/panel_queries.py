@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..functions.windows import bucket, by
-from ..operators import asof, calendar, har, panels, pnl, reports, risk, signals, surface, vol
+from ..operators import calendar, panels, pnl, reports, risk, surface, vol
 from ..operators.joins import pivot_sides
-from ..operators.regress import fit_by
 from ..sources.roles import Roles, with_roles
 from .registry import query, r6, rounded
 

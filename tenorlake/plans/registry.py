@@ -27,7 +27,9 @@ def query(sql: str | None = None):
 
 def r6(c: str | Column, digits: int = 6) -> Column:
     """Rounded, since engines add up doubles in different orders; the name stays. Adding zero turns -0.0 into 0.0."""
-    return (F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0).alias(c) if isinstance(c, str) else F.round(c, digits) + 0.0
+    if isinstance(c, str):
+        return (F.round(F.col(c), digits) + 0.0).alias(c)
+    return F.round(c, digits) + 0.0
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
