@@ -8,6 +8,9 @@ radius; it is replicated to every anchor within radius plus threshold, 1 + 1 bit
 at most 1 bit of the half, then y lies within 2 bits of x's home, so comparing homes with replicas per
 anchor finds every pair. Equal fingerprints are one row before that; an anchor emits only the links
 of a spanning forest; and anchors with many rows are compared in blocks that many tasks share.
+
+Whole near copies (``keep_one_of_each``) are another relation, the Jaccard similarity of five-word shingles. Their
+candidates meet in bands of MinHash values, and a link is made only where the shingle sets themselves agree.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .base import checkpointed, id_and_text, pieces, shuffle_partitions, texts
+from .base import NO_ID, checkpointed, id_and_text, pieces, shuffle_partitions, text_bytes, texts
 from .components import components
+from .tokens import STEPS, WORD, mixed, text_of_word, window_hashes, word_hashes, word_spans
 
 #: An anchor with more rows is compared in blocks of about this many, in tasks of their own.
 ANCHOR_ROWS = 8192
@@ -54,27 +58,21 @@ def of_shingles(words: list[bytes], shingle: int) -> int:
     return majority([xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n - shingle + 1)])
 
 
-def of_words(words: list[bytes], seed: int) -> int:
-    """SimHash over the distinct words: a changed word moves it far less than it moves one over shingles."""
-    return majority([xxh64_intdigest(w, seed) for w in set(words)]) if words else 0
-
-
 def signed(values: list) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = ()) -> DataFrame:
-    """``doc_id, fp, fps``, one row for each row of ``doc_id, text``: the fingerprint over shingles, and those that anchors are sought for.
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fp, fps``, one row for each row of ``doc_id, text``: the fingerprint over shingles, and in a list those that anchors are sought for, ``fp`` alone.
 
-    The latter are over distinct words, one for each of ``seeds``; without seeds ``fp`` alone. Bits are kept as longs.
+    Bits are kept as longs.
     """
 
     def of(batches):
         for batch in pieces(batches):
             words = [t.encode().lower().split() for t in texts(batch.column("text"))]
             fp = signed([of_shingles(w, shingle) for w in words])
-            rows = list(signed([[of_words(w, s) for s in seeds] for w in words]).reshape(-1, len(seeds))) if seeds else fp.reshape(-1, 1).tolist()
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fp), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "fp", "fps"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(fp), pa.array(fp.reshape(-1, 1).tolist(), pa.list_(pa.int64()))], ["doc_id", "fp", "fps"])
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long, fps array<long>")
 
@@ -254,38 +252,145 @@ def near_duplicate_classes(docs: DataFrame, threshold: int = 3, shingle: int = 3
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def classified(source: DataFrame, threshold: int, shingle: int, agree: int = 64, seeds: tuple[int, ...] = ()) -> DataFrame:
+def classified(source: DataFrame, threshold: int, shingle: int) -> DataFrame:
     """``doc_id, fp, component_id`` of ``doc_id, text``."""
-    largest = F.lit((1 << 63) - 1)
-    node = F.xxhash64("fp", "fps") if seeds else F.col("fp")
-    prints = checkpointed(fingerprints(source, shingle, seeds).withColumn("node", node))
+    prints = checkpointed(fingerprints(source, shingle).withColumn("node", F.col("fp")))
     # documents with equal fingerprints are one node
-    nodes = checkpointed(prints.groupBy("node", "fp", "fps").agg(F.min(F.coalesce("doc_id", largest)).alias("first")))
-    labels = components(near_links(nodes, threshold, agree))
-    grouped = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    nodes = checkpointed(prints.groupBy("node", "fp", "fps").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")))
+    return prints.join(named(nodes, near_links(nodes, threshold)), "node").select("doc_id", "fp", "component_id")
+
+
+def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component_id`` of ``nodes (node, first)``: the least ``first`` that links reach, null if it is ``NO_ID``."""
+    grouped = nodes.join(components(links), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first").alias("least"))
-    named = checkpointed(grouped.join(least, "component").select("node", F.nullif("least", largest).alias("component_id")))
-    return prints.join(named, "node").select("doc_id", "fp", "component_id")
+    return checkpointed(grouped.join(least, "component").select("node", F.nullif("least", F.lit(NO_ID)).alias("component_id")))
+
+
+#: Whole near copies: words of a shingle, and the Jaccard similarity (a fraction) from which two texts are copies.
+COPY_SHINGLE, ALIKE = 5, (4, 5)
+#: MinHash values of a band, and bands: a pair that is 0.8 alike meets in no band once in 17,000 times.
+BAND_ROWS, BANDS = 6, 32
+#: Candidates of one group that a task compares with as many others.
+COPY_BLOCK = 512
+FACTORS = mixed(np.arange(1, BAND_ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+LOWER = np.array([ord(chr(i).lower()) if i < 128 else i for i in range(256)], np.uint8)
+
+
+def shingle_hashes(column, length: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of all texts in a row, and where each text's begin (one more at the end).
+
+    A shorter text is one shingle, also one without words, so each text has some.
+    """
+    data, offsets = text_bytes(column)
+    data = LOWER[data]
+    starts, ends, first = word_spans(data, offsets, WORD)
+    words, of = word_hashes(data, starts, ends), text_of_word(first)
+    at = np.flatnonzero(of[: max(0, len(of) - length + 1)] == of[length - 1 :])
+    short = np.flatnonzero(np.diff(first) < length)
+    whole = [window_hashes(words[a:b], b - a)[0] if b > a else 0 for a, b in zip(first[short].tolist(), first[short + 1].tolist())]
+    text = np.concatenate((of[at], short))
+    by = np.argsort(text, kind="stable")
+    hashes = np.concatenate((window_hashes(words, length)[at], np.array(whole, np.uint64)))[by]
+    return hashes, np.searchsorted(text[by], np.arange(len(offsets)))
+
+
+def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text a key a band, over the least of its shingles' hashes in ``BAND_ROWS`` orders."""
+    out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(first) - 1, 1))
+    for k, factor in enumerate(FACTORS):
+        least = np.minimum.reduceat(hashes * factor, first[:-1])
+        out[:, k // BAND_ROWS] = mixed(out[:, k // BAND_ROWS] * STEPS[0] + least)
+    return out
+
 
+def copy_links(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of texts, one of ``left`` and one of ``right`` (true for a text or not), that are copies, as a forest."""
+    n = len(first) - 1
+    text = text_of_word(first)
+    by = np.lexsort((hashes, text))
+    hashes, text = hashes[by], text[by]
+    new = np.ones(len(text), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    text = text[new]
+    starts, size = np.searchsorted(text, np.arange(n)), np.bincount(text, minlength=n)
+    _, code = np.unique(hashes[new], return_inverse=True)
+    has = np.zeros(len(code), np.int32)
+    tree, links = np.arange(n), []
+    up, down = ALIKE
+    for i in np.flatnonzero(left):
+        # sizes that differ by more can't be alike; a pair in one tree needs no link
+        other = right & (tree != tree[i]) & (down * np.minimum(size, size[i]) >= up * np.maximum(size, size[i]))
+        if not other.any():
+            continue
+        own = code[starts[i] : starts[i] + size[i]]
+        has[own] = 1
+        common = np.add.reduceat(has[code], starts)
+        has[own] = 0
+        for j in np.flatnonzero(other & (down * common >= up * (size + size[i] - common))):
+            if tree[j] != tree[i]:
+                links.append((int(i), int(j)))
+                tree[tree == tree[j]] = tree[i]
+    return links
+
+
+def copies(source: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` of ``doc_id, text``: classes that pairs with a similarity of ``ALIKE`` or more connect.
+
+    Candidates: texts that share a band, and whatever these connect. In each such group all pairs are compared by their
+    sets of shingles; a large group in blocks, each pair of blocks in a task.
+    """
+    spark = source.sparkSession
+
+    def banded(batches):
+        for batch in pieces(batches):
+            keys = band_keys(*shingle_hashes(batch.column("text"))).view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+
+    source = source.select("doc_id", "text", F.xxhash64("text").alias("node"))
+    prints = checkpointed(source.mapInArrow(banded, "doc_id long, node long, keys array<long>"))
+    # documents with equal texts are one node
+    nodes = checkpointed(prints.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1")
+    groups = checkpointed(components(keyed.join(least, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()))
+    parts = groups.groupBy("component").agg(F.ceil(F.count("*") / COPY_BLOCK).cast("int").alias("parts"))
+    members = groups.join(parts, "component").join(nodes.select("node", "first"), "node").select("node", "first", "component", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block"))
+    found = source.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(members, ["node", "first"]).dropDuplicates(["node"])
+    pairs = found.select("node", "text", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    pairs = pairs.select("node", "text", "component", "block", F.least("block", "with").alias("part_a"), F.greatest("block", "with").alias("part_b"))
+    buckets = 4 * shuffle_partitions(spark)
+    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("component", "part_a", "part_b"), F.lit(buckets)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("part_a", "ascending"), ("part_b", "ascending")])
+        component, part_a, part_b, block, node = (table[c].to_numpy() for c in ("component", "part_a", "part_b", "block", "node"))
+        new = np.ones(len(node), bool)
+        new[1:] = (component[1:] != component[:-1]) | (part_a[1:] != part_a[:-1]) | (part_b[1:] != part_b[:-1])
+        starts = np.flatnonzero(new)
+        links = []
+        for s, e in zip(starts, np.append(starts[1:], len(node))):
+            own = copy_links(*shingle_hashes(table["text"].slice(s, e - s)), block[s:e] == part_a[s], block[s:e] == part_b[s])
+            links += [(node[s + i], node[s + j]) for i, j in own]
+        a, b = (np.array(links, np.int64).reshape(-1, 2)).T
+        return pa.table({"a": a, "b": b})
 
-#: For whole near copies: seeds of the fingerprints over words that anchors are sought for, shingle and bits for the agreement.
-#: Texts whose five-word shingles are 0.8 alike differ in about 10 of 64 bits, unrelated ones in about 32.
-COPY_SEEDS, COPY_SHINGLE, COPY_AGREE = (1, 2, 3, 4), 5, 14
+    links = pairs.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    return prints.select("doc_id", "node").join(named(nodes.select("node", "first"), links), "node").select("doc_id", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, threshold: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class of near copies.
 
-    Near copies share most of their five-word shingles (about 0.8 and more): their fingerprints over words, of which
-    there are four, lead to common anchors, and those over five-word shingles must agree. The document with
+    Near copies have 0.8 or more of their five-word shingles in common (see ``copies``). The document with
     the class's smallest id stays; of rows that repeat that id, the one with the smallest text. Rows without an id
     can't be named by a class and stay.
     """
-    classes = classified(id_and_text(docs), threshold, COPY_SHINGLE, COPY_AGREE, COPY_SEEDS)
-    named = checkpointed(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    first = docs.join(named.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    classes = copies(id_and_text(docs))
+    stays = checkpointed(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    first = docs.join(stays.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
     # an id that is repeated: rare, so only these rows are ordered
-    again = docs.join(named.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(stays.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
     text = F.col("text").cast("string")
     again = again.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(text, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))).alias("row")).select("row.*")
     return first.unionByName(again).unionByName(docs.where("doc_id is null"))

@@ -174,3 +174,34 @@ def test_near_copies_of_many_edits_are_one_class(make):
             at += 1
     kept = sorted(r.doc_id for r in sim.keep_one_of_each(make(rows)).collect())
     assert set(range(0, 75, 3)) <= set(kept) and len(kept) <= 27
+
+
+def shingles(text, length=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + length]) for i in range(max(1, len(words) - length + 1))}
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_cut_longer_and_changed_copies_are_one_class_and_no_others(make, monkeypatch, block):
+    monkeypatch.setattr(sim, "COPY_BLOCK", block)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, want = [], []
+    for n in (80, 300, 1000) * 5:
+        base = [word() for _ in range(n)]
+        changed = list(base)
+        for k in range(max(1, n // 60)):
+            changed[k * 60 + 10] = word()
+        edits = [base, base[: n - n * 15 // 100], base + [word() for _ in range(n * 15 // 100)], [word() for _ in range(n // 10)] + base, changed]
+        want += [len(rows), len(rows) + len(edits)]
+        assert all(alike(" ".join(base), " ".join(e)) >= 0.8 for e in edits)
+        # related, but not 0.8 alike: stays
+        edits.append([word() for _ in range(n // 4)] + base[n // 4 :])
+        assert all(alike(" ".join(edits[-1]), " ".join(e)) < 0.8 for e in edits[:-1])
+        rows += [(len(rows) + k, " ".join(e)) for k, e in enumerate(edits)]
+    assert sorted(r.doc_id for r in sim.keep_one_of_each(make(rows)).collect()) == want
