@@ -128,12 +128,12 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
                 yield pa.record_batch([pa.array(uid[text[maybe]]), pa.array(at[maybe]), pa.array(seed[maybe].view(np.int64))], ["uid", "at", "seed"])
 
     found = docs.select("uid", "text").mapInArrow(hits, "uid long, at long, seed long")
-    own = items.select("item", "n_tokens", F.explode(F.array_distinct("seeds")).alias("seed"))
+    own = items.select("item", "n_tokens", F.explode("seeds").alias("seed")).groupBy("item", "n_tokens", "seed").agg(F.count("*").alias("times"))
     # every seed of the pair once for the item, with its places in the document
-    met = found.join(own, "seed").groupBy("uid", "item").agg(F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_set(F.struct("at", "seed"))).alias("hits"))
-    met = met.withColumn("seeds", F.size(F.array_distinct(F.transform("hits", lambda h: h["seed"]))))
-    # tiles of at least SEED tokens that cover the share need this many tokens, each in some common seed
-    met = met.where(F.col("seeds") * SEED >= F.col("n_tokens") * coverage)
+    met = found.join(own, "seed").groupBy("uid", "item").agg(F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_set(F.struct("at", "seed"))).alias("hits"), F.collect_set(F.struct("seed", "times")).alias("common"))
+    # tiles of at least SEED tokens that cover the share need this many tokens, each in a common seed at some place of the item
+    places = F.aggregate("common", F.lit(0).cast("long"), lambda n, x: n + x["times"])
+    met = met.where(places * SEED >= F.col("n_tokens") * coverage)
     pairs = met.join(items.select("item", "item_id", F.col("seeds").alias("item_seeds")), "item")
     pairs = pairs.select("uid", "item_id", "n_tokens", F.transform("hits", lambda h: h["at"]).alias("at"), F.transform("hits", lambda h: h["seed"]).alias("seed"), "item_seeds")
     kind = pa.list_(pa.struct([("doc_start", pa.int64()), ("item_start", pa.int64()), ("length", pa.int64())]))

@@ -204,6 +204,13 @@ def test_tiles_match_brute_force_and_catch_reordering(make, spark):
     assert not any(r.contaminated for r in gst.find_contamination(make(rows), empty).collect()) and gst.find_contamination(make([]), bench).collect() == []
 
 
+def test_a_copy_of_a_repetitive_item_is_found(make, spark):
+    phrase = "one two three four five "
+    bench = spark.createDataFrame([(1, phrase * 30), (2, phrase * 3 + " ".join(f"w{i}" for i in range(200)))], "item_id long, text string")
+    got = {r.doc_id: r for r in gst.find_contamination(make([(1, phrase * 30), (2, "before " + phrase * 16 + "after"), (3, phrase * 14)]), bench).collect()}
+    assert [(list(got[d].item_ids), got[d].coverage) for d in (1, 2, 3)] == [([1], 1.0), ([1], 80 / 150), ([], 0.0)]
+
+
 def test_tiling_of_repetitive_texts():
     def seeds(words):
         return np.array([hash(tuple(words[i : i + gst.SEED])) for i in range(len(words) - gst.SEED + 1)])
