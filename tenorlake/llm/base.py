@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Stands for a missing document id inside the operators: it sorts after every real id.
 NO_ID = (1 << 63) - 1
@@ -81,6 +82,56 @@ def pieces(batches, limit: int = 1 << 20, text: str = "text"):
             at = to
 
 
+#: Bytes of text in a block, about: texts that one task holds at a time.
+BLOCK_BYTES = 16 << 20
+
+
+def blocks_for(docs: DataFrame, text_col: str = "text") -> int:
+    """Blocks of about ``BLOCK_BYTES`` of text, so that they get more and not larger as the table grows."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+
+
+def packed_blocks(source: DataFrame) -> DataFrame:
+    """``block int, rows binary`` of ``source (block int, text, ...)``: the rows of a block, compressed, many in one.
+
+    A block's rows may be in several of the result's, in any order.
+    """
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in source.schema.fields if f.name != "block"])
+
+    def flushed(held: dict):
+        rows = []
+        for own in held.values():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(own, schema).combine_chunks())
+            rows.append(sink.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(list(held), pa.int32()), pa.array(rows, pa.binary())], ["block", "rows"])
+
+    def of(batches):
+        held, size = {}, 0
+        for batch in pieces(batches):
+            block = batch.column("block").to_numpy(zero_copy_only=False)
+            order = np.argsort(block, kind="stable")
+            own = pa.record_batch([batch.column(c).take(pa.array(order)).cast(schema.field(c).type) for c in schema.names], schema=schema)
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(block)).tolist()):
+                held.setdefault(int(block[order[a]]), []).append(own.slice(a, b - a))
+            size += own.nbytes
+            if size >= 2 * BLOCK_BYTES:
+                yield flushed(held)
+                held, size = {}, 0
+        if held:
+            yield flushed(held)
+
+    return source.mapInArrow(of, "block int, rows binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows of a block from ``packed_blocks``."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"]])
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the rows that no model may learn from: crc32 of the id's text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

@@ -10,8 +10,10 @@ at a cover position in both. The job runs in three steps on blocks of documents:
    document id with the same window is found;
 3. drop the words of each window that a smaller document also has.
 
-Hashes travel as packed arrays, one for each pair of block and hash bucket, and only bitmaps come
-back, so a passage that a third of all documents share costs no more than any other.
+Hashes travel as packed arrays, one for each pair of block and hash bucket, and only bitmaps come back.
+A block sends each distinct hash once, whatever number of its documents hold it, so a passage that a
+third of all documents share adds one entry a block to its bucket. Blocks and buckets are made by
+bytes of text: they get more, not larger, as the table grows.
 """
 
 from __future__ import annotations
@@ -21,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, ids, shuffle_partitions, text_bytes
+from .base import blocks_for, id_and_text, ids, packed_blocks, text_bytes, unpacked
 from .tokens import WORD, text_of_word, window_hashes, word_hashes, word_spans
 
 #: Difference covers by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
-#: Documents in a block, about. More blocks are made if Spark has more shuffle partitions.
-BLOCK_ROWS = 2048
 
 SENT = "bucket int, block int, hashes binary, docs binary, counts binary"
 REPLY = "block int, step int, bucket int, bits binary"
@@ -63,123 +63,135 @@ class Block:
         return at, window_hashes(self.hashes(0), length)[at]
 
 
-def packed(block: int, buckets: int, hashes: np.ndarray, more: tuple, doc: np.ndarray):
-    """Rows by hash bucket: the hashes in word order, and runs of equal documents."""
-    bucket = (hashes >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = {k: [] for k in ("bucket", "block", "hashes", "docs", "counts")}
-    for b in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[b] : cuts[b + 1]]
-        d = doc[own]
-        new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-        rows["bucket"].append(int(b))
-        rows["block"].append(block)
-        rows["hashes"].append(b"".join(h[own].tobytes() for h in (hashes, *more)))
-        rows["docs"].append(d[new].tobytes())
-        rows["counts"].append(np.diff(np.append(new, len(d))).astype(np.int32).tobytes())
-    return pa.table(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())]))
+class Entries:
+    """The distinct hashes (of one or two words of 64 bits) of a block, dealt to buckets by value.
+
+    ``run`` has for each occurrence its entry; an entry knows the least and the greatest document that holds it.
+    """
+
+    def __init__(self, hashes: np.ndarray, more: tuple, doc: np.ndarray, buckets: int):
+        keys = np.stack((hashes, *more))
+        order = np.lexsort(keys[::-1]) if more else np.argsort(hashes, kind="stable")
+        inorder = keys[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (inorder[:, 1:] != inorder[:, :-1]).any(axis=0)
+        first = np.flatnonzero(new)
+        self.run = np.empty(len(order), np.int64)
+        self.run[order] = np.cumsum(new) - 1
+        self.keys = inorder[:, first]
+        empty = np.zeros(0, np.int64)
+        self.least = np.minimum.reduceat(doc[order], first) if len(first) else empty
+        self.greatest = np.maximum.reduceat(doc[order], first) if len(first) else empty
+        bucket = (self.keys[0] >> np.uint64(33)) % np.uint64(buckets)
+        self.by = np.lexsort((self.least, bucket))
+        self.cuts = np.searchsorted(bucket[self.by], np.arange(buckets + 1))
+
+    def packed(self, block: int, with_docs: bool) -> pa.Table:
+        """A row a bucket: its hashes, and with ``with_docs`` their least documents as runs."""
+        rows = {k: [] for k in ("bucket", "block", "hashes", "docs", "counts")}
+        for b in np.flatnonzero(np.diff(self.cuts)):
+            own = self.by[self.cuts[b] : self.cuts[b + 1]]
+            rows["bucket"].append(int(b))
+            rows["block"].append(block)
+            rows["hashes"].append(self.keys[:, own].tobytes())
+            d = self.least[own] if with_docs else np.zeros(0, np.int64)
+            new = np.flatnonzero(np.diff(d, prepend=d[:1] - 1)) if len(d) else d
+            rows["docs"].append(d[new].tobytes())
+            rows["counts"].append(np.diff(np.append(new, len(d))).astype(np.int32).tobytes())
+        return pa.table(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())]))
+
+    def answered(self, replies: pa.Table, step: int) -> np.ndarray:
+        """The bits of all buckets, by entry."""
+        hit = np.zeros(len(self.least), bool)
+        for s, b, bits in zip(replies["step"].to_pylist(), replies["bucket"].to_pylist(), replies["bits"].to_pylist()):
+            if s == step:
+                own = self.by[self.cuts[b] : self.cuts[b + 1]]
+                hit[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+        return hit
 
 
 def reply(step: int, wide: int):
-    """For a bucket: which entries count. Step 1: another document has the hash; step 2: a smaller one has it."""
+    """For a bucket: which entries count. Step 1: another block has the hash; step 2: another has it in a smaller document.
+
+    A document is in one block only, so what two blocks hold two documents hold.
+    """
 
     def of(table: pa.Table) -> pa.Table:
         sent = [np.frombuffer(x, np.uint64).reshape(wide, -1) for x in table["hashes"].to_pylist()]
-        sizes = np.array([x.shape[1] for x in sent])
         keys = np.concatenate(sent, axis=1)
-        doc = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(table["docs"].to_pylist(), table["counts"].to_pylist())])
         order = np.argsort(keys[0]) if wide == 1 else np.lexsort(keys[::-1])
         inorder = keys[:, order]
         new = np.flatnonzero(np.concatenate(([True], (inorder[:, 1:] != inorder[:, :-1]).any(axis=0))))
-        run = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
-        least = np.minimum.reduceat(doc[order], new)
+        size = np.diff(np.append(new, len(order)))
+        run = np.repeat(np.arange(len(new)), size)
         hit = np.empty(len(order), bool)
         if step == 1:
-            hit[order] = (least < np.maximum.reduceat(doc[order], new))[run]
+            hit[order] = (size > 1)[run]
         else:
-            hit[order] = doc[order] > least[run]
+            doc = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(table["docs"].to_pylist(), table["counts"].to_pylist())])[order]
+            hit[order] = doc > np.minimum.reduceat(doc, new)[run]
         bits, blocks, at = [], [], 0
-        for block, n in zip(table["block"].to_pylist(), sizes):
-            own = hit[at : at + n]
-            at += n
-            if own.any():
+        for block, own in zip(table["block"].to_pylist(), sent):
+            mine = hit[at : at + own.shape[1]]
+            at += own.shape[1]
+            if mine.any():
                 blocks.append(block)
-                bits.append(np.packbits(own).tobytes())
+                bits.append(np.packbits(mine).tobytes())
         n = len(bits)
         return pa.table([pa.array(blocks, pa.int32()), pa.array([step] * n, pa.int32()), pa.array([table["bucket"][0].as_py()] * n, pa.int32()), pa.array(bits, pa.binary())], ["block", "step", "bucket", "bits"])
 
     return of
 
 
-def answered(replies: pa.Table, step: int, buckets: int, hashes: np.ndarray) -> np.ndarray:
-    """The bits of all buckets, back in the order of ``hashes``."""
-    hit = np.zeros(len(hashes), bool)
-    bucket = (hashes >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for s, b, bits in zip(replies["step"].to_pylist(), replies["bucket"].to_pylist(), replies["bits"].to_pylist()):
-        if s == step:
-            own = order[cuts[b] : cuts[b + 1]]
-            hit[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-    return hit
-
-
 def remove_repeated_passages(docs: DataFrame, window: int = 13, period: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text``, one row for each row of ``docs``.
 
     A word (``[^\\x20\\x09-\\x0D]+``, unchanged) goes if a window of ``window`` words that covers it also
     starts in a document with a smaller id. Windows are judged on the input. Kept words are joined by
     one space. A null text has no words. Null ids sort after all others, and rows with the same id
-    (repeated rows, null ids) never remove each other's words. Other columns are ignored. An empty
-    table gives an empty result.
+    (repeated rows, null ids) never remove each other's words. A text of any length is one row of one
+    block, which one task holds whole. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     anchor = window - period + 1
     if anchor < 1 or period not in COVERS:
         raise ValueError(f"the period must be one of {sorted(COVERS)} and no longer than the window")
-    buckets = shuffle_partitions(spark)
-    blocks = max(buckets, -(-docs.count() // BLOCK_ROWS))
+    blocks = buckets = blocks_for(docs, text_col)
     source = id_and_text(docs, id_col, text_col)
-    source = source.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    source = packed_blocks(source.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text"))
 
-    def send_anchors(table: pa.Table) -> pa.Table:
-        block = Block(table)
+    def anchors(block: Block) -> tuple[np.ndarray, Entries]:
         at, hashes = block.anchors(anchor, period)
-        return packed(table["block"][0].as_py(), buckets, hashes, (), block.doc[block.of[at]])
+        return at, Entries(hashes, (), block.doc[block.of[at]], buckets)
 
-    def windows(block: Block, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and both hashes of the windows around shared anchors."""
-        at, hashes = block.anchors(anchor, period)
-        at = at[answered(replies, 1, buckets, hashes)]
+    def windows(block: Block, replies: pa.Table) -> tuple[np.ndarray, Entries]:
+        """Starts of the windows around anchors that two documents share, and their 128-bit hashes."""
+        at, entries = anchors(block)
+        at = at[(entries.answered(replies, 1) | (entries.least < entries.greatest))[entries.run]]
         n = max(0, len(block.starts) - window + 1)
         # a window at i holds the anchors that start in i .. i + period - 1
         change = np.zeros(n + period + 1, np.int32)
         np.add.at(change, np.minimum(np.maximum(at - period + 1, 0), n), 1)
         np.add.at(change, np.minimum(at + 1, n), -1)
         own = np.flatnonzero((np.cumsum(change[:n]) > 0) & block.runs(window))
-        if not len(own):
-            return own, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return own, window_hashes(block.hashes(0), window, 0)[own], window_hashes(block.hashes(1), window, 1)[own]
+        one, two = (window_hashes(block.hashes(k), window, k)[own] if len(own) else np.zeros(0, np.uint64) for k in (0, 1))
+        return own, Entries(one, (two,), block.doc[block.of[own]], buckets)
+
+    def send_anchors(table: pa.Table) -> pa.Table:
+        return anchors(Block(unpacked(table)))[1].packed(table["block"][0].as_py(), False)
 
     def send_windows(key, table: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(table)
-        if not replies.num_rows:
-            return packed(key[0].as_py(), buckets, np.zeros(0, np.uint64), (), block.doc[:0])
-        own, one, two = windows(block, replies)
-        return packed(key[0].as_py(), buckets, one, (two,), block.doc[block.of[own]])
+        return windows(Block(unpacked(table)), replies)[1].packed(key[0].as_py(), True)
 
     def keep(key, table: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(table)
+        block = Block(unpacked(table))
         n = len(block.starts)
-        gone = np.zeros(n, bool)
-        if replies.num_rows:
-            own, one, _ = windows(block, replies)
-            own = own[answered(replies, 2, buckets, one)]
-            change = np.zeros(n + 1, np.int32)
-            np.add.at(change, own, 1)
-            np.add.at(change, own + window, -1)
-            gone = np.cumsum(change[:n]) > 0
+        own, entries = windows(block, replies)
+        # copies of a window inside the block are told by its own least document
+        own = own[entries.answered(replies, 2)[entries.run] | (block.doc[block.of[own]] > entries.least[entries.run])]
+        change = np.zeros(n + 1, np.int32)
+        np.add.at(change, own, 1)
+        np.add.at(change, own + window, -1)
+        gone = np.cumsum(change[:n]) > 0
         raw = block.data.tobytes()
         starts, ends, first = block.starts.tolist(), block.ends.tolist(), block.first.tolist()
         kept, stay = [], (~gone).tolist()

@@ -205,3 +205,13 @@ def test_cut_longer_and_changed_copies_are_one_class_and_no_others(make, monkeyp
         assert all(alike(" ".join(edits[-1]), " ".join(e)) < 0.8 for e in edits[:-1])
         rows += [(len(rows) + k, " ".join(e)) for k, e in enumerate(edits)]
     assert sorted(r.doc_id for r in sim.keep_one_of_each(make(rows)).collect()) == want
+
+
+def test_words_that_fool_a_hash_modulo_a_power_of_two_differ(make):
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    long = "x" * ((1 << 20) + 5)
+    before = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{before} {morse}"), (2, f"{before} {other}"), (3, f"{before} {long}a {long}b"), (4, f"{before} {long}b"), (5, f"{before} {long}b")]
+    got = {r.doc_id: r.n_removed for r in remove_repeated_passages(make(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
