@@ -82,6 +82,15 @@ def pieces(batches, limit: int = 1 << 20, text: str = "text"):
             at = to
 
 
+#: Rows of a few numbers that may be broadcast: some 20 MB in an executor.
+SMALL_ROWS = 1 << 19
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` (a checkpointed table of few numbers a row) with a broadcast hint if they are counted to be few; else as it is."""
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
+
+
 #: Bytes of text in a block, about: texts that one task holds at a time.
 BLOCK_BYTES = 16 << 20
 

@@ -10,15 +10,13 @@ document is contaminated if the tiles cover enough of the item.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, id_and_text, pieces, text_bytes
-from .tokens import ALNUM, ALNUM_LOWER, text_of_word, window_hashes, word_hashes, word_spans
+from .base import checkpointed, id_and_text, pieces, small, text_bytes
+from .tokens import ALNUM, ALNUM_LOWER, BASES, modulo, powers, text_of_word, window_hashes, word_hashes, word_spans
 
 #: Tokens in a seed, and so in the shortest tile.
 SEED = 5
@@ -68,45 +66,89 @@ def bloom(items: DataFrame) -> np.ndarray:
     return out
 
 
+class Windows:
+    """Karp-Rabin hashes of every window of a row of numbers, for any length of window."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.sums = []
+        for base in BASES[0]:
+            up, down = powers(base, len(numbers) + 1)
+            # numbers are below 2**31, so each summand is below 2**31 after modulo and the sum has room for 2**31 of them
+            self.sums.append((np.concatenate((np.zeros(1, np.uint64), np.cumsum(modulo(numbers * up[: len(numbers)]), dtype=np.uint64))), down))
+
+    def of(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the windows that start ``at``."""
+        one, two = (modulo(modulo(sums[at + length] - sums[at]) * down[at]) for sums, down in self.sums)
+        return one << np.uint64(31) | two
+
+
 def tile(positions: np.ndarray, seeds: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Tiles ``(document position, item position, length)`` of one pair, the longest first.
 
     ``positions, seeds``: the document's seeds, by position; ``item``: all seeds of the item in order.
-    Ties go to the earlier place in the item, then in the document.
+    Ties go to the earlier place in the item, then in the document. The longest length that still has
+    a match is sought by halving, with the windows' hashes of that length; then all its matches are
+    marked. No list of pairs of positions is made, so texts that repeat themselves take no more memory.
     """
-    order = np.argsort(item, kind="stable")
-    low = np.searchsorted(item[order], seeds, side="left")
-    width = np.searchsorted(item[order], seeds, side="right") - low
-    p = np.repeat(positions, width)
-    q = order[np.repeat(low - (np.cumsum(width) - width), width) + np.arange(width.sum())]
-    by = np.lexsort((p, p - q))
-    p, q = p[by], q[by]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
-    starts = np.flatnonzero(new)
-    length = np.diff(np.append(starts, len(p))) + SEED - 1
-    heap = [(-n, b, a) for n, a, b in zip(length.tolist(), p[starts].tolist(), q[starts].tolist())]
-    heapq.heapify(heap)
-    in_item = np.zeros(len(item) + SEED, bool)
-    in_doc: set[int] = set()
-    out = []
-    while heap:
-        n, b, a = heapq.heappop(heap)
-        n = -n
-        free = [not in_item[b + k] and a + k not in in_doc for k in range(n)]
-        if all(free):
-            out.append((a, b, n))
-            in_item[b : b + n] = True
-            in_doc.update(range(a, a + n))
-            continue
-        k = 0
-        while k < n:  # what is left of the match takes its place among the others
-            e = k
-            while e < n and free[e]:
-                e += 1
-            if e - k >= least:
-                heapq.heappush(heap, (k - e, b + k, a + k))
-            k = e + 1
+    if not len(positions) or not len(item):
+        return []
+    known = np.unique(item)
+    number = np.full(len(known) + 1, 0, np.uint64)
+    number[:-1] = np.arange(2, len(known) + 2)
+    where = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
+    # places between the seeds that hits have hold 0; SEED of them keep two tiles apart as well as more do
+    at = np.concatenate(([0], np.cumsum(np.minimum(np.diff(positions), SEED))))
+    doc = np.zeros(at[-1] + 1, np.uint64)
+    doc[at] = np.where(known[where] == seeds, number[where], 0)
+    offset = np.zeros(len(doc), np.int64)
+    offset[at] = positions
+    own = number[np.searchsorted(known, item)]
+    # seeds in a row, and tokens of the tiles, which reach SEED - 1 further
+    doc_hash, item_hash = Windows(doc), Windows(own)
+    free_doc, free_item = doc > 0, np.ones(len(own), bool)
+
+    def matches(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of the free windows of ``length`` seeds that both have, of the item and of the document."""
+        out = []
+        for free, windows in ((free_item, item_hash), (free_doc, doc_hash)):
+            run = np.concatenate(([0], np.cumsum(free)))
+            starts = np.flatnonzero(run[length:] - run[:-length] == length) if length <= len(free) else np.zeros(0, np.int64)
+            out.append((starts, windows.of(starts, length)))
+        (b, hb), (a, ha) = out
+        mine, others = np.isin(hb, ha), np.isin(ha, hb)
+        return b[mine], hb[mine], a[others], ha[others]
+
+    out, high = [], min(len(own), len(doc))
+    while high >= least - SEED + 1:
+        low, top = least - SEED, high  # the longest match has more than low seeds and at most top
+        while low < top:
+            middle = (low + top + 1) // 2
+            if len(matches(middle)[0]):
+                low = middle
+            else:
+                top = middle - 1
+        if low < least - SEED + 1:
+            return out
+        b_at, b_hash, a_at, a_hash = matches(low)
+        order = np.argsort(a_hash, kind="stable")
+        a_at, a_hash = a_at[order], a_hash[order]
+        next_a = {}
+        for b, h in zip(b_at.tolist(), b_hash.tolist()):
+            if not (free_item[b] and free_item[b + low - 1]):
+                continue
+            i = next_a.get(h)
+            if i is None:
+                i = int(np.searchsorted(a_hash, np.uint64(h)))
+            while i < len(a_at) and a_hash[i] == h and not (free_doc[a_at[i]] and free_doc[a_at[i] + low - 1]):
+                i += 1
+            next_a[h] = i
+            if i < len(a_at) and a_hash[i] == h:
+                a, n = int(a_at[i]), low + SEED - 1
+                out.append((int(offset[a]), b, n))
+                # a free seed keeps all its tokens free: those that reach into the tile go too
+                free_item[max(0, b - SEED + 1) : b + n] = False
+                free_doc[max(0, a - SEED + 1) : a + n] = False
+        high = low
     return out
 
 
@@ -159,7 +201,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     ``item_ids``: all items whose tokens the document's tiles cover to ``coverage`` at least, in order;
     ``coverage`` and ``n_tiles`` are of the best of them (0 if there is none). Null texts have no
     tokens. Items of fewer than five tokens, and null ones, match nothing. Repeated rows get equal
-    results; ids may be null or repeated. Other columns are ignored. Empty tables are allowed.
+    results; ids may be null or repeated. Texts of any length, and texts that repeat themselves, take
+    memory in proportion to their length. Other columns are ignored. Empty tables are allowed.
     """
     source = id_and_text(docs, id_col, text_col).withColumn("uid", F.xxhash64("doc_id", "text"))
     pairs = contaminated_pairs(source, benchmark, coverage)
@@ -170,7 +213,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item. See ``find_contamination``."""
+    """The rows of ``docs``, all columns, that hold no benchmark item.
+
+    Rows with a null or empty text hold none and stay, with whatever id; repeated rows stay or go together. Texts of
+    any length are judged whole. Columns may have any names. An empty table gives an empty result. See
+    ``find_contamination``.
+    """
     uid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = checkpointed(contaminated_pairs(docs.select(uid.alias("uid"), F.col("text").cast("string").alias("text")), benchmark, coverage).select("uid").distinct())
-    return docs.join(found, uid == found["uid"], "left_anti")
+    found = small(checkpointed(contaminated_pairs(docs.select(uid.alias("uid"), F.col("text").cast("string").alias("text")), benchmark, coverage).select(F.col("uid").alias("found_uid")).distinct()))
+    return docs.join(found, uid == F.col("found_uid"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -225,6 +225,32 @@ def test_tiling_of_repetitive_texts():
         assert sorted(t[2] for t in got) == sorted(t[2] for t in want)
 
 
+def test_repetitive_texts_through_the_operator_match_brute_force(make, spark):
+    rng = random.Random(11)
+    text = lambda letters, n: [rng.choice(letters) * 2 for _ in range(rng.randrange(5, n))]
+    items = [text("abc"[: rng.randrange(1, 4)], 40) for _ in range(25)]
+    docs = [text("abcd"[: rng.randrange(1, 5)], 60) for _ in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in gst.find_contamination(make([(d, " ".join(x)) for d, x in enumerate(docs)]), bench).collect()}
+    for d, doc in enumerate(docs):
+        tiles = {i: slow_tiles(doc, item, gst.SEED) for i, item in enumerate(items)}
+        covered = {i: sum(t[2] for t in x) / len(items[i]) for i, x in tiles.items()}
+        found = sorted(i for i, c in covered.items() if c >= gst.COVERAGE)
+        assert list(got[d].item_ids) == found, d
+        assert abs(got[d].coverage - max((covered[i] for i in found), default=0)) < 1e-12
+
+
+def test_tiling_of_long_repetitive_texts_takes_little_memory():
+    import tracemalloc
+
+    item = np.arange(5, dtype=np.int64)[np.arange(996) % 5]
+    doc = np.arange(5, dtype=np.int64)[np.arange(200_000) % 5]
+    tracemalloc.start()
+    got = gst.tile(np.arange(len(doc)), doc, item)
+    assert got == [(0, 0, 1000)] and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def corpus(rng, n):
     rows, labels = [], []
     for d in range(n):
