@@ -1,98 +1,275 @@
 """Perplexity under a modified Kneser-Ney character model of each language, and bands that reject.
 
-Method: Spark counts character 4-grams of every whole text by language (48 character classes, so a
-language has at most 48 ** 4). From the counts a modified Kneser-Ney model is made: three discounts
-an order, continuation counts below the highest order. It is stored as arrays sorted by the hash of
-an n-gram, with the log probability of each n-gram that was seen and the back-off weight of each
-context; a score is a binary search, order by order. The bands are fences around the quartiles of all
-texts of a language, wider for short texts.
+Method: Spark counts the 5-grams of characters (code points as they are, so scripts, case and marks are
+told apart) of every whole text by language, and DataFrame joins make a modified Kneser-Ney model of
+them: three discounts an order, continuation counts below the highest order. Documents are dealt to two
+folds by their text, and each is scored by the model of the other fold, so that a strange text can't
+vouch for itself. The model grows with the corpus and is never gathered: it is dealt to buckets, where it
+lies in arrays sorted by the hash of an n-gram; blocks of documents send the distinct n-grams that they
+hold and get their log probabilities back. The bands are fences around each language's median,
+narrower the longer a text is: the mean over n characters strays with 1 / sqrt(n).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, pieces, text_bytes, texts
-from .charlm import Alphabet, count_grams, dense_counts, prose
+from .base import blocks_for, checkpointed, packed_blocks, pieces, small, text_bytes, texts, unpacked
 from .tokens import WORD, mixed, text_of_word, window_hashes, word_hashes, word_spans
 
-ORDER = 4
-#: Quartile ranges beyond the quartiles where a band ends; bits that it widens by over sqrt(characters).
-FENCE, SHORT = 3.0, 8.0
-#: Bins of a bit in the histogram that the quartiles are read from.
-BINS = 256
+ORDER = 5
+#: Half the width of a band, in deviations (as the median absolute one tells them) of a text of its length.
+FENCE = 5.0
+#: Least deviation, in bits times the root of the characters, that a language is taken to have.
+LEAST_SPREAD = 1.0
+#: Bins of a bit, and of a doubling of the deviation, in the histograms that medians are read from.
+BINS, SPREAD_BINS = 1024, 64
 #: The symbols that the base counts.
 SYMBOLS = b"#*$%&|<>"
+#: Distinct n-grams that are held before their counts are added up.
+HELD = 1 << 21
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """0 and the discounts of counts 1, 2, 3 and more, from the counts of counts."""
-    n = np.bincount(np.minimum(counts[counts > 0], 5), minlength=6).astype(float)
-    if not n[1] or not n[2]:
-        return np.array([0, 0.5, 0.5, 0.5])
-    y = n[1] / (n[1] + 2 * n[2])
-    d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k for k in (1, 2, 3)]
-    return np.array([0, *(min(max(x, 0.05), k) for k, x in enumerate(d, 1))])
-
-
-def hashed(order: int, keys: np.ndarray) -> np.ndarray:
-    return mixed(keys.astype(np.uint64) | np.uint64(order << 56))
-
-
-class KneserNey:
-    """For each order the sorted hashes and log2 probabilities of n-grams, and the log2 weights of contexts."""
-
-    def __init__(self, counts: np.ndarray, size: int, order: int = ORDER):
-        self.size, self.order = size, order
-        levels = {order: counts}
-        for k in range(order - 1, 0, -1):
-            levels[k] = (levels[k + 1] > 0).reshape(size, -1).sum(axis=0)
-        lower = np.full(1, 1 / (size - 1))
-        self.grams, self.contexts = [], []
-        for k in range(1, order + 1):
-            c = levels[k].reshape(-1, size)
-            d = discounts(levels[k])
-            total = c.sum(axis=1)
-            weight = sum(d[i] * ((c == i) if i < 3 else (c >= 3)).sum(axis=1) for i in (1, 2, 3)) / np.maximum(total, 1)
-            weight = np.where(total > 0, weight, 1.0)
-            p = (c - d[np.minimum(c, 3)]) / np.maximum(total, 1)[:, None]
-            p += weight[:, None] * np.broadcast_to(lower.reshape(-1, size) if k > 1 else lower, (size ** max(k - 2, 0), size) if k > 1 else (1, size))[np.arange(len(c)) % size ** max(k - 2, 0)]
-            lower = p.ravel()
-            seen, used = np.flatnonzero(levels[k]), np.flatnonzero(total)
-            for store, keys, values in ((self.grams, seen, lower[seen]), (self.contexts, used, weight[used])):
-                h = hashed(k, keys)
-                by = np.argsort(h)
-                store.append((h[by], np.log2(np.maximum(values[by], 1e-12)).astype(np.float32)))
-        self.floor = float(np.log2(1 / (size - 1)))
-
-    @staticmethod
-    def find(store: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = store
-        if not len(keys):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return keys[at] == h, values[at]
-
-    def log2(self, keys: np.ndarray) -> np.ndarray:
-        """log2 probability of each n-gram of the highest order: the longest one that was seen, and the weights on the way there."""
-        out = np.zeros(len(keys))
-        left = np.arange(len(keys))
-        for k in range(self.order, 0, -1):
-            own = keys[left] % self.size**k
-            found, value = self.find(self.grams[k - 1], hashed(k, own))
-            out[left[found]] += value[found]
-            left, own = left[~found], own[~found]
-            if not len(left):
-                return out
-            known, weight = self.find(self.contexts[k - 1], hashed(k, own // self.size))
-            out[left[known]] += weight[known]
-        out[left] += self.floor
+def points_of(own: list[str], pad: int = ORDER - 1) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each after ``pad`` zeros, and where each text with its zeros begins. NUL is read as U+FFFD."""
+    joined = "".join("\0" * pad + t.replace("\0", "\ufffd") for t in own)
+    sizes = np.array([len(t) + pad for t in own], np.int64)
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+
+
+class Grams:
+    """Numbers for the n-grams over an alphabet, in the order of their characters."""
+
+    def __init__(self, alphabet: np.ndarray, order: int = ORDER):
+        self.alphabet, self.order = alphabet, order
+        #: numbers fit into 63 bits; else n-grams are compared as strings
+        self.fits = len(alphabet) ** order < 1 << 62
+
+    def keys(self, points: np.ndarray) -> np.ndarray:
+        """The n-gram that ends at each position from ``order - 1`` on."""
+        n = max(0, len(points) - self.order + 1)
+        if not self.fits:
+            return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points, self.order)).view(f"<U{self.order}").ravel() if n else np.zeros(0, f"<U{self.order}")
+        codes = np.searchsorted(self.alphabet, points).astype(np.int64)
+        out = codes[:n].copy()
+        for k in range(1, self.order):
+            out *= len(self.alphabet)
+            out += codes[k : k + n]
+        return out
+
+    def points(self, keys: np.ndarray) -> np.ndarray:
+        """The characters of n-grams, a row each."""
+        if not self.fits:
+            return keys.view(np.uint32).reshape(-1, self.order)
+        out = np.empty((len(keys), self.order), np.uint32)
+        left = keys.copy()
+        for k in range(self.order - 1, -1, -1):
+            left, code = np.divmod(left, len(self.alphabet))
+            out[:, k] = self.alphabet[code]
         return out
 
 
+def added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts (rows of one or more)."""
+    key, where = np.unique(np.concatenate(keys), return_inverse=True)
+    every = np.concatenate(counts, axis=1)
+    return key, np.stack([np.bincount(where, weights=c, minlength=len(key)) for c in every]).astype(np.int64)
+
+
+def hashed(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of characters."""
+    total = np.zeros(len(points), np.uint64)
+    for k in range(points.shape[1]):
+        total = total * np.uint64(0xD6E8FEB86659FD93) + mixed(points[:, k].astype(np.uint64))
+    return mixed(total)
+
+
+def strings(points: np.ndarray) -> pa.Array:
+    """N-grams as strings. The last character is never NUL, so none is cut."""
+    return pa.array(np.ascontiguousarray(points).view(f"<U{points.shape[1]}").ravel().tolist(), pa.string())
+
+
+class Held:
+    """The distinct n-grams of one language in a block, and the buckets that they are dealt to."""
+
+    def __init__(self, parts: list[np.ndarray], buckets: int):
+        """``parts``: code points of texts with their zeros, a few texts in each."""
+        self.grams = Grams(np.unique(np.concatenate([np.unique(p) for p in parts])))
+        keys, counts, size = [], [], 0
+        for p in parts:
+            own = self.grams.keys(p)[p[ORDER - 1 :] > 0]
+            key, n = np.unique(own, return_counts=True)
+            keys.append(key)
+            counts.append(n[None, :])
+            size += len(key)
+            if size > HELD:
+                key, n = added_up(keys, counts)
+                keys, counts, size = [key], [n], 0
+        self.keys, n = added_up(keys, counts)
+        self.counts = n[0]
+        self.points = self.grams.points(self.keys)
+        bucket = hashed(self.points) % np.uint64(buckets)
+        self.by = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.by], np.arange(buckets + 1))
+
+
+def languages(table: pa.Table):
+    """Of a block: each language with the numbers of its rows and their code points, in parts of a few texts."""
+    label = np.array(table["label"].to_pylist(), object)
+    for name in sorted(set(label)):
+        rows = np.flatnonzero(label == name)
+        parts, at = [], 0
+        for batch in pieces(table.take(pa.array(rows)).combine_chunks().to_batches()):
+            own = texts(batch.column("text"))
+            parts.append((rows[at : at + len(own)], *points_of(own)))
+            at += len(own)
+        yield name, parts
+
+
+ASKED = "bucket int, label string, block int, grams binary, counts binary"
+
+
+def ask(buckets: int):
+    """For a block: its distinct n-grams and their counts, a row for each language and bucket."""
+
+    def of(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        rows = {k: [] for k in ("bucket", "label", "block", "grams", "counts")}
+        pack = zstandard.ZstdCompressor().compress
+        for name, parts in languages(unpacked(table)):
+            held = Held([p[1] for p in parts], buckets)
+            for b in np.flatnonzero(np.diff(held.cuts)).tolist():
+                own = held.by[held.cuts[b] : held.cuts[b + 1]]
+                for k, v in (("bucket", b), ("label", name), ("block", block), ("grams", pack(held.points[own].T.tobytes())), ("counts", pack(held.counts[own].astype(np.uint32).tobytes()))):
+                    rows[k].append(v)
+        return pa.table(rows, pa.schema([("bucket", pa.int32()), ("label", pa.string()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
+
+    return of
+
+
+def read_grams(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint32).reshape(ORDER, -1).T)
+
+
+def count_asked(table: pa.Table) -> pa.Table:
+    """For a bucket and a language: each n-gram with its counts in the two folds (of even and odd blocks)."""
+    asked = [read_grams(x) for x in table["grams"].to_pylist()]
+    grams = Grams(np.unique(np.concatenate([np.unique(a) for a in asked])))
+    keys, counts, size = [], [], 0
+    for points, packed, block in zip(asked, table["counts"].to_pylist(), table["block"].to_pylist()):
+        n = np.zeros((2, len(points)), np.int64)
+        n[block % 2] = np.frombuffer(zstandard.decompress(packed), np.uint32)
+        keys.append(grams.keys(points.ravel())[::ORDER])
+        counts.append(n)
+        size += len(points)
+        if size > HELD:
+            key, n = added_up(keys, counts)
+            keys, counts, size = [key], [n], 0
+    key, n = added_up(keys, counts)
+    label = pa.array([table["label"][0].as_py()] * len(key), pa.string())
+    return pa.table([label, strings(grams.points(key)), pa.array(np.full(len(key), table["bucket"][0].as_py(), np.int32)), pa.array(n[0]), pa.array(n[1])], ["label", "gram", "bucket", "n0", "n1"])
+
+
+def discounts() -> list[Column]:
+    """Aggregates ``d0`` and ``d1`` over the n-grams of one language and order: the discounts of counts 1, 2, 3 and more."""
+    out = []
+    for f in ("0", "1"):
+        n = [F.sum((F.col("n" + f) == i).cast("long")) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        known = (n[0] > 0) & (n[1] > 0)
+        own = [F.when(known & (n[k - 1] > 0), F.least(F.greatest(k - (k + 1) * y * n[k] / n[k - 1], F.lit(0.05)), F.lit(float(k)))).otherwise(0.5) for k in (1, 2, 3)]
+        out.append(F.array(*own).alias("d" + f))
+    return out
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``label, gram, bucket, p0, p1``: the probability of each n-gram's last character after the others, in both folds' models.
+
+    ``counts (label string, gram string, bucket int, n0 long, n1 long)`` has each n-gram that either fold saw, so every
+    probability that a document of the other fold can ask for is there, backed off where the fold lacks it.
+    """
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        suffix = levels[k + 1].groupBy("label", F.substring("gram", 2, k).alias("gram"))
+        levels[k] = checkpointed(suffix.agg(*(F.sum((F.col(n) > 0).cast("long")).alias(n) for n in ("n0", "n1"))))
+    lower = None
+    for k in range(1, order + 1):
+        level = levels[k].withColumn("context", F.substring("gram", 1, k - 1))
+        seen = [F.sum((F.col(f"n{f}") == i).cast("long") if i < 3 else (F.col(f"n{f}") >= 3).cast("long")).alias(f"k{f}_{i}") for f in (0, 1) for i in (1, 2, 3)]
+        contexts = level.groupBy("label", "context").agg(*(F.sum(f"n{f}").alias(f"total{f}") for f in (0, 1)), *seen)
+        spread = small(checkpointed(level.groupBy("label").agg(*discounts(), F.count("*").alias("kinds"))))
+        rows = level.join(contexts, ["label", "context"]).join(spread, "label")
+        if lower is None:
+            rows = rows.withColumns({f"low{f}": 1 / (F.col("kinds") + 1) for f in (0, 1)})
+        else:
+            below = lower.select("label", F.col("gram").alias("suffix"), F.col("p0").alias("low0"), F.col("p1").alias("low1"))
+            rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(below, ["label", "suffix"])
+        p = []
+        for f in (0, 1):
+            n, d, total = F.col(f"n{f}"), F.col(f"d{f}"), F.col(f"total{f}")
+            left = F.when(n > 0, n - F.element_at(d, F.least(n, F.lit(3)).cast("int"))).otherwise(0.0)
+            given = sum(d[i - 1] * F.col(f"k{f}_{i}") for i in (1, 2, 3))
+            p.append(F.when(total > 0, (left + given * F.col(f"low{f}")) / total).otherwise(F.col(f"low{f}")).alias(f"p{f}"))
+        lower = rows.select("label", "gram", *(["bucket"] if k == order else []), *p)
+    return lower
+
+
+REPLY = "block int, label string, bucket int, bits binary"
+
+
+def answer(key, asked: pa.Table, model: pa.Table) -> pa.Table:
+    """For a bucket and a language: the log2 probabilities that each block asked for, from the other fold's model."""
+    points = np.array(model["gram"].to_pylist(), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+    keys = hashed(points)
+    by = np.argsort(keys)
+    keys = keys[by]
+    bits = [np.log2(model[p].to_numpy()[by]).astype(np.float32) for p in ("p0", "p1")]
+    out = []
+    for block, packed in zip(asked["block"].to_pylist(), asked["grams"].to_pylist()):
+        h = hashed(read_grams(packed))
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        if (keys[at] != h).any():
+            raise RuntimeError("the model lacks an n-gram that a block holds")
+        out.append(bits[1 - block % 2][at].tobytes())
+    n = len(out)
+    return pa.table([asked["block"].combine_chunks(), asked["label"].combine_chunks(), pa.array([key[0].as_py()] * n, pa.int32()), pa.array(out, pa.binary())], ["block", "label", "bucket", "bits"])
+
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def score(buckets: int):
+    """For a block and the answers to it: base counts, characters and bits a character of each document."""
+
+    def of(key, table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = unpacked(table)
+        bits, chars = np.full(table.num_rows, np.nan), np.zeros(table.num_rows, np.int64)
+        said = {(name, b): x for name, b, x in zip(replies["label"].to_pylist(), replies["bucket"].to_pylist(), replies["bits"].to_pylist())}
+        for name, parts in languages(table):
+            held = Held([p[1] for p in parts], buckets)
+            value = np.full(len(held.keys), np.nan)
+            for b in np.flatnonzero(np.diff(held.cuts)).tolist():
+                value[held.by[held.cuts[b] : held.cuts[b + 1]]] = np.frombuffer(said[name, b], np.float32)
+            for rows, points, at in parts:
+                real = points > 0
+                own = np.zeros(len(points))
+                if len(value):
+                    # where there is no character, any place will do
+                    own[ORDER - 1 :] = value[np.minimum(np.searchsorted(held.keys, held.grams.keys(points)), len(value) - 1)]
+                chars[rows] = np.add.reduceat(real.astype(np.int64), at[:-1])
+                bits[rows] = -np.add.reduceat(np.where(real, own, 0), at[:-1]) / np.maximum(chars[rows], 1)
+        bits[chars == 0] = np.nan
+        counts = [base_counts(batch.column("text")) for batch in pieces(table.combine_chunks().to_batches())]
+        base = [np.concatenate([c[k] for c in counts]) if counts else np.zeros(0, np.int64) for k in BASE]
+        return pa.table([table["doc_id"].combine_chunks(), table["label"].combine_chunks(), *(pa.array(b) for b in base), pa.array(chars), pa.array(bits, from_pandas=True)], ["doc_id", "label", *BASE, "chars", "bits"])
+
+    return of
+
+
 def base_counts(column) -> dict[str, np.ndarray]:
     """Counts of each text: words, their characters, symbols, repeated lines, words in repeated windows of three."""
     data, offsets = text_bytes(column)
@@ -128,62 +305,45 @@ def base_counts(column) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
+def medians(rows: DataFrame, bin: Column, value, name: str) -> DataFrame:
+    """``label, name``: the median of each language, exact to a bin. ``value`` makes one of a bin's middle."""
+    bins = rows.groupBy("label", F.floor(bin).alias("bin")).count()
+    middle = bins.groupBy("label").agg(F.percentile("bin", F.lit(0.5), F.col("count")).alias("bin"))
+    return small(checkpointed(middle.select("label", value(F.col("bin") + 0.5).alias(name))))
+
+
 def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bits, low, high, kept``.
 
     One row for each row of ``docs``. ``bits`` is the log2 perplexity a character under the model of the
-    document's language, counted over all documents of that language (a null language is one of its
-    own), and ``low``/``high`` are its band; a text without characters has null bits and no verdict
-    from the band. A null text is empty: no words, so the base fails. Repeated rows are counted as often as
-    they come. Other columns are ignored. An empty table gives an empty result.
+    document's language, counted over all documents of that language in the other fold (a null language
+    is one of its own), and ``low``/``high`` are its band; a text without characters has null bits and no
+    verdict from the band. A language whose other fold is empty has one value for all texts and rejects
+    none. A null text is empty: no words, so the base fails. Repeated rows are counted as often as they
+    come, and get equal results. A text of any length is one row of one block, which one task holds whole.
+    Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
-    alphabet = prose()
-    models = {label: KneserNey(counts, alphabet.size) for label, counts in dense_counts(count_grams(source, alphabet, ORDER), alphabet, ORDER).items()}
-    shared = spark.sparkContext.broadcast((alphabet.table, alphabet.size, models))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def score(batches):
-        table, size, models = shared.value
-        alphabet = Alphabet.__new__(Alphabet)
-        alphabet.table, alphabet.size = table, size
-        known: dict = {}
-        for batch in pieces(batches):
-            labels, own = batch.column("label").to_pylist(), texts(batch.column("text"))
-            bits = np.full(len(own), np.nan)
-            for label in dict.fromkeys(labels):
-                if label not in models:
-                    continue
-                rows = [i for i, x in enumerate(labels) if x == label and own[i]]
-                if not rows:
-                    continue
-                if label not in known:
-                    if len(known) >= 6:
-                        known.clear()
-                    known[label] = np.full(size**ORDER, np.nan, np.float32)
-                codes, at = alphabet.codes([own[i] for i in rows], ORDER - 1)
-                keys = alphabet.grams(codes, ORDER)
-                value = known[label][keys]
-                unknown = np.isnan(value) & (codes > 0)
-                if unknown.any():
-                    new = np.unique(keys[unknown])
-                    known[label][new] = models[label].log2(new)
-                    value = known[label][keys]
-                sums = np.add.reduceat(np.where(codes > 0, value, 0).astype(np.float64), at[:-1])
-                bits[rows] = -sums / np.maximum(np.add.reduceat((codes > 0).astype(np.int64), at[:-1]), 1)
-            base = base_counts(batch.column("text"))
-            size_of = pa.array([len(t) for t in own], pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), *(pa.array(base[c]) for c in names), size_of, pa.array(bits, from_pandas=True)], ["doc_id", "label", *names, "chars", "bits"])
-
-    kinds = "doc_id long, label string, " + ", ".join(f"{c} long" for c in names) + ", chars long, bits double"
-    scored = checkpointed(source.mapInArrow(score, kinds))
-    bins = scored.where("bits is not null").groupBy("label", F.floor(F.col("bits") * BINS).alias("bin")).count()
-    # quartiles of each language, exact to a bin
-    bands = bins.groupBy("label").agg(F.percentile("bin", F.array(F.lit(0.25), F.lit(0.75)), F.col("count")).alias("q"))
-    bands = bands.select(F.col("label").alias("band_label"), ((F.col("q")[0] + 0.5) / BINS).alias("q1"), ((F.col("q")[1] + 0.5) / BINS).alias("q3"))
-    joined = scored.join(bands, F.col("label").eqNullSafe(F.col("band_label")), "left")
-    wide = FENCE * (F.col("q3") - F.col("q1")) + SHORT / F.sqrt(F.greatest("chars", F.lit(1)))
+    blocks = buckets = -(-blocks_for(docs, text_col) // 2)
+    label = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), label.alias("label"))
+    # blocks of fold 0 are even, those of fold 1 odd; equal texts are in one fold, but not in one block
+    block = 2 * F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) + F.pmod(F.xxhash64("text"), F.lit(2))
+    by_block = packed_blocks(source.select(block.cast("int").alias("block"), "doc_id", "text", "label")).groupBy("block")
+    asked = by_block.applyInArrow(ask(buckets), ASKED)
+    counts = checkpointed(asked.groupBy("bucket", "label").applyInArrow(count_asked, "label string, gram string, bucket int, n0 long, n1 long"))
+    model = kneser_ney(counts)
+    replies = asked.groupBy("bucket", "label").cogroup(model.groupBy("bucket", "label")).applyInArrow(answer, REPLY)
+    kinds = "doc_id long, label string, " + ", ".join(f"{c} long" for c in BASE) + ", chars long, bits double"
+    scored = checkpointed(by_block.cogroup(replies.groupBy("block")).applyInArrow(score(buckets), kinds))
+
+    known = scored.where("bits is not null")
+    middle = medians(known, F.col("bits") * BINS, lambda b: b / BINS, "middle")
+    away = (F.abs(F.col("bits") - F.col("middle")) * F.sqrt("chars")).alias("away")
+    far = known.join(middle, "label").select("label", away)
+    # 1.4826 times the median absolute deviation is the standard one of normal values
+    spread = medians(far, F.log2(F.col("away") + 1e-6) * SPREAD_BINS, lambda b: F.greatest(1.4826 * F.pow(F.lit(2.0), b / SPREAD_BINS), F.lit(LEAST_SPREAD)), "spread")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = joined.select("doc_id", *names, failed.alias("base_failed"), "bits", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+    wide = FENCE * F.col("spread") / F.sqrt(F.greatest("chars", F.lit(1)))
+    out = scored.join(middle, "label", "left").join(spread, "label", "left")
+    out = out.select("doc_id", *BASE, failed.alias("base_failed"), "bits", (F.col("middle") - wide).alias("low"), (F.col("middle") + wide).alias("high"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True)))
