@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 NO_ID = (1 << 63) - 1
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share, set as the checkpoint folder.
 
-    The session's ``spark.checkpoint.dir`` is used; a folder of its own is made only for a local
-    master that names none.
+    A folder of its own is made only for a local master that names none.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -28,9 +28,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a checkpoint in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder, under a name of its own, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -92,13 +105,16 @@ def small(rows: DataFrame) -> DataFrame:
 
 
 #: Bytes of text in a block, about: texts that one task holds at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
-def blocks_for(docs: DataFrame, text_col: str = "text") -> int:
-    """Blocks of about ``BLOCK_BYTES`` of text, so that they get more and not larger as the table grows."""
+def blocks_for(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks of about ``block_bytes`` of text, so that they get more and not larger as the table grows.
+
+    Smaller ones, down to half of that, if they are fewer than the shuffle partitions.
+    """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    return max(shuffle_partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    return max(1, -(-size // block_bytes), min(shuffle_partitions(docs.sparkSession), 2 * size // block_bytes))
 
 
 def packed_blocks(source: DataFrame) -> DataFrame:

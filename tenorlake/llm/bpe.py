@@ -266,7 +266,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     With ``digests`` the last two are ``ids_sha256, decoded_sha256`` (of the ids as little-endian
     unsigned 32-bit integers, and of the decoded text in UTF-8). A null text is empty: no ids, and the
     decoded text is empty. Ids are carried as they are, null and repeated ones too; other columns are
-    ignored. An empty table gives an empty result. ``path`` is read in each task and must exist there.
+    ignored. Texts and words of any length are encoded whole. An empty table gives an empty result. ``path`` is
+    read in each task and must exist there.
     """
 
     def of(batches):

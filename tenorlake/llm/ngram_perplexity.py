@@ -30,8 +30,8 @@ LEAST_SPREAD = 1.0
 BINS, SPREAD_BINS = 1024, 64
 #: The symbols that the base counts.
 SYMBOLS = b"#*$%&|<>"
-#: Distinct n-grams that are held before their counts are added up.
-HELD = 1 << 21
+#: Distinct n-grams that are held before their counts are added up, characters that a task counts at a time, and bytes of a block.
+HELD, COUNT_CHARS, BLOCK = 1 << 21, 16 << 20, 16 << 20
 
 
 def points_of(own: list[str], pad: int = ORDER - 1) -> tuple[np.ndarray, np.ndarray]:
@@ -93,32 +93,40 @@ def strings(points: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(points).view(f"<U{points.shape[1]}").ravel().tolist(), pa.string())
 
 
+def counted(parts: list[np.ndarray]) -> tuple[Grams, np.ndarray, np.ndarray]:
+    """The numbering, the distinct n-grams and their counts in ``parts``: code points of texts with their zeros, a few texts in each."""
+    grams = Grams(np.unique(np.concatenate([np.unique(p) for p in parts])))
+    keys, counts, size = [], [], 0
+    for p in parts:
+        key, n = np.unique(grams.keys(p)[p[ORDER - 1 :] > 0], return_counts=True)
+        keys.append(key)
+        counts.append(n[None, :])
+        size += len(key)
+        if size > HELD:
+            key, n = added_up(keys, counts)
+            keys, counts, size = [key], [n], 0
+    key, n = added_up(keys, counts)
+    return grams, key, n[0]
+
+
 class Held:
-    """The distinct n-grams of one language in a block, and the buckets that they are dealt to."""
+    """The distinct n-grams of one language in some texts, and the buckets that they are dealt to."""
 
     def __init__(self, parts: list[np.ndarray], buckets: int):
-        """``parts``: code points of texts with their zeros, a few texts in each."""
-        self.grams = Grams(np.unique(np.concatenate([np.unique(p) for p in parts])))
-        keys, counts, size = [], [], 0
-        for p in parts:
-            own = self.grams.keys(p)[p[ORDER - 1 :] > 0]
-            key, n = np.unique(own, return_counts=True)
-            keys.append(key)
-            counts.append(n[None, :])
-            size += len(key)
-            if size > HELD:
-                key, n = added_up(keys, counts)
-                keys, counts, size = [key], [n], 0
-        self.keys, n = added_up(keys, counts)
-        self.counts = n[0]
+        self.grams, self.keys, self.counts = counted(parts)
         self.points = self.grams.points(self.keys)
         bucket = hashed(self.points) % np.uint64(buckets)
         self.by = np.argsort(bucket, kind="stable")
         self.cuts = np.searchsorted(bucket[self.by], np.arange(buckets + 1))
 
+    def dealt(self):
+        """Each bucket that has some, and which."""
+        for b in np.flatnonzero(np.diff(self.cuts)).tolist():
+            yield b, self.by[self.cuts[b] : self.cuts[b + 1]]
+
 
 def languages(table: pa.Table):
-    """Of a block: each language with the numbers of its rows and their code points, in parts of a few texts."""
+    """Of a block: each language with its rows' places and code points, in parts of a few texts."""
     label = np.array(table["label"].to_pylist(), object)
     for name in sorted(set(label)):
         rows = np.flatnonzero(label == name)
@@ -130,23 +138,50 @@ def languages(table: pa.Table):
         yield name, parts
 
 
-ASKED = "bucket int, label string, block int, grams binary, counts binary"
+SEEN = pa.schema([("bucket", pa.int32()), ("label", pa.string()), ("fold", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+ASKED = pa.schema([("bucket", pa.int32()), ("label", pa.string()), ("block", pa.int32()), ("grams", pa.binary())])
+
+
+def count(buckets: int):
+    """Distinct n-grams and their counts of all texts of a task, some ``COUNT_BYTES`` at a time, a row for each language, fold and bucket."""
+
+    def flushed(held: dict):
+        pack = zstandard.ZstdCompressor().compress
+        for (name, fold), parts in held.items():
+            own = Held(parts, buckets)
+            rows = [(b, name, fold, pack(own.points[x].T.tobytes()), pack(own.counts[x].astype(np.uint32).tobytes())) for b, x in own.dealt()]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), SEEN.types)], schema=SEEN)
+
+    def of(batches):
+        held, size = {}, 0
+        for batch in pieces(batches):
+            labels, folds, own = batch.column("label").to_pylist(), batch.column("fold").to_pylist(), texts(batch.column("text"))
+            groups: dict = {}
+            for name, fold, text in zip(labels, folds, own):
+                groups.setdefault((name, fold), []).append(text)
+            for key, group in groups.items():
+                held.setdefault(key, []).append(points_of(group)[0])
+            size += sum(map(len, own))
+            if size > COUNT_CHARS:
+                yield from flushed(held)
+                held, size = {}, 0
+        yield from flushed(held)
+
+    return of
 
 
 def ask(buckets: int):
-    """For a block: its distinct n-grams and their counts, a row for each language and bucket."""
+    """For a block: its distinct n-grams, a row for each language and bucket."""
 
     def of(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        rows = {k: [] for k in ("bucket", "label", "block", "grams", "counts")}
         pack = zstandard.ZstdCompressor().compress
+        rows = []
         for name, parts in languages(unpacked(table)):
             held = Held([p[1] for p in parts], buckets)
-            for b in np.flatnonzero(np.diff(held.cuts)).tolist():
-                own = held.by[held.cuts[b] : held.cuts[b + 1]]
-                for k, v in (("bucket", b), ("label", name), ("block", block), ("grams", pack(held.points[own].T.tobytes())), ("counts", pack(held.counts[own].astype(np.uint32).tobytes()))):
-                    rows[k].append(v)
-        return pa.table(rows, pa.schema([("bucket", pa.int32()), ("label", pa.string()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
+            rows += [(b, name, block, pack(held.points[x].T.tobytes())) for b, x in held.dealt()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, ASKED.types)], schema=ASKED)
 
     return of
 
@@ -155,14 +190,14 @@ def read_grams(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint32).reshape(ORDER, -1).T)
 
 
-def count_asked(table: pa.Table) -> pa.Table:
-    """For a bucket and a language: each n-gram with its counts in the two folds (of even and odd blocks)."""
-    asked = [read_grams(x) for x in table["grams"].to_pylist()]
-    grams = Grams(np.unique(np.concatenate([np.unique(a) for a in asked])))
+def add_up(table: pa.Table) -> pa.Table:
+    """For a bucket and a language: each n-gram with its counts in the two folds."""
+    seen = [read_grams(x) for x in table["grams"].to_pylist()]
+    grams = Grams(np.unique(np.concatenate([np.unique(a) for a in seen])))
     keys, counts, size = [], [], 0
-    for points, packed, block in zip(asked, table["counts"].to_pylist(), table["block"].to_pylist()):
+    for points, packed, fold in zip(seen, table["counts"].to_pylist(), table["fold"].to_pylist()):
         n = np.zeros((2, len(points)), np.int64)
-        n[block % 2] = np.frombuffer(zstandard.decompress(packed), np.uint32)
+        n[fold] = np.frombuffer(zstandard.decompress(packed), np.uint32)
         keys.append(grams.keys(points.ravel())[::ORDER])
         counts.append(n)
         size += len(points)
@@ -203,18 +238,22 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         contexts = level.groupBy("label", "context").agg(*(F.sum(f"n{f}").alias(f"total{f}") for f in (0, 1)), *seen)
         spread = small(checkpointed(level.groupBy("label").agg(*discounts(), F.count("*").alias("kinds"))))
         rows = level.join(contexts, ["label", "context"]).join(spread, "label")
+        # of each fold: the share that the n-gram's own count gives, and the weight of the lower order
+        shares = []
+        for f in (0, 1):
+            n, d, total = F.col(f"n{f}"), F.col(f"d{f}"), F.col(f"total{f}")
+            own = F.when(n > 0, n - F.element_at(d, F.least(n, F.lit(3)).cast("int"))).otherwise(0.0)
+            given = sum(d[i - 1] * F.col(f"k{f}_{i}") for i in (1, 2, 3))
+            shares += [F.when(total > 0, own / total).otherwise(0.0).alias(f"own{f}"), F.when(total > 0, given / total).otherwise(1.0).alias(f"rest{f}")]
+        kept = ["label", "gram", *(["bucket"] if k == order else [])]
+        rows = rows.select(*kept, *shares, "kinds")
         if lower is None:
             rows = rows.withColumns({f"low{f}": 1 / (F.col("kinds") + 1) for f in (0, 1)})
         else:
             below = lower.select("label", F.col("gram").alias("suffix"), F.col("p0").alias("low0"), F.col("p1").alias("low1"))
-            rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(below, ["label", "suffix"])
-        p = []
-        for f in (0, 1):
-            n, d, total = F.col(f"n{f}"), F.col(f"d{f}"), F.col(f"total{f}")
-            left = F.when(n > 0, n - F.element_at(d, F.least(n, F.lit(3)).cast("int"))).otherwise(0.0)
-            given = sum(d[i - 1] * F.col(f"k{f}_{i}") for i in (1, 2, 3))
-            p.append(F.when(total > 0, (left + given * F.col(f"low{f}")) / total).otherwise(F.col(f"low{f}")).alias(f"p{f}"))
-        lower = rows.select("label", "gram", *(["bucket"] if k == order else []), *p)
+            rows = rows.drop("kinds").withColumn("suffix", F.substring("gram", 2, k - 1)).join(below, ["label", "suffix"])
+        p = [(F.col(f"own{f}") + F.col(f"rest{f}") * F.col(f"low{f}")).alias(f"p{f}") for f in (0, 1)]
+        lower = rows.select(*kept, *p)
     return lower
 
 
@@ -252,8 +291,8 @@ def score(buckets: int):
         for name, parts in languages(table):
             held = Held([p[1] for p in parts], buckets)
             value = np.full(len(held.keys), np.nan)
-            for b in np.flatnonzero(np.diff(held.cuts)).tolist():
-                value[held.by[held.cuts[b] : held.cuts[b + 1]]] = np.frombuffer(said[name, b], np.float32)
+            for b, own in held.dealt():
+                value[own] = np.frombuffer(said[name, b], np.float32)
             for rows, points, at in parts:
                 real = points > 0
                 own = np.zeros(len(points))
@@ -323,15 +362,18 @@ def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     come, and get equal results. A text of any length is one row of one block, which one task holds whole.
     Other columns are ignored. An empty table gives an empty result.
     """
-    blocks = buckets = -(-blocks_for(docs, text_col) // 2)
+    blocks = buckets = -(-blocks_for(docs, text_col, BLOCK) // 2)
     label = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), label.alias("label"))
-    # blocks of fold 0 are even, those of fold 1 odd; equal texts are in one fold, but not in one block
-    block = 2 * F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) + F.pmod(F.xxhash64("text"), F.lit(2))
-    by_block = packed_blocks(source.select(block.cast("int").alias("block"), "doc_id", "text", "label")).groupBy("block")
-    asked = by_block.applyInArrow(ask(buckets), ASKED)
-    counts = checkpointed(asked.groupBy("bucket", "label").applyInArrow(count_asked, "label string, gram string, bucket int, n0 long, n1 long"))
+    # equal texts are in one fold
+    fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+    seen = source.select("text", "label", fold.alias("fold")).mapInArrow(count(buckets), "bucket int, label string, fold int, grams binary, counts binary")
+    counts = checkpointed(seen.groupBy("bucket", "label").applyInArrow(add_up, "label string, gram string, bucket int, n0 long, n1 long"))
     model = kneser_ney(counts)
+    # blocks of fold 0 are even, those of fold 1 odd
+    block = 2 * F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) + fold
+    by_block = packed_blocks(source.select(block.cast("int").alias("block"), "doc_id", "text", "label")).groupBy("block")
+    asked = by_block.applyInArrow(ask(buckets), "bucket int, label string, block int, grams binary")
     replies = asked.groupBy("bucket", "label").cogroup(model.groupBy("bucket", "label")).applyInArrow(answer, REPLY)
     kinds = "doc_id long, label string, " + ", ".join(f"{c} long" for c in BASE) + ", chars long, bits double"
     scored = checkpointed(by_block.cogroup(replies.groupBy("block")).applyInArrow(score(buckets), kinds))

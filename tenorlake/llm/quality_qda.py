@@ -157,8 +157,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, co
 
     Only labels of rows that are not held out are learned from; a score depends on the text alone. A null
     text is empty and gets a score too. Without training rows every score is 0.5. Repeated rows get
-    equal scores; contradicting labels of an id are left out. Other columns are ignored. An empty
-    table gives an empty result.
+    equal scores; contradicting labels of an id are left out. Texts of any length are measured whole.
+    Other columns are ignored. An empty table gives an empty result.
     """
     features = checkpointed(measured(id_and_text(docs, id_col, text_col)))
     model = fit(features, labels, column)
@@ -173,10 +173,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, column: str = "quality") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``threshold``. See ``score_quality``."""
-    sample = labelled(labels, column)
-    training = id_and_text(docs).join(sample.select("doc_id"), "doc_id", "left_semi")
-    model = fit(measured(training), labels, column)
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``.
+
+    Statistics are measured first and only they are joined with the labels; texts are not shuffled. A null text is
+    empty and is judged as such; repeated rows stay or go together; an id plays no part, so it may be null.
+    Texts of any length are measured whole. Without training rows every score is 0.5, so all stay at the
+    usual threshold. Columns may have any names. An empty table gives an empty result. See ``score_quality``.
+    """
+    model = fit(measured(id_and_text(docs)), labels, column)
 
     def of(batches):
         for batch in pieces(batches):

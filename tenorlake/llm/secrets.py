@@ -81,7 +81,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, spans array<struct<kind, start, end>>`` for every row of ``docs``, spans in order.
 
     A null text is empty and has no spans. Ids are carried as they are, null and repeated ones too;
-    other columns are ignored. An empty table gives an empty result.
+    texts of any length are scanned whole; other columns are ignored. An empty table gives an empty result.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -113,7 +113,9 @@ def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str | No
     """The rows of ``docs``, all columns, with every secret in the text replaced by its kind in brackets.
 
     ``size_col``, if it is there and was not null, becomes the new number of characters of a changed text.
-    A null text stays null.
+    A null text stays null, an empty one empty. Repeated rows are changed alike; an id plays no part, so it may
+    be null. Texts of any length are scanned whole. Other columns may have any names and stay as they are.
+    An empty table gives an empty result.
     """
     at = docs.columns.index(text_col)
     size = docs.columns.index(size_col) if size_col in docs.columns else None

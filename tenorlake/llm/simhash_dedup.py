@@ -7,10 +7,14 @@ exactly one anchor), times the free 32nd bit. A fingerprint's home is the anchor
 radius; it is replicated to every anchor within radius plus threshold, 1 + 1 bits. If x and y differ in
 at most 1 bit of the half, then y lies within 2 bits of x's home, so comparing homes with replicas per
 anchor finds every pair. Equal fingerprints are one row before that; an anchor emits only the links
-of a spanning forest; and anchors with many rows are compared in blocks that many tasks share.
-
-Whole near copies (``keep_one_of_each``) are another relation, the Jaccard similarity of five-word shingles. Their
-candidates meet in bands of MinHash values, and a link is made only where the shingle sets themselves agree.
+of a spanning forest. Rows are counted by anchor first, and the rows of an anchor with very many are dealt to
+pairs of blocks, so that no task holds a whole anchor.
+
+Whole near copies (``keep_one_of_each``) are another relation, a Jaccard similarity of 0.8 of five-word shingles. Two
+such texts differ in about 10 of 64 bits of a SimHash (the angle between their sets is 27 degrees), and 3 bits, the
+most that the anchors reach, catch few of them. So candidates are both: texts whose SimHash over five-word
+shingles meets at an anchor, and texts that share a band of MinHash values. A link is made only where the
+shingle sets themselves agree.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .base import NO_ID, checkpointed, id_and_text, pieces, shuffle_partitions, text_bytes, texts
+from .base import NO_ID, checkpointed, id_and_text, pieces, shuffle_partitions, small, text_bytes, texts
 from .components import components
 from .tokens import STEPS, WORD, mixed, text_of_word, window_hashes, word_hashes, word_spans
 
-#: An anchor with more rows is compared in blocks of about this many, in tasks of their own.
+#: An anchor with more rows is compared in pairs of blocks of about this many.
 ANCHOR_ROWS = 8192
 
 
@@ -63,18 +67,14 @@ def signed(values: list) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp, fps``, one row for each row of ``doc_id, text``: the fingerprint over shingles, and in a list those that anchors are sought for, ``fp`` alone.
-
-    Bits are kept as longs.
-    """
+    """``doc_id, fp``, one row for each row of ``doc_id, text``: the bits of the fingerprint as a long."""
 
     def of(batches):
         for batch in pieces(batches):
-            words = [t.encode().lower().split() for t in texts(batch.column("text"))]
-            fp = signed([of_shingles(w, shingle) for w in words])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fp), pa.array(fp.reshape(-1, 1).tolist(), pa.list_(pa.int64()))], ["doc_id", "fp", "fps"])
+            fp = signed([of_shingles(t.encode().lower().split(), shingle) for t in texts(batch.column("text"))])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long, fps array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
 
 
 def syndrome(half: np.ndarray) -> np.ndarray:
@@ -131,18 +131,10 @@ class Forest:
         return a != b
 
 
-def close(fp_a: np.ndarray, fp_b: np.ndarray, threshold: int) -> np.ndarray:
-    return np.bitwise_count(fp_a ^ fp_b) <= threshold
-
-
-def spanning(anchor, fp, check, node, is_home, threshold: int, agree: int, chunk: int = 1 << 20):
-    """Links between homes and replicas of equal anchors (rows sorted by anchor), as a forest.
-
-    Linked are nodes whose ``fp`` differ in at most ``threshold`` and ``check`` in at most ``agree`` bits.
-    """
+def spanning(starts: np.ndarray, fp: np.ndarray, is_home: np.ndarray, threshold: int, chunk: int = 1 << 20) -> list[tuple[int, int]]:
+    """Links of a forest between homes and all rows of the same run; runs begin at ``starts``."""
     forest, links = Forest(), []
-    starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    size = np.diff(np.append(starts, len(anchor)))
+    size = np.diff(np.append(starts, len(fp)))
     run = np.repeat(np.arange(len(starts)), size)
     homes = np.flatnonzero(is_home)
     width = size[run[homes]]
@@ -153,90 +145,60 @@ def spanning(anchor, fp, check, node, is_home, threshold: int, agree: int, chunk
         h, w = homes[at:to], width[at:to]
         left = np.repeat(h, w)
         right = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(starts[run[h]], w)
-        near = close(fp[left], fp[right], threshold) & close(check[left], check[right], agree) & (node[left] != node[right])
-        for a, b in zip(node[left[near]].tolist(), node[right[near]].tolist()):
+        near = (np.bitwise_count(fp[left] ^ fp[right]) <= threshold) & (fp[left] != fp[right])
+        for a, b in zip(fp[left[near]].tolist(), fp[right[near]].tolist()):
             if forest.joins(a, b):
                 links.append((a, b))
         at = to
     return links
 
 
-def near_links(nodes: DataFrame, threshold: int = 3, agree: int = 64) -> DataFrame:
-    """``a, b``: links that connect all of ``nodes (node long, fp long, fps array<long>)`` that are close.
+def near_links(prints: DataFrame, threshold: int = 3) -> DataFrame:
+    """``a, b``: links that connect all of ``prints (fp long)``, distinct, that differ in at most ``threshold`` bits.
 
-    Close are two nodes if some element of ``fps`` differs from the other's at that place in at most
-    ``threshold`` bits and ``fp`` in at most ``agree``. ``nodes`` has each node once. Not every close pair is
-    returned, but every close pair is connected through what is returned.
+    Not every close pair is returned, but every close pair is connected through what is returned.
     """
     if threshold > 3:
         raise ValueError("two halves cover at most 3 differing bits")
-    spark = nodes.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
-    sent = "bucket int, part_a int, part_b int, anchor long, fp long, check long, node long, home boolean"
 
     def send(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            check = batch.column("fp").to_numpy(zero_copy_only=False)
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            every = batch.column("fps").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).view(np.uint64)
-            for place, which in ((p, w) for p in range(every.shape[1]) for w in (0, 1)):
-                fp = np.ascontiguousarray(every[:, place])
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for which in (0, 1):
                 half = (fp >> np.uint64(32 * which)).astype(np.uint32)
                 for k, anchor in enumerate(replicas(half)):
                     own = slice(None) if k < 2 else anchor != home(half)
-                    key = anchor[own].astype(np.int64) | ((2 * place + which) << 32)
-                    n = len(key)
-                    bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
-                    none = pa.array(np.zeros(n, np.int32))
-                    yield pa.record_batch([pa.array(bucket.astype(np.int32)), none, none, pa.array(key), pa.array(fp[own].view(np.int64)), pa.array(check[own]), pa.array(node[own]), pa.array(np.full(n, k == 0))], sent_names)
-
-    sent_names = [x.split()[0] for x in sent.split(", ")]
-    compared = sent + ", link boolean"
-
-    def arrays(table: pa.Table):
-        table = table.select(["anchor", "fp", "check", "node", "home"]).sort_by("anchor")
-        out = [table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in table.column_names]
-        out[1], out[2] = out[1].view(np.uint64), out[2].view(np.uint64)
-        return out
-
-    def linked(links: list) -> dict:
-        a, b = (np.array(links, np.int64).reshape(-1, 2)).T
-        n, zero = len(a), np.zeros(len(a), np.int32)
-        return {"bucket": zero, "part_a": zero, "part_b": zero, "anchor": a, "fp": b, "check": b, "node": b, "home": np.ones(n, bool), "link": np.ones(n, bool)}
+                    key = anchor[own].astype(np.int64) | (which << 32)
+                    yield pa.record_batch([pa.array(key), pa.array(fp[own].view(np.int64)), pa.array(np.full(len(key), k == 0))], ["anchor", "fp", "home"])
+
+    sent = prints.select("fp").mapInArrow(send, "anchor long, fp long, home boolean")
+    large = checkpointed(sent.groupBy("anchor").count().where(F.col("count") > ANCHOR_ROWS).select("anchor", F.ceil(F.col("count") / ANCHOR_ROWS).cast("int").alias("parts")))
+    if large.isEmpty():
+        rows = sent.select("anchor", F.lit(0).alias("part_a"), F.lit(0).alias("part_b"), "fp", "home")
+    else:
+        # homes of block a meet the replicas of block b in the task (a, b); a home is a replica too
+        dealt = sent.join(small(large), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        rows = dealt.select("anchor", every.alias("part_a"), F.col("part").alias("part_b"), "fp", F.lit(False).alias("home"))
+        rows = rows.unionByName(dealt.where("home").select("anchor", F.col("part").alias("part_a"), every.alias("part_b"), "fp", "home"))
+    buckets = 4 * shuffle_partitions(prints.sparkSession)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("anchor", "part_a", "part_b"), F.lit(buckets)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
-        """Links; or, for an anchor with very many rows, its rows again with pairs of blocks to compare."""
-        anchor, fp, check, node, is_home = arrays(table)
-        starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        size = np.diff(np.append(starts, len(anchor)))
-        large = np.repeat(size > ANCHOR_ROWS, size)
-        small = ~large
-        rows = [linked(spanning(anchor[small], fp[small], check[small], node[small], is_home[small], threshold, agree))] if small.any() else []
-        for s, n in zip(starts[size > ANCHOR_ROWS].tolist(), size[size > ANCHOR_ROWS].tolist()):
-            parts = -(-n // ANCHOR_ROWS)
-            own = slice(s, s + n)
-            part = (fp[own] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(parts)
-            for a in range(parts):
-                for b in range(parts):
-                    mine = np.flatnonzero(((part == a) & is_home[own]) | (part == b)) + s
-                    k = len(mine)
-                    task = (int(anchor[s]) * 1_000_003 + a * parts + b) % (1 << 31)
-                    # in the task for (a, b) the homes are those of block a
-                    rows.append({"bucket": np.full(k, task, np.int32), "part_a": np.full(k, a, np.int32), "part_b": np.full(k, b, np.int32), "anchor": anchor[mine], "fp": fp[mine].view(np.int64), "check": check[mine].view(np.int64), "node": node[mine], "home": is_home[mine] & (part[mine - s] == a), "link": np.zeros(k, bool)})
-        names = [*sent_names, "link"]
-        return pa.table({c: np.concatenate([r[c] for r in rows]) if rows else [] for c in names})
-
-    def compare_blocks(table: pa.Table) -> pa.Table:
-        links = spanning(*arrays(table), threshold, agree)
-        a, b = (np.array(links, np.int64).reshape(-1, 2)).T
+        table = table.sort_by([("anchor", "ascending"), ("part_a", "ascending"), ("part_b", "ascending")])
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in ("anchor", "part_a", "part_b"):
+            v = table[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        links = spanning(np.flatnonzero(new), table["fp"].to_numpy().view(np.uint64), table["home"].combine_chunks().to_numpy(zero_copy_only=False), threshold)
+        a, b = (np.array(links, np.uint64).view(np.int64).reshape(-1, 2)).T
         return pa.table({"a": a, "b": b})
 
-    first = checkpointed(nodes.select("node", "fp", "fps").mapInArrow(send, sent).groupBy("bucket").applyInArrow(compare, compared))
-    links = first.where("link").select(F.col("anchor").alias("a"), F.col("fp").alias("b"))
-    again = first.where("not link").drop("link").groupBy("bucket", "part_a", "part_b").applyInArrow(compare_blocks, "a long, b long")
-    return links.unionByName(again)
+    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,17 +216,22 @@ def near_duplicate_classes(docs: DataFrame, threshold: int = 3, shingle: int = 3
 
 def classified(source: DataFrame, threshold: int, shingle: int) -> DataFrame:
     """``doc_id, fp, component_id`` of ``doc_id, text``."""
-    prints = checkpointed(fingerprints(source, shingle).withColumn("node", F.col("fp")))
+    prints = checkpointed(fingerprints(source, shingle))
     # documents with equal fingerprints are one node
-    nodes = checkpointed(prints.groupBy("node", "fp", "fps").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")))
-    return prints.join(named(nodes, near_links(nodes, threshold)), "node").select("doc_id", "fp", "component_id")
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")))
+    classes = named(nodes.select(F.col("fp").alias("node"), "first"), near_links(nodes, threshold))
+    return prints.join(classes.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
 def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, component_id`` of ``nodes (node, first)``: the least ``first`` that links reach, null if it is ``NO_ID``."""
-    grouped = nodes.join(components(links), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first").alias("least"))
-    return checkpointed(grouped.join(least, "component").select("node", F.nullif("least", F.lit(NO_ID)).alias("component_id")))
+    grouped = checkpointed(nodes.join(components(links), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
+    # most nodes are alone; for the others the least first is found and joined, from a table of its own so that a hot class can be split
+    many = grouped.where("node <> component").select("component").distinct()
+    many = small(checkpointed(many))
+    least = small(checkpointed(grouped.join(many, "component", "left_semi").groupBy("component").agg(F.min("first").alias("least"))))
+    joined = grouped.join(least, "component", "left").select("node", F.coalesce("least", "first").alias("least"))
+    return checkpointed(joined.select("node", F.nullif("least", F.lit(NO_ID)).alias("component_id")))
 
 
 #: Whole near copies: words of a shingle, and the Jaccard similarity (a fraction) from which two texts are copies.
@@ -304,8 +271,11 @@ def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def copy_links(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of texts, one of ``left`` and one of ``right`` (true for a text or not), that are copies, as a forest."""
+def copy_links(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of texts, one of ``left`` and one of ``right`` (true for a text or not), that are copies, as a forest.
+
+    Texts that are ``known`` are linked with each other already.
+    """
     n = len(first) - 1
     text = text_of_word(first)
     by = np.lexsort((hashes, text))
@@ -316,7 +286,7 @@ def copy_links(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: n
     starts, size = np.searchsorted(text, np.arange(n)), np.bincount(text, minlength=n)
     _, code = np.unique(hashes[new], return_inverse=True)
     has = np.zeros(len(code), np.int32)
-    tree, links = np.arange(n), []
+    tree, links = np.where(known, n, np.arange(n)), []
     up, down = ALIKE
     for i in np.flatnonzero(left):
         # sizes that differ by more can't be alike; a pair in one tree needs no link
@@ -334,63 +304,114 @@ def copy_links(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: n
     return links
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b``: links between ``nodes (node, fp, keys)`` that share a band, and between such as meet at an anchor."""
+    bands = nodes.select("node", F.explode("keys").alias("key"))
+    # equal fingerprints are one key more; close ones link the least nodes that have them
+    prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    keyed = bands.unionByName(nodes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
+    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("key", "a")
+    stars = keyed.join(least, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    near = near_links(prints.select("fp"))
+    a, b = (prints.select(F.col("fp").alias(f), F.col("least").alias(f"node_{f}")) for f in "ab")
+    return stars.unionByName(near.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct()
+
+
 def copies(source: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of ``doc_id, text``: classes that pairs with a similarity of ``ALIKE`` or more connect.
 
-    Candidates: texts that share a band, and whatever these connect. In each such group all pairs are compared by their
-    sets of shingles; a large group in blocks, each pair of blocks in a task.
+    Candidates are grouped by what links them (``candidates``), and in each group all pairs are compared by their sets
+    of shingles, in one task. In a group of over ``COPY_BLOCK`` texts all are compared with one of them first, which
+    takes them once; those that are its copies need not be compared with each other, but only with the others, in
+    pairs of blocks, each a task. So a large group of close copies costs in proportion to its size.
     """
     spark = source.sparkSession
 
-    def banded(batches):
+    def measured(batches):
         for batch in pieces(batches):
             keys = band_keys(*shingle_hashes(batch.column("text"))).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            fp = signed([of_shingles(t.encode().lower().split(), COPY_SHINGLE) for t in texts(batch.column("text"))])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(fp), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
 
     source = source.select("doc_id", "text", F.xxhash64("text").alias("node"))
-    prints = checkpointed(source.mapInArrow(banded, "doc_id long, node long, keys array<long>"))
+    prints = checkpointed(source.mapInArrow(measured, "doc_id long, node long, fp long, keys array<long>"))
     # documents with equal texts are one node
-    nodes = checkpointed(prints.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1")
-    groups = checkpointed(components(keyed.join(least, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()))
-    parts = groups.groupBy("component").agg(F.ceil(F.count("*") / COPY_BLOCK).cast("int").alias("parts"))
-    members = groups.join(parts, "component").join(nodes.select("node", "first"), "node").select("node", "first", "component", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block"))
-    found = source.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(members, ["node", "first"]).dropDuplicates(["node"])
-    pairs = found.select("node", "text", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    pairs = pairs.select("node", "text", "component", "block", F.least("block", "with").alias("part_a"), F.greatest("block", "with").alias("part_b"))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    groups = checkpointed(components(candidates(nodes)))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / COPY_BLOCK).cast("int").alias("parts"))
+    members = groups.join(small(checkpointed(sizes)), "component").join(nodes.select("node", "first"), "node")
+    found = source.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(members, ["node", "first"]).dropDuplicates(["node"]).select("node", "text", "component", "parts")
+    found = checkpointed(found)
     buckets = 4 * shuffle_partitions(spark)
-    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("component", "part_a", "part_b"), F.lit(buckets)))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("part_a", "ascending"), ("part_b", "ascending")])
-        component, part_a, part_b, block, node = (table[c].to_numpy() for c in ("component", "part_a", "part_b", "block", "node"))
+        component, part_a, part_b, node = (table[c].to_numpy() for c in ("component", "part_a", "part_b", "node"))
+        left, right, known = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("left", "right", "known"))
         new = np.ones(len(node), bool)
         new[1:] = (component[1:] != component[:-1]) | (part_a[1:] != part_a[:-1]) | (part_b[1:] != part_b[:-1])
         starts = np.flatnonzero(new)
         links = []
         for s, e in zip(starts, np.append(starts[1:], len(node))):
-            own = copy_links(*shingle_hashes(table["text"].slice(s, e - s)), block[s:e] == part_a[s], block[s:e] == part_b[s])
+            own = copy_links(*shingle_hashes(table["text"].slice(s, e - s)), left[s:e], right[s:e], known[s:e])
             links += [(node[s + i], node[s + j]) for i, j in own]
         a, b = (np.array(links, np.int64).reshape(-1, 2)).T
         return pa.table({"a": a, "b": b})
 
-    links = pairs.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    def compared(rows: DataFrame) -> DataFrame:
+        """Links of ``component, part_a, part_b, node, text, left, right, known``; each (component, part_a, part_b) is a task's."""
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("component", "part_a", "part_b"), F.lit(buckets)).cast("int"))
+        return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
+
+    def task(rows: DataFrame, a, b, left, right, known) -> DataFrame:
+        return rows.select("component", a.cast("int").alias("part_a"), b.cast("int").alias("part_b"), "node", "text", left.alias("left"), right.alias("right"), known.alias("known"))
+
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    links = compared(task(found.where("parts = 1"), zero, zero, yes, yes, no))
+    large = found.where("parts > 1")
+    if not large.isEmpty():
+        # the leader of a group, its least node, goes to each of the group's parts
+        leads, part = F.col("node") == F.col("component"), F.pmod(F.xxhash64("node"), F.col("parts"))
+        leaders = large.where(leads).withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1)))
+        stars = checkpointed(compared(task(leaders, F.col("part"), zero, yes, no, no).unionByName(task(large.where(~leads), part, zero, no, yes, no))))
+        ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("known", yes)
+        marked = large.join(ends, "node", "left").withColumn("known", F.coalesce("known", leads))
+        # the known of a group in blocks, and the others in blocks; pairs of blocks of the known alone need no task
+        counts = marked.groupBy("component").agg(*(F.ceil(F.count_if(x) / COPY_BLOCK).cast("int").alias(c) for x, c in ((F.col("known"), "n_known"), (~F.col("known"), "n_others"))))
+        marked = marked.join(small(checkpointed(counts)), "component").where("n_others > 0")
+        block = F.pmod(F.xxhash64("node"), F.when(F.col("known"), F.col("n_known")).otherwise(F.col("n_others"))).cast("int")
+        marked = marked.withColumn("block", block)
+        others = marked.where("not known")
+        # (other block, -1 - known block)
+        rows = task(marked.where("known").withColumn("with", F.explode(F.sequence(zero, F.col("n_others") - 1))), F.col("with"), -1 - F.col("block"), no, yes, yes)
+        rows = rows.unionByName(task(others.withColumn("with", F.explode(F.sequence(zero, F.col("n_known") - 1))), F.col("block"), -1 - F.col("with"), yes, no, no))
+        # (other block, other block)
+        both = others.withColumn("with", F.explode(F.sequence(zero, F.col("n_others") - 1)))
+        low, high = F.least("block", "with"), F.greatest("block", "with")
+        rows = rows.unionByName(task(both, low, high, F.col("block") == low, F.col("block") == high, no))
+        links = links.unionByName(stars).unionByName(compared(rows))
     return prints.select("doc_id", "node").join(named(nodes.select("node", "first"), links), "node").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class of near copies.
 
-    Near copies have 0.8 or more of their five-word shingles in common (see ``copies``). The document with
-    the class's smallest id stays; of rows that repeat that id, the one with the smallest text. Rows without an id
-    can't be named by a class and stay.
+    Near copies have 0.8 or more of their five-word shingles in common (see ``copies``); texts of fewer words are one
+    shingle, and null, empty and blank ones are copies of each other. The document with the class's smallest id
+    stays; of rows that repeat that id, the one with the smallest text. Rows without an id can't be named
+    by a class and stay. Texts of any length are compared whole. Columns may have any names. An empty table
+    gives an empty result.
     """
-    classes = copies(id_and_text(docs))
-    stays = checkpointed(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    first = docs.join(stays.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    classes = copies(id_and_text(docs)).where("doc_id is not null")
+    ids = checkpointed(classes.groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"))
+    gone = small(checkpointed(ids.select(F.col("doc_id").alias("gone_id"))))
+    id_of = F.col("doc_id").cast("long")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(gone, id_of == F.col("gone_id"), "left_anti").select(*names)
+    again = ids.where("stays").select(F.col("doc_id").alias("again_id"))
+    if again.isEmpty():
+        return kept
     # an id that is repeated: rare, so only these rows are ordered
-    again = docs.join(stays.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
-    text = F.col("text").cast("string")
-    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(text, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))).alias("row")).select("row.*")
-    return first.unionByName(again).unionByName(docs.where("doc_id is null"))
+    order = F.struct(F.col("text").cast("string"), F.xxhash64(*(c.cast("string") for c in names)))
+    rows = docs.join(again, id_of == F.col("again_id"), "left_semi")
+    return kept.unionByName(rows.groupBy(id_of.alias("again_id")).agg(F.min_by(F.struct(*names), order).alias("row")).select("row.*"))

@@ -3,8 +3,9 @@
 Method: text is folded character by character (lower case, look-alike letters of other scripts, digits
 and marks that stand for letters), so positions stay those of the text. The lexicon holds words and
 word beginnings with log-odds weights; a hit counts from a word's start, once for a word with its
-largest weight, and not inside an exception phrase. The weights that a text collects, alone and for
-each thousand words, become a probability by logistic regression.
+largest weight, and not inside an exception phrase: a hit with the word before or after it that clean
+texts hold and toxic ones don't. The weights that a text collects, alone and for each thousand words,
+become a probability by logistic regression.
 
 Weights are learned from the labels of rows that are not held out, on a sample bounded by
 ``SAMPLE_ROWS`` a class; the bound is all that is limited, every text is scored whole.
@@ -13,6 +14,7 @@ Weights are learned from the labels of rows that are not held out, on a sample b
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,16 +28,16 @@ from .base import checkpointed, held_out, id_and_text, pieces, texts
 from .quality_qda import labelled
 
 SAMPLE_ROWS = 4000
-#: Most entries in a lexicon, and the least number of toxic documents and score that an entry needs.
-LEXICON, LEAST_DOCS, LEAST_Z, LEAST_WEIGHT = 3000, 5, 3.5, 1.0
+#: The least number of toxic documents, score and weight that an entry needs; the sample bounds how many have them.
+LEAST_DOCS, LEAST_Z, LEAST_WEIGHT = 5, 3.5, 1.0
+#: Clean documents that must hold an exception phrase, and the score against toxic ones that it needs.
+EXCEPTION_DOCS, EXCEPTION_Z = 5, 2.0
 #: Lengths of word beginnings that can be entries.
 BEGINNINGS = range(4, 9)
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKE = dict(zip("авекмнорстухіјѕһԁԛԝαορυικντε", "abekmhopctyxijshdqwaopuikvte"))
 #: Digits and marks that stand for letters. l, 1 and i are one letter after folding.
 STANDS_FOR = dict(zip("0134578@$!|l", "oieastbasiii"))
-#: Phrases in which a lexicon word is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "sore loser", "idiot proof", "scum line", "pond scum")
 FOLD = str.maketrans(LOOK_ALIKE | STANDS_FOR)
 
 
@@ -67,7 +69,7 @@ class Lexicon:
     """``weights``: by folded word, or by word beginning with ``*`` at its end."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     _machine: ahocorasick.Automaton | None = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -114,6 +116,16 @@ class Lexicon:
                 del found[at]
         return found
 
+    def phrases(self, text: str) -> set[str]:
+        """Each hit's word with the word before it, and with the one after it, folded, with a space between."""
+        out = set()
+        if hits := self.hits(text):
+            words = [(m.start(), folded(m[0])) for m in re.finditer(r"[^\W_]+", text)]
+            for (a, one), (b, two) in zip(words, words[1:]):
+                if a in hits or b in hits:
+                    out.add(f"{one} {two}")
+        return out
+
     def features(self, own: list[str]) -> np.ndarray:
         """Logarithms of the weight collected, of that for each thousand words, and the largest weight."""
         out = np.zeros((len(own), 3))
@@ -142,8 +154,24 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     t, c = F.col("t"), F.col("c")
     weight = F.log((t + 0.5) / (n_toxic - t + 0.5)) - F.log((c + 0.5) / (n_clean - c + 0.5))
     z = weight / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    best = counts.where(t >= LEAST_DOCS).select("term", weight.alias("w"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("w") >= LEAST_WEIGHT)).orderBy(F.desc("z"), "term").limit(LEXICON)
-    return Lexicon({r.term: r.w for r in best.collect()})
+    best = counts.where(t >= LEAST_DOCS).select("term", weight.alias("w"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("w") >= LEAST_WEIGHT))
+    return Lexicon({r.term: r.w for r in best.orderBy("term").collect()})
+
+
+def learn_exceptions(lexicon: Lexicon, sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[str, ...]:
+    """Phrases around hits that clean documents of ``text, y`` hold clearly more often than toxic ones do."""
+
+    def of(batches):
+        for batch in pieces(batches):
+            for text, y in zip(texts(batch.column("text")), batch.column("y").to_pylist()):
+                if own := list(lexicon.phrases(text)):
+                    yield pa.record_batch([pa.array(own), pa.array([y] * len(own), pa.int32())], ["phrase", "y"])
+
+    counts = sample.select("text", "y").mapInArrow(of, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    t, c = F.col("t"), F.col("c")
+    weight = F.log((c + 0.5) / (n_clean - c + 0.5)) - F.log((t + 0.5) / (n_toxic - t + 0.5))
+    found = counts.where((c >= EXCEPTION_DOCS) & (weight / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= EXCEPTION_Z))
+    return tuple(r.phrase for r in found.select("phrase").orderBy("phrase").collect())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -158,13 +186,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return beta
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted``, one row for each row of ``docs``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", id_col: str = "doc_id", text_col: str = "text", exceptions: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, held_out, score, predicted``, one row for each row of ``docs``. ``exceptions`` are harmless phrases besides those that are learned.
 
     Only labels of rows that are not held out are learned from; a score depends on the text alone. A null
     text is empty; it scores as a text without hits. Without training rows every score is 0.5.
-    Contradicting labels of an id are left out. Repeated rows get equal scores. Other columns are
-    ignored. An empty table gives an empty result.
+    Contradicting labels of an id are left out. Repeated rows get equal scores. Texts of any length are
+    scored whole. Other columns are ignored. An empty table gives an empty result.
     """
     source = id_and_text(docs, id_col, text_col)
     training = checkpointed(labelled(labels, column))
@@ -175,6 +203,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", id
     sample = checkpointed(source.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).select("text", "y"))
     used = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     lexicon = learn_lexicon(sample, used.get(1, 0), used.get(0, 0))
+    lexicon.exceptions = (*exceptions, *learn_exceptions(lexicon, sample, used.get(1, 0), used.get(0, 0)))
+    lexicon._machine = None
 
     def measure(batches):
         for batch in pieces(batches):

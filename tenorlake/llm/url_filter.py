@@ -3,8 +3,10 @@
 Method: two variable-order Markov models over the characters of URLs, one learned from accepted and
 one from rejected URLs. A character is predicted from up to three before it; a context that was seen
 too rarely gives way to a shorter one, and each order is smoothed with the next by Witten-Bell. The
-score is the difference of the log likelihoods a character; the threshold is calibrated so that a
-given share of the accepted URLs at most lies above it, and is not below zero.
+score is the difference of the log likelihoods a character. Hosts are dealt to two folds, each with
+models of its own: a URL that a rule decides is scored by the other fold's, which its host did not
+train, one that no rule decides by the mean of both. The threshold is calibrated on those scores of
+accepted URLs: a given share of them at most lies above it.
 """
 
 from __future__ import annotations
@@ -61,21 +63,24 @@ def witten_bell(counts: np.ndarray, size: int, order: int = ORDER) -> np.ndarray
     return np.log(p).astype(np.float32)
 
 
-def difference(counts: dict, alphabet: Alphabet) -> np.ndarray:
-    """Log probability as a rejected URL less that as an accepted one, for each n-gram."""
+def difference(counts: dict, fold: int, alphabet: Alphabet) -> np.ndarray:
+    """Log probability as a rejected URL less that as an accepted one, for each n-gram, in a fold's models."""
     zero = np.zeros(alphabet.size**ORDER, np.int64)
-    return witten_bell(counts.get("block", zero), alphabet.size) - witten_bell(counts.get("allow", zero), alphabet.size)
+    block, allow = (witten_bell(counts.get(f"{said}{fold}", zero), alphabet.size) for said in ("block", "allow"))
+    return block - allow
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", false_rejects: float = FALSE_REJECTS) -> DataFrame:
     """``page_id, host, path, rule, verdict, score, threshold``, one row for each row of ``pages``.
 
     ``rules``: ``host/path`` to ``allow`` or ``block``; a rule fits its host and all subdomains if the path
-    starts with its path. The longest that fits decides. URLs that a rule decides train the two models;
-    the others get the models' verdict, ``block`` if ``score`` is above ``threshold``. A null URL, or one
+    starts with its path. The longest that fits decides. URLs that a rule decides train the models; the
+    others get the models' verdict, ``block`` if ``score`` is above ``threshold``, which ``false_rejects`` of the
+    accepted URLs at most exceed, scored by models that their hosts did not train. A null URL, or one
     without ``://``, has an empty host and path and is scored as it is written (null: empty, score 0).
     Without accepted or without rejected URLs nothing is blocked by score. Repeated rows count as
-    often as they come. Other columns are ignored. An empty table gives an empty result.
+    often as they come and are judged alike. URLs of any length are scored whole. Other columns are
+    ignored. An empty table gives an empty result.
     """
     alphabet = urls()
     url = F.col(url_col).cast("string")
@@ -85,10 +90,13 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
     for rule, said in rules.items():
         verdict = F.when(F.col("rule") == rule, F.lit(said)).otherwise(verdict)
     source = source.withColumn("label", verdict)
-    counts = dense_counts(count_grams(source.where("label is not null").select("label", "text"), alphabet, ORDER), alphabet, ORDER)
-    weights = difference(counts, alphabet)
+    source = source.withColumn("fold", F.when(F.col("label").isNull(), 2).otherwise(F.pmod(F.xxhash64("host"), F.lit(2))).cast("int"))
+    counts = dense_counts(count_grams(source.where("label is not null").select(F.concat("label", F.col("fold").cast("string")).alias("label"), "text"), alphabet, ORDER), alphabet, ORDER)
+    zero, one = (difference(counts, fold, alphabet) for fold in (0, 1))
+    # by the fold of a URL: the other fold's models, or the mean of both
+    weights = np.stack((one, zero, (zero + one) / 2))
     shared = pages.sparkSession.sparkContext.broadcast((alphabet.table, alphabet.size, weights))
-    kept = [f for f in source.schema.fields if f.name != "text"]
+    kept = [f for f in source.schema.fields if f.name not in ("text", "fold")]
 
     def score(batches):
         table, size, weights = shared.value
@@ -96,14 +104,15 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
         alphabet.table, alphabet.size = table, size
         for batch in pieces(batches):
             codes, at = alphabet.codes(texts(batch.column("text")), ORDER - 1)
-            value = np.where(codes > 0, weights[alphabet.grams(codes, ORDER)], 0).astype(np.float64)
+            fold = np.repeat(batch.column("fold").to_numpy(zero_copy_only=False), np.diff(at))
+            value = np.where(codes > 0, weights[fold, alphabet.grams(codes, ORDER)], 0).astype(np.float64)
             n = np.maximum(np.add.reduceat((codes > 0).astype(np.int64), at[:-1]), 1)
             out = np.round(np.add.reduceat(value, at[:-1]) / n, 6)
             yield pa.record_batch([*(batch.column(f.name) for f in kept), pa.array(out)], [*(f.name for f in kept), "score"])
 
     kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "score double"])
-    scored = source.select(*(f.name for f in kept), "text").mapInArrow(score, kinds)
-    if {"allow", "block"} <= counts.keys():
+    scored = source.select(*(f.name for f in kept), "fold", "text").mapInArrow(score, kinds)
+    if all(any(name.startswith(said) for name in counts) for said in ("allow", "block")):
         place = F.greatest(F.lit(-SPAN * BINS), F.least(F.lit(SPAN * BINS), F.ceil(F.col("score") * BINS))).cast("int")
         bins = scored.where("label = 'allow'").groupBy(place.alias("bin")).count().collect()
         left = false_rejects * sum(r["count"] for r in bins)
@@ -113,8 +122,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
             left -= r["count"]
             if left < 0:
                 break
-        # a URL that the model of accepted ones explains better is never rejected
-        threshold = max(threshold / BINS, 0.0)
+        threshold /= BINS
     else:
         threshold = float("inf")
     method = F.when(F.col("score") > threshold, "block").otherwise("allow")

@@ -50,7 +50,8 @@ def resolve_revisits(captures: DataFrame, bucket_seconds: int = BUCKET_SECONDS)
     date), ``unchecked`` if they share none, ``mismatch`` if the first they share differs, ``orphan`` if
     there is no earlier response. ``headers`` are the response's with the permitted ones of the capture
     over them, for ``resolved`` and ``unchecked``; else null. Captures with a null URL or time are orphans.
-    Repeated rows are resolved each. Other columns are ignored. An empty table gives an empty result.
+    Repeated rows are resolved each; payloads, however long, are not read. Other columns are ignored. An empty
+    table gives an empty result.
     """
     base = captures.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("at").cast("long").alias("at"), "http_status", "etag", "last_modified", "headers")
     usable = base.where("url_key is not null and at is not null").withColumn("bucket", F.floor(F.col("at") / bucket_seconds))

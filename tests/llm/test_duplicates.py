@@ -134,7 +134,7 @@ def test_links_connect_planted_fingerprints_also_in_blocks(spark, monkeypatch):
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     for most in (8192, 2):
         monkeypatch.setattr(sim, "ANCHOR_ROWS", most)
-        links = sim.near_links(spark.createDataFrame([(s, s, [s]) for s in signed], "node long, fp long, fps array<long>"))
+        links = sim.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"))
         label = {r.node: r.component for r in components(links).collect()}
         groups = {}
         for p, s in zip(prints, signed):

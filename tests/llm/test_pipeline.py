@@ -1,11 +1,13 @@
 """The pipeline against its stages on their own, and planted cases."""
 
+import hashlib
 import random
 
 import corpus_pipeline
 from tenorlake.llm.queries import ORACLES, QUERIES
 
 from .conftest import ODD
+from .test_text_ops import slow_secrets
 
 
 def test_stages_take_odd_rows_and_extra_columns(make, spark, sf_dir):
@@ -41,6 +43,18 @@ def test_run_keeps_what_the_stages_keep(spark, sf_dir):
     assert 0.5 * whole < len(rows) < whole and len({r.doc_id for r in rows}) == len(rows)
 
 
+def test_secret_columns_match_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in QUERIES["op10_secret_scan"](spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        base = slow_secrets(text or "")
+        r = got[doc_id]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in base) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("checked")] == [f"{k}:{a}:{b}" for k, a, b in base]
+
+
 def test_registry(spark, sf_dir):
     assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLES) <= set(QUERIES)
     for name in ("op1_url_filter", "op8_ngram_perplexity", "op10_secret_scan"):

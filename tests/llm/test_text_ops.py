@@ -356,6 +356,63 @@ def test_classifiers_take_odd_rows_and_no_labels(make, labels_of):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_quality_matches_a_plain_discriminant(make, labels_of):
+    rows, labels = corpus(random.Random(19), 200)
+    rows.append((500, None))
+    x = qda.statistics(__import__("pyarrow").array([t for _, t in rows]))
+    y = {d: q for d, q, _ in labels if zlib.crc32(str(d).encode()) % 5}
+    own = {k: x[[i for i, (d, _) in enumerate(rows) if y.get(d) == k]] for k in (0, 1)}
+    n = {k: len(v) for k, v in own.items()}
+    spread = {k: np.cov(v.T, bias=True) for k, v in own.items()}
+    pooled = sum(n[k] * spread[k] for k in (0, 1)) / sum(n.values()) + 1e-4 * np.eye(x.shape[1])
+    log = {}
+    for k in (0, 1):
+        cov = (1 - qda.POOLED - qda.DIAGONAL) * spread[k] + qda.POOLED * pooled + qda.DIAGONAL * np.diag(np.diag(pooled))
+        away = x - own[k].mean(axis=0)
+        log[k] = np.log((n[k] + 1) / (sum(n.values()) + 2)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away)
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30)))
+    got = {r.doc_id: r.score for r in qda.score_quality(make(rows), labels_of(labels)).collect()}
+    assert all(abs(got[d] - w) < 1e-6 for (d, _), w in zip(rows, want))
+    kept = {r.doc_id for r in qda.keep_good(make(rows), labels_of(labels)).collect()}
+    assert kept == {d for (d, _), w in zip(rows, want) if w >= 0.3}
+
+
+def slow_hits(lexicon, text):
+    """Hits by trying every entry at every beginning of a word."""
+    line, found, calm = tox.folded(text), {}, []
+    for at in range(len(text)):
+        if at and text[at - 1].isalnum():
+            continue
+        for term, weight in lexicon.weights.items():
+            n = at + len(term.rstrip("*"))
+            if line.startswith(term.rstrip("*"), at) and (term.endswith("*") or n >= len(text) or not text[n].isalnum()):
+                found[at] = max(weight, found.get(at, 0))
+        for phrase in lexicon.exceptions:
+            n = at + len(phrase)
+            if line.startswith(phrase, at) and (n >= len(text) or not text[n].isalnum()):
+                calm.append((at, n))
+    return {at: w for at, w in found.items() if not any(a <= at < b for a, b in calm)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["trash", "TR4$H", "tra", "trаsh", "can", " ", " ", "vile", "vilest", "x", "!", ", ", "é", "bin"]), max_size=16))
+def test_hits_match_string_search(parts):
+    text = "".join(parts)
+    lexicon = tox.Lexicon({tox.folded(k): v for k, v in {"trash": 2.0, "vile*": 1.5, "tra*": 0.5, "can": 1.0}.items()}, (tox.folded("trash can"), tox.folded("bin trash")))
+    assert lexicon.hits(text) == slow_hits(lexicon, text)
+
+
+def test_exceptions_are_learned_from_clean_texts(make, labels_of):
+    rng = random.Random(21)
+    rows, labels = corpus(rng, 400)
+    rows = [(d, t + (" the vilest weather" if not y and d % 3 == 1 else "")) for (d, t), (_, _, y) in zip(rows, labels)]
+    rows += [(1001, "river vilest weather here"), (1002, "river vilest stone vilest here")]
+    got = {r.doc_id: r.score for r in tox.score_toxicity(make(rows), labels_of(labels)).collect()}
+    assert got[1001] < 0.2 < got[1002]
+    held = [(d, y) for d, _, y in labels if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert sum((got[d] >= 0.5) == bool(y) for d, y in held) > 0.95 * len(held)
+
+
 def test_exceptions_and_folding():
     lexicon = tox.Lexicon({"trash": 2.0, "vilest": 1.0, tox.folded("bomen") + "*": 3.0}, ("trash can",))
     lexicon = tox.Lexicon({tox.folded(k.rstrip("*")) + "*" * k.endswith("*"): v for k, v in lexicon.weights.items()}, lexicon.exceptions)
@@ -390,6 +447,49 @@ def test_url_rules_and_scores(spark):
     allowed = [r for r in got if r.rule and URL_RULES[r.rule] == "allow"]
     assert sum(r.score > r.threshold for r in allowed) <= 0.01 * len(allowed)
     assert urls.judge_urls(pages.limit(0), URL_RULES).collect() == []
+    check_scores(spark, rows, got)
+
+
+def check_scores(spark, rows, got):
+    """Scores, threshold and verdicts by Witten-Bell models over dictionaries."""
+    table = urls.urls().table
+    classes = lambda u: [0] * 3 + [int(table[ord(c)]) for c in u or ""]
+    hosts = {slow_rule(u)[0] for _, u in rows}
+    fold = {r.h: r.f for r in spark.createDataFrame([(h,) for h in hosts], "h string").selectExpr("h", "pmod(xxhash64(h), 2) f").collect()}
+    counts = {(f, said): collections.Counter() for f in (0, 1) for said in ("allow", "block")}
+    for _, u in rows:
+        host, _, rule = slow_rule(u)
+        if rule:
+            c = classes(u)
+            counts[fold[host], URL_RULES[rule]].update(tuple(c[i : i + k]) for k in range(1, 5) for i in range(4 - k, len(c) - k + 1) if len(c) >= 4)
+    follow = {}
+    for name, own in counts.items():
+        for g, n in own.items():
+            follow.setdefault((name, g[:-1]), {})[g[-1]] = n
+
+    def p(name, gram):
+        if not gram:
+            return 1 / 39
+        row = follow.get((name, gram[:-1]), {})
+        lower, total = p(name, gram[1:]), sum(row.values())
+        if total < (urls.LEAST_CONTEXT if len(gram) > 1 else 1):
+            return lower
+        return (row.get(gram[-1], 0) + len(row) * lower) / (total + len(row))
+
+    def score(u, folds):
+        c = classes(u)
+        grams = [tuple(c[i : i + 4]) for i in range(len(c) - 3)]
+        return sum(math.log(p((f, "block"), g)) - math.log(p((f, "allow"), g)) for f in folds for g in grams) / len(folds) / max(1, len(grams))
+
+    want = {}
+    for d, u in rows:
+        host, _, rule = slow_rule(u)
+        want[d] = score(u, [1 - fold[host]] if rule else [0, 1])
+    assert all(abs(r.score - want[r.page_id]) < 1e-3 for r in got)
+    accepted = sorted((math.ceil(r.score * urls.BINS) for r in got if r.rule and URL_RULES[r.rule] == "allow"), reverse=True)
+    most = max(k for k in range(len(accepted)) if k <= urls.FALSE_REJECTS * len(accepted) and (k == 0 or accepted[k - 1] > accepted[k]))
+    assert {r.threshold for r in got} == {accepted[most] / urls.BINS}
+    assert all(r.verdict == ("block" if r.score > r.threshold else "allow") for r in got if not r.rule)
 
 
 def test_witten_bell_is_a_distribution():
