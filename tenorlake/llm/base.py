@@ -37,11 +37,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below the shared folder, under a name of its own, and read again."""
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet below the shared folder, under a name of its own, and read again; and where it lies."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def erase(spark: SparkSession, path: str) -> None:
+    """Removes what ``store`` wrote, once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -128,7 +134,7 @@ def packed_blocks(source: DataFrame) -> DataFrame:
         rows = []
         for own in held.values():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 out.write_table(pa.Table.from_batches(own, schema).combine_chunks())
             rows.append(sink.getvalue().to_pybytes())
         return pa.record_batch([pa.array(list(held), pa.int32()), pa.array(rows, pa.binary())], ["block", "rows"])

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import blocks_for, checkpointed, packed_blocks, pieces, small, text_bytes, texts, unpacked
+from .base import blocks_for, checkpointed, erase, packed_blocks, pieces, small, store, text_bytes, texts, unpacked
 from .tokens import WORD, mixed, text_of_word, window_hashes, word_hashes, word_spans
 
 ORDER = 5
@@ -31,7 +31,7 @@ BINS, SPREAD_BINS = 1024, 64
 #: The symbols that the base counts.
 SYMBOLS = b"#*$%&|<>"
 #: Distinct n-grams that are held before their counts are added up, characters that a task counts at a time, and bytes of a block.
-HELD, COUNT_CHARS, BLOCK = 1 << 21, 16 << 20, 16 << 20
+HELD, COUNT_CHARS, BLOCK = 1 << 21, 32 << 20, 16 << 20
 
 
 def points_of(own: list[str], pad: int = ORDER - 1) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             n, d, total = F.col(f"n{f}"), F.col(f"d{f}"), F.col(f"total{f}")
             own = F.when(n > 0, n - F.element_at(d, F.least(n, F.lit(3)).cast("int"))).otherwise(0.0)
             given = sum(d[i - 1] * F.col(f"k{f}_{i}") for i in (1, 2, 3))
-            shares += [F.when(total > 0, own / total).otherwise(0.0).alias(f"own{f}"), F.when(total > 0, given / total).otherwise(1.0).alias(f"rest{f}")]
+            shares += [F.when(total > 0, own / total).otherwise(0.0).cast("float").alias(f"own{f}"), F.when(total > 0, given / total).otherwise(1.0).cast("float").alias(f"rest{f}")]
         kept = ["label", "gram", *(["bucket"] if k == order else [])]
         rows = rows.select(*kept, *shares, "kinds")
         if lower is None:
@@ -252,7 +252,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         else:
             below = lower.select("label", F.col("gram").alias("suffix"), F.col("p0").alias("low0"), F.col("p1").alias("low1"))
             rows = rows.drop("kinds").withColumn("suffix", F.substring("gram", 2, k - 1)).join(below, ["label", "suffix"])
-        p = [(F.col(f"own{f}") + F.col(f"rest{f}") * F.col(f"low{f}")).alias(f"p{f}") for f in (0, 1)]
+        p = [(F.col(f"own{f}") + F.col(f"rest{f}") * F.col(f"low{f}")).cast("float").alias(f"p{f}") for f in (0, 1)]
         lower = rows.select(*kept, *p)
     return lower
 
@@ -266,7 +266,7 @@ def answer(key, asked: pa.Table, model: pa.Table) -> pa.Table:
     keys = hashed(points)
     by = np.argsort(keys)
     keys = keys[by]
-    bits = [np.log2(model[p].to_numpy()[by]).astype(np.float32) for p in ("p0", "p1")]
+    bits = [np.log2(model[p].to_numpy()[by].astype(np.float64)).astype(np.float32) for p in ("p0", "p1")]
     out = []
     for block, packed in zip(asked["block"].to_pylist(), asked["grams"].to_pylist()):
         h = hashed(read_grams(packed))
@@ -368,7 +368,7 @@ def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # equal texts are in one fold
     fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
     seen = source.select("text", "label", fold.alias("fold")).mapInArrow(count(buckets), "bucket int, label string, fold int, grams binary, counts binary")
-    counts = checkpointed(seen.groupBy("bucket", "label").applyInArrow(add_up, "label string, gram string, bucket int, n0 long, n1 long"))
+    counts, where = store(seen.groupBy("bucket", "label").applyInArrow(add_up, "label string, gram string, bucket int, n0 long, n1 long"), "grams")
     model = kneser_ney(counts)
     # blocks of fold 0 are even, those of fold 1 odd
     block = 2 * F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) + fold
@@ -376,7 +376,8 @@ def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     asked = by_block.applyInArrow(ask(buckets), "bucket int, label string, block int, grams binary")
     replies = asked.groupBy("bucket", "label").cogroup(model.groupBy("bucket", "label")).applyInArrow(answer, REPLY)
     kinds = "doc_id long, label string, " + ", ".join(f"{c} long" for c in BASE) + ", chars long, bits double"
-    scored = checkpointed(by_block.cogroup(replies.groupBy("block")).applyInArrow(score(buckets), kinds))
+    scored, _ = store(by_block.cogroup(replies.groupBy("block")).applyInArrow(score(buckets), kinds), "scored")
+    erase(docs.sparkSession, where)
 
     known = scored.where("bits is not null")
     middle = medians(known, F.col("bits") * BINS, lambda b: b / BINS, "middle")

@@ -5,8 +5,9 @@ one from rejected URLs. A character is predicted from up to three before it; a c
 too rarely gives way to a shorter one, and each order is smoothed with the next by Witten-Bell. The
 score is the difference of the log likelihoods a character. Hosts are dealt to two folds, each with
 models of its own: a URL that a rule decides is scored by the other fold's, which its host did not
-train, one that no rule decides by the mean of both. The threshold is calibrated on those scores of
-accepted URLs: a given share of them at most lies above it.
+train, one that no rule decides by the mean of both. The threshold is calibrated on those scores: a
+given share of the accepted URLs at most lies above it, and it is not lower than it must be to reject
+all but as many of the rejected ones.
 """
 
 from __future__ import annotations
@@ -70,6 +71,16 @@ def difference(counts: dict, fold: int, alphabet: Alphabet) -> np.ndarray:
     return block - allow
 
 
+def top(counts: dict[int, int], share: float) -> int:
+    """The least bin above which at most ``share`` of the counts lie."""
+    left = share * sum(counts.values())
+    for b in sorted(counts, reverse=True):
+        left -= counts[b]
+        if left < 0:
+            return b
+    return min(counts)
+
+
 def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", false_rejects: float = FALSE_REJECTS) -> DataFrame:
     """``page_id, host, path, rule, verdict, score, threshold``, one row for each row of ``pages``.
 
@@ -114,15 +125,11 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
     scored = source.select(*(f.name for f in kept), "fold", "text").mapInArrow(score, kinds)
     if all(any(name.startswith(said) for name in counts) for said in ("allow", "block")):
         place = F.greatest(F.lit(-SPAN * BINS), F.least(F.lit(SPAN * BINS), F.ceil(F.col("score") * BINS))).cast("int")
-        bins = scored.where("label = 'allow'").groupBy(place.alias("bin")).count().collect()
-        left = false_rejects * sum(r["count"] for r in bins)
-        threshold = SPAN * BINS
-        for r in sorted(bins, key=lambda r: -r.bin):  # at most 2 * SPAN * BINS + 1 rows
-            threshold = r.bin
-            left -= r["count"]
-            if left < 0:
-                break
-        threshold /= BINS
+        bins = scored.where("label is not null").groupBy("label", place.alias("bin")).count().collect()  # at most 2 * (2 * SPAN * BINS + 1) rows
+        allowed, blocked = ({r.bin: r["count"] for r in bins if r.label == said} for said in ("allow", "block"))
+        # where the two don't overlap, half-way between what nearly all accepted stay below and nearly all rejected reach
+        highest, lowest = top(allowed, false_rejects), -top({-b: n for b, n in blocked.items()}, false_rejects)
+        threshold = max(highest, (highest + lowest) / 2) / BINS
     else:
         threshold = float("inf")
     method = F.when(F.col("score") > threshold, "block").otherwise("allow")

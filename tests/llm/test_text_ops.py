@@ -404,7 +404,7 @@ def test_hits_match_string_search(parts):
 
 def test_exceptions_are_learned_from_clean_texts(make, labels_of):
     rng = random.Random(21)
-    rows, labels = corpus(rng, 400)
+    rows, labels = (x[1::3] + x[2::3] for x in corpus(rng, 600))
     rows = [(d, t + (" the vilest weather" if not y and d % 3 == 1 else "")) for (d, t), (_, _, y) in zip(rows, labels)]
     rows += [(1001, "river vilest weather here"), (1002, "river vilest stone vilest here")]
     got = {r.doc_id: r.score for r in tox.score_toxicity(make(rows), labels_of(labels)).collect()}
@@ -486,9 +486,11 @@ def check_scores(spark, rows, got):
         host, _, rule = slow_rule(u)
         want[d] = score(u, [1 - fold[host]] if rule else [0, 1])
     assert all(abs(r.score - want[r.page_id]) < 1e-3 for r in got)
-    accepted = sorted((math.ceil(r.score * urls.BINS) for r in got if r.rule and URL_RULES[r.rule] == "allow"), reverse=True)
-    most = max(k for k in range(len(accepted)) if k <= urls.FALSE_REJECTS * len(accepted) and (k == 0 or accepted[k - 1] > accepted[k]))
-    assert {r.threshold for r in got} == {accepted[most] / urls.BINS}
+    scores = {said: sorted((math.ceil(r.score * urls.BINS) for r in got if r.rule and URL_RULES[r.rule] == said), reverse=said == "allow") for said in ("allow", "block")}
+    above = lambda own, v: sum(x > v for x in own) if own is scores["allow"] else sum(x < v for x in own)
+    high = min(v for v in scores["allow"] if above(scores["allow"], v) <= urls.FALSE_REJECTS * len(scores["allow"]))
+    low = max(v for v in scores["block"] if above(scores["block"], v) <= urls.FALSE_REJECTS * len(scores["block"]))
+    assert {r.threshold for r in got} == {max(high, (high + low) / 2) / urls.BINS}
     assert all(r.verdict == ("block" if r.score > r.threshold else "allow") for r in got if not r.rule)
 
 
