@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenorlake.llm.base import stored
+from tenorlake.llm.base import erase, store
 from tenorlake.llm.bpe import encode_documents
 from tenorlake.llm.decontamination import drop_contaminated
 from tenorlake.llm.quality_qda import keep_good
@@ -68,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, path = store(stage(spark, docs, sf_dir), name)
+        if last:
+            erase(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
