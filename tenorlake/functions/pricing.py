@@ -47,8 +47,12 @@ def with_greeks(df: DataFrame, spot: str, strike: str, years: str, iv: str, is_c
     return out.drop("_s", "_k", "_v", "_root", "_t", "_r", "_a", "_b", "_d", "_pa", "_na", "_nb")
 
 
-def vega_convention(rows: DataFrame, vega: str, move: str, majority: float = 2 / 3) -> DataFrame:
-    """``n, per_point_share, per_point``: does ``vega`` explain the price ``move`` of one volatility point better as it is than as of a unit?"""
+def vega_convention(rows: DataFrame, vega: str, move: str, majority: float = 2 / 3, least: float = 1e-6) -> DataFrame:
+    """``n, per_point_share, per_point``: does ``vega`` explain the price ``move`` of one volatility point better as it is than as of a unit?
+
+    Contracts with a vega of less than ``least`` tell nothing and don't count.
+    """
+    rows = rows.filter(F.col(vega) >= least)
     better = F.abs(F.col(vega) - F.col(move)) < F.abs(F.col(vega) / 100 - F.col(move))
     share = F.avg(better.cast("double"))
     return rows.agg(F.count("*").alias("n"), share.alias("per_point_share"), (share >= majority).alias("per_point"))

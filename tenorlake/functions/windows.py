@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -60,10 +60,35 @@ def bucket(value: str, keys: list[str], n: int = 10, method: str = "floor", ties
     return F.when(F.col(value).isNotNull(), place).cast("int")
 
 
-def nearest_quantile(value: Column, q: float) -> Column:
-    """An aggregate: the value at place round(q * (n - 1)) of those that are not null, halves away from zero."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.try_element_at(ordered, (F.round(q * (F.size(ordered) - 1)) + 1).cast("int"))
+def nearest_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """``keys`` and a column for each of ``quantiles``: the value at place round(q * (n - 1)), halves away from zero, of those not null.
+
+    Values are ordered by a window, which spills, and not gathered in an array.
+    """
+    group = Window.partitionBy(*keys)
+    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(group.orderBy(value)) - 1).alias("_place"), F.count(F.lit(1)).over(group).alias("_n"))
+    at = {name: F.round(q * (F.col("_n") - 1)) for name, q in quantiles.items()}
+    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_place") == place, F.col(value))).alias(name) for name, place in at.items()))
+
+
+def exact_quantile(rows: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """One row, ``name``: the interpolated quantile of all values, without an order or a buffer of all of them.
+
+    An approximate quantile of known error gives a narrow bracket; values below it are counted, and only those within
+    it are ordered.
+    """
+    x = rows.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    room = 0.001
+    low, high = max(0.0, q - room), min(1.0, q + room)
+    bounds = x.agg(F.percentile_approx("x", F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias("b"), F.min("x").alias("least"), F.max("x").alias("most"))
+    bounds = bounds.select(F.when(F.lit(low) > 0, F.col("b")[0]).otherwise(F.col("least")).alias("low"), F.when(F.lit(high) < 1, F.col("b")[1]).otherwise(F.col("most")).alias("high"))
+    inside = (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
+    near = x.crossJoin(F.broadcast(bounds))
+    found = near.agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("low")).alias("below"))
+    ordered = near.filter(inside).select("x", (F.row_number().over(Window.orderBy("x")) - 1).alias("place"))
+    place = q * (F.col("n") - 1) - F.col("below")
+    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("place") - place))
+    return ordered.crossJoin(F.broadcast(found)).agg(F.sum(F.when(weight > 0, F.col("x") * weight)).alias(name))
 
 
 def zscore(value: str, *keys: str) -> Column:

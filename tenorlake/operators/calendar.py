@@ -14,6 +14,18 @@ def session_index(dates: DataFrame) -> DataFrame:
     return days.withColumn("session_index", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
 
 
+#: Calendar days that may be paired with names: some 270 years.
+MOST_DAYS = 100_000
+
+
+def grid_of(days: DataFrame, names: DataFrame) -> DataFrame:
+    """Every day with every name. The days are a calendar, counted to be one and broadcast; names stay spread over all tasks."""
+    days = days.distinct()
+    if days.count() > MOST_DAYS:
+        raise ValueError(f"a calendar has at most {MOST_DAYS} days")
+    return names.crossJoin(F.broadcast(days))
+
+
 def shift_sessions(df: DataFrame, sessions: DataFrame, n: int, date: str = "date", to: str = "shifted", clamp: bool = False) -> DataFrame:
     """Adds ``to``: the session ``n`` after (before, if negative) the session ``date``; null outside, unless clamped to the ends."""
     here = sessions.select(F.col("date").alias(date), F.col("session_index").alias("_i"))
@@ -63,14 +75,26 @@ def monthly_schedule(sessions: DataFrame) -> DataFrame:
     return plan.select("month", "previous_day", "formation_day", "entry_day", "expiration").dropna()
 
 
+def session_of_day(sessions: DataFrame, first: DataFrame) -> DataFrame:
+    """``date, same, after``: for each calendar day up to the last session the session on or after it and the next one.
+
+    Days begin with the date of ``first``, one row, if that is before the first session. As long as the calendar.
+    """
+    w = Window.orderBy("date")
+    days = sessions.select("date", F.lag("date").over(w).alias("_previous"), F.lead("date").over(w).alias("after")).crossJoin(F.broadcast(first.select(F.col("date").alias("_first"))))
+    start = F.coalesce(F.date_add("_previous", 1), F.least("_first", "date"))
+    return days.select(F.explode(F.sequence(start, F.col("date"))).alias("day"), F.col("date").alias("same"), "after").withColumnRenamed("day", "date")
+
+
 def event_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """``symbol, event_date, session, event_session``: the session that carries each announcement's move.
 
     An announcement falls on its own session, or on the next if it is none; one after the close (``amc``)
-    moves the session after that. Events without such a session are dropped.
+    moves the session after that. Events without such a session are dropped. Events meet a table of days by an
+    equal date, so they stay spread over all tasks.
     """
-    days = sessions.select("date", F.col("date").alias("same"), F.lead("date").over(Window.orderBy("date")).alias("after")).withColumn("_one", F.lit(1))
-    found = asof_join(events.withColumn("_one", F.lit(1)), days, by=["_one"], values=["same", "after"], direction="forward")
+    days = session_of_day(sessions, events.agg(F.min("date").alias("date")))
+    found = events.join(days, "date")
     return found.select("symbol", F.col("date").alias("event_date"), "session", F.when(F.col("session") == "amc", F.col("after")).otherwise(F.col("same")).alias("event_session")).filter("event_session is not null")
 
 
@@ -92,7 +116,8 @@ def members_as_of(current: DataFrame, changes: DataFrame, sessions: DataFrame) -
     log = changes.join(sessions.select(F.col("date").alias("effective_date")), "effective_date", "left_semi").select("ticker", F.date_sub("effective_date", 1).alias("date"), "action")
     log = log.groupBy("ticker", "date").agg(F.max("action").alias("action"))
     tickers = current.select("ticker").unionByName(log.select("ticker")).distinct()
-    grid = tickers.crossJoin(sessions.select("date"))
+    # a row for each ticker and session, the size of the result at most
+    grid = grid_of(sessions.select("date"), tickers)
     found = asof_join(grid, log, by=["ticker"], values=["action"], direction="forward")
     today = current.select("ticker", F.lit(True).alias("today")).distinct()
     out = found.join(today, "ticker", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quotes import normal_ticker
+from .calendar import grid_of
 
 
 def filter_to_members(panel: DataFrame, universe: DataFrame, date: str = "date", overrides: dict[str, str] | None = None) -> DataFrame:
@@ -51,9 +52,9 @@ def outer_by_date(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on, "full")
 
 
-def grid(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All pairs of two short distinct lists, dates and symbols for instance. The lists come from a calendar and a universe."""
-    return a.distinct().crossJoin(b.distinct())
+def grid(dates: DataFrame, names: DataFrame) -> DataFrame:
+    """Every date with every name; the dates are a calendar, whose length is checked."""
+    return grid_of(dates, names.distinct())
 
 
 def holding_paths(contracts: DataFrame, quotes: DataFrame, start: str = "entry_day", end: str = "expiration") -> DataFrame:

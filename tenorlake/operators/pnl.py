@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import average_rank, by, fill_forward
 from .asof import asof_join
+from .calendar import grid_of
 from .panels import pick_straddles
 
 MULTIPLIER = 100.0
@@ -88,13 +89,13 @@ def share_cost(shares: Column, per_share: float = 0.005) -> Column:
     return F.abs(shares) * per_share
 
 
-def rank_targets(scores: DataFrame, gross: float = 1000.0, scheme: str = "linear", quantile: float = 0.1, short_rich: bool = True, min_names: int = 10, score: str = "signal") -> DataFrame:
-    """``date, symbol, target_vega`` of every date: weights by centred rank, or the two tails, of absolute sum ``gross``.
+def rank_targets(scores: DataFrame, gross: float = 1000.0, scheme: str = "linear", quantile: float = 0.1, short_rich: bool = True, min_names: int = 10, score: str = "signal", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, date, symbol, target_vega`` of every date: weights by centred rank, or the two tails, of absolute sum ``gross``.
 
     Null scores are dropped. Dates with fewer than ``min_names`` have no targets.
     """
-    day = Window.partitionBy("date")
-    rows = scores.filter(F.col(score).isNotNull()).withColumns({"_n": F.count(F.lit(1)).over(day), "_rank": average_rank(score, "date")}).filter(F.col("_n") >= min_names)
+    day = Window.partitionBy(*keys, "date")
+    rows = scores.filter(F.col(score).isNotNull()).withColumns({"_n": F.count(F.lit(1)).over(day), "_rank": average_rank(score, *keys, "date")}).filter(F.col("_n") >= min_names)
     if scheme == "linear":
         raw = F.col("_rank") - (F.col("_n") + 1) / 2
     elif scheme == "quantile":
@@ -103,22 +104,25 @@ def rank_targets(scores: DataFrame, gross: float = 1000.0, scheme: str = "linear
     else:
         raise ValueError(f"unknown scheme {scheme!r}")
     rows = rows.withColumn("_raw", -raw if short_rich else raw).withColumn("_sum", F.sum(F.abs("_raw")).over(day))
-    return rows.filter("_sum > 0").select("date", "symbol", (F.col("_raw") * gross / F.col("_sum")).alias("target_vega"))
+    return rows.filter("_sum > 0").select(*keys, "date", "symbol", (F.col("_raw") * gross / F.col("_sum")).alias("target_vega"))
 
 
-def eligible_scores(scores: DataFrame, present: DataFrame, universe: DataFrame) -> DataFrame:
-    """Scores at rebalances of names with a row today that are in the universe or were held since.
+def eligible_scores(scores: DataFrame, present: DataFrame, universe: DataFrame, held: DataFrame) -> DataFrame:
+    """Scores of each date's names that have a chain row and are in the universe, or that the book holds.
 
-    A name that left the universe stays while it has a row and a score at every rebalance since it was last in
-    it: its run of such dates began with membership.
+    ``present, universe, held (date, symbol)``; ``held``: what the book holds when the date begins, so a name that has
+    left the universe can be unwound by the sizer, and one whose last target was zero no longer counts.
     """
-    dates = scores.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))
-    inside = universe.select("date", "symbol", F.lit(1).alias("_in")).distinct()
-    rows = scores.filter("signal is not null").join(present.select("date", "symbol").distinct(), ["date", "symbol"], "left_semi").join(dates, "date").join(inside, ["date", "symbol"], "left")
-    w = Window.partitionBy("symbol").orderBy("date")
-    rows = rows.withColumn("_run", F.col("_i") - F.row_number().over(w))
-    run = Window.partitionBy("symbol", "_run").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_held", F.max("_in").over(run)).filter("_held = 1").drop("_i", "_in", "_run", "_held")
+    pairs = lambda df: df.select("date", "symbol").distinct()
+    allowed = pairs(present).join(pairs(universe), ["date", "symbol"], "left_semi").unionByName(pairs(held)).distinct()
+    return scores.filter("signal is not null").join(allowed, ["date", "symbol"], "left_semi")
+
+
+def held_before(records: DataFrame) -> DataFrame:
+    """``date, symbol``: for each day of a book's records the names whose units were not zero on the one before."""
+    days = records.select("date").distinct()
+    following = days.withColumn("next", F.lead("date").over(Window.orderBy("date")))
+    return records.filter("units <> 0").join(following, "date").filter("next is not null").select(F.col("next").alias("date"), "symbol")
 
 
 def fixed_targets(rebalances: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -132,21 +136,24 @@ def unit_targets(present: DataFrame) -> DataFrame:
     return present.select("date", "symbol", F.col("dollar_vega").alias("target_vega"))
 
 
-def book(reference: DataFrame, targets: DataFrame, rebalances: DataFrame, cost_fraction: float = 0.0) -> DataFrame:
+def book(reference: DataFrame, targets: DataFrame, rebalances: DataFrame, cost_fraction: float = 0.0, labels: list[str] | None = None) -> DataFrame:
     """Daily records of a book that holds units of each name's reference position.
 
     ``reference (date, symbol, pnl_per_vega, cost_per_vega, exit_cost_per_vega, entry_vega, dollar_vega, event)``;
     ``targets (date, symbol, target_vega)`` at ``rebalances (date)``. Units become target / unit vega at a
     rebalance, 0 if the name has no target there, and stay in between; a session without the name's row closes
     it until the next rebalance. A rebalance at which the unit vega is not positive changes nothing.
-    All names run in parallel, each in one ordered window; sessions are those of the reference.
+    All names run in parallel, each in one ordered window; sessions are those of the reference. With ``labels``,
+    the names of a few books, targets and records have a column ``label`` too, and all books run at once.
     """
-    days = reference.select("date").distinct()
-    names = reference.select("symbol").distinct()
+    keys = ["label"] if labels else []
     marks = rebalances.select("date", F.lit(True).alias("_rebalance")).distinct()
-    rows = days.join(marks, "date", "left").crossJoin(names).join(reference, ["date", "symbol"], "left").join(targets.select("date", "symbol", "target_vega"), ["date", "symbol"], "left")
+    rows = grid_of(reference.select("date"), reference.select("symbol").distinct()).join(marks, "date", "left").join(reference, ["date", "symbol"], "left")
+    if labels:
+        rows = rows.withColumn("label", F.explode(F.array(*(F.lit(x) for x in labels))))
+    rows = rows.join(targets.select(*keys, "date", "symbol", "target_vega"), [*keys, "date", "symbol"], "left")
     here = F.col("dollar_vega").isNotNull()
-    w = by("symbol")
+    w = by(*keys, "symbol")
     # what the session sets the units to: null leaves them
     sets = F.when(~here, F.lit(0.0)).when(F.col("_rebalance") & (F.col("dollar_vega") > 0), F.coalesce("target_vega", F.lit(0.0)) / F.when(F.col("dollar_vega") > 0, F.col("dollar_vega")))
     rows = rows.withColumn("units", F.coalesce(fill_forward(sets, w), F.lit(0.0)))
@@ -159,7 +166,7 @@ def book(reference: DataFrame, targets: DataFrame, rebalances: DataFrame, cost_f
     traded = F.when(here, F.col("units") - before).otherwise(F.lit(0.0))
     kind = F.when(~here & (F.col("_held") != 0), "forced_close").when((traded != 0) & (F.col("_held") == 0), "open").when((traded != 0) & (F.col("units") == 0), "close").when((traded != 0) & (zero_text("event") == ""), "trade").otherwise(zero_text("event"))
     rows = rows.select(
-        "date", "symbol", "units",
+        *keys, "date", "symbol", "units",
         F.when(here, F.col("_held") * zero("entry_vega") * zero("pnl_per_vega")).otherwise(0.0).alias("option_pnl"),
         ((F.when(here, F.abs("_held") * zero("entry_vega") * zero("cost_per_vega")).otherwise(0.0) + F.abs(traded) * half) * cost_fraction).alias("option_cost"),
         (F.col("units") * zero("dollar_vega")).alias("dollar_vega"),
@@ -176,66 +183,112 @@ def zero_text(c: str) -> Column:
 
 
 def reference_unit(chain: DataFrame, roll_dte: int = 14, max_stale: int = 5, min_dte: int = 20, max_dte: int = 90, target_dte: int = 45) -> DataFrame:
-    """``date, symbol, expiration, strike, unit_mid, unit_delta, underlying, event, mid_change, hedge_pnl, pnl``: one straddle a name, rolled.
+    """``date, symbol, opened, expiration, strike, unit_mid, unit_bid, unit_ask, unit_delta, unit_vega, underlying, event, last_mid, prior_delta, mid_change, hedge_pnl, pnl``: one straddle a name, rolled.
 
     A name opens the day's pick, is marked each session, rolls to that day's pick on the first mark with at most
     ``roll_dte`` days left, and is closed by force at expiry or after more than ``max_stale`` sessions without a
     mark; it may open again that day. Where a name has no pick on its roll day it closes and opens at the next pick.
+    ``unit_vega`` and ``last_mid`` are the last mark's (vega null if the chain has none); ``prior_delta`` the delta that the session
+    was hedged with. On sessions without a mark the hedge still moves with the underlying.
 
     The sessions of a name are those on which its chain has rows. (1) The pick of each day. (2) For each pick the
-    session that ends it, from its own marks. (3) The picks that are really held, by following ends from
-    one to the next in a fold over the name's few thousand candidates. (4) Marks, lags and P&L per position.
+    session that ends it, by as-of lookups among its own marks. (3) The picks that are really held, by following
+    ends from one to the next in a fold over the name's few thousand candidates. (4) Marks, lags and P&L per position.
     """
+    never = F.lit(1 << 30)
     quotes = chain.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
-    days = quotes.select("symbol", "date").distinct().withColumn("session", F.row_number().over(by("symbol")))
+    if "vega" not in chain.columns:
+        quotes = quotes.withColumn("vega", F.lit(None).cast("double"))
+    spot = F.min_by("underlying", F.struct("expiration", "strike", "right"))
+    days = quotes.groupBy("symbol", "date").agg(spot.alias("underlying")).withColumn("session", F.row_number().over(by("symbol")))
     picks = pick_straddles(quotes, min_dte, max_dte, target_dte, max_moneyness=1.0).drop("dte")
     sums = quotes.filter((F.col("ask") > 0) & (F.col("bid") >= 0) & (F.col("ask") >= F.col("bid"))).groupBy("symbol", "expiration", "strike", "date").agg(
-        F.count("*").alias("_legs"), F.sum("mid").alias("unit_mid"), F.sum("ask").alias("unit_ask"), F.sum("bid").alias("unit_bid"), F.sum("delta").alias("unit_delta"), F.min("underlying").alias("underlying")
+        F.count("*").alias("_legs"), *(F.sum(c).alias(f"unit_{c}") for c in ("mid", "ask", "bid", "delta", "vega"))
     ).filter("_legs >= 2").drop("_legs")
-    marks = sums.join(days, ["symbol", "date"])
-    # (2) a roll: the first later mark near expiry; a forced close: the first session that is at expiry or too stale
     unit = ["symbol", "expiration", "strike"]
-    held = picks.withColumnRenamed("date", "opened").join(days.select("symbol", F.col("date").alias("opened"), F.col("session").alias("_from")), ["symbol", "opened"])
-    after = held.join(marks, unit, "left").filter(F.col("date").isNull() | (F.col("date") >= F.col("opened")))
-    seen = Window.partitionBy(*unit, "opened").orderBy("session")
-    after = after.withColumn("_gap", F.lead("session").over(seen) - F.col("session"))
-    rolls = F.min(F.when((F.col("date") > F.col("opened")) & (F.datediff("expiration", "date") <= roll_dte), F.col("session")))
-    stale = F.min(F.when(F.coalesce(F.col("_gap"), F.lit(1 << 30)) > max_stale + 1, F.col("session") + max_stale + 1))
-    ends = after.groupBy("symbol", "opened", "expiration", "strike", "_from").agg(rolls.alias("roll"), stale.alias("stale"))
-    last = days.groupBy("symbol").agg(F.max("session").alias("_last"))
-    expiry = days.join(held, "symbol").filter((F.col("date") >= F.col("expiration")) & (F.col("date") > F.col("opened"))).groupBy("symbol", "opened").agg(F.min("session").alias("expiry"))
-    ends = ends.join(expiry, ["symbol", "opened"], "left").join(last, "symbol")
+    marks = sums.join(days.select("symbol", "date", "session"), ["symbol", "date"]).select(*unit, "date", "session")
+    # (2) a roll: the first later mark near expiry; a forced close: the first session that is at expiry or too stale
+    held = picks.join(days.select("symbol", "date", F.col("session").alias("start")), ["symbol", "date"])
+    near = marks.filter(F.datediff("expiration", "date") <= roll_dte).select(*unit, "date", F.col("session").alias("roll"))
+    held = asof_join(held, near, unit, ["roll"], direction="forward", exact=False)
+    gap = F.lead("session").over(Window.partitionBy(*unit).orderBy("session")) - F.col("session")
+    breaks = marks.withColumn("_gap", gap).filter(F.coalesce("_gap", never) > max_stale + 1).select(*unit, "date", (F.col("session") + max_stale + 1).alias("stale"))
+    held = asof_join(held, breaks, unit, ["stale"], direction="forward").withColumnRenamed("date", "opened")
+    held = held.withColumn("_end", F.greatest(F.col("expiration"), F.date_add("opened", 1)))
+    held = asof_join(held, days.select("symbol", F.col("date").alias("_end"), F.col("session").alias("expiry")), ["symbol"], ["expiry"], on="_end", direction="forward")
     # at expiry a mark means a roll, no mark a forced close
-    forced = F.least(F.coalesce("stale", F.lit(1 << 30)), F.coalesce("expiry", F.lit(1 << 30)))
-    rolled = F.coalesce(F.col("roll"), F.lit(1 << 30)) <= forced
-    ends = ends.select("symbol", "opened", "expiration", "strike", F.col("_from").alias("start"), F.least(F.coalesce("roll", F.lit(1 << 30)), forced).alias("end"), rolled.alias("rolled"))
+    forced = F.least(F.coalesce("stale", never), F.coalesce("expiry", never))
+    rolled = F.coalesce(F.col("roll"), never) <= forced
+    ends = held.select(*unit, "opened", "start", F.least(F.coalesce("roll", never), forced).alias("end"), rolled.alias("rolled"))
     # (3) the candidates of a name in order; hold one until its end, then take the first that starts there or later
     step = F.struct("start", "end", "rolled", "opened", "expiration", "strike")
     lists = ends.groupBy("symbol").agg(F.sort_array(F.collect_list(step)).alias("all"))
     empty = F.struct(F.lit(0).cast("int").alias("free"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
     walk = F.aggregate("all", empty, lambda a, x: F.when(x["start"] >= a["free"], F.struct(x["end"].cast("int").alias("free"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a))
     runs = lists.select("symbol", F.explode(walk["kept"]).alias("k")).select("symbol", "k.*")
-    # (4)
-    path = runs.join(days.select("symbol", "date", "session"), "symbol").filter((F.col("session") >= F.col("start")) & (F.col("session") <= F.col("end")))
-    path = path.join(sums, ["symbol", "expiration", "strike", "date"], "left")
-    w = Window.partitionBy("symbol", "opened").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    prior = lambda c: F.last(c, ignorenulls=True).over(w)
-    path = path.withColumns({"mid_change": F.col("unit_mid") - prior("unit_mid"), "hedge_pnl": -prior("unit_delta") * (F.col("underlying") - prior("underlying"))})
+    # (4) each position's own sessions
+    last = days.groupBy("symbol").agg(F.max("session").alias("_last"))
+    runs = runs.join(last, "symbol").withColumn("session", F.explode(F.sequence("start", F.least("end", "_last"))))
+    path = runs.join(days, ["symbol", "session"]).join(sums, [*unit, "date"], "left")
+    w = Window.partitionBy("symbol", "opened").orderBy("session")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    prior = lambda c: F.last(c, ignorenulls=True).over(before)
+    path = path.withColumn("prior_delta", prior("unit_delta")).withColumns({
+        "mid_change": F.col("unit_mid") - prior("unit_mid"),
+        "hedge_pnl": -F.col("prior_delta") * (F.col("underlying") - F.lag("underlying").over(w)),
+        "unit_vega": fill_forward(F.col("unit_vega"), w),
+        "last_mid": fill_forward(F.col("unit_mid"), w),
+    })
     event = F.when(F.col("session") == F.col("start"), "open").when(F.col("session") == F.col("end"), F.when(F.col("rolled"), "roll").otherwise("forced_close")).otherwise("")
-    return path.select("date", "symbol", "opened", "expiration", "strike", "unit_mid", "unit_bid", "unit_ask", "unit_delta", "underlying", event.alias("event"), "mid_change", "hedge_pnl", (F.coalesce("mid_change", F.lit(0.0)) + F.coalesce("hedge_pnl", F.lit(0.0))).alias("pnl"))
+    pnl = F.coalesce("mid_change", F.lit(0.0)) + F.coalesce("hedge_pnl", F.lit(0.0))
+    return path.select("date", "symbol", "opened", "expiration", "strike", "unit_mid", "unit_bid", "unit_ask", "unit_delta", "unit_vega", "underlying", event.alias("event"), "last_mid", "prior_delta", "mid_change", "hedge_pnl", pnl.alias("pnl"))
+
+
+def unit_records(path: DataFrame, fraction: float = 1.0, per_share: float = 0.005) -> DataFrame:
+    """``date, symbol, event, option_pnl, hedge_pnl, option_cost, hedge_cost, exit_cost, dollar_vega, mid, underlying, dte``: one contract's day.
+
+    ``path``: the rows of ``reference_unit``; on a day on which one unit ends and the next begins both are added up. The
+    event is ``roll`` for both on one day, ``roll_failed_closed`` for a roll without a new unit, ``open`` also for a
+    unit that follows a forced close at once. Options cost ``fraction`` of the half spread where they are traded by
+    choice (a forced close has no quote), shares ``per_share`` each.
+    """
+    is_ = lambda *e: F.col("event").isin(*e)
+    half = (F.col("unit_ask") - F.col("unit_bid")) / 2 * MULTIPLIER
+    only = lambda c, condition: F.max(F.when(condition, c))
+    left = ~is_("roll", "forced_close")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    day = path.groupBy("date", "symbol").agg(
+        F.sum(F.coalesce("mid_change", F.lit(0.0)) * MULTIPLIER).alias("option_pnl"),
+        F.sum(F.coalesce("hedge_pnl", F.lit(0.0)) * MULTIPLIER).alias("hedge_pnl"),
+        *(F.max(is_(e)).alias(f"_{e}") for e in ("open", "roll", "forced_close")),
+        (F.sum(F.when(is_("open", "roll"), F.coalesce(half, F.lit(0.0))).otherwise(0.0)) * fraction).alias("option_cost"),
+        only(-F.col("prior_delta") * MULTIPLIER, ~is_("open")).alias("_old"),
+        only(-F.col("unit_delta") * MULTIPLIER, left).alias("_marked"),
+        only(half, left).alias("_half"),
+        F.coalesce(only(F.col("unit_vega") * MULTIPLIER, left), F.lit(0.0)).alias("dollar_vega"),
+        only(F.col("last_mid"), left).alias("mid"),
+        F.max("underlying").alias("underlying"),
+        only(F.datediff("expiration", "date"), left).alias("dte"),
+    )
+    event = F.when(F.col("_roll") & F.col("_open"), "roll").when(F.col("_roll"), "roll_failed_closed").when(F.col("_open"), "open").when(F.col("_forced_close"), "forced_close").otherwise("")
+    old, marked = zero("_old"), zero("_marked")
+    shares = F.when(F.col("_forced_close"), F.abs(old) + F.abs(marked)).when(F.col("_marked").isNull() & ~F.col("_roll"), 0.0).otherwise(F.abs(marked - old))
+    return day.select("date", "symbol", event.alias("event"), "option_pnl", "hedge_pnl", "option_cost", (shares * per_share).alias("hedge_cost"), zero("_half").alias("exit_cost"), "dollar_vega", "mid", "underlying", "dte")
 
 
 def per_vega(records: DataFrame) -> DataFrame:
     """``pnl_per_vega, cost_per_vega, exit_cost_per_vega`` of unit records, by the vega at inception.
 
-    ``records (date, symbol, event, pnl, cost, exit_cost, dollar_vega)``. P&L and cost of a session are over the
-    inception vega of the unit held into it, the exit cost over that of today's unit.
+    ``records``: those of ``unit_records``. P&L and cost of a session are over the inception vega of the unit held
+    into it, the exit cost over that of today's unit. A name's first session has neither P&L nor cost.
     """
     w = by("symbol")
     rows = records.withColumn("inception_vega", fill_forward(F.when(F.col("event").isin("open", "roll"), F.col("dollar_vega")), w)).withColumn("entry_vega", F.lag("inception_vega").over(w))
-    over = lambda c, v: F.when(F.col(v) > 0, F.col(c) / F.col(v))
-    return rows.select("date", "symbol", over("pnl", "entry_vega").alias("pnl_per_vega"), over("cost", "entry_vega").alias("cost_per_vega"), over("exit_cost", "inception_vega").alias("exit_cost_per_vega"), "dollar_vega", "entry_vega", "event")
-
+    over = lambda c, v: F.when(F.col(v) > 0, c / F.col(v))
+    return rows.select(
+        "date", "symbol", over(F.col("option_pnl") + F.col("hedge_pnl"), "entry_vega").alias("pnl_per_vega"), over(F.col("option_cost") + F.col("hedge_cost"), "entry_vega").alias("cost_per_vega"),
+        over(F.col("exit_cost"), "inception_vega").alias("exit_cost_per_vega"), "dollar_vega", "entry_vega", "mid", "underlying", "dte", "event",
+    )
 
 
 def dollar_vega(vega: Column, contracts: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import ahead, average_rank, bucket, by
 from .pnl import hold_to_expiry
+from .regress import ols_table
 
 DECILES = 10
 
@@ -97,16 +98,16 @@ def sort_variants(rows: DataFrame, value: str, period: str = "month", n: int = D
     return spreads.groupBy("variant").agg(*summary_columns(F.col(value)))
 
 
-def forward_decile_table(signal: DataFrame, reference: DataFrame, horizon: int = 60, n: int = DECILES) -> DataFrame:
-    """``decile, gross_fwd_pnl_per_vega, net_fwd_pnl_per_vega, gross_t_stat, mean_names, dates``.
+def forward_decile_table(signal: DataFrame, reference: DataFrame, horizon: int = 60, n: int = DECILES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, decile, gross_fwd_pnl_per_vega, net_fwd_pnl_per_vega, gross_t_stat, mean_names, dates``.
 
     Gross: the sum of the next ``horizon`` P&Ls per vega; net: less the costs of those sessions and half spreads
     to enter today and leave at the horizon. Means by date and decile, then over dates.
     """
-    rows = signal.join(forward_pnl(reference, horizon), ["date", "symbol"]).withColumn("decile", bucket("signal", ["date"], n, "ceil"))
-    daily = rows.groupBy("date", "decile").agg(F.avg("gross_fwd").alias("gross"), F.avg("net_fwd").alias("net"), F.count("*").alias("names"))
+    rows = signal.join(forward_pnl(reference, horizon), ["date", "symbol"]).withColumn("decile", bucket("signal", [*keys, "date"], n, "ceil"))
+    daily = rows.groupBy(*keys, "date", "decile").agg(F.avg("gross_fwd").alias("gross"), F.avg("net_fwd").alias("net"), F.count("*").alias("names"))
     t = F.try_divide(F.avg("gross"), F.stddev_samp("gross")) * F.sqrt(F.count("*"))
-    return daily.groupBy("decile").agg(F.avg("gross").alias("gross_fwd_pnl_per_vega"), F.avg("net").alias("net_fwd_pnl_per_vega"), t.alias("gross_t_stat"), F.avg("names").alias("mean_names"), F.count("*").alias("dates"))
+    return daily.groupBy(*keys, "decile").agg(F.avg("gross").alias("gross_fwd_pnl_per_vega"), F.avg("net").alias("net_fwd_pnl_per_vega"), t.alias("gross_t_stat"), F.avg("names").alias("mean_names"), F.count("*").alias("dates"))
 
 
 def forward_pnl(reference: DataFrame, horizon: int) -> DataFrame:
@@ -180,30 +181,47 @@ def unquoted_sessions(chain: DataFrame, threshold: float = 0.5) -> DataFrame:
     return near.groupBy("date").agg(F.avg((F.col("ask") > 0).cast("double")).alias("quoted_share")).filter(F.col("quoted_share") < threshold)
 
 
-def book_daily(records: DataFrame) -> DataFrame:
-    """Daily totals of book records, with net P&L, turnover and the running sum."""
-    traded = F.abs(F.col("dollar_vega") - F.coalesce(F.lag("dollar_vega").over(by("symbol")), F.lit(0.0)))
+def book_daily(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Daily totals of book records, with net P&L, turnover and the running sum; ``keys`` name books."""
+    traded = F.abs(F.col("dollar_vega") - F.coalesce(F.lag("dollar_vega").over(by(*keys, "symbol")), F.lit(0.0)))
     rows = records.withColumn("_traded", traded)
-    day = rows.groupBy("date").agg(
+    day = rows.groupBy(*keys, "date").agg(
         F.sum("option_pnl").alias("gross_pnl"), F.sum("option_cost").alias("cost"), F.sum(F.abs("dollar_vega")).alias("gross_vega"), F.sum("dollar_vega").alias("net_vega"), F.sum("_traded").alias("turnover"), F.count_if(F.col("units") != 0).alias("positions")
     ).withColumn("net_pnl", F.col("gross_pnl") - F.col("cost"))
     # one row a session
-    return day.withColumn("cumulative_net", F.sum("net_pnl").over(Window.orderBy("date")))
+    return day.withColumn("cumulative_net", F.sum("net_pnl").over(Window.partitionBy(*keys).orderBy("date")))
 
 
-def book_summary(daily: DataFrame) -> DataFrame:
-    """One row: Sharpe, P&L per gross vega, drawdown, turnover and cost drag."""
-    run = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+def book_summary(daily: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row a book: Sharpe, P&L per gross vega, drawdown, turnover and cost drag."""
+    run = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     rows = daily.withColumn("_down", F.col("cumulative_net") - F.max("cumulative_net").over(run))
     vega = F.avg(F.when(F.col("gross_vega") > 0, F.col("gross_vega")))
     net = F.avg("net_pnl")
-    return rows.agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("sessions"), F.avg("positions").alias("mean_positions"), vega.alias("mean_gross_vega"), F.avg("net_vega").alias("mean_net_vega"), F.sum("gross_pnl").alias("total_gross_pnl"), F.sum("cost").alias("total_cost"), F.sum("net_pnl").alias("total_net_pnl"),
         (F.when(F.stddev_samp("net_pnl") > 0, net / F.stddev_samp("net_pnl")) * math.sqrt(252)).alias("sharpe"), F.try_divide(net * 252, vega).alias("annual_net_pnl_per_gross_vega"), F.min("_down").alias("max_drawdown"),
         F.try_divide(F.avg("turnover") * 252, vega).alias("annual_turnover_over_gross_vega"), F.try_divide(F.sum("cost"), F.abs(F.sum("gross_pnl"))).alias("cost_drag"),
     )
 
 
+def book_factors(daily: DataFrame, factors: DataFrame, market: DataFrame | None = None, scale: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """OLS of a book's daily net P&L on factor returns and an index return: ``regressor, coefficient, t_stat, r_squared, observations``.
+
+    ``daily (date, net_pnl, gross_vega)`` (and ``keys``), ``factors (date, factor, ret)``, ``market (date, market_return)``.
+    With ``scale`` the P&L is that of a dollar of gross vega, so that coefficients compare with a name's loadings.
+    Days without gross vega or with a missing regressor are left out.
+    """
+    names = sorted(r.factor for r in factors.select("factor").distinct().collect())  # a dozen
+    rows = daily.join(factors.groupBy("date").pivot("factor", names).agg(F.first("ret")), "date")
+    xs = list(names)
+    if market is not None:
+        rows = rows.join(market.select("date", F.col("market_return").alias("index_return")), "date", "left")
+        xs.append("index_return")
+    rows = rows.filter("gross_vega > 0").withColumn("_y", F.col("net_pnl") / F.col("gross_vega") if scale else F.col("net_pnl"))
+    return ols_table(rows, "_y", xs, keys)
+
+
 def effective_names(rows: DataFrame, value: str = "dollar_vega") -> DataFrame:
     """``date, effective_names`` = 1 / sum of squared shares of absolute ``value``."""
     total = F.sum(F.abs(value)).over(Window.partitionBy("date"))

@@ -152,9 +152,11 @@ def j2_members_only(r: Roles):
     return joins.filter_to_members(r.ticks, r.membership).select("symbol", "date", "close")
 
 
-@query(with_roles("ticks actions", "select t.* from ticks t where not exists (select 1 from actions a where a.symbol = t.symbol and a.action = 'split')"))
+@query(with_roles("ticks actions", "f as (select symbol from actions where action = 'split' group by symbol, date having count(*) >= 3) select t.* from ticks t where not exists (select 1 from f where f.symbol = t.symbol)"))
 def j3_unsplit_names(r: Roles):
-    return joins.drop_flagged(r.ticks, r.actions.filter("action = 'split'"), ["symbol"]).select("symbol", "date", "close")
+    """Names without a day that has three splits."""
+    flagged = r.actions.filter("action = 'split'").groupBy("symbol", "date").agg(F.count("*").alias("n")).filter("n >= 3")
+    return joins.drop_flagged(r.ticks, flagged, ["symbol"]).select("symbol", "date", "close")
 
 
 @query(with_roles("bars announcements", """select date, symbol, cast((select min(a.date) from announcements a where a.symbol = b.symbol and a.date >= b.date) - date as integer) as days_to_event,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import quotes as q
@@ -10,43 +11,111 @@ from ..operators.compose import chain_of, seeded_sample
 from ..operators.panels import first_by
 from ..sources import store
 from ..sources.roles import Roles, with_roles
-from ..sources.schemas import STOCKS, conform
 from .joins_queries import raw_chain
 from .panel_queries import _PANEL, _SUMMARY, stock_panel, summarized
 from .registry import query
 
 
+def built(r: Roles, **tables) -> str:
+    """A store of these tables: each written as the loaders expect it, below a path of its own."""
+    root = store.scratch(r.spark, "store")
+    for name, (df, partition) in tables.items():
+        store.write_table(df, f"{root}/{name}", partition)
+    return root
+
+
 @query(with_roles("chain", 'select date, symbol, expiration, strike, "right", bid from chain where symbol in (\'S1\', \'S3\') and date between date \'1996-01-01\' and date \'1996-12-31\''))
 def s4_s5_windowed_chain(r: Roles):
-    raw = raw_chain(r)
-    rows = store.in_window(store.scan_chain(raw), "1996-01-01", "1996-12-31").filter(F.col("symbol").isin("S1", "S3"))
-    return rows.select("date", "symbol", "expiration", "strike", "right", "bid")
+    """A window of a chain that lies by year and symbol."""
+    root = built(r, option_greeks=(store.scan_chain(raw_chain(r)).withColumn("year", F.year("date")), ["year", "symbol"]))
+    return store.load_chain(r.spark, root, "option_greeks", "1996-01-01", "1996-12-31", ["s1", "s3"]).select("date", "symbol", "expiration", "strike", "right", "bid")
+
+
+@query(with_roles("bars", "select * from bars where date < date '1996-01-01' union all select * from bars where date >= date '1997-01-01' and date <= date '1997-12-31'"))
+def s3_history_and_current_files(r: Roles):
+    """One scan of a history's and a current table's files, over a window."""
+    root = built(r, history=(r.bars.filter("date < '1996-01-01'"), None), current=(r.bars.filter("date >= '1997-01-01'"), None))
+    return store.scan(r.spark, [f"{root}/history", f"{root}/current"], "bars", None, "1997-12-31")
 
 
-@query(with_roles("xs_bars", "select date, symbol as tenor, close as rate from xs_bars where symbol = '3' and date <= date '1997-01-01'"))
+@query(with_roles("xs_bars", "select date, close as rate from xs_bars where symbol = '3' and date <= date '1997-01-01'"))
 def s8_reference_series(r: Roles):
-    return store.in_window(r.xs_bars.filter("symbol = '3'"), None, "1997-01-01").select("date", F.col("symbol").alias("tenor"), F.col("close").alias("rate"))
+    root = built(r, yields=(r.xs_bars.select("date", F.col("symbol").alias("tenor"), F.col("close").alias("rate")), None))
+    return store.load_rates(r.spark, root, "3", None, "1997-01-01")
 
 
-@query(with_roles("sectors announcements", "select symbol, cast(date as varchar) as value, 'announcement' as kind from announcements union all select symbol, sector, 'sector' from sectors"))
+@query(with_roles("sectors announcements actions", """select symbol, cast(date as varchar) as value, 'announcement' as kind from announcements where date >= date '1996-01-01' union all select symbol, sector, 'sector' from sectors
+    union all select symbol, cast(value as varchar), 'split' from actions where action = 'split'"""))
 def s9_event_and_sector_tables(r: Roles):
-    a = r.announcements.select("symbol", F.col("date").cast("string").alias("value"), F.lit("announcement").alias("kind"))
-    return a.unionByName(r.sectors.select("symbol", F.col("sector").alias("value"), F.lit("sector").alias("kind")))
+    root = built(r, earnings=(r.announcements, None), sectors=(r.sectors, None), corporate_actions=(r.actions, None))
+    a = store.load(r.spark, root, "earnings", "1996-01-01").select("symbol", F.col("date").cast("string").alias("value"), F.lit("announcement").alias("kind"))
+    b = store.load(r.spark, root, "sectors").select("symbol", F.col("sector").alias("value"), F.lit("sector").alias("kind"))
+    c = store.load_splits(r.spark, root).select("symbol", F.col("ratio").cast("string").alias("value"), F.lit("split").alias("kind"))
+    return a.unionByName(b).unionByName(c)
+
+
+@query(with_roles("bars", "select 'bars' as dataset, cast(year(date) as integer) as year, cast(count(distinct symbol) as integer) as symbols, cast(count(distinct symbol) as integer) as files, true as has_bytes from bars group by year(date)"))
+def s15_store_inventory(r: Roles):
+    """Datasets, years, symbols and files on disk."""
+    root = built(r, bars=(r.bars.withColumn("year", F.year("date")), ["year", "symbol"]))
+    return store.describe_store(r.spark, root).select("dataset", "year", "symbols", "files", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query(with_roles("bars", "select date, symbol, close + 1 as close from bars"))
+def s16_replaced_table(r: Roles):
+    """A table that is written, and replaced as a whole by what is read from it."""
+    root = built(r, bars=(r.bars.select("date", "symbol", "close"), None))
+    store.write_table(store.require(r.spark, f"{root}/bars", "bars").withColumn("close", F.col("close") + 1), f"{root}/bars", None, ["date"])
+    return store.require(r.spark, f"{root}/bars", "bars")
+
+
+@query(with_roles("bars", "select date, symbol, cast(year(date) as integer) as year, case when year(date) = 1996 then -1.0 else close end as close from bars"))
+def s17_replaced_years(r: Roles):
+    """One year of a table replaced, the others kept."""
+    rows = r.bars.select("date", "symbol", "close", F.year("date").alias("year"))
+    root = built(r, bars=(rows, ["year"]))
+    store.replace_years(rows.filter("year = 1996").withColumn("close", F.lit(-1.0)), f"{root}/bars")
+    return store.require(r.spark, f"{root}/bars", "bars").select("date", "symbol", "year", "close")
+
+
+@query(with_roles("bars", "select symbol, count(*) as days, row_number() over (order by symbol) as line from bars group by 1"))
+def s18_t10_sorted_report(r: Roles):
+    """A small result as one sorted file: the place of each line in it."""
+    path = store.scratch(r.spark, "report")
+    store.write_report(r.bars.groupBy("symbol").agg(F.count("*").alias("days")), path, ["symbol"])
+    lines = r.spark.read.option("header", True).schema("symbol string, days long").csv(path).withColumn("at", F.monotonically_increasing_id())
+    return lines.select("symbol", "days", F.row_number().over(Window.orderBy("at")).cast("long").alias("line"))
 
 
 @query(with_roles("bars", "select date, symbol, open, high, low, close, cast(0 as bigint) as volume from bars where symbol = 'S0'"))
 def s20_index_bars(r: Roles):
-    return conform(r.bars.filter("symbol = 'S0'").withColumn("volume", F.lit(0)), STOCKS)
+    root = built(r, indices=(r.bars.drop("volume"), None))
+    return store.index_bars(store.load(r.spark, root, "indices", symbol="S0"))
+
+
+@query(with_roles("membership ticks", "select distinct replace(upper('b.' || symbol), '.', '-') as symbol from membership where date between date '2024-01-05' and date '2024-01-15' and 'B-' || symbol not in (select 'B-' || symbol from ticks where close > 200) order by 1 limit 40"))
+def s21_first_members(r: Roles):
+    """The first 40 members of a window by name, spelled with a dash, without those that are excluded."""
+    members = r.membership.withColumn("symbol", F.concat(F.lit("b."), "symbol"))
+    known = r.ticks.filter("close > 200").select(F.concat(F.lit("B-"), "symbol").alias("symbol"))
+    return store.universe_symbols(members, "2024-01-05", "2024-01-15", "-", known, 40)
 
 
-@query(with_roles("ticks", "select cast(year(date) as integer) as year, symbol, count(*) as days, case when count(*) < 25 then 'short' else 'ok' end as status from ticks group by 1, 2"))
+@query(with_roles("ticks", "select cast(year(date) as integer) as year, symbol from ticks group by 1, 2 having count(*) >= 18"))
 def s23_quality_verdicts(r: Roles):
-    return r.ticks.groupBy(F.year("date").alias("year"), "symbol").agg(F.count("*").alias("days"), F.when(F.count("*") < 25, "short").otherwise("ok").alias("status"))
+    """Symbol-years that a stored verdict doesn't rule out."""
+    verdicts = r.ticks.groupBy(F.year("date").alias("year"), "symbol").agg(F.count("*").alias("days"))
+    verdicts = verdicts.withColumn("status", F.when(F.col("days") < 18, "wrong_instrument").when(F.col("days") < 25, "thin_overlap").otherwise("ok"))
+    root = built(r, symbology_check=(verdicts, None))
+    return store.usable_symbol_years(store.load(r.spark, root, "symbology_check")).select("year", "symbol")
 
 
-@query(with_roles("chain", "select date, symbol, count(*) as rows from chain group by 1, 2"))
+@query(with_roles("chain", """select date, symbol, count(*) as rows, round(sum(bid), 4) as bids, max(oi) as open_interest from chain where date >= date '1997-01-01' group by 1, 2"""))
 def s24_raw_scan(r: Roles):
-    return raw_chain(r).withColumn("date", F.to_date("underlying_timestamp")).groupBy("date", "symbol").agg(F.count("*").alias("rows"))
+    """The vendor's rows as they are, with a date, over a window."""
+    root = built(r, raw=(raw_chain(r).drop("theta", "vega"), None))
+    rows = store.scan_raw(r.spark, f"{root}/raw", "option-greeks", "1997-01-01")
+    return rows.groupBy("date", "symbol").agg(F.count("*").alias("rows"), F.round(F.sum("bid"), 4).alias("bids"), F.max("open_interest").alias("open_interest"))
 
 
 @query("select s_suppkey, replace(upper(s_name), '#', '.') as ticker, replace(replace(upper(s_name), '#', '.'), '.', '') as option_symbol, replace(replace(upper(s_name), '#', '.'), '.', '-') as dashed, regexp_extract(s_name, '([0-9]+)$', 1) as digits, split_part(s_name, '#', 1) as prefix from supplier")
@@ -115,9 +184,10 @@ def a22_subtotals(r: Roles):
 
 @query(with_roles("xs_bars sectors", "f as (select date, sector as factor, round(avg(close), 6) as ret from xs_bars join sectors using (symbol) group by 1, 2) select * from f where date between date '1996-01-01' and date '1996-06-30' and factor in ('ASIA', 'EUROPE')"))
 def s10_risk_table_window(r: Roles):
-    """A window of a long factor table, some factors."""
+    """A window of the stored factor returns, some factors."""
     table = r.xs_bars.join(r.sectors, "symbol").groupBy("date", F.col("sector").alias("factor")).agg(F.round(F.avg("close"), 6).alias("ret"))
-    return store.in_window(table, "1996-01-01", "1996-06-30").filter(F.col("factor").isin("ASIA", "EUROPE"))
+    root = built(r, vol_factor_returns=(table, None))
+    return store.load(r.spark, root, "vol_factor_returns", "1996-01-01", "1996-06-30", factor=["ASIA", "EUROPE"])
 
 
 @query(with_roles("chain", "select symbol, count(*) filter (iv > 0 and abs(iv - 0.15) <= 0.05) as valid, count(*) as n from chain group by 1"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import pricing
 from ..functions.windows import by
-from ..operators import book_studies, calendar, har, pnl, reports, risk, signals, vol
-from ..operators.regress import fit_by, residuals_by
+from ..operators import book_studies, calendar, har, pnl, reports, risk, signals, surface, vol
+from ..operators.regress import ols_table, residuals_by
 from ..sources.roles import Roles, with_roles
 from .joins_queries import _EVENTS
-from .panel_queries import _OPT, option_panel
+from .panel_queries import _OPT, _PILLARS, option_panel
 from .registry import query, r6, rounded
 
 # ---- cross-section ---------------------------------------------------------------------------------------------
@@ -47,11 +48,12 @@ def m8_variance_premium(r: Roles):
     return rounded(signals.variance_premium(rows, rows))
 
 
-@query(with_roles("chain", """s as (select date, symbol, ln(avg(iv)) - ln(0.15) as vrp from chain group by 1, 2), m as (select date, avg(vrp) as m from s where symbol <> 'S0' group by 1), i as (select date, vrp from s where symbol = 'S0' and day(date) % 2 = 0)
+@query(with_roles("chain", f"""{_PILLARS}, s as (select date, symbol, ln(avg(iv)) - ln(0.15) as vrp from chain group by 1, 2), m as (select date, avg(vrp) as m from s where symbol <> 'S0' group by 1), i as (select date, ln(avg(atm_iv)) - ln(0.15) as vrp from pillars where symbol = 'S0' group by 1)
     select date, round(coalesce(i.vrp, m), 6) + 0.0 as vrp from m full join i using (date)"""))
 def m24_index_premium(r: Roles):
+    """The index's own premium on days on which it has a pillar, else the mean of the names."""
     rows = r.chain.groupBy("date", "symbol").agg((F.ln(F.avg("iv")) - F.ln(F.lit(0.15))).alias("vrp"))
-    index = rows.filter((F.col("symbol") == "S0") & (F.dayofmonth("date") % 2 == 0))
+    index = surface.atm_pillars(r.chain.filter("symbol = 'S0'")).groupBy("date").agg((F.ln(F.avg("atm_iv")) - F.ln(F.lit(0.15))).alias("vrp"))
     return rounded(signals.premium_with_fallback(index, rows.filter("symbol <> 'S0'")))
 
 
@@ -167,14 +169,6 @@ def m17_residual_returns(r: Roles):
     return out.select("date", "symbol", r6("pnl_per_vega", 4), r6("residual", 2))
 
 
-@query(with_roles("xs_bars sectors", f"""{_RET}, bk as (select date, sum(pnl_per_vega) as y from cl where cast(symbol as integer) % 3 = 0 group by 1), j as (select y, m.ret as x from bk join fr m on m.date = bk.date and m.factor = 'MKT')
-    select count(*) as n, round(regr_intercept(y, x), 3) + 0.0 as const, round(regr_slope(y, x), 4) + 0.0 as b_market, round(sqrt(var_pop(y) - regr_slope(y, x) * covar_pop(x, y)), 3) as resid_std from j"""))
-def m18_book_regression(r: Roles):
-    book = returns(r).filter("pnl_per_vega is not null and dollar_vega > 0 and cast(symbol as int) % 3 = 0").groupBy("date").agg(F.sum("pnl_per_vega").alias("net_pnl"))
-    rows = book.join(factors(r).filter(F.col("factor") == risk.MARKET).select("date", F.col("ret").alias("market")), "date")
-    return fit_by(rows, "net_pnl", ["market"], []).select("n", r6("const", 3), r6("b_market", 4), F.round(F.sqrt("resid_var"), 3).alias("resid_std"))
-
-
 @query(with_roles("xs_bars sectors", "f as (select distinct sector as factor from sectors union select 'MKT'), y as (select distinct symbol from xs_bars) select y.symbol, f.factor, case when f.factor = s.sector then 1.5 else 0.0 end as loading from y cross join f left join sectors s on s.symbol = y.symbol"))
 def m25_aligned_loadings(r: Roles):
     names = r.sectors.select(F.col("sector").alias("factor")).unionByName(r.spark.range(1).select(F.lit("MKT").alias("factor")))
@@ -208,14 +202,6 @@ def b14_tail_targets(r: Roles):
     return rounded(pnl.rank_targets(level_signal(r), scheme="quantile"))
 
 
-@query(with_roles("xs_bars", """inn as (select date, symbol from xs_bars where cast(symbol as integer) % 4 = month(date) % 4), dt as (select date, row_number() over (order by date) as i from (select distinct date from xs_bars)),
-    ru as (select x.date, x.symbol, i - row_number() over (partition by x.symbol order by x.date) as run, inn.symbol as m from xs_bars x join dt using (date) left join inn on inn.date = x.date and inn.symbol = x.symbol),
-    hd as (select *, max(m) over (partition by symbol, run order by date rows between unbounded preceding and current row) as h from ru) select date, symbol from hd where h is not null"""))
-def b15_eligible_names(r: Roles):
-    universe = r.xs_bars.filter(F.col("symbol").cast("int") % 4 == F.month("date") % 4).select("date", "symbol")
-    return pnl.eligible_scores(level_signal(r), r.xs_bars, universe).select("date", "symbol")
-
-
 _REFERENCE = """rf as (select date, symbol, 100 * ln(close / lag(close) over (partition by symbol order by date)) as pnl_per_vega, 0.01 as cost_per_vega, 0.02 as exit_cost_per_vega, 1.0 + volume % 7 as dollar_vega, lag(1.0 + volume % 7) over (partition by symbol order by date) as entry_vega, case when month(date) % 3 = 0 then 'roll' else '' end as event from xs_bars),
     rb as (select date from (select distinct date from xs_bars) where month(date) % 2 = 1), al as (select d.date, s.symbol from (select distinct date from xs_bars) d cross join (select distinct symbol from xs_bars) s),
     st as (select al.date, al.symbol, rf.pnl_per_vega, rf.cost_per_vega, rf.exit_cost_per_vega, rf.dollar_vega, rf.entry_vega, coalesce(rf.event, '') as event, rf.symbol is not null as here,
@@ -241,6 +227,15 @@ def b16_rank_book(r: Roles):
     return rank_book(r).select("date", "symbol", r6("units", 5), r6("option_pnl", 4), r6("option_cost", 5), r6("dollar_vega", 5), "stale")
 
 
+@query(with_roles("xs_bars", f"""{_RANKS}, {_REFERENCE}, nx as (select date, lead(date) over (order by date) as nd from (select distinct date from rc)), hb as (select nd as date, symbol from rc join nx using (date) where units <> 0 and nd is not null),
+    inn as (select date, symbol from xs_bars where cast(symbol as integer) % 4 = month(date) % 4)
+    select sg.date, sg.symbol, round(signal, 6) as signal from sg where (sg.date, sg.symbol) in (select (date, symbol) from inn) or (sg.date, sg.symbol) in (select (date, symbol) from hb)"""))
+def b15_eligible_names(r: Roles):
+    """Names of the universe, and those that the rank book holds."""
+    universe = r.xs_bars.filter(F.col("symbol").cast("int") % 4 == F.month("date") % 4).select("date", "symbol")
+    return rounded(pnl.eligible_scores(level_signal(r), r.xs_bars, universe, pnl.held_before(rank_book(r))))
+
+
 _DAILY = """tv as (select *, abs(dollar_vega - coalesce(lag(dollar_vega) over (partition by symbol order by date), 0)) as traded from rc),
     bd as (select date, sum(option_pnl) as gross_pnl, sum(option_cost) as cost, sum(abs(dollar_vega)) as gross_vega, sum(dollar_vega) as net_vega, sum(traded) as turnover, count(*) filter (units <> 0) as positions, sum(option_pnl) - sum(option_cost) as net_pnl from tv group by 1),
     dl as (select *, sum(net_pnl) over (order by date) as cumulative_net from bd)"""
@@ -260,6 +255,24 @@ def b19_book_summary(r: Roles):
     return out.select("sessions", r6("mean_positions", 4), r6("total_net_pnl", 2), r6("sharpe", 4), r6("max_drawdown", 2), r6("annual_turnover_over_gross_vega", 4), r6("cost_drag", 4))
 
 
+@query(with_roles("xs_bars sectors", f"""{_RANKS}, {_REFERENCE}, {_DAILY}, {_RET}, j as (select net_pnl / gross_vega as y, m.ret as x from dl join fr m on m.date = dl.date and m.factor = 'MKT' where gross_vega > 0),
+    f as (select count(*) as n, regr_slope(y, x) as b, regr_intercept(y, x) as a, avg(x) as mx, var_pop(x) as vx, var_pop(y) as vy, var_pop(y) - regr_slope(y, x) * covar_pop(x, y) as rest from j),
+    t as (select *, rest / (n - 2) as s from f), u as (select unnest(['const', 'market']) as regressor, unnest([a, b]) as c, unnest([sqrt(s * (1 + mx * mx / vx)), sqrt(s / vx)]) as e, 1 - rest / vy as r2, n from t)
+    select regressor, round(c, 5) + 0.0 as coefficient, round(c / e, 3) + 0.0 as t_stat, round(r2, 5) as r_squared, n as observations from u"""))
+def m18_book_regression(r: Roles):
+    """The rank book's P&L of a dollar of gross vega on the market factor."""
+    daily = reports.book_daily(rank_book(r)).filter("gross_vega > 0").withColumn("y", F.col("net_pnl") / F.col("gross_vega"))
+    rows = daily.join(factors(r).filter(F.col("factor") == risk.MARKET).select("date", F.col("ret").alias("market")), "date")
+    return ols_table(rows, "y", ["market"]).select("regressor", r6("coefficient", 5), r6("t_stat", 3), r6("r_squared", 5), "observations")
+
+
+@query(None)
+def m18_book_factors(r: Roles):
+    """The same on the market, all sectors and an index return; compared with least squares in the tests."""
+    market = r.xs_bars.groupBy("date").agg(F.avg(F.ln(F.col("close") / F.col("open"))).alias("market_return"))
+    return rounded(reports.book_factors(reports.book_daily(rank_book(r)), factors(r), market), 5)
+
+
 _FWD = """fw as (select date, symbol, case when count(*) over f = 3 then sum(coalesce(pnl_per_vega, 0)) over f end as gross_fwd, case when count(*) over f = 3 then sum(coalesce(cost_per_vega, 0)) over f end as cost_fwd, exit_cost_per_vega as e0, lead(exit_cost_per_vega, 3) over (partition by symbol order by date) as e1
         from rf window f as (partition by symbol order by date rows between 1 following and 3 following)), fn as (select *, gross_fwd - cost_fwd - e0 - e1 as net_fwd from fw where gross_fwd is not null and e1 is not null)"""
 
@@ -279,17 +292,42 @@ def b12_spread_stats(r: Roles):
     return rounded(reports.spread_stats(level_signal(r), reference_panel(r), 3), 4)
 
 
+WINDOWS = {"3": (3, 0), "6_skip1": (6, 1), "12": (12, 0)}
+
+
+def sweep(r: Roles):
+    rebalances = r.xs_bars.select("date").distinct().filter(F.month("date") % 2 == 1)
+    return book_studies.window_sweep(reference_panel(r), WINDOWS, 3, rebalances, factors(r), risk.MARKET)
+
+
 @query(None)
 def b22_window_sweep(r: Roles):
-    """Past-return signals of several windows: decile spreads and rank books of all of them in one pass."""
-    return rounded(book_studies.window_sweep(reference_panel(r), {"3": 3, "6": 6, "12": 12}, horizon=3), 4)
+    """Past-return signals of several windows: spreads, rank books, their market loading and their costed books, a row a window."""
+    return rounded(sweep(r)[0], 4)
+
+
+def _past(label: str, n: int, skip: int) -> str:
+    return f"select '{label}' as label, date, symbol, case when count(pnl_per_vega) over w >= {max(1, n // 2)} then sum(pnl_per_vega) over w end as past from rf window w as (partition by symbol order by date rows between {n + skip - 1} preceding and {f'{skip} preceding' if skip else 'current row'})"
 
 
-@query(with_roles("sessions announcements chain", f"""{_EVENTS}, iv as (select date, symbol, avg(iv) as signal from chain group by 1, 2), nx as (select iv.*, (select min(event_session) from e where e.symbol = iv.symbol and event_session >= iv.date) - date as d, lead(signal) over (partition by symbol order by date) - signal as fwd from iv)
-    select case when d between 0 and 7 then '0-7' when d between 8 and 30 then '8-30' when d between 31 and 90 then '31-90' else 'none' end as bucket, count(*) as n, round(avg(signal), 6) as signal, round(avg(fwd), 6) + 0.0 as fwd from nx group by 1"""))
+@query(with_roles("xs_bars", f"""{_RANKS}, {_REFERENCE}, {_FWD}, ps as ({" union all ".join(_past(k, *v) for k, v in WINDOWS.items())}), pn as (select *, count(*) over (partition by label, date) as names from ps where past is not null),
+    zs as (select label, date, symbol, -(past - avg(past) over g) / stddev_samp(past) over g as signal from pn where names >= 50 window g as (partition by label, date)),
+    dc as (select label, date, gross_fwd, net_fwd, least(10, greatest(1, ceil(row_number() over (partition by label, date order by signal, symbol) * 10 / count(*) over (partition by label, date)))) as decile from zs join fn using (date, symbol)),
+    dd as (select label, date, decile, avg(gross_fwd) as gross, avg(net_fwd) as net, count(*) as names from dc group by 1, 2, 3)
+    select label, cast(decile as integer) as decile, round(avg(gross), 3) + 0.0 as gross_fwd_pnl_per_vega, round(avg(net), 3) + 0.0 as net_fwd_pnl_per_vega, round(avg(names), 4) as mean_names, count(*) as dates from dd group by 1, 2"""))
+def b22_window_deciles(r: Roles):
+    """The decile table of each window."""
+    return sweep(r)[1].select("label", "decile", r6("gross_fwd_pnl_per_vega", 3), r6("net_fwd_pnl_per_vega", 3), r6("mean_names", 4), "dates")
+
+
+@query(with_roles("sessions announcements chain", f"""{_EVENTS}, iv as (select date, symbol, round(avg(iv), 9) as signal, avg(oi) as raw from chain group by 1, 2), nx as (select iv.*, (select min(event_session) from e where e.symbol = iv.symbol and event_session >= iv.date) - date as d, lead(signal) over (partition by symbol order by date) - signal as fwd,
+        floor((rank() over (partition by date order by signal) + (count(*) over (partition by date, signal) - 1) / 2 - 1) * 5 / count(*) over (partition by date)) + 1 as place from iv)
+    select case when d between 0 and 7 then '0-7' when d between 8 and 30 then '8-30' when d between 31 and 90 then '31-90' else 'none' end as bucket, count(*) as name_days, round(avg(raw), 5) as mean_raw, round(avg(signal), 6) as mean_signal, round(avg(cast(place = 5 as integer)), 6) as share_top, round(avg(cast(place = 1 as integer)), 6) as share_bottom,
+    round(avg(fwd), 6) + 0.0 as fwd_pnl, round(avg(fwd) / (stddev_samp(fwd) / sqrt(count(fwd))), 3) + 0.0 as fwd_t from nx group by 1"""))
 def b13_signal_by_days_to_event(r: Roles):
-    rows = r.chain.groupBy("date", "symbol").agg(F.avg("iv").alias("signal")).withColumn("fwd", F.lead("signal").over(by("symbol")) - F.col("signal"))
-    return rounded(book_studies.by_days_to_event(rows, calendar.event_sessions(r.announcements, r.sessions), [("0-7", 0, 7), ("8-30", 8, 30), ("31-90", 31, 90)], ["signal", "fwd"]))
+    rows = r.chain.groupBy("date", "symbol").agg(F.round(F.avg("iv"), 9).alias("signal"), F.avg("oi").alias("raw")).withColumn("fwd", F.lead("signal").over(by("symbol")) - F.col("signal"))
+    out = book_studies.by_days_to_event(rows, calendar.event_sessions(r.announcements, r.sessions), [("0-7", 0, 7), ("8-30", 8, 30), ("31-90", 31, 90)], 5)
+    return out.select("bucket", "name_days", r6("mean_raw", 5), r6("mean_signal"), r6("share_top"), r6("share_bottom"), r6("fwd_pnl"), r6("fwd_t", 3))
 
 
 @query(with_roles("chain", f"""{_OPT}, s as (select month, symbol, -((call_payoff + put_payoff) / (call_mid + put_mid) - 1) as naked, -(call_payoff + put_payoff - call_mid - put_mid - (call_delta + put_delta) * (spot_at_expiry - spot_entry)) / (call_mid + put_mid) as hedged from opt)
@@ -305,6 +343,33 @@ def a24_carry_summary(r: Roles):
     return out.select("series", "months", r6("mean", 5), r6("std", 5))
 
 
+_CARRY = """rr as (select symbol, date, ln(close / lag(close) over (partition by symbol order by date)) as r from bars),
+    rz as (select o.month, o.symbol, coalesce(sum(r * r), 0) * 252 / greatest(count(r), 1) as realized_var from opt o left join rr on rr.symbol = o.symbol and rr.date > o.entry_day and rr.date <= o.expiration group by 1, 2)"""
+
+
+def carry_panel(r: Roles):
+    returns_ = r.bars.select("symbol", "date", vol.log_return().alias("r"))
+    return pnl.realized_over_hold(option_panel(r), returns_).withColumn("iv", F.col("signal"))
+
+
+@query(with_roles("chain bars", f"""{_OPT}, {_CARRY}, s as (select f as effective_spread, o.month, call_mid + put_mid - f * (call_ask - call_bid + put_ask - put_bid) / 2 as premium, call_payoff + put_payoff as payoff, (call_delta + put_delta) * (spot_at_expiry - spot_entry) as move from opt o cross join (values (0.0::double), (0.25::double), (0.5::double), (1.0::double)) x(f)),
+    mo as (select effective_spread, month, avg((premium - payoff) / premium) as naked, avg((premium - payoff + move) / premium) as hedged from s group by 1, 2), l as (select effective_spread, unnest(['naked', 'hedged']) as carry, unnest([naked, hedged]) as v from mo)
+    select effective_spread, carry, count(v) as months, round(avg(v), 5) + 0.0 as mean, round(stddev_samp(v), 5) as std, round(avg(v) / stddev_samp(v) * sqrt(count(v)), 3) + 0.0 as t_stat from l group by 1, 2"""))
+def a24_carry_costs(r: Roles):
+    """The carries net of each share of the entry's half spread."""
+    return book_studies.carry_cost_table(option_panel(r)).select("effective_spread", "carry", "months", r6("mean", 5), r6("std", 5), r6("t_stat", 3))
+
+
+@query(with_roles("chain bars", f"""{_OPT}, {_CARRY}, s as (select case when cast(substr(o.symbol, 2) as integer) % 2 = 0 then 'even' else 'odd' end as sample, o.month, signal * signal - realized_var as variance_premium, signal - sqrt(realized_var) as vol_premium from opt o join rz using (month, symbol)),
+    mo as (select sample, month, avg(variance_premium) as a, avg(vol_premium) as b from s group by 1, 2), l as (select sample, unnest(['variance_premium', 'vol_premium']) as series, unnest([a, b]) as v from mo)
+    select sample, series, count(v) as months, round(avg(v), 4) + 0.0 as mean, round(stddev_samp(v), 4) as std from l group by 1, 2"""))
+def a24_premium_series(r: Roles):
+    """Variance and volatility premiums of two samples of names."""
+    sample = F.when(F.substring("symbol", 2, 9).cast("int") % 2 == 0, "even").otherwise("odd")
+    rows = book_studies.carry_returns(carry_panel(r)).groupBy(sample.alias("sample"), "month").agg(F.avg("variance_premium").alias("variance_premium"), F.avg("vol_premium").alias("vol_premium"))
+    return book_studies.series_summary(rows, "month", ["variance_premium", "vol_premium"], ("sample",)).select("sample", "series", "months", r6("mean", 4), r6("std", 4))
+
+
 @query(with_roles("bars announcements sessions", f"""{_EVENTS}, w as (select e.symbol, e.event_session, a.date as entry_day, c.date as exit_day from e join sessions s on s.date = e.event_session join sessions a on a.session_index = s.session_index - 1 join sessions c on c.session_index = s.session_index + 1)
     select w.symbol, w.event_session, round(c.close / a.close - 1, 6) + 0.0 as realized_move, round(abs(c.close / a.close - 1) / ((a.high - a.low) / a.close), 5) as move_ratio from w join bars a on a.symbol = w.symbol and a.date = w.entry_day join bars c on c.symbol = w.symbol and c.date = w.exit_day where a.high > a.low"""))
 def b6_event_returns(r: Roles):
@@ -322,6 +387,104 @@ def b7_event_terciles(r: Roles):
     return book_studies.tercile_spread(rows, "score", "straddle", "period").select("months", r6("mean", 5), r6("std", 5))
 
 
+_EVENT_PANEL = f"""{_EVENTS}, w as (select e.symbol, e.session, e.event_session, z.date as runup_day, a.date as entry_day, c.date as exit_day from e join sessions s on s.date = e.event_session join sessions a on a.session_index = s.session_index - 1 join sessions c on c.session_index = s.session_index + 1 join sessions z on z.session_index = s.session_index - 5),
+    ep as (select w.*, cast(date_trunc('month', event_session) as date) as month, (a.high + a.low) / 2 as mid, a.low as bid, a.high as ask, (a.close - a.open) / a.close as delta, a.close as spot, (c.high + c.low) / 2 as exit_mid, c.close as exit_spot, (z.high + z.low) / 2 as runup_mid
+        from w join bars a on a.symbol = w.symbol and a.date = w.entry_day join bars c on c.symbol = w.symbol and c.date = w.exit_day join bars z on z.symbol = w.symbol and z.date = w.runup_day),
+    er as (select *, exit_mid / mid - 1 as straddle, (exit_mid - mid - delta * (exit_spot - spot)) / mid as hedged, mid / spot as implied_move, abs(exit_spot / spot - 1) / (mid / spot) as move_ratio, mid / runup_mid - 1 as iv_rise from ep),
+    eh as (select *, case when count(move_ratio) over h = 4 then avg(move_ratio) over h end as history_ratio from er window h as (partition by symbol order by event_session rows between 4 preceding and 1 preceding)),
+    so as (select * from (select eh.*, unnest(['implied', 'history', 'rise', 'level']) as sort, unnest([round(implied_move, 9), round(history_ratio, 9), round(iv_rise, 9), round(spot, 9)]) as score from eh) where score is not null),
+    te as (select *, cast(least(3, greatest(1, ceil((rank() over (partition by sort, month order by score) + (count(*) over (partition by sort, month, score) - 1) / 2) * 3 / count(*) over (partition by sort, month)))) as integer) as tercile from so)"""
+SORTS = {"implied": "implied_move", "history": "history_ratio", "rise": "iv_rise", "level": "spot"}
+
+
+def event_panel(r: Roles):
+    """Events with a price that stands for a straddle's: the middle of a bar's range, its low and high for the quotes."""
+    events = calendar.event_windows(calendar.event_sessions(r.announcements, r.sessions), r.sessions, 1, 1, 5)
+    middle = (F.col("high") + F.col("low")) / 2
+    entry = r.bars.select("symbol", F.col("date").alias("entry_day"), middle.alias("mid"), F.col("low").alias("bid"), F.col("high").alias("ask"), ((F.col("close") - F.col("open")) / F.col("close")).alias("delta"), F.col("close").alias("spot"))
+    leave = r.bars.select("symbol", F.col("date").alias("exit_day"), middle.alias("exit_mid"), F.col("close").alias("exit_spot"))
+    runup = r.bars.select("symbol", F.col("date").alias("runup_day"), middle.alias("runup_mid"))
+    rows = events.join(entry, ["symbol", "entry_day"]).join(leave, ["symbol", "exit_day"]).join(runup, ["symbol", "runup_day"]).withColumn("month", F.trunc("event_session", "month"))
+    rows = book_studies.straddle_event_returns(rows).withColumns({"implied_move": F.col("mid") / F.col("spot"), "iv_rise": F.col("mid") / F.col("runup_mid") - 1})
+    return book_studies.with_history(rows.withColumn("move_ratio", F.abs(F.col("exit_spot") / F.col("spot") - 1) / F.col("implied_move")))
+
+
+def scores():
+    return {name: F.round(c, 9) for name, c in SORTS.items()}
+
+
+@query(with_roles("bars announcements sessions", f"""{_EVENT_PANEL}, l as (select sort, tercile, score, month, unnest(['straddle', 'hedged', 'move_ratio']) as series, unnest([straddle, hedged, move_ratio]) as v from te),
+    ev as (select sort, tercile, series, count(*) as events, avg(v) as event_mean, avg(cast(v > 0 as integer)) as share_positive, avg(score) as sort_mean from l group by 1, 2, 3), mo as (select sort, tercile, series, month, avg(v) as v from l group by 1, 2, 3, 4),
+    ms as (select sort, tercile, series, count(*) as months, avg(v) as mean from mo group by 1, 2, 3)
+    select sort, tercile, series, events, round(event_mean, 5) + 0.0 as event_mean, round(share_positive, 6) as share_positive, months, round(mean, 5) + 0.0 as mean, round(sort_mean, 5) + 0.0 as sort_mean from ev join ms using (sort, tercile, series)"""))
+def b7_event_sorts(r: Roles):
+    """Event returns by tercile of four sorts."""
+    table, _ = book_studies.event_sorts(event_panel(r), scores(), ["straddle", "hedged", "move_ratio"])
+    return table.select("sort", "tercile", "series", "events", r6("event_mean", 5), r6("share_positive"), "months", r6("mean", 5), r6("sort_mean", 5))
+
+
+@query(with_roles("bars announcements sessions", f"""{_EVENT_PANEL}, m as (select sort, month, tercile, avg(straddle) as a, avg(hedged) as b from te group by 1, 2, 3), d as (select t.sort, t.month, t.a - b.a as a, t.b - b.b as b from m t join m b on b.sort = t.sort and b.month = t.month and b.tercile = 1 where t.tercile = 3),
+    l as (select sort, unnest(['straddle', 'hedged']) as series, unnest([a, b]) as v from d) select sort, series, count(*) as months, round(avg(v), 5) + 0.0 as mean, round(stddev_samp(v), 5) as std, round(avg(v) / stddev_samp(v) * sqrt(count(*)), 3) + 0.0 as t_stat from l group by 1, 2"""))
+def b7_event_spreads(r: Roles):
+    """Top less bottom tercile of the four sorts."""
+    _, spread = book_studies.event_sorts(event_panel(r), scores(), ["straddle", "hedged"])
+    return spread.select("sort", "series", "months", r6("mean", 5), r6("std", 5), r6("t_stat", 3))
+
+
+@query(with_roles("bars announcements sessions", f"""{_EVENT_PANEL}, f as (select te.*, f, (ask - bid) / (2 * mid) as rel from te cross join (values (0.0::double), (0.25::double), (0.5::double), (1.0::double)) x(f) where tercile = 3),
+    p as (select *, mid * (1 - f * rel) as en, exit_mid * (1 + f * rel) as ex from f), l as (select sort, f as effective_spread, month, unnest(['straddle', 'hedged']) as series, unnest([-(ex / en - 1), -(ex - en - delta * (exit_spot - spot)) / en]) as v from p),
+    mo as (select sort, effective_spread, series, month, avg(v) as v from l group by 1, 2, 3, 4), ev as (select sort, effective_spread, series, count(v) as events, avg(v) as event_mean from l group by 1, 2, 3), ms as (select sort, effective_spread, series, count(v) as months, avg(v) as mean from mo group by 1, 2, 3)
+    select sort, effective_spread, series, events, round(event_mean, 4) + 0.0 as event_mean, months, round(mean, 4) + 0.0 as mean from ev join ms using (sort, effective_spread, series)"""))
+def b7_event_sort_costs(r: Roles):
+    """The short side of each sort's top tercile, net of shares of the spread."""
+    panel = event_panel(r).filter("bid > 0").drop("straddle", "hedged")
+    return book_studies.event_sort_costs(panel, scores()).select("sort", "effective_spread", "series", "events", r6("event_mean", 4), "months", r6("mean", 4))
+
+
+@query(with_roles("bars announcements sessions", f"""{_EVENT_PANEL}, s as (select month, straddle, hedged, unnest([case when session in ('bmo', 'amc') then 'session ' || session end, cast(year(event_session) as varchar)]) as split from er),
+    l as (select split, month, unnest(['straddle', 'hedged']) as series, unnest([straddle, hedged]) as v from s where split is not null), mo as (select split, series, month, avg(v) as v from l group by 1, 2, 3),
+    ev as (select split, series, count(*) as events, avg(v) as event_mean, avg(cast(v > 0 as integer)) as share_positive from l group by 1, 2), ms as (select split, series, count(*) as months, avg(v) as mean from mo group by 1, 2)
+    select split, series, events, round(event_mean, 5) + 0.0 as event_mean, round(share_positive, 6) as share_positive, months, round(mean, 5) + 0.0 as mean from ev join ms using (split, series)"""))
+def b7_event_splits(r: Roles):
+    """Event returns by session and by year."""
+    session = F.when(F.col("session").isin("bmo", "amc"), F.concat(F.lit("session "), "session"))
+    out = book_studies.event_splits(event_panel(r), [session, F.year("event_session").cast("string")], ["straddle", "hedged"])
+    return out.select("split", "series", "events", r6("event_mean", 5), r6("share_positive"), "months", r6("mean", 5))
+
+
+def unit_chain(r: Roles):
+    """The chain with an underlying that moves and a vega for each contract."""
+    level = r.chain.groupBy("date", "symbol").agg((100 * (0.85 + F.avg("iv"))).alias("underlying"))
+    rows = r.chain.drop("underlying").join(level, ["date", "symbol"]).withColumns({"years": F.datediff("expiration", "date") / 365.0, "is_call": F.col("right") == "C"})
+    rows = pricing.with_greeks(rows.drop("delta"), "underlying", "strike", "years", "iv", "is_call")
+    return rows.drop("price", "gamma", "theta", "years", "is_call")
+
+
+def unit_returns(r: Roles):
+    return r.kept("unit", lambda: pnl.per_vega(pnl.unit_records(pnl.reference_unit(unit_chain(r), 14, 5, 14, 90, 45))))
+
+
+@query(None)
+def b17_unit_returns(r: Roles):
+    """P&L and costs of one unit a name for a dollar of its inception vega; checked against a session loop in the tests."""
+    return rounded(unit_returns(r), 5)
+
+
+@query(None)
+def b16_unit_book(r: Roles):
+    """A book that holds one unit of each name, set anew every fourth week."""
+    unit = unit_returns(r)
+    rebalances = calendar.session_index(unit).filter("session_index % 4 = 0").select("date")
+    return rounded(pnl.book(unit, pnl.unit_targets(unit), rebalances, 1.0), 4)
+
+
+@query(None)
+def m11_unit_factors(r: Roles):
+    """Factor returns of the reference units; a name's sector is its number's."""
+    sectors = r.sectors.select(F.concat(F.lit("S"), "symbol").alias("symbol"), "sector")
+    return rounded(risk.factor_returns(unit_returns(r), sectors), 4)
+
+
 @query(None)
 def b17_reference_unit(r: Roles):
     """The rolled straddle of each name; checked against a session loop in the tests."""

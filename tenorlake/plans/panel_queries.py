@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..functions.windows import bucket, by
+from ..functions.windows import bucket, by, exact_quantile
 from ..operators import calendar, panels, pnl, reports, risk, surface, vol
 from ..operators.joins import pivot_sides
 from ..sources.roles import Roles, with_roles
@@ -184,7 +184,7 @@ def a12_symbology_verdict(r: Roles):
     select state, count(*) as n, round(avg(ret), 6) + 0.0 as ret, round(avg(signal), 6) as signal from s where state is not null group by 1"""))
 def a15_state_table(r: Roles):
     rows = stock_panel(r)
-    median = rows.agg(F.percentile("signal", F.lit(0.5)).alias("med"))
+    median = exact_quantile(rows, "signal", 0.5, "med")
     states = F.array(F.when(F.col("signal") > F.col("med"), "high_vol"), F.when(F.month("month") == 1, "january"), F.lit("all"))
     return rounded(reports.state_table(rows.crossJoin(F.broadcast(median)), states, ["ret", "signal"]))
 
@@ -270,19 +270,19 @@ def a8_liquidity_halves(r: Roles):
     return out.groupBy("liquidity").agg(F.count("*").alias("n"), (F.round(F.avg("straddle"), 5) + 0.0).alias("straddle"))
 
 
-_PATHS = """held as (select symbol, expiration, strike, min(date) as month from chain where strike = 100 group by 1, 2, 3),
+_PATHS = """held as (select symbol, expiration, strike, min(date) as month from chain group by 1, 2, 3),
     ms as (select date, symbol, expiration, strike, sum((bid + ask) / 2) as m, sum(delta) as d, 100 * (1 + avg(iv)) as spot from chain group by 1, 2, 3, 4 having count(*) = 2),
-    pa as (select h.symbol, h.month || '/' || h.expiration as month, ms.date, ms.m, ms.d, ms.spot from held h join ms using (symbol, expiration, strike) where ms.date between h.month and h.expiration)"""
+    pa as (select h.symbol, h.month || '/' || h.expiration || '/' || cast(h.strike as integer) as month, ms.date, ms.m, ms.d, ms.spot from held h join ms using (symbol, expiration, strike) where ms.date between h.month and h.expiration)"""
 
 
 @query(with_roles("chain", f"""{_PATHS}, l as (select *, -(m - lag(m) over w) as o, lag(d) over w * (spot - lag(spot) over w) as hd from pa window w as (partition by symbol, month order by date))
     select symbol, month, round(sum(o), 5) + 0.0 as option_pnl, round(sum(hd), 5) + 0.0 as hedge_pnl, count(*) as n_days from l group by 1, 2"""))
 def b3_daily_hedge(r: Roles):
-    at = r.chain.filter("strike = 100")
+    at = r.chain
     held = at.groupBy("symbol", "expiration", "strike").agg(F.min("date").alias("first"))
     marks = at.groupBy("date", "symbol", "expiration", "strike").agg(F.sum((F.col("bid") + F.col("ask")) / 2).alias("straddle_mid"), F.sum("delta").alias("net_delta"), (100 * (1 + F.avg("iv"))).alias("spot"), F.count("*").alias("n")).filter("n = 2")
     paths = held.join(marks, ["symbol", "expiration", "strike"]).filter(F.col("date").between(F.col("first"), F.col("expiration")))
-    paths = paths.withColumn("month", F.concat_ws("/", F.col("first").cast("string"), F.col("expiration").cast("string")))
+    paths = paths.withColumn("month", F.concat_ws("/", F.col("first").cast("string"), F.col("expiration").cast("string"), F.col("strike").cast("int").cast("string")))
     return rounded(pnl.daily_hedge(paths), 5)
 
 
@@ -351,18 +351,27 @@ def m2_black_scholes(r: Roles):
     return out.select("date", "symbol", "expiration", "strike", "right", r6("price", 5), *(r6(c) for c in ("delta", "gamma", "vega", "theta")))
 
 
-@query(with_roles("chain", 'select date, symbol, expiration, strike, "right", round(iv, 4) as iv from chain where expiration > date and abs(strike / underlying - 1) <= 0.1'))
+@query(with_roles("chain", f"""{_BS} select date, symbol, expiration, strike, "right", case when abs(k / s - 1) <= 0.1 then round(v, 4) end as iv, round(case when "right" = 'C' then s * na - k * nb else s * na - k * nb - s + k end, 4) + 0.0 as price from n"""))
 def m3_implied_vol_round_trip(r: Roles):
-    """IVs found again from the prices that they give."""
-    rows = r.chain.filter("expiration > date and abs(strike / underlying - 1) <= 0.1").withColumns({"years": F.datediff("expiration", "date") / 365.0, "is_call": F.col("right") == "C"})
+    """IVs found again from prices, and the prices that they give; far from the money, where many IVs give one price, only the price is compared."""
+    rows = r.chain.withColumns({"years": F.datediff("expiration", "date") / 365.0, "is_call": F.col("right") == "C"})
     rows = pricing.with_greeks(rows.drop("delta"), "underlying", "strike", "years", "iv", "is_call")
-    return rows.select("date", "symbol", "expiration", "strike", "right", F.round(pricing.implied_vol("price", "underlying", "strike", "years", "is_call", F.lit(0.0)), 4).alias("iv"))
+    rows = rows.withColumn("found", pricing.implied_vol("price", "underlying", "strike", "years", "is_call", F.lit(0.0))).drop("price", "delta", "gamma", "vega", "theta")
+    again = pricing.with_greeks(rows, "underlying", "strike", "years", "found", "is_call")
+    worth = F.greatest(F.when(F.col("is_call"), F.col("underlying") - F.col("strike")).otherwise(F.col("strike") - F.col("underlying")), F.lit(0.0))
+    near = F.abs(F.col("strike") / F.col("underlying") - 1) <= 0.1
+    return again.select("date", "symbol", "expiration", "strike", "right", F.when(near, F.round("found", 4)).alias("iv"), r6(F.coalesce("price", worth), 4).alias("price"))
+
+
+_BUMPED = _BS.replace("iv as v from chain", "iv + bump as v, bump from chain cross join (values (0.0::double), (0.01::double)) b(bump)")
 
 
-@query(with_roles("chain", """n as (select count(*) as n from chain where expiration > date and abs(strike / underlying - 1) <= 0.1) select n, 1.0::double as per_point_share, true as per_point from n"""))
+@query(with_roles("chain", f"""{_BUMPED}, p as (select date, symbol, expiration, strike, "right", bump, case when "right" = 'C' then s * na - k * nb else s * na - k * nb - s + k end as price, s * pa * sqrt(t) / 100 as vega from n),
+    m as (select max(case when bump = 0 then vega end) as vega, max(case when bump > 0 then price end) - max(case when bump = 0 then price end) as move from p group by date, symbol, expiration, strike, "right")
+    select count(*) as n, round(avg(cast(abs(vega - move) < abs(vega / 100 - move) as double)), 3) as per_point_share, avg(cast(abs(vega - move) < abs(vega / 100 - move) as double)) >= 2.0 / 3 as per_point from m where vega >= 1e-6"""))
 def a21_vega_convention(r: Roles):
-    """Share of near contracts whose vega, taken as of one point, reprices a one-point move better than taken as of a unit; two thirds decide."""
-    rows = r.chain.filter("expiration > date and abs(strike / underlying - 1) <= 0.1").withColumns({"years": F.datediff("expiration", "date") / 365.0, "is_call": F.col("right") == "C", "up": F.col("iv") + 0.01}).drop("delta")
+    """Share of contracts whose vega, taken as of one point, reprices a one-point move better than taken as of a unit; two thirds decide."""
+    rows = r.chain.withColumns({"years": F.datediff("expiration", "date") / 365.0, "is_call": F.col("right") == "C", "up": F.col("iv") + 0.01}).drop("delta")
     rows = pricing.with_greeks(rows, "underlying", "strike", "years", "iv", "is_call").withColumnRenamed("price", "before").drop("delta", "gamma", "theta")
     rows = pricing.with_greeks(rows.withColumnRenamed("vega", "own_vega"), "underlying", "strike", "years", "up", "is_call")
-    return pricing.vega_convention(rows.select("own_vega", (F.col("price") - F.col("before")).alias("move")), "own_vega", "move")
+    return rounded(pricing.vega_convention(rows.select("own_vega", (F.col("price") - F.col("before")).alias("move")), "own_vega", "move"), 3)

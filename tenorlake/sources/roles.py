@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,10 +26,18 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def names(self) -> int:
+        """Symbols of bars, chains and announcements: one for each 20 suppliers, so they grow with the tables; five at least."""
+        return max(5, self.table("supplier").count() // 20)
+
+    def name_of(self, key: str) -> Column:
+        return F.concat(F.lit("S"), (F.col(key) % self.names).cast("string"))
+
     @cached_property
     def bars(self) -> DataFrame:
-        """Daily bars of five symbols."""
-        return self._bars(F.to_date("l_shipdate"), F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")))
+        """Daily bars, a symbol for each 20 suppliers."""
+        return self._bars(F.to_date("l_shipdate"), self.name_of("l_suppkey"))
 
     @cached_property
     def xs_bars(self) -> DataFrame:
@@ -49,11 +57,11 @@ class Roles:
 
     @cached_property
     def chain(self) -> DataFrame:
-        """Weekly option quotes of five symbols on an underlying of 100."""
+        """Weekly option quotes on underlyings of 100, a symbol for each 20 suppliers."""
         week = F.to_date(F.date_trunc("week", "l_shipdate"))
         key = {
             "date": week,
-            "symbol": F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")),
+            "symbol": self.name_of("l_suppkey"),
             "expiration": F.date_add(week, (7 * (2 + 4 * (F.col("l_linenumber") % 3))).cast("int")),
             "strike": (10 * F.floor((F.col("l_quantity") - 1) / 10) + 80).cast("double"),
             "right": F.when(F.col("l_tax") < 0.04, "C").otherwise("P"),
@@ -70,9 +78,11 @@ class Roles:
 
     @cached_property
     def announcements(self) -> DataFrame:
+        """Of each symbol and month the day of its largest order: a few events a year, from all orders."""
         session = F.when(F.col("o_orderstatus") == "O", "amc").when(F.col("o_orderstatus") == "F", "bmo").otherwise("unknown")
-        rows = self.table("orders").filter(F.col("o_orderkey") % 40 == 0)
-        return rows.groupBy(F.concat(F.lit("S"), (F.col("o_custkey") % 5).cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(F.min(session).alias("session"))
+        largest = F.max_by(F.struct(F.to_date("o_orderdate").alias("date"), session.alias("session")), F.struct("o_totalprice", "o_orderkey"))
+        months = self.table("orders").groupBy(self.name_of("o_custkey").alias("symbol"), F.trunc("o_orderdate", "month").alias("month")).agg(largest.alias("e"))
+        return months.select("symbol", "e.date", "e.session")
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -110,17 +120,19 @@ _BARS = """select {date} as date, {symbol} as symbol,
     cast(sum(l_quantity) as bigint) as volume
   from lineitem group by 1, 2"""
 
+_NAMES = "(select greatest(5, count(*) // 20) from supplier)"
+
 ROLE_SQL = {
-    "bars": _BARS.format(date="cast(l_shipdate as date)", symbol="'S' || cast(l_suppkey % 5 as varchar)"),
+    "bars": _BARS.format(date="cast(l_shipdate as date)", symbol=f"'S' || cast(l_suppkey % {_NAMES} as varchar)"),
     "xs_bars": _BARS.format(date="cast(date_trunc('month', l_shipdate) as date)", symbol="cast(l_suppkey as varchar)"),
-    "chain": """select *, 100.0::double as underlying, round(case when "right" = 'C' then 0.5 + (100 - strike) / 100 else (100 - strike) / 100 - 0.5 end, 6) as delta from (
-    select week as date, 'S' || cast(l_suppkey % 5 as varchar) as symbol, week + cast(7 * (2 + 4 * (l_linenumber % 3)) as integer) as expiration,
+    "chain": f"""select *, 100.0::double as underlying, round(case when "right" = 'C' then 0.5 + (100 - strike) / 100 else (100 - strike) / 100 - 0.5 end, 6) as delta from (
+    select week as date, 'S' || cast(l_suppkey % {_NAMES} as varchar) as symbol, week + cast(7 * (2 + 4 * (l_linenumber % 3)) as integer) as expiration,
     cast(10 * floor((l_quantity - 1) / 10) + 80 as double) as strike, case when l_tax < 0.04 then 'C' else 'P' end as "right",
     round(min(l_discount) * 10 + 0.05, 4) as bid, round(min(l_discount) * 10 + 0.15 + max(l_tax), 4) as ask,
     round(0.1 + avg(l_discount), 6) as iv, count(*) as volume, cast(sum(l_linenumber) as bigint) as oi
   from (select *, cast(date_trunc('week', l_shipdate) as date) as week from lineitem) group by 1, 2, 3, 4, 5)""",
-    "announcements": """select 'S' || cast(o_custkey % 5 as varchar) as symbol, cast(o_orderdate as date) as date,
-    min(case o_orderstatus when 'O' then 'amc' when 'F' then 'bmo' else 'unknown' end) as session from orders where o_orderkey % 40 = 0 group by 1, 2""",
+    "announcements": f"""select symbol, cast(d as date) as date, session from (select 'S' || cast(o_custkey % {_NAMES} as varchar) as symbol, date_trunc('month', o_orderdate) as month,
+    max_by(o_orderdate, (o_totalprice, o_orderkey)) as d, max_by(case o_orderstatus when 'O' then 'amc' when 'F' then 'bmo' else 'unknown' end, (o_totalprice, o_orderkey)) as session from orders group by 1, 2)""",
     "actions": """select cast(user_id as varchar) as symbol, cast(ts as date) as date, case event_type when 'signup' then 'split' else 'dividend' end as action,
     case event_type when 'signup' then 2.0::double else round(value, 4) end as value from events where event_type in ('signup', 'purchase')""",
     "ticks": "select cast(user_id as varchar) as symbol, cast(ts as date) as date, round(max_by(value, (ts, event_id)), 6) as close from events group by 1, 2",

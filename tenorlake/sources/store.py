@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from datetime import date as Date
 
@@ -13,6 +14,16 @@ from ..functions.quotes import mid, normal_ticker, right_letter
 from .schemas import CHAIN, STOCKS, UNIVERSE, conform
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which all executors share; a local master that names none has a folder of its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="store-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 class MissingDataset(FileNotFoundError):
     """A table that a job has not built yet."""
 
@@ -95,6 +106,16 @@ def scan_universe(raw: DataFrame, overrides: dict[str, str] | None = None) -> Da
     return conform(raw.select("date", normal_ticker("ticker", overrides).alias("symbol")).distinct(), UNIVERSE)
 
 
+def scan_raw(spark: SparkSession, path: str, job: str, start=None, end=None) -> DataFrame:
+    """A vendor's chain as it was delivered, with the ``date`` of its quotes, over a window."""
+    return in_window(require(spark, path, job).withColumn("date", F.to_date("underlying_timestamp")), start, end)
+
+
+def index_bars(levels: DataFrame) -> DataFrame:
+    """Index levels in the schema of stocks, with no volume."""
+    return conform(levels.withColumn("volume", F.lit(0)), STOCKS)
+
+
 def spot_from_chain(chain: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     """``date, symbol, close`` (and ``split_ratio``): the underlying of each symbol and day, from its first contract."""
     spot = chain.filter(F.col("underlying") > 0).groupBy("date", "symbol").agg(F.min_by("underlying", F.struct("expiration", "strike", "right")).alias("close"))
@@ -115,6 +136,124 @@ def spot_series(levels: DataFrame, closes: DataFrame, roots: dict[str, str]) ->
     return index.join(F.broadcast(pairs), "symbol").select("root", "date", "spot").unionByName(stock.join(F.broadcast(pairs), "root", "left_anti"))
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path as Hadoop has it; any store that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _below(spark: SparkSession, path: str) -> list:
+    """What lies directly in a folder; empty if there is none. Folders are datasets or years: few."""
+    fs, target = _files(spark, path)
+    return list(fs.listStatus(target)) if fs.exists(target) else []
+
+
+def available_years(spark: SparkSession, root: str, dataset: str) -> list[int]:
+    """The years of a dataset that are on disk, from its folders ``year=...``; others are not years."""
+    names = [x.getPath().getName() for x in _below(spark, f"{root}/{dataset}") if x.isDirectory()]
+    return sorted(int(n[5:]) for n in names if n.startswith("year=") and n[5:].isdigit())
+
+
+def available_symbols(spark: SparkSession, root: str, dataset: str, year: int) -> list[str]:
+    """The symbols that a year of a dataset has, from its folders ``symbol=...``."""
+    names = [x.getPath().getName() for x in _below(spark, f"{root}/{dataset}/year={year}") if x.isDirectory()]
+    return sorted(n[7:] for n in names if n.startswith("symbol="))
+
+
+def load_chain(spark: SparkSession, root: str, dataset: str, start: Date | str | None = None, end: Date | str | None = None, symbols: list[str] | None = None, job: str = "chain") -> DataFrame:
+    """A window of a dataset that lies by ``year`` and ``symbol``: only the folders of both are read.
+
+    ``MissingDataset`` names the window and what there is if no year of the window, or none of the symbols, is on disk.
+    """
+    low, high = (Date.fromisoformat(x).year if isinstance(x, str) else x and x.year for x in (start, end))
+    have = available_years(spark, root, dataset)
+    years = [y for y in have if (low is None or y >= low) and (high is None or y <= high)]
+    wanted = None if symbols is None else {s.upper() for s in symbols}
+    if not years or (wanted is not None and not any(wanted & set(available_symbols(spark, root, dataset, y)) for y in years)):
+        raise MissingDataset(f"{dataset} of {sorted(wanted) if wanted else 'any symbol'} over {start or 'start'} to {end or 'end'} (there: {have})", job)
+    df = require(spark, f"{root}/{dataset}", job).filter(F.col("year").isin(years))
+    if wanted is not None:
+        df = df.filter(F.col("symbol").isin(sorted(wanted)))
+    return in_window(df, start, end)
+
+
+#: The small tables of the store: the folder, the job that builds it, and the key that orders it.
+TABLES = {
+    "earnings": ("earnings", ["symbol", "date"]),
+    "corporate_actions": ("corporate-actions", ["symbol", "date"]),
+    "sectors": ("sectors", ["symbol"]),
+    "indices": ("reference", ["date", "symbol"]),
+    "yields": ("reference", ["date", "tenor"]),
+    "rates": ("reference", ["date", "symbol"]),
+    "vol_reference_returns": ("vol-risk-model", ["date", "symbol"]),
+    "vol_factor_returns": ("vol-risk-model", ["date", "factor"]),
+    "vol_factor_loadings": ("vol-risk-model", ["date", "symbol", "factor"]),
+    "vol_factor_covariances": ("vol-risk-model", ["date", "factor_1", "factor_2"]),
+    "vol_idio_vol": ("vol-risk-model", ["date", "symbol"]),
+    "symbology_check": ("symbology", ["year", "symbol"]),
+    "universe": ("universe", ["date", "symbol"]),
+}
+
+
+def load(spark: SparkSession, root: str, name: str, start: Date | str | None = None, end: Date | str | None = None, ordered: bool = False, **equal) -> DataFrame:
+    """A table of ``TABLES`` by name, its window if it has dates, and rows whose columns equal what is given (``tenor=...``).
+
+    Rows have no order unless ``ordered``: then they are sorted by the table's key.
+    """
+    job, key = TABLES[name]
+    df = require(spark, f"{root}/{name}", job)
+    df = in_window(df, start, end) if "date" in df.columns else df
+    for column, value in equal.items():
+        df = df.filter(F.col(column).isin(value) if isinstance(value, list) else F.col(column) == value)
+    return df.orderBy(*key) if ordered else df
+
+
+def load_rates(spark: SparkSession, root: str, tenor: str, start=None, end=None) -> DataFrame:
+    """``date, rate`` of one tenor of the yields."""
+    return load(spark, root, "yields", start, end, tenor=tenor).select("date", "rate")
+
+
+def load_splits(spark: SparkSession, root: str, start=None, end=None) -> DataFrame:
+    """``symbol, date, ratio`` of the corporate actions that are splits."""
+    return load(spark, root, "corporate_actions", start, end, action="split").select("symbol", "date", F.col("value").alias("ratio"))
+
+
+def usable_symbol_years(verdicts: DataFrame, bad: tuple[str, ...] = ("wrong_instrument",)) -> DataFrame:
+    """``symbol, year`` whose verdict is not one of ``bad``: a check that could not run is no failure."""
+    return verdicts.filter(~F.col("status").isin(*bad)).select("symbol", "year").distinct()
+
+
+def universe_symbols(universe: DataFrame, start=None, end=None, separator: str = "", exclude: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """``symbol``: distinct members of a window in the spelling of a destination, without those of ``exclude``; the first ``limit`` by name if given."""
+    rows = in_window(universe, start, end).select(F.regexp_replace(F.upper("symbol"), r"\.", separator).alias("symbol")).distinct()
+    if exclude is not None:
+        rows = rows.join(exclude.select("symbol").distinct(), "symbol", "left_anti")
+    return rows if limit is None else rows.orderBy("symbol").limit(limit)
+
+
+def describe_store(spark: SparkSession, root: str) -> DataFrame:
+    """``dataset, year, symbols, files, bytes`` of all that lies below ``root``: a row for each dataset, and for each year of one that has years.
+
+    Read from the file system's listing, which has a row for each folder.
+    """
+    rows = []
+    for entry in _below(spark, root):
+        if not entry.isDirectory():
+            continue
+        name = entry.getPath().getName()
+        fs, _ = _files(spark, root)
+        for year in available_years(spark, root, name) or [None]:
+            path = f"{root}/{name}" + (f"/year={year}" if year is not None else "")
+            names = fs.listFiles(_files(spark, path)[1], True)
+            files = size = 0
+            while names.hasNext():
+                status = names.next()
+                if status.getPath().getName().endswith(".parquet"):
+                    files, size = files + 1, size + status.getLen()
+            rows.append((name, year, len(available_symbols(spark, root, name, year)) if year is not None else None, files, size))
+    return spark.createDataFrame(rows, "dataset string, year int, symbols int, files int, bytes long")
+
+
 def inventory(df: DataFrame) -> DataFrame:
     """``year, symbols, rows, first_date, last_date`` of a stored table."""
     return df.groupBy(F.year("date").alias("year")).agg(F.count_distinct("symbol").alias("symbols"), F.count("*").alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))

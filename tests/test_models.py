@@ -202,6 +202,120 @@ def test_reference_unit_matches_a_session_loop(spark):
     assert {"roll", "open"} <= {x[2] for x in got}
 
 
+def record_loop(quotes: pd.DataFrame, picks: dict, roll, most):
+    """One contract a name, session by session: marks, roll, reopening, hedge; then P&L and costs over inception vega."""
+    out = []
+    for symbol, own in quotes.groupby("symbol"):
+        marks, spots = {}, {}
+        for d, day_rows in own.groupby("date"):
+            spots[d] = day_rows.sort_values(["expiration", "strike", "right"]).underlying.iloc[0]
+            usable = day_rows[(day_rows.ask > 0) & (day_rows.bid >= 0) & (day_rows.ask >= day_rows.bid)]
+            for key, g in usable.groupby(["expiration", "strike"]):
+                if len(g) >= 2:
+                    marks[(d, *key)] = {"mid": (g.bid.sum() + g.ask.sum()) / 2, "half": (g.ask.sum() - g.bid.sum()) / 2, "delta": g.delta.sum(), "vega": g.vega.sum()}
+        unit, last, shares, stale, inception = None, None, 0.0, 0, None
+        for d in sorted(spots):
+            entry, event, closed = inception, None, False
+            row = {"option_pnl": 0.0, "hedge_pnl": 0.0, "option_cost": 0.0, "hedge_cost": 0.0}
+            mark = None
+            if unit is not None:
+                event = ""
+                row["hedge_pnl"] = shares * (spots[d] - spot)
+                mark = marks.get((d, *unit))
+                if mark is None:
+                    stale += 1
+                    if stale > most or d >= unit[0]:
+                        event, closed = "forced_close", True
+                        row["hedge_cost"] += abs(shares) * 0.005
+                        unit, shares = None, 0.0
+                else:
+                    stale = 0
+                    row["option_pnl"] = (mark["mid"] - last["mid"]) * 100
+                    last = mark
+                    if (unit[0] - d).days <= roll:
+                        row["option_cost"] += mark["half"] * 100
+                        new = picks.get((symbol, d))
+                        if new is None:
+                            event, closed = "roll_failed_closed", True
+                            row["hedge_cost"] += abs(shares) * 0.005
+                            unit, shares, mark = None, 0.0, None
+                        else:
+                            event, unit, mark = "roll", new, marks[(d, *new)]
+                            last = mark
+                            row["option_cost"] += mark["half"] * 100
+            if unit is None and (symbol, d) in picks:
+                event, unit, stale, closed = "open", picks[symbol, d], 0, False
+                mark = last = marks[(d, *unit)]
+                row["option_cost"] += mark["half"] * 100
+            if event is None:
+                continue
+            if unit is not None and mark is not None:
+                row["hedge_cost"] += abs(-mark["delta"] * 100 - shares) * 0.005
+                shares = -mark["delta"] * 100
+            spot = spots[d]
+            vega = 0.0 if unit is None else last["vega"] * 100
+            if event in ("open", "roll"):
+                inception = vega
+            over = lambda v, w: v / w if w is not None and w > 0 else None
+            leave = mark["half"] * 100 if unit is not None and mark is not None else 0.0
+            out.append((symbol, d, event, over(row["option_pnl"] + row["hedge_pnl"], entry), over(row["option_cost"] + row["hedge_cost"], entry), over(leave, inception), vega, entry))
+    return sorted(out)
+
+
+def test_unit_returns_match_a_session_loop_over_several_names(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    # d has one expiration at a time, so there is nothing to roll into
+    rows += [(day(n * 3), "d", day(n * 3 // 60 * 60 + 60), 100.0, right, 1.0 + n % 3, 4.0, 0.3, 100.0 + n, 0.4, 0.2) for n in range(60) for right in "CP"]
+    for symbol in "abc":
+        for n in range(60):
+            if rng.random() < 0.1:
+                continue
+            spot = float(100 + rng.normal())
+            for k in (20, 34, 48, 62):
+                expiration = day((n * 3 + k) // 14 * 14)
+                for strike in (95.0, 100.0, 105.0):
+                    for right in "CP":
+                        if rng.random() < (0.3 if symbol == "c" else 0.75):
+                            rows.append((day(n * 3), symbol, expiration, strike, right, float(rng.random() + 0.5), 2.0, 0.3, spot, float(rng.random() - (0 if right == "C" else 1)), float(rng.random())))
+    chain = spark.createDataFrame(rows, "date date, symbol string, expiration date, strike double, right string, bid double, ask double, iv double, underlying double, delta double, vega double").dropDuplicates(["date", "symbol", "expiration", "strike", "right"]).persist()
+    path = pnl.reference_unit(chain, 14, 2, 15, 90, 40)
+    got = sorted((r.symbol, r.date, r.event, r.pnl_per_vega, r.cost_per_vega, r.exit_cost_per_vega, r.dollar_vega, r.entry_vega) for r in pnl.per_vega(pnl.unit_records(path)).collect())
+    picks = {(r.symbol, r.date): (r.expiration, r.strike) for r in pick_straddles(chain, 15, 90, 40, 1.0).collect()}
+    want = record_loop(chain.toPandas(), picks, 14, 2)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    for a, b in zip(got, want):
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(a[3:], b[3:])), (a, b)
+    assert {"open", "roll", "", "forced_close", "roll_failed_closed"} <= {x[2] for x in got}, {x[2] for x in got}
+
+
+def test_book_factors_match_least_squares(spark):
+    rng = np.random.default_rng(23)
+    n = 80
+    x, vega = rng.normal(size=(n, 4)), rng.uniform(1, 3, n)
+    x[:, 2] = x[:, 0] - x[:, 1]  # collinear: the least-norm solution
+    y = 0.3 + x @ [1.0, -0.5, 0.2, 2.0] + rng.normal(0, 0.1, n)
+    daily = spark.createDataFrame([(day(i), float(y[i] * vega[i]), float(vega[i])) for i in range(n)] + [(day(n), 5.0, 0.0)], "date date, net_pnl double, gross_vega double")
+    factors = spark.createDataFrame([(day(i), f"f{k}", float(x[i, k])) for i in range(n + 1) for k in range(3) if i < n], "date date, factor string, ret double")
+    market = spark.createDataFrame([(day(i), float(x[i, 3])) for i in range(n)], "date date, market_return double")
+    got = reports.book_factors(daily, factors, market).toPandas()
+    design = np.column_stack([np.ones(n), x - x.mean(axis=0)])
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    left = y - design @ beta
+    error = np.sqrt(np.diag(left @ left / (n - 5) * np.linalg.pinv(design.T @ design)))
+    assert list(got.regressor) == ["const", "f0", "f1", "f2", "index_return"] and set(got.observations) == {n}
+    assert np.allclose(got.coefficient[1:], beta[1:], atol=1e-9) and np.allclose(got.t_stat[1:], beta[1:] / error[1:], rtol=1e-6)
+    assert np.allclose(got.r_squared, 1 - left @ left / np.sum((y - y.mean()) ** 2))
+
+
+def test_a_held_name_stays_eligible_and_a_zero_target_does_not(spark):
+    pairs = lambda rows: spark.createDataFrame([(day(d), s) for d, s in rows], "date date, symbol string")
+    scores = spark.createDataFrame([(day(d), s, 1.0) for d in (0, 1) for s in "abcd"], "date date, symbol string, signal double")
+    records = spark.createDataFrame([(day(0), "a", 2.0), (day(0), "b", 0.0), (day(1), "a", 2.0)], "date date, symbol string, units double")
+    got = pnl.eligible_scores(scores, pairs([(d, s) for d in (0, 1) for s in "abc"]), pairs([(0, "a"), (0, "b"), (1, "c"), (1, "d")]), pnl.held_before(records))
+    assert sorted(((r.date - D).days, r.symbol) for r in got.collect()) == [(0, "a"), (0, "b"), (1, "a"), (1, "c")]
+
+
 def test_implied_vol_finds_the_volatility_again(spark):
     df = spark.createDataFrame([(100.0, k, 0.5, v, c) for k in (80.0, 100.0, 120.0) for v in (0.15, 0.6) for c in (True, False)] + [(100.0, 100.0, 0.0, 0.3, True)], "s double, k double, t double, v double, c boolean")
     rows = pricing.with_greeks(df, "s", "k", "t", "v", "c").withColumn("found", pricing.implied_vol("price", "s", "k", "t", "c", F.lit(0.0))).collect()

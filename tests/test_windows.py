@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenorlake.functions.windows import ahead, average_rank, bucket, by, nearest_quantile, rolling, zscore
+from tenorlake.functions.windows import ahead, average_rank, bucket, by, exact_quantile, nearest_quantiles, rolling, zscore
 from tenorlake.operators import vol
 
 DAY = date(2024, 1, 1)
@@ -42,8 +42,16 @@ def test_buckets_place_the_remainder_by_method(spark, method, want):
 
 
 def test_nearest_quantile_takes_an_element(spark):
-    got = series(spark, [4.0, 1.0, 3.0, 2.0, None]).groupBy("symbol").agg(nearest_quantile(F.col("x"), 0.25).alias("q")).first().q
-    assert got == 2.0
+    got = nearest_quantiles(series(spark, [4.0, 1.0, 3.0, 2.0, None]), ["symbol"], "x", {"q": 0.25, "top": 1.0}).first()
+    assert (got.q, got.top) == (2.0, 4.0)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 1.0])
+def test_exact_quantile_is_the_interpolated_one(spark, q):
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=5000), rng.integers(0, 4, 300).astype(float), np.array([7.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        assert abs(exact_quantile(df, "x", q, "v").first().v - np.quantile(values, q)) < 1e-12
 
 
 def test_zscore_has_mean_zero_and_deviation_one(spark):
