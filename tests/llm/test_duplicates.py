@@ -215,3 +215,14 @@ def test_words_that_fool_a_hash_modulo_a_power_of_two_differ(make):
     rows = [(1, f"{before} {morse}"), (2, f"{before} {other}"), (3, f"{before} {long}a {long}b"), (4, f"{before} {long}b"), (5, f"{before} {long}b")]
     got = {r.doc_id: r.n_removed for r in remove_repeated_passages(make(rows)).collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+
+
+def test_very_long_texts_are_compared_whole(make):
+    rng = random.Random(41)
+    words = [f"w{rng.randrange(100_000)}" for _ in range(250_000)]
+    long, cut, other = " ".join(words), " ".join(words[:220_000]), " ".join(f"v{rng.randrange(100_000)}" for _ in range(250_000))
+    rows = [(1, long), (2, cut), (3, other), (4, "x" * 1_500_000), (5, "y" * 1_500_000), (6, long)]
+    assert sorted(r.doc_id for r in sim.keep_one_of_each(make(rows)).collect()) == [1, 3, 4, 5]
+    got = {r.doc_id: r.component_id for r in sim.near_duplicate_classes(make(rows)).collect()}
+    assert got[1] == got[6] == 1 and got[3] == 3
+    assert {r.doc_id: r.n_removed for r in remove_repeated_passages(make(rows)).collect()} == {1: 0, 2: 220_000, 3: 0, 4: 0, 5: 0, 6: 250_000}

@@ -536,3 +536,26 @@ def test_revisits_match_brute_force(spark, bucket):
 
 def test_scores_need_no_words():
     assert math.isfinite(qda.statistics(__import__("pyarrow").array([None, "", " "])).sum())
+
+
+def test_very_long_texts_and_words(make, labels_of, spark):
+    rng = random.Random(31)
+    vocabulary = ["rain", "field", "stone", "river", "light", "corn", "token = abcdefghijklmnop"]
+    long = " ".join(rng.choice(vocabulary) for _ in range(300_000))
+    word = "".join(rng.choice("ghijklmn") for _ in range(1_500_000))
+    rows = [(1, long), (2, word), (3, long), (4, "short text"), (5, f"{word} {word}")]
+    assert len(long) > 1 << 20
+    docs, labels = make(rows), labels_of([(1, 1, 0), (2, 0, 1), (4, 1, 0), (5, 0, 1)])
+    spans = {r.doc_id: r.spans for r in sec.scan_secrets(docs).collect()}
+    assert len(spans[1]) == long.count("token =") and not spans[2]
+    redacted = {r.doc_id: r for r in sec.redact_documents(docs).collect()}
+    assert redacted[1].text.count("[assign]") == len(spans[1]) and redacted[2].text == word
+    base = {r.doc_id: r for r in ppl.perplexity_rules(docs).collect()}
+    assert base[1].n_words == len(long.split()) and base[5].n_words == 2 and base[5].word_chars == 2 * len(word) and base[1].bits == base[3].bits
+    for score in (qda.score_quality, tox.score_toxicity):
+        got = {r.doc_id: r.score for r in score(docs, labels).collect()}
+        assert set(got) == {1, 2, 3, 4, 5} and got[1] == got[3] and all(0 <= v <= 1 for v in got.values())
+    bench = spark.createDataFrame([(1, " ".join(long.split()[1000:1100]))], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in gst.find_contamination(docs, bench).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
+    tokens = {r.doc_id: r.n_tokens for r in encode_documents(make([(1, long), (2, word[:60_000])]), WORD_BPE, digests=True).collect()}
+    assert tokens == {1: len(TOKENS.encode(long, add_special_tokens=False).ids), 2: len(TOKENS.encode(word[:60_000], add_special_tokens=False).ids)}
