@@ -10,11 +10,10 @@ anchor finds every pair. Equal fingerprints are one row before that; an anchor e
 of a spanning forest. Rows are counted by anchor first, and the rows of an anchor with very many are dealt to
 pairs of blocks, so that no task holds a whole anchor.
 
-Whole near copies (``keep_one_of_each``) are another relation, a Jaccard similarity of 0.8 of five-word shingles. Two
-such texts differ in about 10 of 64 bits of a SimHash (the angle between their sets is 27 degrees), and 3 bits, the
+Whole near copies (``keep_one_of_each``) are another relation, a similarity of 0.8 of five-word shingles. Two such texts differ in about 10 of 64 bits of a SimHash (the angle between their sets is 27 degrees), and 3 bits, the
 most that the anchors reach, catch few of them. So candidates are both: texts whose SimHash over five-word
 shingles meets at an anchor, and texts that share a band of MinHash values. A link is made only where the
-shingle sets themselves agree.
+shingles themselves agree.
 """
 
 from __future__ import annotations
@@ -234,32 +233,40 @@ def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(joined.select("node", F.nullif("least", F.lit(NO_ID)).alias("component_id")))
 
 
-#: Whole near copies: words of a shingle, and the Jaccard similarity (a fraction) from which two texts are copies.
+#: Whole near copies: words of a shingle, and the share of alike shingles (a fraction) from which two texts are copies.
 COPY_SHINGLE, ALIKE = 5, (4, 5)
-#: MinHash values of a band, and bands: a pair that is 0.8 alike meets in no band once in 17,000 times.
-BAND_ROWS, BANDS = 6, 32
-#: Candidates of one group that a task compares with as many others.
-COPY_BLOCK = 512
+#: Least share of the larger text's shingles that are equal in both, for shingles that differ in a word to be compared.
+EQUAL = (2, 5)
+#: MinHash values of a band, and bands: a pair meets in none with a chance of 3 in 10,000,000 if 0.8 of all shingles are
+#: equal, 1 in 200 at 0.6, 1 in 8 at 0.5.
+BAND_ROWS, BANDS = 5, 64
+#: Candidates of one group, and bytes of their texts, that a task compares with as many others.
+COPY_BLOCK, COPY_BYTES = 256, 4 << 20
 FACTORS = mixed(np.arange(1, BAND_ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 LOWER = np.array([ord(chr(i).lower()) if i < 128 else i for i in range(256)], np.uint8)
 
 
-def shingle_hashes(column, length: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def words_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, A-Z in lower case, and where each text's begin (one more at the end)."""
+    data, offsets = text_bytes(column)
+    data = LOWER[data]
+    starts, ends, first = word_spans(data, offsets, WORD)
+    return word_hashes(data, starts, ends), first
+
+
+def shingle_hashes(words: np.ndarray, first: np.ndarray, length: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of all texts in a row, and where each text's begin (one more at the end).
 
     A shorter text is one shingle, also one without words, so each text has some.
     """
-    data, offsets = text_bytes(column)
-    data = LOWER[data]
-    starts, ends, first = word_spans(data, offsets, WORD)
-    words, of = word_hashes(data, starts, ends), text_of_word(first)
+    of = text_of_word(first)
     at = np.flatnonzero(of[: max(0, len(of) - length + 1)] == of[length - 1 :])
     short = np.flatnonzero(np.diff(first) < length)
     whole = [window_hashes(words[a:b], b - a)[0] if b > a else 0 for a, b in zip(first[short].tolist(), first[short + 1].tolist())]
     text = np.concatenate((of[at], short))
     by = np.argsort(text, kind="stable")
     hashes = np.concatenate((window_hashes(words, length)[at], np.array(whole, np.uint64)))[by]
-    return hashes, np.searchsorted(text[by], np.arange(len(offsets)))
+    return hashes, np.searchsorted(text[by], np.arange(len(first)))
 
 
 def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -271,11 +278,32 @@ def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def copy_links(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+def four_of_five(words: np.ndarray) -> np.ndarray:
+    """Of each shingle the hashes of what is left without one of its words, a row for each place."""
+    n = max(0, len(words) - COPY_SHINGLE + 1)
+    out = np.zeros((COPY_SHINGLE, n), np.uint64)
+    for drop in range(COPY_SHINGLE):
+        for k in range(COPY_SHINGLE):
+            if k != drop:
+                out[drop] = out[drop] * STEPS[0] + words[k : k + n]
+    return mixed(out)
+
+
+def loosely_alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Does each text have ``ALIKE`` of its shingles in the other, four of five words in order being enough?"""
+    if min(len(a), len(b)) < COPY_SHINGLE:
+        return False
+    a, b = four_of_five(a), four_of_five(b)
+    up, down = ALIKE
+    return all(down * np.isin(x, y.ravel()).any(axis=0).sum() >= up * x.shape[1] for x, y in ((a, b), (b, a)))
+
+
+def copy_links(words: np.ndarray, word_first: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of texts, one of ``left`` and one of ``right`` (true for a text or not), that are copies, as a forest.
 
     Texts that are ``known`` are linked with each other already.
     """
+    hashes, first = shingle_hashes(words, word_first)
     n = len(first) - 1
     text = text_of_word(first)
     by = np.lexsort((hashes, text))
@@ -287,7 +315,8 @@ def copy_links(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: n
     _, code = np.unique(hashes[new], return_inverse=True)
     has = np.zeros(len(code), np.int32)
     tree, links = np.where(known, n, np.arange(n)), []
-    up, down = ALIKE
+    (up, down), (some, of) = ALIKE, EQUAL
+    own_words = [words[a:b] for a, b in zip(word_first, word_first[1:])]
     for i in np.flatnonzero(left):
         # sizes that differ by more can't be alike; a pair in one tree needs no link
         other = right & (tree != tree[i]) & (down * np.minimum(size, size[i]) >= up * np.maximum(size, size[i]))
@@ -297,8 +326,8 @@ def copy_links(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: n
         has[own] = 1
         common = np.add.reduceat(has[code], starts)
         has[own] = 0
-        for j in np.flatnonzero(other & (down * common >= up * (size + size[i] - common))):
-            if tree[j] != tree[i]:
+        for j in np.flatnonzero(other & (of * common >= some * np.maximum(size, size[i]))):
+            if tree[j] != tree[i] and (down * common[j] >= up * (size[j] + size[i] - common[j]) or loosely_alike(own_words[i], own_words[j])):
                 links.append((int(i), int(j)))
                 tree[tree == tree[j]] = tree[i]
     return links
@@ -320,27 +349,31 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def copies(source: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of ``doc_id, text``: classes that pairs with a similarity of ``ALIKE`` or more connect.
 
-    Candidates are grouped by what links them (``candidates``), and in each group all pairs are compared by their sets
-    of shingles, in one task. In a group of over ``COPY_BLOCK`` texts all are compared with one of them first, which
-    takes them once; those that are its copies need not be compared with each other, but only with the others, in
-    pairs of blocks, each a task. So a large group of close copies costs in proportion to its size.
+    Two texts are copies if 0.8 of all their shingles are equal (Jaccard), or if each has 0.8 of its shingles in the
+    other, shingles with four of five words in order being alike: a changed word spoils no shingle then, and not five.
+    Candidates are grouped by what links them (``candidates``), and in each group all pairs are compared, in one task.
+    In a group of over ``COPY_BLOCK`` texts all are compared with one of them first, which takes them once; those
+    that are its copies need not be compared with each other, but only with the others, in pairs of blocks,
+    each a task. So a large group of close copies costs in proportion to its size.
     """
     spark = source.sparkSession
 
     def measured(batches):
         for batch in pieces(batches):
-            keys = band_keys(*shingle_hashes(batch.column("text"))).view(np.int64)
+            keys = band_keys(*shingle_hashes(*words_of(batch.column("text")))).view(np.int64)
             fp = signed([of_shingles(t.encode().lower().split(), COPY_SHINGLE) for t in texts(batch.column("text"))])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(fp), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
+            size = pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(fp), size, pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "size", "keys"])
 
     source = source.select("doc_id", "text", F.xxhash64("text").alias("node"))
-    prints = checkpointed(source.mapInArrow(measured, "doc_id long, node long, fp long, keys array<long>"))
+    prints = checkpointed(source.mapInArrow(measured, "doc_id long, node long, fp long, size long, keys array<long>"))
     # documents with equal texts are one node
-    nodes = checkpointed(prints.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     groups = checkpointed(components(candidates(nodes)))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / COPY_BLOCK).cast("int").alias("parts"))
-    members = groups.join(small(checkpointed(sizes)), "component").join(nodes.select("node", "first"), "node")
-    found = source.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(members, ["node", "first"]).dropDuplicates(["node"]).select("node", "text", "component", "parts")
+    groups = groups.join(nodes.select("node", "first", "size"), "node")
+    parts_of = lambda rows=F.lit(True): F.ceil(F.greatest(F.count_if(rows) / COPY_BLOCK, F.sum(F.when(rows, F.col("size")).otherwise(0)) / COPY_BYTES)).cast("int")
+    members = groups.join(small(checkpointed(groups.groupBy("component").agg(parts_of().alias("parts")))), "component")
+    found = source.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(members, ["node", "first"]).dropDuplicates(["node"]).select("node", "text", "size", "component", "parts")
     found = checkpointed(found)
     buckets = 4 * shuffle_partitions(spark)
 
@@ -353,7 +386,7 @@ def copies(source: DataFrame) -> DataFrame:
         starts = np.flatnonzero(new)
         links = []
         for s, e in zip(starts, np.append(starts[1:], len(node))):
-            own = copy_links(*shingle_hashes(table["text"].slice(s, e - s)), left[s:e], right[s:e], known[s:e])
+            own = copy_links(*words_of(table["text"].slice(s, e - s)), left[s:e], right[s:e], known[s:e])
             links += [(node[s + i], node[s + j]) for i, j in own]
         a, b = (np.array(links, np.int64).reshape(-1, 2)).T
         return pa.table({"a": a, "b": b})
@@ -377,7 +410,7 @@ def copies(source: DataFrame) -> DataFrame:
         ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("known", yes)
         marked = large.join(ends, "node", "left").withColumn("known", F.coalesce("known", leads))
         # the known of a group in blocks, and the others in blocks; pairs of blocks of the known alone need no task
-        counts = marked.groupBy("component").agg(*(F.ceil(F.count_if(x) / COPY_BLOCK).cast("int").alias(c) for x, c in ((F.col("known"), "n_known"), (~F.col("known"), "n_others"))))
+        counts = marked.groupBy("component").agg(parts_of(F.col("known")).alias("n_known"), parts_of(~F.col("known")).alias("n_others"))
         marked = marked.join(small(checkpointed(counts)), "component").where("n_others > 0")
         block = F.pmod(F.xxhash64("node"), F.when(F.col("known"), F.col("n_known")).otherwise(F.col("n_others"))).cast("int")
         marked = marked.withColumn("block", block)
@@ -396,7 +429,7 @@ def copies(source: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class of near copies.
 
-    Near copies have 0.8 or more of their five-word shingles in common (see ``copies``); texts of fewer words are one
+    Near copies are 0.8 alike or more in their five-word shingles (see ``copies``); texts of fewer words are one
     shingle, and null, empty and blank ones are copies of each other. The document with the class's smallest id
     stays; of rows that repeat that id, the one with the smallest text. Rows without an id can't be named
     by a class and stay. Texts of any length are compared whole. Columns may have any names. An empty table

@@ -186,6 +186,48 @@ def alike(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_scattered_edits_are_copies_and_rewritten_texts_are_not(make):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, want = [], []
+    for n in (100, 300, 900) * 4:
+        base = [word() for _ in range(n)]
+        edited = list(base)
+        for at in range(5, n - 5, 16):  # a word changed, dropped or put in
+            edited[at : at + rng.randrange(2)] = [word()] * rng.randrange(2)
+        # every third word is another one
+        other = [word() if i % 3 == 0 else w for i, w in enumerate(base)]
+        want += [len(rows), len(rows) + 2]
+        assert alike(" ".join(base), " ".join(edited)) > 0.45
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((base, edited, other))]
+    assert sorted(r.doc_id for r in sim.keep_one_of_each(make(rows)).collect()) == want
+
+
+def loosely(a, b):
+    a, b = a.split(), b.split()
+    left = lambda w: [{tuple(w[i : i + 5][:k] + w[i : i + 5][k + 1 :]) for k in range(5)} for i in range(len(w) - 4)]
+    a, b = left(a), left(b)
+    return all(sum(bool(x & set().union(*other)) for x in own) >= 0.8 * len(own) for own, other in ((a, b), (b, a)))
+
+
+def test_loose_shingles_match_brute_force():
+    rng = random.Random(10)
+    seen = set()
+    for _ in range(200):
+        a = [rng.choice("abcdef") for _ in range(rng.randrange(5, 30))]
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = [rng.choice("uvwxyz")] * rng.randrange(2)
+            b = b or ["z"]
+        if len(b) >= 5:
+            code = lambda w: np.array([hash(x) & (1 << 60) - 1 for x in w], np.uint64)
+            got = sim.loosely_alike(code(a), code(b))
+            assert got == loosely(" ".join(a), " ".join(b))
+            seen.add(got)
+    assert seen == {True, False}
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_cut_longer_and_changed_copies_are_one_class_and_no_others(make, monkeypatch, block):
     monkeypatch.setattr(sim, "COPY_BLOCK", block)
