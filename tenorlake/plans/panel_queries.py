@@ -330,9 +330,12 @@ def m5_adjusted_pillars(r: Roles):
     return out.select("date", "symbol", "expiration", "dte", r6("atm_iv", 8))
 
 
-@query(None)
+@query(with_roles("chain announcements", f"""{_JUMP}, n as (select p.*, (select count(*) from announcements e where e.symbol = p.symbol and e.date > p.date and e.date <= p.expiration) as n_events from pillars p),
+    c as (select date, symbol, dte, avg(sqrt(greatest(atm_iv * atm_iv - n_events * coalesce(jump_var, 0) * 365.0 / dte, atm_iv * atm_iv * 0.25))) as iv from n left join jumps using (date, symbol) group by 1, 2, 3),
+    s as (select date, symbol, {_tenor(30)} as iv30, {_tenor(60)} as iv60 from c group by 1, 2)
+    select s.date, s.symbol, round(iv30, 8) as iv30, round(iv60, 8) as iv60, next_event, days_to_event, round(jump_var, 8) + 0.0 as jump_var, method from s left join jumps on jumps.date = s.date and jumps.symbol = s.symbol"""))
 def b23_adjusted_surface(r: Roles):
-    return rounded(surface.adjusted_surface(surface.atm_pillars(r.chain), r.announcements.withColumnRenamed("date", "event_session"), (30, 60)))
+    return rounded(surface.adjusted_surface(surface.atm_pillars(r.chain), r.announcements.withColumnRenamed("date", "event_session"), (30, 60)), 8)
 
 
 _BS = """g as (select date, symbol, expiration, strike, "right", underlying as s, strike as k, datediff('day', date, expiration) / 365.0::double as t, iv as v from chain),
