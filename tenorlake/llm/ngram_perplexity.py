@@ -115,7 +115,8 @@ class Held:
     def __init__(self, parts: list[np.ndarray], buckets: int):
         self.grams, self.keys, self.counts = counted(parts)
         self.points = self.grams.points(self.keys)
-        bucket = hashed(self.points) % np.uint64(buckets)
+        # by context, so that what Spark sums over a context lies together
+        bucket = hashed(self.points[:, :-1]) % np.uint64(buckets)
         self.by = np.argsort(bucket, kind="stable")
         self.cuts = np.searchsorted(bucket[self.by], np.arange(buckets + 1))
 
