@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -93,10 +94,10 @@ def pieces(batches, limit: int = 1 << 20, text: str = "text"):
         n = batch.num_rows
         if not n:
             continue
-        _, offsets = text_bytes(batch.column(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < n:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
 

@@ -20,6 +20,8 @@ from .base import checkpointed, held_out, id_and_text, pieces, text_bytes
 from .tokens import WORD, text_of_word, window_hashes, word_hashes, word_spans
 
 FEATURES = ("words", "word_length", "symbols", "upper", "digits", "distinct", "adjacent", "bars", "marks", "shouts", "repeats", "lines")
+#: Bytes of text that are measured at a time.
+PIECE = 1 << 18
 #: Shares of the pooled covariance and of its diagonal in a class covariance.
 POOLED, DIAGONAL = 0.15, 0.05
 
@@ -114,7 +116,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, x array<double>``: the statistics of each text of ``doc_id, text``."""
 
     def of(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             x = statistics(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -183,7 +185,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, column
     model = fit(measured(id_and_text(docs)), labels, column)
 
     def of(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= threshold))
 
     return docs.mapInArrow(of, docs.schema)

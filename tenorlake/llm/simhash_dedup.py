@@ -237,11 +237,13 @@ def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
 COPY_SHINGLE, ALIKE = 5, (4, 5)
 #: Least share of the larger text's shingles that are equal in both, for shingles that differ in a word to be compared.
 EQUAL = (2, 5)
-#: MinHash values of a band, and bands: a pair meets in none with a chance of 3 in 10,000,000 if 0.8 of all shingles are
-#: equal, 1 in 200 at 0.6, 1 in 8 at 0.5.
-BAND_ROWS, BANDS = 5, 64
+#: MinHash values of a band, and bands: a pair meets in none with a chance of 1 in 100,000 if 0.8 of all shingles are
+#: equal, 1 in 50 at 0.6, 1 in 5 at 0.5.
+BAND_ROWS, BANDS = 5, 48
 #: Candidates of one group, and bytes of their texts, that a task compares with as many others.
 COPY_BLOCK, COPY_BYTES = 256, 4 << 20
+#: Bytes of text that are measured at a time.
+PIECE = 1 << 18
 FACTORS = mixed(np.arange(1, BAND_ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 LOWER = np.array([ord(chr(i).lower()) if i < 128 else i for i in range(256)], np.uint8)
 
@@ -339,8 +341,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     # equal fingerprints are one key more; close ones link the least nodes that have them
     prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     keyed = bands.unionByName(nodes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("key", "a")
-    stars = keyed.join(least, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    # most keys are of one text: only the others' rows are joined
+    least = checkpointed(keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("key", "a"))
+    stars = keyed.join(small(least), "key").where("node <> a").select("a", F.col("node").alias("b"))
     near = near_links(prints.select("fp"))
     a, b = (prints.select(F.col("fp").alias(f), F.col("least").alias(f"node_{f}")) for f in "ab")
     return stars.unionByName(near.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct()
@@ -359,7 +362,7 @@ def copies(source: DataFrame) -> DataFrame:
     spark = source.sparkSession
 
     def measured(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             keys = band_keys(*shingle_hashes(*words_of(batch.column("text")))).view(np.int64)
             fp = signed([of_shingles(t.encode().lower().split(), COPY_SHINGLE) for t in texts(batch.column("text"))])
             size = pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int64())
