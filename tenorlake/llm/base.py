@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -88,6 +90,13 @@ def ids(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers stay alive for other stages, and should be small then."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches, limit: int = 1 << 20, text: str = "text"):
     """Record batches cut so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -100,6 +109,7 @@ def pieces(batches, limit: int = 1 << 20, text: str = "text"):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 #: Rows of a few numbers that may be broadcast: some 20 MB in an executor.

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .base import id_and_text, pieces, texts
+from .base import id_and_text, pieces, release, texts
 
 #: Words that a task remembers; it starts again when there are more.
 CACHE_WORDS = 300_000
@@ -285,6 +285,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 ids.append(hashlib.sha256(raw).hexdigest() if digests else np.frombuffer(raw, "<u4").astype(np.int32))
                 decoded.append(hashlib.sha256(text).hexdigest() if digests else text.decode())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())], names)
+        vocabulary.cache.clear()
+        release()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, n_tokens long, ids array<int>, decoded string"

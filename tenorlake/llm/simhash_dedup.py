@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .base import NO_ID, checkpointed, id_and_text, pieces, shuffle_partitions, small, text_bytes, texts
+from .base import NO_ID, checkpointed, id_and_text, pieces, release, shuffle_partitions, small, text_bytes, texts
 from .components import components
 from .tokens import STEPS, WORD, mixed, text_of_word, window_hashes, word_hashes, word_spans
 
@@ -341,9 +341,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     # equal fingerprints are one key more; close ones link the least nodes that have them
     prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     keyed = bands.unionByName(nodes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
-    # most keys are of one text: only the others' rows are joined
-    least = checkpointed(keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("key", "a"))
-    stars = keyed.join(small(least), "key").where("node <> a").select("a", F.col("node").alias("b"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("key", "a")
+    stars = keyed.join(least, "key").where("node <> a").select("a", F.col("node").alias("b"))
     near = near_links(prints.select("fp"))
     a, b = (prints.select(F.col("fp").alias(f), F.col("least").alias(f"node_{f}")) for f in "ab")
     return stars.unionByName(near.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct()
@@ -391,6 +390,7 @@ def copies(source: DataFrame) -> DataFrame:
         for s, e in zip(starts, np.append(starts[1:], len(node))):
             own = copy_links(*words_of(table["text"].slice(s, e - s)), left[s:e], right[s:e], known[s:e])
             links += [(node[s + i], node[s + j]) for i, j in own]
+        release()
         a, b = (np.array(links, np.int64).reshape(-1, 2)).T
         return pa.table({"a": a, "b": b})
 
