@@ -97,7 +97,7 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def pieces(batches, limit: int = 1 << 20, text: str = "text"):
+def pieces(batches, limit: int = 1 << 19, text: str = "text"):
     """Record batches cut so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
         n = batch.num_rows

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .base import id_and_text, pieces, release, texts
 
 #: Words that a task remembers; it starts again when there are more.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 #: From this many bytes on a word has a tree of its own.
 LONG_WORD = 256
 NONE = np.int32(2**31 - 1)
