@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .decontamination import find_contamination
+from .importance import resample
 from .ngram_perplexity import perplexity_rules
+from .packing import pack
 from .quality_qda import score_quality
 from .secrets import scan_secrets
 from .simhash_dedup import near_duplicate_classes
@@ -20,8 +22,10 @@ from .substring_dedup import remove_repeated_passages
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
 from .warc_revisits import resolve_revisits
+from .whitening import whiten
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +103,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -112,6 +128,9 @@ QUERIES = {
         op8_ngram_perplexity,
         op9_bpe_segment_tree,
         op10_secret_scan,
+        op11_whitening,
+        op12_importance_resampling,
+        op13_best_fit_packing,
     )
 }
 
@@ -152,5 +171,30 @@ word as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from
 kept as (select doc_id, string_agg(word, ' ' order by pos) as text, count(*) as n from word anti join gone using (doc_id, pos) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
 from d left join kept using (doc_id)
+""",
+    "op12_importance_resampling": r"""
+with crc as (  -- the table of CRC-32 by its rule
+    select list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end) order by i) as t
+    from (select cast(unnest(range(256)) as bigint) as i)),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+target as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+used as (select doc_id, word, count(*) as n from (select doc_id, unnest(w) as word from d) group by all),
+digits as (select word, list_transform(string_split(hex(encode(word)), ''), lambda x: cast(instr('123456789ABCDEF', x) as bigint)) as x from (select word from used union select word from target)),
+hashed as (
+    select word, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda i: 16 * x[i] + x[i + 1]), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) % 10000 as bucket
+    from digits, crc),
+own as (select bucket, sum(n) as n from used join hashed using (word) group by bucket),
+wanted as (select bucket, count(*) as n from target join hashed using (word) group by bucket),
+total as (select (select coalesce(sum(n), 0) from own) as s, (select count(*) from target) as t),
+gain as (
+    select b.bucket, floor(1000 * ln(cast((coalesce(wanted.n, 0) + 1) * (total.s + 10000) as double) / cast((coalesce(own.n, 0) + 1) * (total.t + 10000) as double))) as gain
+    from (select distinct bucket from hashed) b left join own using (bucket) left join wanted using (bucket), total),
+weighed as (select doc_id, cast(sum(n * gain) as bigint) as weight from used join hashed using (word) join gain using (bucket) group by doc_id),
+scored as (
+    select d.doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substring(sha256('2024:' || d.doc_id), 1, 8) as bigint) + 0.5) / 4294967296))) as bigint) as score
+    from d left join weighed using (doc_id)),
+placed as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () * 10 // 100 as drawn from scored where n_features >= 20)
+select s.*, case when place <= drawn then place end as rank from scored s left join placed using (doc_id)
 """,
 }
