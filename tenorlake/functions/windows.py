@@ -60,35 +60,54 @@ def bucket(value: str, keys: list[str], n: int = 10, method: str = "floor", ties
     return F.when(F.col(value).isNotNull(), place).cast("int")
 
 
-def nearest_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """``keys`` and a column for each of ``quantiles``: the value at place round(q * (n - 1)), halves away from zero, of those not null.
-
-    Values are ordered by a window, which spills, and not gathered in an array.
-    """
-    group = Window.partitionBy(*keys)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(group.orderBy(value)) - 1).alias("_place"), F.count(F.lit(1)).over(group).alias("_n"))
-    at = {name: F.round(q * (F.col("_n") - 1)) for name, q in quantiles.items()}
-    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_place") == place, F.col(value))).alias(name) for name, place in at.items()))
+#: Rank error of the sketch that brackets a quantile, as a share of the values, and how many times that the bracket is wide on each side.
+SKETCH, ROOM = 10_000, 3
 
 
-def exact_quantile(rows: DataFrame, value: str, q: float, name: str) -> DataFrame:
-    """One row, ``name``: the interpolated quantile of all values, without an order or a buffer of all of them.
+def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], interpolation: str = "linear") -> DataFrame:
+    """``keys`` and a column for each of ``wanted``: exact quantiles of the values of each key that are not null; keys without any are missing.
 
-    An approximate quantile of known error gives a narrow bracket; values below it are counted, and only those within
-    it are ordered.
+    ``linear``: between the values at the places around q * (n - 1); ``nearest``: the one at that place rounded, halves away from zero.
+    Two passes, neither of which orders the table or gathers a key. The first sketches each key in mergeable summaries of known rank error,
+    which bracket each quantile. The second counts, in the tasks first, the values on either side of the brackets, takes the
+    nearest ones outside them, and makes a histogram of the distinct values inside; only that histogram is ordered, by key and quantile, so a
+    value that many rows share is one of its rows.
     """
-    x = rows.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    room = 0.001
-    low, high = max(0.0, q - room), min(1.0, q + room)
-    bounds = x.agg(F.percentile_approx("x", F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias("b"), F.min("x").alias("least"), F.max("x").alias("most"))
-    bounds = bounds.select(F.when(F.lit(low) > 0, F.col("b")[0]).otherwise(F.col("least")).alias("low"), F.when(F.lit(high) < 1, F.col("b")[1]).otherwise(F.col("most")).alias("high"))
-    inside = (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
-    near = x.crossJoin(F.broadcast(bounds))
-    found = near.agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("low")).alias("below"))
-    ordered = near.filter(inside).select("x", (F.row_number().over(Window.orderBy("x")) - 1).alias("place"))
-    place = q * (F.col("n") - 1) - F.col("below")
-    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("place") - place))
-    return ordered.crossJoin(F.broadcast(found)).agg(F.sum(F.when(weight > 0, F.col("x") * weight)).alias(name))
+    if interpolation not in ("linear", "nearest"):
+        raise ValueError(f"unknown interpolation {interpolation!r}")
+    names, qs = list(wanted), list(wanted.values())
+    x = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    grouped = lambda df, *more: df.groupBy(*keys, *more)
+    room = ROOM / SKETCH
+    ends = F.array(*(F.lit(min(1.0, max(0.0, q + side))) for q in qs for side in (-room, room)))
+    sketch = grouped(x).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", ends, F.lit(SKETCH)).alias("_ends"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    edge = lambda i, q, side: F.when(F.lit(q + side <= 0), F.col("_least")).when(F.lit(q + side >= 1), F.col("_most")).otherwise(F.col("_ends")[2 * i + (side > 0)])
+    brackets = sketch.select(*keys, "_n", *(edge(i, q, -room).alias(f"_low{i}") for i, q in enumerate(qs)), *(edge(i, q, room).alias(f"_high{i}") for i, q in enumerate(qs)))
+    both = x.join(brackets, keys) if keys else x.crossJoin(F.broadcast(brackets))
+    c = F.col("_x")
+    at = range(len(qs))
+    sides = grouped(both).agg(F.first("_n").alias("_n"), *(f for i in at for f in (F.count_if(c < F.col(f"_low{i}")).alias(f"_below{i}"), F.max(F.when(c < F.col(f"_low{i}"), c)).alias(f"_before{i}"), F.min(F.when(c > F.col(f"_high{i}"), c)).alias(f"_after{i}"))))
+    near = F.filter(F.array(*(F.when((c >= F.col(f"_low{i}")) & (c <= F.col(f"_high{i}")), F.lit(i)) for i in at)), lambda i: i.isNotNull())
+    inside = grouped(both.select(*keys, "_x", F.explode(near).alias("_i")), "_i", "_x").agg(F.count("*").alias("_rows"))
+    # a row for each quantile: what is below, and the places wanted
+    place = [q * (F.col("_n") - 1) for q in qs]
+    if interpolation == "nearest":
+        place = [F.round(p) for p in place]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), F.col(f"_below{i}").alias("_below"), F.col(f"_before{i}").alias("_before"), F.col(f"_after{i}").alias("_after"), place[i].cast("double").alias("_place")) for i in at)))
+    asked = sides.select(*keys, each.alias("_q")).select(*keys, "_q.*")
+    group = Window.partitionBy(*keys, "_i").orderBy("_x")
+    placed = inside.withColumn("_to", F.sum("_rows").over(group)).withColumn("_from", F.col("_to") - F.col("_rows"))
+    # first and last place that a value takes; the neighbours take one each
+    held = placed.join(asked, [*keys, "_i"]).select(*keys, "_i", "_x", (F.col("_below") + F.col("_from")).alias("_first"), (F.col("_below") + F.col("_to") - 1).alias("_last"), "_place")
+    total = grouped(inside, "_i").agg(F.sum("_rows").alias("_inside"))
+    outer = asked.join(total, [*keys, "_i"], "left").withColumn("_inside", F.coalesce("_inside", F.lit(0)))
+    around = F.explode(F.array(F.struct(F.col("_before").alias("_x"), (F.col("_below") - 1).alias("_first")), F.struct(F.col("_after").alias("_x"), (F.col("_below") + F.col("_inside")).alias("_first"))))
+    outer = outer.select(*keys, "_i", "_place", around.alias("_o")).select(*keys, "_i", "_o._x", "_o._first", F.col("_o._first").alias("_last"), "_place").filter("_x is not null")
+    low, high = F.floor("_place"), F.ceil("_place")
+    pick = lambda p: F.max(F.when((F.col("_first") <= p) & (F.col("_last") >= p), F.col("_x")))
+    found = grouped(held.unionByName(outer), "_i").agg(pick(low).alias("_a"), pick(high).alias("_b"), F.first("_place").alias("_place"))
+    result = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_place") - F.floor("_place"))
+    return grouped(found.withColumn("_v", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(result))).agg(*(F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)))
 
 
 def zscore(value: str, *keys: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..functions.windows import bucket, by, exact_quantile
+from ..functions.windows import bucket, by, quantiles
 from ..operators import calendar, panels, pnl, reports, risk, surface, vol
 from ..operators.joins import pivot_sides
 from ..sources.roles import Roles, with_roles
@@ -184,7 +184,7 @@ def a12_symbology_verdict(r: Roles):
     select state, count(*) as n, round(avg(ret), 6) + 0.0 as ret, round(avg(signal), 6) as signal from s where state is not null group by 1"""))
 def a15_state_table(r: Roles):
     rows = stock_panel(r)
-    median = exact_quantile(rows, "signal", 0.5, "med")
+    median = quantiles(rows, [], "signal", {"med": 0.5})
     states = F.array(F.when(F.col("signal") > F.col("med"), "high_vol"), F.when(F.month("month") == 1, "january"), F.lit("all"))
     return rounded(reports.state_table(rows.crossJoin(F.broadcast(median)), states, ["ret", "signal"]))
 

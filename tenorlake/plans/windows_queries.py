@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ahead, average_rank, bucket, by, clip, fill_forward, nearest_quantiles, rolling, zscore
+from ..functions.windows import ahead, average_rank, bucket, by, clip, fill_forward, quantiles, rolling, zscore
 from ..operators import vol
 from ..operators.corporate import split_factors
 from ..operators.signals import past_return_signal, time_series_zscore
@@ -219,4 +219,4 @@ def r23_back_adjustment(r: Roles):
 def a14_distribution(r: Roles):
     c = F.col("close")
     means = r.bars.groupBy("symbol").agg(F.round(F.avg(c), 6).alias("mean_close"), F.round(F.percentile(c, F.lit(0.5)), 9).alias("median_close"), F.round(F.avg((c > F.col("open")).cast("int")), 6).alias("share_up"))
-    return means.join(nearest_quantiles(r.bars, ["symbol"], "close", {"q25_nearest": 0.25, "q75_nearest": 0.75}), "symbol")
+    return means.join(quantiles(r.bars, ["symbol"], "close", {"q25_nearest": 0.25, "q75_nearest": 0.75}, "nearest"), "symbol")

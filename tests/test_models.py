@@ -71,6 +71,90 @@ def test_rolling_fit_matches_least_squares(spark):
         assert np.allclose([row.b_a, row.b_b, row.resid_std], [*beta[1:], std], atol=1e-9)
 
 
+def test_what_left_the_window_has_no_effect(spark):
+    """A value of 1e9 in a name's past leaves later fits equal to least squares; levels far from zero cost no digits."""
+    rng = np.random.default_rng(4)
+    n, window = 640, 250
+    x = rng.normal(size=(n, 2)) + [1000.0, -50.0]
+    y = 5 + x @ [1.0, 2.0] + rng.normal(0, 0.5, n)
+    y[40], x[300, 0] = 1e9, 1e8
+    df = spark.createDataFrame([("s", day(i), *map(float, x[i]), float(y[i])) for i in range(n)] + [("t", day(i), *map(float, x[i]), float(y[i])) for i in range(60)], "symbol string, date date, a double, b double, y double").repartition(5)
+    fit = regress.rolling_fit(df, "y", ["a", "b"], "symbol", window, 120)
+    got = fit.filter("symbol = 's'").orderBy("date").toPandas()
+    for i in (290, 295, 299, 551, 600, 639):
+        lo = i - window + 1
+        design = np.column_stack([np.ones(window), x[lo : i + 1] - x[lo : i + 1].mean(axis=0)])
+        beta = np.linalg.lstsq(design, y[lo : i + 1], rcond=None)[0]
+        std = np.std(y[lo : i + 1] - design @ beta, ddof=3)
+        row = got.iloc[i - 119]
+        assert row.n == window and np.allclose([row.b_a, row.b_b, row.resid_std], [*beta[1:], std], rtol=1e-9, atol=1e-9), i
+    plan = fit._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(symbol") == 1 and plan.count("Sort [symbol") == 1
+
+
+@pytest.mark.parametrize("window", [1, 3, 16, 23, 64])
+def test_trailing_moments_of_any_window(spark, window):
+    rng = np.random.default_rng(window)
+    values = rng.normal(3, 2, (70, 2))
+    df = spark.createDataFrame([("s", day(i), *map(float, v)) for i, v in enumerate(values)], "symbol string, date date, u double, v double")
+    for i, r in enumerate(regress.trailing_moments(df, ["u", "v"], "symbol", window, "date").orderBy("date").collect()):
+        own = values[max(0, i - window + 1) : i + 1]
+        far = own - own.mean(axis=0)
+        assert r._n == len(own) and np.allclose([r._m0, r._m1, r._c00, r._c01, r._c11], [*own.mean(axis=0), *(far.T @ far).ravel()[[0, 1, 3]]], atol=1e-10)
+
+
+def collinear_cases():
+    rng = np.random.default_rng(8)
+    a = rng.normal(2, 1, 60)
+    flat = np.full(60, 3.0)
+    return {"twice": (a, 2 * a + 1), "same": (a, a), "second flat": (a, flat), "first flat": (flat, a), "both flat": (flat, 2 * flat), "free": (a, rng.normal(size=60)), "zero": (a, 0 * a)}
+
+
+def test_collinear_regressors_get_the_shortest_solution(spark):
+    """As least squares by singular values does: in a grouped fit, a rolling one, and one over all rows."""
+    rng = np.random.default_rng(9)
+    cases = collinear_cases()
+    y = {k: 1 + x1 - 0.5 * x2 + rng.normal(0, 0.2, 60) for k, (x1, x2) in cases.items()}
+    rows = [(k, day(i), float(x1[i]), float(x2[i]), float(y[k][i])) for k, (x1, x2) in cases.items() for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, date date, a double, b double, y double")
+    grouped = {r.symbol: r for r in regress.fit_by(df, "y", ["a", "b"], ["symbol"]).collect()}
+    three = {r.symbol: r for r in regress.fit_by(df.withColumn("c", F.col("a") - F.col("b")), "y", ["a", "b", "c"], ["symbol"]).collect()}
+    whole = {r.symbol: r for r in regress.whole_fit(df, "y", ["a", "b"], "symbol", 10).collect()}
+    rolled = {r.symbol: r for r in regress.rolling_fit(df, "y", ["a", "b"], "symbol", 40, 40).filter(F.col("date") == day(59)).collect()}
+    for k, (x1, x2) in cases.items():
+        design = np.column_stack([np.ones(60), x1, x2])
+        want = np.linalg.lstsq(design, y[k], rcond=None)[0]
+        residual = y[k] - design @ want
+        assert np.allclose([grouped[k].const, grouped[k].b_a, grouped[k].b_b], want, atol=1e-8), k
+        assert abs(grouped[k].resid_var - residual.var()) < 1e-8
+        assert np.allclose([whole[k].b_a, whole[k].b_b, whole[k].resid_std], [*want[1:], np.std(residual, ddof=3)], atol=1e-8), k
+        wide = np.linalg.lstsq(np.column_stack([design, x1 - x2]), y[k], rcond=None)[0]
+        assert np.allclose([three[k].const, three[k].b_a, three[k].b_b, three[k].b_c], wide, atol=1e-8), k
+        late = np.linalg.lstsq(design[20:], y[k][20:], rcond=None)[0]
+        assert np.allclose([rolled[k].b_a, rolled[k].b_b, rolled[k].resid_std], [*late[1:], np.std(y[k][20:] - design[20:] @ late, ddof=3)], atol=1e-8), k
+
+
+def test_a_sector_that_is_the_market(spark):
+    rng = np.random.default_rng(10)
+    f = rng.normal(size=80)
+    names = {"A": 1.5, "B": -0.5}
+    noise = {s: rng.normal(0, 0.1, 80) for s in names}
+    returns = spark.createDataFrame([(day(i), s, float(b * f[i] + noise[s][i])) for s, b in names.items() for i in range(80)], "date date, symbol string, pnl_per_vega double")
+    factors = spark.createDataFrame([(day(i), k, float(f[i])) for k in ("MKT", "tech") for i in range(80)], "date date, factor string, ret double")
+    sectors = spark.createDataFrame([("A", "tech"), ("B", "other")], "symbol string, sector string")
+    loadings, idio = risk.fixed_loadings(returns, factors, sectors, 30)
+    got = {(r.symbol, r.factor): r.loading for r in loadings.collect()}
+    last, _ = risk.rolling_loadings(returns, factors, sectors, 80, 30)
+    rolled = {(r.symbol, r.factor): r.loading for r in last.filter(F.col("date") == day(79)).collect()}
+    y = {s: b * f + noise[s] for s, b in names.items()}
+    both = np.linalg.lstsq(np.column_stack([np.ones(80), f, f]), y["A"], rcond=None)[0]
+    alone = np.linalg.lstsq(np.column_stack([np.ones(80), f]), y["B"], rcond=None)[0]
+    for own in (got, rolled):
+        assert set(own) == {("A", "MKT"), ("A", "tech"), ("B", "MKT")}
+        assert np.allclose([own["A", "MKT"], own["A", "tech"], own["B", "MKT"]], [*both[1:], alone[1]], atol=1e-9)
+    assert {r.symbol: r.idio_vol for r in idio.collect()}.keys() == {"A", "B"}
+
+
 def har_panel(spark, seed=0, scramble=False):
     rng = np.random.default_rng(3)
     rows = []

@@ -1,10 +1,11 @@
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tenorlake.functions.windows import ahead, average_rank, bucket, by, exact_quantile, nearest_quantiles, rolling, zscore
+from tenorlake.functions.windows import ahead, average_rank, bucket, by, quantiles, rolling, zscore
 from tenorlake.operators import vol
 
 DAY = date(2024, 1, 1)
@@ -42,16 +43,34 @@ def test_buckets_place_the_remainder_by_method(spark, method, want):
 
 
 def test_nearest_quantile_takes_an_element(spark):
-    got = nearest_quantiles(series(spark, [4.0, 1.0, 3.0, 2.0, None]), ["symbol"], "x", {"q": 0.25, "top": 1.0}).first()
+    got = quantiles(series(spark, [4.0, 1.0, 3.0, 2.0, None]), ["symbol"], "x", {"q": 0.25, "top": 1.0}, "nearest").first()
     assert (got.q, got.top) == (2.0, 4.0)
 
 
-@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 1.0])
-def test_exact_quantile_is_the_interpolated_one(spark, q):
+def test_quantiles_are_exact_by_key(spark):
     rng = np.random.default_rng(3)
-    for values in (rng.normal(size=5000), rng.integers(0, 4, 300).astype(float), np.array([7.0]), np.array([1.0, 2.0])):
+    groups = {f"n{n}": rng.normal(100, 30, n) for n in [*range(1, 51), 300, 5000]}
+    groups |= {"ties": rng.integers(0, 4, 3000).astype(float), "one value": np.full(700, 2.5), "hot": np.concatenate((np.full(9000, 1.0), rng.normal(size=31_000))), "far": np.array([-1e300, -1.0, 0.0, 1e-300, 1e300]), "from ten": np.arange(10.0, 15.0)}
+    df = spark.createDataFrame(pd.DataFrame({"k": np.repeat(list(groups), [len(v) for v in groups.values()]), "x": np.concatenate(list(groups.values()))})).unionByName(spark.createDataFrame([("n1", None), ("none", None)], "k string, x double")).repartition(7)
+    wanted = {f"q{i}": i / 12 for i in range(13)} | {"q999": 0.999}
+    got = {r.k: r for r in quantiles(df, ["k"], "x", wanted).collect()}
+    nearest = {r.k: r for r in quantiles(df, ["k"], "x", wanted, "nearest").collect()}
+    assert set(got) == set(groups) == set(nearest)
+    for k, values in groups.items():
+        ordered = np.sort(values)
+        for name, q in wanted.items():
+            want = np.quantile(values, q)
+            assert abs(got[k][name] - want) <= 1e-12 * max(1, abs(want)), (k, name)
+            place = q * (len(values) - 1)
+            assert nearest[k][name] == ordered[int(np.floor(place + 0.5))], (k, name)
+
+
+@pytest.mark.parametrize("q", [0.0, 1 / 3, 0.5, 2 / 3, 1.0])
+def test_quantiles_of_a_whole_table(spark, q):
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=5000), rng.integers(0, 4, 300).astype(float), np.array([7.0]), np.arange(10.0, 30.0)):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
-        assert abs(exact_quantile(df, "x", q, "v").first().v - np.quantile(values, q)) < 1e-12
+        assert abs(quantiles(df, [], "x", {"v": q}).first().v - np.quantile(values, q)) < 1e-12
 
 
 def test_zscore_has_mean_zero_and_deviation_one(spark):
