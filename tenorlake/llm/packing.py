@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import checkpointed, id_and_text, pieces, release, small, texts
+from .base import checkpointed, id_and_text, pieces, release, texts
 from .bpe import byte_letters
 
 #: Fixed value: how byte-level vocabularies of this kind split text.
@@ -185,11 +185,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with
     found = checkpointed(token_pieces(id_and_text(docs, id_col, text_col), path, capacity, end_id, with_ids))
     by_task = found.groupBy("part", "length").agg(F.count("*").alias("rows"))
     earlier = F.sum("rows").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    by_task = checkpointed(by_task.withColumn("earlier", F.coalesce(earlier, F.lit(0))))
+    by_task = by_task.select("part", "length", F.coalesce(earlier, F.lit(0)).alias("earlier"))
     # no more lengths than a sequence has tokens
-    counts = {r["length"]: r["rows"] for r in by_task.groupBy("length").agg(F.sum("rows").alias("rows")).collect()}
+    counts = {r["length"]: r["rows"] for r in found.groupBy("length").agg(F.count("*").alias("rows")).collect()}
     runs = sorted(best_two_fit(counts, capacity))
-    numbered = found.join(small(by_task.select("part", "length", "earlier")), ["part", "length"]).withColumn("nth", F.col("nth") + F.col("earlier"))
+    numbered = found.join(by_task, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("earlier"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches):
