@@ -30,6 +30,8 @@ from .tokens import STEPS, WORD, mixed, text_of_word, window_hashes, word_hashes
 
 #: An anchor with more rows is compared in pairs of blocks of about this many.
 ANCHOR_ROWS = 8192
+#: Rows that a print has at anchors, about, and rows that are compared at a time.
+REPLICAS, BUCKET_ROWS = 34, 1 << 16
 
 
 def majority(hashes: list[int]) -> int:
@@ -153,7 +155,7 @@ def spanning(starts: np.ndarray, fp: np.ndarray, is_home: np.ndarray, threshold:
 
 
 def near_links(prints: DataFrame, threshold: int = 3) -> DataFrame:
-    """``a, b``: links that connect all of ``prints (fp long)``, distinct, that differ in at most ``threshold`` bits.
+    """``a, b``: links that connect all of ``prints (fp long)``, distinct and checkpointed, that differ in at most ``threshold`` bits.
 
     Not every close pair is returned, but every close pair is connected through what is returned.
     """
@@ -183,7 +185,8 @@ def near_links(prints: DataFrame, threshold: int = 3) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         rows = dealt.select("anchor", every.alias("part_a"), F.col("part").alias("part_b"), "fp", F.lit(False).alias("home"))
         rows = rows.unionByName(dealt.where("home").select("anchor", F.col("part").alias("part_a"), every.alias("part_b"), "fp", "home"))
-    buckets = 4 * shuffle_partitions(prints.sparkSession)
+    # buckets get more and not larger as the prints do
+    buckets = max(4 * shuffle_partitions(prints.sparkSession), prints.count() * REPLICAS // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("anchor", "part_a", "part_b"), F.lit(buckets)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -235,10 +238,12 @@ def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 #: Whole near copies: words of a shingle, and the share of alike shingles (a fraction) from which two texts are copies.
 COPY_SHINGLE, ALIKE = 5, (4, 5)
-#: Least share of the larger text's shingles that are equal in both, for shingles that differ in a word to be compared.
+#: Least share of the larger text's shingles that are equal in both: part of the loose relation.
 EQUAL = (2, 5)
-#: MinHash values of a band, and bands: a pair meets in none with a chance of 1 in 100,000 if 0.8 of all shingles are
-#: equal, 1 in 50 at 0.6, 1 in 5 at 0.5.
+#: Words of the shingles that candidates share. A changed word spoils two of these, and not five: with a word changed in every ten two thirds of
+#: all are equal, where one third of the five-word shingles is.
+BAND_SHINGLE = 2
+#: MinHash values of a band, and bands: a pair meets in none with a chance of 1 in 1,000 if two thirds of all its short shingles are equal, 1 in 5 at a half.
 BAND_ROWS, BANDS = 5, 48
 #: Candidates of one group, and bytes of their texts, that a task compares with as many others.
 COPY_BLOCK, COPY_BYTES = 256, 4 << 20
@@ -292,7 +297,7 @@ def four_of_five(words: np.ndarray) -> np.ndarray:
 
 
 def loosely_alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Does each text have ``ALIKE`` of its shingles in the other, four of five words in order being enough?"""
+    """Does each text have ``ALIKE`` of its shingles in the other, four of five words in order being enough? The loose relation's last part."""
     if min(len(a), len(b)) < COPY_SHINGLE:
         return False
     a, b = four_of_five(a), four_of_five(b)
@@ -320,7 +325,7 @@ def copy_links(words: np.ndarray, word_first: np.ndarray, left: np.ndarray, righ
     (up, down), (some, of) = ALIKE, EQUAL
     own_words = [words[a:b] for a, b in zip(word_first, word_first[1:])]
     for i in np.flatnonzero(left):
-        # sizes that differ by more can't be alike; a pair in one tree needs no link
+        # the sizes that both relations ask for; a pair in one tree needs no link
         other = right & (tree != tree[i]) & (down * np.minimum(size, size[i]) >= up * np.maximum(size, size[i]))
         if not other.any():
             continue
@@ -351,8 +356,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def copies(source: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of ``doc_id, text``: classes that pairs with a similarity of ``ALIKE`` or more connect.
 
-    Two texts are copies if 0.8 of all their shingles are equal (Jaccard), or if each has 0.8 of its shingles in the
-    other, shingles with four of five words in order being alike: a changed word spoils no shingle then, and not five.
+    Two texts are copies by the strict relation if 0.8 of all their distinct five-word shingles are equal (Jaccard). They are by the loose one
+    if their numbers of distinct shingles are within a fifth of the larger, 0.4 of the larger number are equal (``EQUAL``), and each has 0.8 of
+    its shingles in the other, shingles with four of five words in order being alike: a changed word spoils no shingle then, and not five. So a
+    word changed in every ten makes a copy, one in every eight none, and a text repeated twice is no copy of itself said once.
     Candidates are grouped by what links them (``candidates``), and in each group all pairs are compared, in one task.
     In a group of over ``COPY_BLOCK`` texts all are compared with one of them first, which takes them once; those
     that are its copies need not be compared with each other, but only with the others, in pairs of blocks,
@@ -362,7 +369,7 @@ def copies(source: DataFrame) -> DataFrame:
 
     def measured(batches):
         for batch in pieces(batches, PIECE):
-            keys = band_keys(*shingle_hashes(*words_of(batch.column("text")))).view(np.int64)
+            keys = band_keys(*shingle_hashes(*words_of(batch.column("text")), BAND_SHINGLE)).view(np.int64)
             fp = signed([of_shingles(t.encode().lower().split(), COPY_SHINGLE) for t in texts(batch.column("text"))])
             size = pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(fp), size, pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "size", "keys"])
@@ -377,7 +384,9 @@ def copies(source: DataFrame) -> DataFrame:
     members = groups.join(small(checkpointed(groups.groupBy("component").agg(parts_of().alias("parts")))), "component")
     found = source.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(members, ["node", "first"]).dropDuplicates(["node"]).select("node", "text", "size", "component", "parts")
     found = checkpointed(found)
-    buckets = 4 * shuffle_partitions(spark)
+    # a bucket has about one task's bytes, so buckets get more and not larger as the candidates do
+    size = found.agg(F.sum("size")).first()[0] or 0
+    buckets = max(4 * shuffle_partitions(spark), size // COPY_BYTES)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("part_a", "ascending"), ("part_b", "ascending")])
@@ -432,7 +441,8 @@ def copies(source: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class of near copies.
 
-    Near copies are 0.8 alike or more in their five-word shingles (see ``copies``); texts of fewer words are one
+    Near copies are 0.8 alike or more in their five-word shingles: 0.8 of all are equal, or 0.4 are equal in texts of about one size and 0.8 of each text's are in the
+    other but for one word (exactly: see ``copies``); texts of fewer words are one
     shingle, and null, empty and blank ones are copies of each other. The document with the class's smallest id
     stays; of rows that repeat that id, the one with the smallest text. Rows without an id can't be named
     by a class and stay. Texts of any length are compared whole. Columns may have any names. An empty table
