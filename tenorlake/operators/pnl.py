@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import average_rank, by, fill_forward
+from ..sources.store import checkpointed
 from .asof import asof_join
 from .calendar import grid_of
+from .chains import follow
 from .panels import pick_straddles
 
 MULTIPLIER = 100.0
@@ -125,6 +127,54 @@ def held_before(records: DataFrame) -> DataFrame:
     return records.filter("units <> 0").join(following, "date").filter("next is not null").select(F.col("next").alias("date"), "symbol")
 
 
+def closed_loop(scores: DataFrame, present: DataFrame, universe: DataFrame, rebalances: DataFrame, score: str = "signal", **sizing) -> DataFrame:
+    """``date, symbol, target_vega``: targets of each rebalance that depend on what the book holds by then.
+
+    ``present (date, symbol, dollar_vega)`` has a row for each session of a name; ``scores``, ``universe`` are by ``date, symbol``. Scored at a
+    rebalance are the names that are present and in the universe, and those that are held: a name that has left the universe is kept as long as its rank
+    gives it a target, it has a score, and no session misses its row. ``sizing`` is that of ``rank_targets``; what is held without a target gets none
+    and is closed by the book.
+
+    Whether a name is held follows from its targets before, and its target from the ranks of all names that are held with it. Given which targets are not
+    zero, every name's holding is a matter of runs: held is what has been set since it was last reset, two running maxima by name. So all
+    names and rebalances are worked out at once, starting from "no target is zero", then again with the targets that come out, until
+    nothing changes. A round is right for one rebalance more than the last at least, as ranks look only back, so it ends, and it ends in the session loop's
+    result; with linear weights only a middle rank is zero, and two or three rounds do.
+    """
+    marked = present.filter("dollar_vega is not null").select("date", "symbol", "dollar_vega")
+    sessions = present.select("date").distinct()
+    marks = rebalances.select("date").distinct().join(sessions, "date", "left_semi")
+    # each session's rebalance, on it or after; calendars are a few thousand rows
+    back = Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    spans = sessions.join(marks.withColumn("_mark", F.col("date")), "date", "left").select("date", F.last("_mark", ignorenulls=True).over(back).alias("next")).filter("next is not null")
+    place = spans.groupBy(F.col("next").alias("date")).agg(F.count("*").alias("_sessions")).withColumn("_place", F.row_number().over(Window.orderBy("date")))
+    on = F.col("date") == F.col("next")
+    rows = marked.join(F.broadcast(spans), "date").groupBy("symbol", F.col("next").alias("date")).agg(F.count_distinct("date").alias("_rows"), F.max(F.when(on, F.col("dollar_vega"))).alias("_vega"))
+    named = scores.filter(F.col(score).isNotNull()).select("date", "symbol", F.col(score).alias("_score"))
+    member = universe.select("date", "symbol").distinct().withColumn("_member", F.lit(True))
+    state = rows.join(F.broadcast(place), "date").join(named, ["date", "symbol"], "left").join(member, ["date", "symbol"], "left")
+    order = by("symbol")
+    here = F.col("_vega").isNotNull()
+    scored = here & F.col("_score").isNotNull()
+    # no session without the name's row since the rebalance before
+    whole = (F.col("_rows") == F.col("_sessions")) & (F.coalesce(F.lag("_place").over(order), F.lit(-1)) == F.col("_place") - 1)
+    kept_columns = ["date", "symbol", "_score", "_vega", "_member", "_whole", "_n", "_kept"]
+    state = state.withColumns({"_whole": whole & here, "_member": F.coalesce("_member", F.lit(False)), "_n": F.row_number().over(order), "_kept": F.lit(True)}).select(*kept_columns)
+    last = lambda c: F.coalesce(F.max(F.when(c, F.col("_n"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    trades = F.col("_vega") > 0
+    while True:
+        sets = scored & trades & F.col("_member") & F.col("_kept")
+        holds = F.col("_whole") & F.when(trades, scored & F.col("_kept")).otherwise(True)
+        state = checkpointed(state).withColumns({"_set": last(sets), "_reset": last(~holds)})
+        state = state.withColumn("_held", (F.col("_set") > 0) & (F.col("_set") >= F.col("_reset")))
+        state = checkpointed(state.select(*kept_columns, (scored & (F.col("_member") | (F.col("_whole") & F.coalesce(F.lag("_held").over(order), F.lit(False))))).alias("_now")))
+        sized = rank_targets(state.filter("_now").select("date", "symbol", F.col("_score").alias(score)), score=score, **sizing)
+        state = checkpointed(state.join(sized, ["date", "symbol"], "left").withColumn("_fresh", ~F.col("_now") | (F.coalesce("target_vega", F.lit(0.0)) != 0)))
+        if state.filter(F.col("_fresh") != F.col("_kept")).isEmpty():
+            return state.filter(F.col("_now") & F.col("target_vega").isNotNull()).select("date", "symbol", "target_vega")
+        state = state.withColumn("_kept", F.col("_fresh")).select(*kept_columns)
+
+
 def fixed_targets(rebalances: DataFrame, targets: dict[str, float]) -> DataFrame:
     """``date, symbol, target_vega``: the same targets at each rebalance."""
     pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("symbol"), F.lit(float(v)).alias("target_vega")) for s, v in targets.items())))
@@ -192,8 +242,8 @@ def reference_unit(chain: DataFrame, roll_dte: int = 14, max_stale: int = 5, min
     was hedged with. On sessions without a mark the hedge still moves with the underlying.
 
     The sessions of a name are those on which its chain has rows. (1) The pick of each day. (2) For each pick the
-    session that ends it, by as-of lookups among its own marks. (3) The picks that are really held, by following
-    ends from one to the next in a fold over the name's few thousand candidates. (4) Marks, lags and P&L per position.
+    session that ends it, by as-of lookups among its own marks. (3) The picks that are really held, by doubling jumps
+    from one to the next. (4) Marks, lags and P&L per position.
     """
     never = F.lit(1 << 30)
     quotes = chain.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
@@ -220,12 +270,8 @@ def reference_unit(chain: DataFrame, roll_dte: int = 14, max_stale: int = 5, min
     forced = F.least(F.coalesce("stale", never), F.coalesce("expiry", never))
     rolled = F.coalesce(F.col("roll"), never) <= forced
     ends = held.select(*unit, "opened", "start", F.least(F.coalesce("roll", never), forced).alias("end"), rolled.alias("rolled"))
-    # (3) the candidates of a name in order; hold one until its end, then take the first that starts there or later
-    step = F.struct("start", "end", "rolled", "opened", "expiration", "strike")
-    lists = ends.groupBy("symbol").agg(F.sort_array(F.collect_list(step)).alias("all"))
-    empty = F.struct(F.lit(0).cast("int").alias("free"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
-    walk = F.aggregate("all", empty, lambda a, x: F.when(x["start"] >= a["free"], F.struct(x["end"].cast("int").alias("free"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a))
-    runs = lists.select("symbol", F.explode(walk["kept"]).alias("k")).select("symbol", "k.*")
+    # (3) hold one until its end, then take the first that starts there or later
+    runs = follow(ends, "symbol", "start", "end")
     # (4) each position's own sessions
     last = days.groupBy("symbol").agg(F.max("session").alias("_last"))
     runs = runs.join(last, "symbol").withColumn("session", F.explode(F.sequence("start", F.least("end", "_last"))))

@@ -227,3 +227,13 @@ def effective_names(rows: DataFrame, value: str = "dollar_vega") -> DataFrame:
     total = F.sum(F.abs(value)).over(Window.partitionBy("date"))
     share = F.try_divide(F.abs(F.col(value)), total)
     return rows.withColumn("_s", share).groupBy("date").agg(F.try_divide(F.lit(1.0), F.sum(F.col("_s") * F.col("_s"))).alias("effective_names"))
+
+
+def distinct_sketches(rows: DataFrame, keys: list[str], value: str, bits: int = 14) -> DataFrame:
+    """``keys, sketch``: a HyperLogLog sketch of 2^bits registers of the values of each key, to be stored and united later (see ``sketched_distinct``)."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg(value, F.lit(bits)).alias("sketch"))
+
+
+def sketched_distinct(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, estimate``: distinct values of all stored sketches of each key, or of all without keys. The values themselves are not read again."""
+    return (sketches.groupBy(*keys) if keys else sketches).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import quotes as q
+from ..functions.windows import rolling
 from ..operators import reports
-from ..operators.compose import chain_of, seeded_sample
+from ..operators.asof import next_on_buckets
+from ..operators.compose import chain_of, sample_of_size, seeded_sample
 from ..operators.panels import first_by
 from ..sources import store
 from ..sources.roles import Roles, with_roles
@@ -61,6 +63,54 @@ def s15_store_inventory(r: Roles):
     return store.describe_store(r.spark, root).select("dataset", "year", "symbols", "files", (F.col("bytes") > 0).alias("has_bytes"))
 
 
+@query(with_roles("bars", "select 'bars' as dataset, cast(null as varchar) as job, symbol, count(*) as rows from bars group by symbol union all select 'rates', 'reference', null, null"))
+def s2_missing_dataset(r: Roles):
+    """What a store holds by symbol; a dataset that is not there names the job that builds it."""
+    root = built(r, bars=(r.bars, None))
+    out = None
+    for name, job in (("bars", "bars"), ("rates", store.TABLES["rates"][0])):
+        try:
+            rows = store.require(r.spark, f"{root}/{name}", job).groupBy("symbol").agg(F.count("*").alias("rows")).select(F.lit(name).alias("dataset"), F.lit(None).cast("string").alias("job"), "symbol", "rows")
+        except store.MissingDataset as e:
+            rows = r.spark.range(1).select(F.lit(name).alias("dataset"), F.lit(e.job).alias("job"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("long").alias("rows"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def bucketed(r: Roles, df, name: str):
+    """``df`` as a bucketed table of its own."""
+    path = store.scratch(r.spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[1]}"
+    store.write_buckets(df, table, path)
+    return r.spark.table(table)
+
+
+@query(with_roles("bars announcements", """w as (select date, symbol, avg(close) over (partition by symbol order by date rows between 9 preceding and current row) as mean, count(*) over (partition by symbol order by date rows between 9 preceding and current row) as n from bars)
+    select w.date, w.symbol, round(mean, 3) as mean_close, cast((select min(a.date) from announcements a where a.symbol = w.symbol and a.date >= w.date) - w.date as integer) as days_to_event from w where n = 10"""))
+def s4_bucketed_windows(r: Roles):
+    """Rolling means and the next event by symbol, from tables that lie by symbol: the plan shuffles neither."""
+    bars, events = bucketed(r, r.bars, "bars_by_symbol"), bucketed(r, r.announcements, "events_by_symbol")
+    w = Window.partitionBy("symbol").orderBy("date")
+    rows = bars.select("date", "symbol", rolling(F.avg, F.col("close"), w, 10).alias("mean_close")).filter("mean_close is not null")
+    out = next_on_buckets(rows, events)
+    return out.select("date", "symbol", F.round("mean_close", 3).alias("mean_close"), F.datediff("next_event", "date").alias("days_to_event"))
+
+
+@query(with_roles("bars", "select cast(year(date) as integer) as year, count(distinct symbol || '|' || date) as exact, true as sketch_within_3_percent from bars group by 1 union all select null, count(distinct symbol || '|' || date), true from bars where date between date '1995-01-01' and date '1997-12-31'"))
+def a22_sketched_pairs(r: Roles):
+    """Distinct pairs of symbol and day by year, from stored sketches, and of a window from the union of its years' sketches."""
+    pair = F.concat_ws("|", "symbol", F.col("date").cast("string"))
+    rows = r.bars.select(F.year("date").alias("year"), pair.alias("pair"))
+    root = built(r, sketches=(reports.distinct_sketches(rows, ["year"], "pair"), ["year"]))
+    sketches = store.require(r.spark, f"{root}/sketches", "sketches")
+    exact = rows.groupBy("year").agg(F.count_distinct("pair").alias("exact"))
+    window = "year between 1995 and 1997"
+    whole = rows.filter(window).agg(F.lit(None).cast("int").alias("year"), F.count_distinct("pair").alias("exact"))
+    found = reports.sketched_distinct(sketches, ["year"]).unionByName(reports.sketched_distinct(sketches.filter(window), []).withColumn("year", F.lit(None).cast("int")))
+    both = exact.unionByName(whole).join(found.withColumnRenamed("year", "_year"), F.col("year").eqNullSafe(F.col("_year")))
+    return both.select("year", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.03 * F.col("exact")).alias("sketch_within_3_percent"))
+
+
 @query(with_roles("bars", "select date, symbol, close + 1 as close from bars"))
 def s16_replaced_table(r: Roles):
     """A table that is written, and replaced as a whole by what is read from it."""
@@ -154,6 +204,12 @@ def p10_seeded_sample(r: Roles):
     return seeded_sample(r.xs_bars.select("date", "symbol", "close"), 0.1, 1, ["date", "symbol"])
 
 
+@query(with_roles("xs_bars", "select date, symbol, close from xs_bars order by md5('7|' || date || '|' || symbol) limit 800"))
+def p10_sample_of_size(r: Roles):
+    """Eight hundred rows by hash, the same on every run and for any partitions: the feature is the sample."""
+    return sample_of_size(r.xs_bars.select("date", "symbol", "close"), 800, 7, ["date", "symbol"])
+
+
 @query(with_roles("xs_bars", """w as (select date, symbol, close, row_number() over (partition by date order by close desc, symbol) as n from xs_bars where volume > 20) select date, symbol, close, close * 2 as doubled from w where n <= 3"""))
 def x4_composed_steps(r: Roles):
     steps = chain_of(lambda d: d.filter("volume > 20"), lambda d: first_by(d, ["date"], [F.col("close").desc(), F.col("symbol")], 3), lambda d: d.withColumn("doubled", F.col("close") * 2))

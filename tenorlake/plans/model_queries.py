@@ -241,8 +241,32 @@ def b16_rank_book(r: Roles):
     select sg.date, sg.symbol, round(signal, 6) as signal from sg where (sg.date, sg.symbol) in (select (date, symbol) from inn) or (sg.date, sg.symbol) in (select (date, symbol) from hb)"""))
 def b15_eligible_names(r: Roles):
     """Names of the universe, and those that the rank book holds."""
-    universe = r.xs_bars.filter(F.col("symbol").cast("int") % 4 == F.month("date") % 4).select("date", "symbol")
-    return rounded(pnl.eligible_scores(level_signal(r), r.xs_bars, universe, pnl.held_before(rank_book(r))))
+    return rounded(pnl.eligible_scores(level_signal(r), r.xs_bars, rotating_universe(r), pnl.held_before(rank_book(r))))
+
+
+def rotating_universe(r: Roles):
+    return r.xs_bars.filter(F.col("symbol").cast("int") % 4 == F.month("date") % 4).select("date", "symbol")
+
+
+@query(with_roles("xs_bars", """ss as (select distinct date from xs_bars), rb as (select date, row_number() over (order by date) as k from ss where month(date) % 2 = 1),
+    sp as (select s.date, min(rb.date) as next from ss s join rb on rb.date >= s.date group by 1), ns as (select next, count(*) as sessions from sp group by 1),
+    st as (select rb.k, b.symbol, count(*) as have, max(sessions) as sessions, max(case when b.date = sp.next then 1.0 + b.volume % 7 end) as vega, max(case when b.date = sp.next then round(ln(close), 9) end) as score,
+        bool_or(b.date = sp.next and cast(b.symbol as integer) % 4 = month(b.date) % 4) as member from xs_bars b join sp using (date) join ns using (next) join rb on rb.date = sp.next group by 1, 2),
+    lp as (
+        select cast(0 as bigint) as k, symbol, cast(null as double) as target, false as held from (select distinct symbol from xs_bars)
+        union all
+        select k, symbol, target, case when vega is null then false when vega > 0 then coalesce(target, 0) <> 0 else whole and was end
+        from (select *, raw * 1000 / nullif(sum(abs(raw)) over (partition by now), 0) as target
+            from (select *, case when now and n >= 10 then case when rk <= greatest(1, round_even(n * 0.3, 0)) then 1.0 when rk > n - greatest(1, round_even(n * 0.3, 0)) then -1.0 else 0.0 end end as raw
+                from (select *, rank() over (partition by now order by score) + (count(*) over (partition by now, score) - 1) / 2 as rk, count(*) over (partition by now) as n
+                    from (select lp.k + 1 as k, lp.symbol, lp.held as was, st.vega, st.score, st.have = st.sessions as whole, coalesce(st.vega is not null and st.score is not null and (st.member or (st.have = st.sessions and lp.held)), false) as now
+                        from lp join rb on rb.k = lp.k + 1 left join st on st.k = lp.k + 1 and st.symbol = lp.symbol)))))
+    select rb.date, lp.symbol, round(target, 6) + 0.0 as target_vega from lp join rb using (k) where target is not null""").replace("with ", "with recursive ", 1))
+def b15_closed_loop(r: Roles):
+    """Targets of a book that keeps names which have left the universe as long as their rank gives them one."""
+    present = reference_panel(r).select("date", "symbol", "dollar_vega")
+    rebalances = r.xs_bars.select("date").distinct().filter(F.month("date") % 2 == 1)
+    return rounded(pnl.closed_loop(level_signal(r), present, rotating_universe(r), rebalances, scheme="quantile", quantile=0.3))
 
 
 _DAILY = """tv as (select *, abs(dollar_vega - coalesce(lag(dollar_vega) over (partition by symbol order by date), 0)) as traded from rc),

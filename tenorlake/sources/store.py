@@ -1,11 +1,17 @@
-"""The table store: Parquet by year and symbol, windowed reads, atomic and year-wise writes."""
+"""The table store: Parquet by year and symbol, windowed reads, versions that a commit makes current, bucketed tables."""
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 from datetime import date as Date
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +30,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a checkpoint in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 class MissingDataset(FileNotFoundError):
     """A table that a job has not built yet."""
 
@@ -32,11 +46,94 @@ class MissingDataset(FileNotFoundError):
         self.path, self.job = path, job
 
 
+#: A table that is replaced has a folder of commits: files ``<number>.json``, each naming the data folders of one state, ``{"folders": {name: years}}``
+#: with null for all that a folder holds. The last number is current. Data folders never change once a commit names them.
+COMMITS = "_commits"
+#: Seconds that data of earlier commits stays, for readers that began before the last one.
+RETAIN = 3600.0
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the commits of a table, in order."""
+    names = [x.getPath().getName() for x in _below(spark, f"{path}/{COMMITS}")]
+    return sorted(int(n[:-5]) for n in names if re.fullmatch(r"[0-9]+\.json", n))
+
+
+def _state(spark: SparkSession, path: str, number: int) -> dict[str, list[int] | None]:
+    fs, target = _files(spark, f"{path}/{COMMITS}/{number:010d}.json")
+    stream = fs.open(target)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"]
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> dict[str, list[int] | None] | None:
+    """The data folders of a table as its last commit has them, each with its years or null; None for a table without commits."""
+    numbers = _commits(spark, path)
+    return _state(spark, path, numbers[-1]) if numbers else None
+
+
+def commit(spark: SparkSession, path: str, change: Callable[[dict | None], dict], tries: int = 20) -> None:
+    """Makes what ``change`` makes of the last state current.
+
+    The state is written beside and renamed to the next number, which fails if another writer has taken it: then ``change`` is asked again with what that one
+    wrote. Until the rename readers see the state before, after it the new one; a writer that dies leaves files that no commit names.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for _ in range(tries):
+        numbers = _commits(spark, path)
+        state = change(_state(spark, path, numbers[-1]) if numbers else None)
+        fs, beside = _files(spark, f"{path}/{COMMITS}/{uuid.uuid4().hex}.tmp")
+        out = fs.create(beside, False)
+        out.write(bytearray(json.dumps({"folders": state}).encode()))
+        out.close()
+        _, target = _files(spark, f"{path}/{COMMITS}/{(numbers[-1] if numbers else 0) + 1:010d}.json")
+        try:
+            # without the option to overwrite: an error if the number is taken
+            hadoop.FileContext.getFileContext(beside.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return
+        except Py4JJavaError as e:
+            fs.delete(beside, False)
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+    raise RuntimeError(f"{path}: other writers were first {tries} times")
+
+
+def vacuum(spark: SparkSession, path: str, retain: float = RETAIN) -> None:
+    """Removes commits, but the last, that are older than ``retain`` seconds, and as old data folders that no commit left names."""
+    fs, _ = _files(spark, path)
+    old = lambda status: status.getModificationTime() < 1000 * (time.time() - retain)
+    numbers = _commits(spark, path)
+    for status in _below(spark, f"{path}/{COMMITS}"):
+        if old(status) and status.getPath().getName() != f"{max(numbers, default=0):010d}.json":
+            fs.delete(status.getPath(), False)
+    named = {f for n in _commits(spark, path) for f in _state(spark, path, n)}
+    for status in _below(spark, path):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in named and old(status):
+            fs.delete(status.getPath(), True)
+
+
+def _parts(spark: SparkSession, path: str) -> list[DataFrame]:
+    """A read of each data folder that the current state of a table has."""
+    folders = current(spark, path)
+    if folders is None:
+        return [spark.read.parquet(path)]
+    based = [(f"{path}/{name}".rstrip("/"), years) for name, years in folders.items()]
+    return [spark.read.parquet(base) if years is None else spark.read.option("basePath", base).parquet(*(f"{base}/year={y}" for y in years)) for base, years in based]
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def require(spark: SparkSession, paths: str | list[str], job: str) -> DataFrame:
-    """The Parquet table at ``paths``; ``MissingDataset`` names the job that builds it if there is none."""
+    """The Parquet table at ``paths``, as its last commit has it if it has commits; ``MissingDataset`` names the job that builds it if there is none."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     try:
-        return spark.read.parquet(*paths)
+        if not any(_commits(spark, p) for p in paths):
+            return spark.read.parquet(*paths)
+        return _united([part for p in paths for part in _parts(spark, p)])
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             raise MissingDataset(", ".join(paths), job) from e
@@ -148,15 +245,30 @@ def _below(spark: SparkSession, path: str) -> list:
     return list(fs.listStatus(target)) if fs.exists(target) else []
 
 
+def _years_below(spark: SparkSession, path: str) -> list[int]:
+    names = [x.getPath().getName() for x in _below(spark, path) if x.isDirectory()]
+    return sorted(int(n[5:]) for n in names if n.startswith("year=") and n[5:].isdigit())
+
+
+def year_folders(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folder of each year of a table that lies by year, as its last commit has it."""
+    folders = current(spark, path)
+    out = {}
+    for name, years in ({"": None} if folders is None else folders).items():
+        base = f"{path}/{name}".rstrip("/")
+        out |= {y: f"{base}/year={y}" for y in (_years_below(spark, base) if years is None else years)}
+    return out
+
+
 def available_years(spark: SparkSession, root: str, dataset: str) -> list[int]:
     """The years of a dataset that are on disk, from its folders ``year=...``; others are not years."""
-    names = [x.getPath().getName() for x in _below(spark, f"{root}/{dataset}") if x.isDirectory()]
-    return sorted(int(n[5:]) for n in names if n.startswith("year=") and n[5:].isdigit())
+    return sorted(year_folders(spark, f"{root}/{dataset}"))
 
 
 def available_symbols(spark: SparkSession, root: str, dataset: str, year: int) -> list[str]:
     """The symbols that a year of a dataset has, from its folders ``symbol=...``."""
-    names = [x.getPath().getName() for x in _below(spark, f"{root}/{dataset}/year={year}") if x.isDirectory()]
+    folder = year_folders(spark, f"{root}/{dataset}").get(year)
+    names = [x.getPath().getName() for x in _below(spark, folder) if x.isDirectory()] if folder else []
     return sorted(n[7:] for n in names if n.startswith("symbol="))
 
 
@@ -232,26 +344,23 @@ def universe_symbols(universe: DataFrame, start=None, end=None, separator: str =
 
 
 def describe_store(spark: SparkSession, root: str) -> DataFrame:
-    """``dataset, year, symbols, files, bytes`` of all that lies below ``root``: a row for each dataset, and for each year of one that has years.
+    """``dataset, year, symbols, files, bytes`` of the tables below ``root``: a row for each, and for each year of one that lies by year.
 
-    Read from the file system's listing, which has a row for each folder.
+    Files and sizes are hidden columns of a scan that reads no others, grouped by Spark; the driver lists datasets only. A file without rows is not counted.
     """
-    rows = []
+    out = None
     for entry in _below(spark, root):
         if not entry.isDirectory():
             continue
         name = entry.getPath().getName()
-        fs, _ = _files(spark, root)
-        for year in available_years(spark, root, name) or [None]:
-            path = f"{root}/{name}" + (f"/year={year}" if year is not None else "")
-            names = fs.listFiles(_files(spark, path)[1], True)
-            files = size = 0
-            while names.hasNext():
-                status = names.next()
-                if status.getPath().getName().endswith(".parquet"):
-                    files, size = files + 1, size + status.getLen()
-            rows.append((name, year, len(available_symbols(spark, root, name, year)) if year is not None else None, files, size))
-    return spark.createDataFrame(rows, "dataset string, year int, symbols int, files int, bytes long")
+        path = F.col("_metadata.file_path")
+        files = _united([part.select(path.alias("path"), F.col("_metadata.file_size").alias("size")) for part in _parts(spark, f"{root}/{name}")]).groupBy("path").agg(F.max("size").alias("size"))
+        part = lambda key: F.nullif(F.regexp_extract("path", f"/{key}=([^/]+)/", 1), F.lit(""))
+        rows = files.select("size", part("year").cast("int").alias("year"), part("symbol").alias("symbol"))
+        rows = rows.groupBy("year").agg(F.when(F.col("year").isNotNull(), F.count_distinct("symbol")).cast("int").alias("symbols"), F.count("*").cast("int").alias("files"), F.sum("size").alias("bytes"))
+        rows = rows.select(F.lit(name).alias("dataset"), "year", "symbols", "files", "bytes")
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], "dataset string, year int, symbols int, files int, bytes long") if out is None else out
 
 
 def inventory(df: DataFrame) -> DataFrame:
@@ -265,28 +374,51 @@ def covered_members(universe: DataFrame, chain: DataFrame) -> DataFrame:
     return universe.join(have, (universe["symbol"] == have["symbol"]) & (F.year(universe["date"]) == have["chain_year"]), "left_semi")
 
 
-def write_table(df: DataFrame, path: str, partition: list[str] | None = None, sort: list[str] | None = None) -> None:
-    """Replaces the table at ``path`` as a whole: written beside it, then renamed, so readers see the old or the new one."""
-    spark = df.sparkSession
+def write_table(df: DataFrame, path: str, partition: list[str] | None = None, sort: list[str] | None = None, retain: float = RETAIN) -> None:
+    """Replaces the table at ``path`` as a whole: written as a folder of its own, which a commit then makes the current one.
+
+    Readers see the table before or the new one, also those that read while it is replaced, as data of earlier commits stays for ``retain`` seconds.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
     out = df.repartition(*partition) if partition else df
     out = out.sortWithinPartitions(*(partition or []), *sort) if sort else out
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    writer = out.write.partitionBy(*partition) if partition else out.write
-    writer.parquet(beside)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target, fresh = hadoop.Path(path), hadoop.Path(beside)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = hadoop.Path(f"{beside}.old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    if fs.exists(old):
-        fs.delete(old, True)
-
-
-def replace_years(df: DataFrame, path: str, year: str = "year") -> None:
-    """Replaces the years that ``df`` holds and keeps the others."""
-    df.repartition(year).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year).parquet(path)
+    fresh = f"v-{uuid.uuid4().hex}"
+    (out.write.partitionBy(*partition) if partition else out.write).parquet(f"{path}/{fresh}")
+    commit(spark, path, lambda _: {fresh: None})
+    vacuum(spark, path, retain)
+
+
+def replace_years(df: DataFrame, path: str, year: str = "year", retain: float = RETAIN) -> None:
+    """Replaces the years that ``df`` holds and keeps the others, in one commit; a table without commits gets its first one.
+
+    Two writers of different years don't undo each other: the later one's commit builds on the other's.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    fresh = f"v-{uuid.uuid4().hex}"
+    df.withColumnRenamed(year, "year").repartition("year").write.partitionBy("year").parquet(f"{path}/{fresh}")
+    years = _years_below(spark, f"{path}/{fresh}")
+
+    def change(before: dict | None) -> dict:
+        out = {}
+        for name, own in ({"": None} if before is None else before).items():
+            left = [y for y in (_years_below(spark, f"{path}/{name}".rstrip("/")) if own is None else own) if y not in years]
+            if left:
+                out[name] = left
+        return out | {fresh: years}
+
+    if years:
+        commit(spark, path, change)
+        vacuum(spark, path, retain)
+
+
+def write_buckets(df: DataFrame, name: str, path: str, key: str = "symbol", order: str = "date", buckets: int | None = None) -> None:
+    """A table of the catalog below ``path``, whose rows lie in files by the hash of ``key``, in order: work by ``key`` on it needs no shuffle.
+
+    ``buckets``: about as many as tasks should share the work, by default the shuffle partitions.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one file a bucket: tasks write whole buckets
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key, order).option("path", path).mode("overwrite").saveAsTable(name)
 
 
 def write_report(df: DataFrame, path: str, order: list[str], kind: str = "csv") -> None:

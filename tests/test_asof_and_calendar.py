@@ -1,5 +1,6 @@
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,10 +94,42 @@ def test_store_round_trips(spark, tmp_path):
     store.write_table(df, path, ["year"])
     assert store.require(spark, path, "job").count() == 2
     store.replace_years(frame(spark, [(day(2), "z", 2024)], "date date, symbol string, year int"), path)
-    assert sorted(r.symbol for r in spark.read.parquet(path).collect()) == ["a", "z"]
+    assert sorted(r.symbol for r in store.require(spark, path, "job").collect()) == ["a", "z"]
     with pytest.raises(store.MissingDataset, match="builder"):
         store.require(spark, str(tmp_path / "no"), "builder")
     assert store.in_window(df, None, str(day(0))).count() == 1
     assert conform(df, CHAIN).schema == CHAIN
     store.write_report(df, str(tmp_path / "r"), ["date"])
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 2
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("exact", [True, False])
+def test_buckets_change_no_lookup(spark, direction, exact):
+    rng = np.random.default_rng(6)
+    left = frame(spark, [(i, str(rng.choice(["a", "b", "c"])), day(int(rng.integers(0, 900)))) for i in range(400)] + [(900, "a", None), (901, None, day(3))], "id int, symbol string, date date")
+    right = frame(spark, [(str(rng.choice(["a", "b", "d"])), day(int(rng.integers(-50, 1000))), i) for i in range(60)] + [(None, day(1), 99)], "symbol string, date date, v int")
+    get = lambda **k: {r.id: r.v for r in asof_join(left, right, ["symbol"], ["v"], direction=direction, exact=exact, **k).collect() if r.id < 900}
+    plain = get()
+    assert any(v is not None for v in plain.values()) and len(plain) == 400
+    for span in (1, 7, 32, 5000):
+        assert get(span=span) == plain
+
+
+def test_a_name_with_very_many_rows_is_spread(spark):
+    """A thousand times the others' rows: the largest task has no more than three times the median's."""
+    days = 2000
+    hot = spark.range(200_000).select(F.lit("HOT").alias("symbol"), F.expr(f"date_add(date'2015-01-01', int(id % {days}))").alias("date"))
+    rest = spark.range(20 * 200).select(F.concat(F.lit("s"), F.col("id") % 20).alias("symbol"), F.expr(f"date_add(date'2015-01-01', int(id * 7 % {days}))").alias("date"))
+    events = spark.range(25).select(F.explode(F.array(F.lit("HOT"), F.lit("s3"))).alias("symbol"), F.expr("date_add(date'2015-02-01', int(id * 80))").alias("date"))
+    panel = hot.unionByName(rest)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = event_distance(panel, events)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) <= 3 * np.median(sizes)
+    want = {e: 0 for e in range(25)}
+    near = got.filter("symbol = 'HOT' and date = date'2015-04-25'").first()
+    assert len(want) == 25 and near.days_to_event == 77 and near.days_since_event == 3

@@ -1,5 +1,6 @@
 from datetime import date
 
+from tenorlake.sources.store import require
 from tenorlake.streaming.refresh import refresh
 
 
@@ -14,7 +15,7 @@ def test_refresh_reads_new_files_once_and_replaces_their_years(spark, tmp_path):
         return refresh(spark, landing, spark.createDataFrame([], schema).schema, table, checkpoint, ["date", "symbol"])
 
     def stored():
-        return sorted((r.date, r.symbol, r.close) for r in spark.read.parquet(table).collect())
+        return sorted((r.date, r.symbol, r.close) for r in require(spark, table, "refresh").collect())
 
     land((date(2023, 5, 1), "a", 1.0), (date(2024, 5, 1), "a", 2.0))
     assert run() >= 1 and len(stored()) == 2
