@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quotes import days_to, is_quoted
 from .asof import count_events, next_event
+from .rolling import rolling_quantile
 
 YEAR = 365.0
 
@@ -61,8 +62,8 @@ def jump_variance(pillars: DataFrame, events: DataFrame, window: int = 250, leas
     ends = rows.groupBy("date", "symbol").agg(F.max(F.when(known & ~after, point)).alias("b"), F.min(F.when(after, point)).alias("a"))
     term = F.when(F.col("a.dte") - F.col("b.dte") <= max_gap, F.greatest(F.col("a.w") - F.col("b.w") / F.col("b.dte") * F.col("a.dte"), F.lit(0.0)))
     rows = days.join(ends, ["date", "symbol"], "left").withColumn("jump_term", term)
-    frame = Window.partitionBy("symbol").orderBy("date").rowsBetween(-window, -1)
-    rows = rows.withColumn("history", F.when(F.count("jump_term").over(frame) >= least, F.percentile("jump_term", F.lit(0.5)).over(frame)))
+    rows = rolling_quantile(rows.select("date", "symbol", "next_event", "days_to_event", "jump_term"), "jump_term", "history", window, least, skip=1)
+    known = F.col("next_event").isNotNull()
     method = F.when(~known, "none").when(F.col("jump_term").isNotNull(), "term").when(F.col("history").isNotNull(), "history").otherwise("none")
     return rows.select("date", "symbol", "next_event", "days_to_event", F.coalesce("jump_term", "history").alias("jump_var"), method.alias("method"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import ahead, average_rank, bucket, by, clip, fill_forward, quantiles, rolling, zscore
 from ..operators import vol
 from ..operators.corporate import split_factors
+from ..operators.rolling import rolling_quantile
 from ..operators.signals import past_return_signal, time_series_zscore
 from ..sources.roles import Roles, with_roles
 from .registry import query, rounded
@@ -174,7 +175,7 @@ def r17_event_history(r: Roles):
     from rets window w as (partition by symbol order by date rows between 60 preceding and 1 preceding)"""))
 def r18_lagged_median(r: Roles):
     rows = r.bars.withColumn("r", vol.log_return())
-    return rounded(rows.select("date", "symbol", rolling(lambda c: F.percentile(c, F.lit(0.5)), F.col("r"), by("symbol"), 60, 20, skip=1).alias("jump_history")))
+    return rounded(rolling_quantile(rows.select("date", "symbol", "r"), "r", "jump_history", 60, 20, skip=1).drop("r"))
 
 
 @query(with_roles("bars", """i as (select *, last_value(case when volume % 3 = 0 then close end ignore nulls) over (partition by symbol order by date rows between unbounded preceding and current row) as inception from bars)

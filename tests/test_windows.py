@@ -1,3 +1,4 @@
+import time
 from datetime import date, timedelta
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenorlake.functions.windows import ahead, average_rank, bucket, by, quantiles, rolling, zscore
+from tenorlake.operators.rolling import SortedWindow, rolling_quantile
 from tenorlake.operators import vol
 
 DAY = date(2024, 1, 1)
@@ -99,3 +101,36 @@ def test_yang_zhang_is_near_the_simulated_volatility(spark):
     bars = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double")
     mean = vol.yang_zhang_panel(bars, (22,), 22).agg(F.avg("rv_22")).first()[0]
     assert 0.15 < mean < 0.22
+
+
+@pytest.mark.parametrize("window,least,skip,q", [(1, 1, 0, 0.5), (5, 3, 1, 0.5), (30, 1, 0, 0.25), (60, 20, 2, 0.9)])
+def test_rolling_quantiles_match_numpy(spark, window, least, skip, q):
+    rng = np.random.default_rng(window)
+    names = {s: [None if rng.random() < 0.1 else float(rng.integers(0, 9)) + (0.5 if rng.random() < 0.3 else 0.0) for _ in range(n)] for s, n in (("A", 150), ("B", 1), ("C", 90))}
+    names["A"][70] = float("nan")
+    rows = [(s, DAY + timedelta(i), v, "k") for s, values in names.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "symbol string, date date, x double, tag string").repartition(6)
+    got = {(r.symbol, r.date): r.m for r in rolling_quantile(df, "x", "m", window, least, q, skip).collect()}
+    assert len(got) == len(rows)
+    for s, values in names.items():
+        for i in range(len(values)):
+            own = [v for v in values[max(0, i - skip - window + 1) : max(0, i - skip + 1)] if v is not None and v == v]
+            want = np.quantile(own, q) if len(own) >= least and own else None
+            have = got[s, DAY + timedelta(i)]
+            assert (want is None and have is None) or abs(have - want) < 1e-12, (s, i)
+
+
+def test_a_long_window_costs_about_what_a_short_one_does(spark):
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=120_000).tolist()
+
+    def seconds(size):
+        window, start = SortedWindow(size), time.process_time()
+        for v in values:
+            window.push(v)
+            window.quantile(0.5)
+        return time.process_time() - start
+
+    assert seconds(2500) < 6 * seconds(250)
+    df = spark.range(40_000).select(F.lit("A").alias("symbol"), F.col("id").alias("date"), F.rand(3).alias("x"))
+    assert rolling_quantile(df, "x", "m", 2500, 20).filter("m is not null").count() == 40_000 - 19
