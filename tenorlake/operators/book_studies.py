@@ -39,13 +39,15 @@ def window_sweep(reference: DataFrame, windows: dict[str, tuple[int, int]], hori
     spreads = spread_stats(signals, reference, horizon, keys=("label",))
     targets = rank_targets(signals, gross, keys=("label",))
     labels = list(windows)
-    daily = book_daily(book(reference, targets, rebalances, 0.0, labels), ("label",))
+    # costs change no position: one run of the books, a row for each book and session, with and without them
+    paid = book_daily(book(reference, targets, rebalances, 1.0, labels), ("label",))
+    upto = Window.partitionBy("label").orderBy("date")
+    daily = paid.withColumns({"cost": F.lit(0.0), "net_pnl": F.col("gross_pnl"), "cumulative_net": F.sum("gross_pnl").over(upto)})
     books = book_summary(daily, ("label",)).select("label", F.col("mean_positions").alias("positions"), F.col("total_gross_pnl").alias("gross_pnl"), "sharpe", "max_drawdown", F.col("annual_turnover_over_gross_vega").alias("turnover"))
     fits = book_factors(daily, factors, keys=["label"])
     at = lambda name, c: F.max(F.when(F.col("regressor") == name, F.col(c)))
     fits = fits.groupBy("label").agg(at(market, "coefficient").alias("market_loading"), at(market, "t_stat").alias("market_t"), at("const", "t_stat").alias("intercept_t"))
-    costed = book_summary(book_daily(book(reference, targets, rebalances, 1.0, labels), ("label",)), ("label",))
-    costed = costed.select("label", F.col("total_net_pnl").alias("net_pnl_full_cost"), F.col("sharpe").alias("net_sharpe_full_cost"), F.col("total_cost").alias("cost_total"))
+    costed = book_summary(paid, ("label",)).select("label", F.col("total_net_pnl").alias("net_pnl_full_cost"), F.col("sharpe").alias("net_sharpe_full_cost"), F.col("total_cost").alias("cost_total"))
     return spreads.join(books, "label", "left").join(fits, "label", "left").join(costed, "label", "left"), deciles
 
 

@@ -71,13 +71,37 @@ def har_panel(r: Roles):
     return vol.close_to_close_panel(r.bars, (1, 5, 22), 20)
 
 
-@query(None)
+def _har_sql() -> str:
+    """The refits: running sums of products by session, and Cramer's rule on their central moments."""
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    x = ["1.0", "x1", "x2", "x3"]
+    sums = ", ".join([*(f"sum({x[i]} * {x[j]}) as s{i}{j}" for i, j in pairs), *(f"sum({x[i]} * y) as t{i}" for i in range(4)), "sum(y * y) as yy"])
+    names = ["n", *(f"s{i}{j}" for i, j in pairs), *(f"t{i}" for i in range(4)), "yy"]
+    upto = ", ".join(f"sum(coalesce({c}, 0)) over (order by i) as {c}" for c in names)
+    a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    det = lambda c: f"({c[0][0]} * ({c[1][1]} * {c[2][2]} - {c[1][2]} * {c[2][1]}) - {c[0][1]} * ({c[1][0]} * {c[2][2]} - {c[1][2]} * {c[2][0]}) + {c[0][2]} * ({c[1][0]} * {c[2][1]} - {c[1][1]} * {c[2][0]}))"
+    m = [[a(i, j) for j in (1, 2, 3)] for i in (1, 2, 3)]
+    slope = lambda k: f"{det([[f'r{i}' if j == k else m[i - 1][j - 1] for j in (1, 2, 3)] for i in (1, 2, 3)])} / {det(m)} as c{k}"
+    return f"""sq as (select date, symbol, ln(close / lag(close) over w) ** 2 as s from bars where close >= 1.0 window w as (partition by symbol order by date)),
+    pn as (select date, symbol, sqrt(252 * s) as rv_1, sqrt(252 * case when count(*) over w5 = 5 then coalesce(sum(s) over w5, 0) / nullif(count(s) over w5, 0) end) as rv_5, sqrt(252 * case when count(*) over w22 = 22 then coalesce(sum(s) over w22, 0) / nullif(count(s) over w22, 0) end) as rv_22,
+        sqrt(252 * case when count(*) over f20 = 20 then coalesce(sum(s) over f20, 0) / nullif(count(s) over f20, 0) end) as rv_fwd
+        from sq window w5 as (partition by symbol order by date rows between 4 preceding and current row), w22 as (partition by symbol order by date rows between 21 preceding and current row), f20 as (partition by symbol order by date rows between 1 following and 20 following)),
+    hr as (select date, symbol, ln(rv_1) as x1, ln(rv_5) as x2, ln(rv_22) as x3, case when rv_fwd > 0 then ln(rv_fwd * rv_fwd) end as y from pn where rv_1 > 0 and rv_5 > 0 and rv_22 > 0),
+    ix as (select date, row_number() over (order by date) - 1 as i, lag(date) over (order by date) as before from (select distinct date from hr)),
+    dy as (select date, count(*) as n, {sums} from hr where y is not null group by 1), rn as (select i, {upto} from ix left join dy using (date)),
+    mo as (select ix.date, rn.* exclude (i) from ix join rn on rn.i = ix.i - 20 where (before is null or date_trunc('month', before) <> date_trunc('month', ix.date)) and n >= 1000),
+    ce as (select *, {", ".join(f"s{i}{j} / n - s0{i} / n * s0{j} / n as a{i}{j}" for i, j in pairs if i)}, {", ".join(f"t{i} / n - s0{i} / n * t0 / n as r{i}" for i in (1, 2, 3))} from mo),
+    sl as (select *, {", ".join(map(slope, (1, 2, 3)))} from ce),
+    co as (select date, cast(n as bigint) as rows, (t0 - c1 * s01 - c2 * s02 - c3 * s03) / n as c0, c1, c2, c3, greatest(0, yy / n - t0 / n * t0 / n - c1 * r1 - c2 * r2 - c3 * r3) as residual_var from sl)"""
+
+
+@query(with_roles("bars", f"{_har_sql()} select hr.date, symbol, round(sqrt(exp(c0 + c1 * x1 + c2 * x2 + c3 * x3 + residual_var / 2)), 5) as rv_fcst from hr asof join co on hr.date >= co.date"))
 def m6_har_forecast(r: Roles):
-    """Pooled forecasts with monthly refits; checked against least squares on the driver in the tests."""
+    """Pooled forecasts with monthly refits."""
     return rounded(har.har_forecast(har_panel(r), forward=20, min_rows=1000), 5)
 
 
-@query(None)
+@query(with_roles("bars", f"{_har_sql()} select date, rows, {', '.join(f'round(c{i}, 5) + 0.0 as c{i}' for i in range(4))}, round(residual_var, 5) as residual_var from co"))
 def m6_har_coefficients(r: Roles):
     return rounded(har.har_coefficients(har_panel(r), forward=20, min_rows=1000), 5)
 
