@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def clean(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints of tables that nothing refers to any more, between rounds of a long job.
+
+    It does so when the driver happens to collect its garbage, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet below the shared folder, under a name of its own, and read again; and where it lies."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"

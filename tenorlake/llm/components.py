@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, small
+from .base import checkpointed, clean, small
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,6 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         label = checkpointed(label.join(least.select(F.col("a").alias("to"), F.col("took").alias("next")), "to", "left").select("h", "node", F.coalesce("next", "to").alias("to")))
         ends = left.join(least.select("a", F.col("took").alias("c")), "a").join(least.select(F.col("a").alias("b"), F.col("took").alias("d")), "b")
         left = checkpointed(ends.where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
+        del both, least, ends
+        clean(links.sparkSession)
     # a table of its own, so that the rows of a hot component can be split among tasks
     least = small(checkpointed(label.groupBy("to").agg(F.min("node").alias("component"))))
     return label.join(least, "to").select("node", "component")

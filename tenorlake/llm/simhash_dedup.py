@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .base import NO_ID, checkpointed, id_and_text, pieces, release, shuffle_partitions, small, text_bytes, texts
+from .base import NO_ID, checkpointed, clean, id_and_text, pieces, release, shuffle_partitions, small, text_bytes, texts
 from .components import components
 from .tokens import STEPS, WORD, mixed, text_of_word, window_hashes, word_hashes, word_spans
 
@@ -379,11 +379,16 @@ def copies(source: DataFrame) -> DataFrame:
     # documents with equal texts are one node
     nodes = checkpointed(prints.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     groups = checkpointed(components(candidates(nodes)))
+    clean(spark)
     groups = groups.join(nodes.select("node", "first", "size"), "node")
     parts_of = lambda rows=F.lit(True): F.ceil(F.greatest(F.count_if(rows) / COPY_BLOCK, F.sum(F.when(rows, F.col("size")).otherwise(0)) / COPY_BYTES)).cast("int")
     members = groups.join(small(checkpointed(groups.groupBy("component").agg(parts_of().alias("parts")))), "component")
     found = source.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(members, ["node", "first"]).dropDuplicates(["node"]).select("node", "text", "size", "component", "parts")
     found = checkpointed(found)
+    del members, groups
+    nodes = checkpointed(nodes.select("node", "first"))
+    prints = checkpointed(prints.select("doc_id", "node"))
+    clean(spark)
     # a bucket has about one task's bytes, so buckets get more and not larger as the candidates do
     size = found.agg(F.sum("size")).first()[0] or 0
     buckets = max(4 * shuffle_partitions(spark), size // COPY_BYTES)

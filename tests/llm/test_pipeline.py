@@ -56,6 +56,21 @@ def test_secret_columns_match_brute_force(spark, sf_dir):
 
 
 def test_registry(spark, sf_dir):
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)] and set(ORACLES) <= set(QUERIES)
     for name in ("op1_url_filter", "op8_ngram_perplexity", "op10_secret_scan"):
         assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_run_takes_a_table_of_odd_rows(make, spark, labels_of, tmp_path):
+    """The whole pipeline from files: nulls, repeated ids, blank and long texts, columns with names that the stages use."""
+    rng = random.Random(3)
+    good = [(100 + i, " ".join(rng.choice("river stone field cloud winter market letter garden".split()) + str(rng.randrange(400)) for _ in range(120))) for i in range(60)]
+    bad = [(200 + i, "buy!! now!! " * rng.randrange(20, 90)) for i in range(40)]
+    docs = make([r[:2] for r in ODD] + good + bad)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of([(d, 1, 0) for d, _ in good] + [(d, 0, 0) for d, _ in bad] + [(999, None, None), (None, 1, 1)]).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in rows]
+    assert {d for d, _ in good} <= set(ids) and len(ids) == len(set(ids)) and not {d for d, _ in bad} & set(ids)
+    assert all(len(r.ids_sha256) == len(r.decoded_sha256) == 64 for r in rows)

@@ -421,6 +421,72 @@ def test_exceptions_and_folding():
     assert all(len(tox.folded(t)) == len(t) for t in ("İstanbul", "ẞ1", "ŉ"))
 
 
+def test_learned_weights_exceptions_and_scores_match_plain_python(make, labels_of):
+    """Document frequencies by splitting and slicing, log-odds by their formula, and the regression by its gradient."""
+    rng = random.Random(21)
+    calm, nasty = [f"word{i}" for i in range(40)], ["Trashy", "vіlest", "id1ot", "scumbags"]
+    rows, labels = [], []
+    for i in range(400):
+        y = int(i % 4 == 0)
+        words = [rng.choice(calm) for _ in range(rng.randrange(3, 60))]
+        for _ in range(rng.randrange(1, 5) if y else rng.random() < 0.08):
+            words.insert(rng.randrange(len(words)), rng.choice(nasty) + rng.choice(["", "!", "..."]))
+        if not y and i % 13 == 0:
+            words += ["trashy", "novel"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, y))
+    got = tox.score_toxicity(make(rows), labels_of(labels)).collect()
+    learn = [(t, y) for (d, t), (_, _, y) in zip(rows, labels) if zlib.crc32(str(d).encode()) % 5]
+
+    def slow_terms(text):
+        out = set()
+        for word in text.split():
+            word = re.sub(r"^[\W_]+|[\W_]+$", "", word)
+            if len(word) >= 3:
+                word = tox.folded(word)
+                out |= {word} | {word[:k] + "*" for k in range(4, 9) if k < len(word)}
+        return out
+
+    n = {y: sum(b == y for _, b in learn) for y in (0, 1)}
+    found = {y: collections.Counter(t for text, b in learn if b == y for t in slow_terms(text)) for y in (0, 1)}
+    odds = lambda y, k: math.log((k + 0.5) / (n[y] - k + 0.5))
+    weights = {}
+    for term, t in found[1].items():
+        c = found[0][term]
+        w = odds(1, t) - odds(0, c)
+        if t >= 5 and w >= 1 and w / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= 3.5:
+            weights[term] = w
+    assert tox.folded("trashy") in weights
+    lexicon = tox.Lexicon(weights)
+    near = {0: collections.Counter(), 1: collections.Counter()}
+    for text, y in learn:
+        words = [(m.start(), tox.folded(m[0])) for m in re.finditer(r"[^\W_]+", text)]
+        hits = lexicon.hits(text)
+        near[y].update({f"{u} {v}" for (a, u), (b, v) in zip(words, words[1:]) if a in hits or b in hits})
+    calm_phrases = []
+    for phrase, c in near[0].items():
+        t = near[1][phrase]
+        if c >= 5 and (odds(0, c) - odds(1, t)) / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= 2:
+            calm_phrases.append(phrase)
+    assert calm_phrases
+    lexicon = tox.Lexicon(weights, tuple(sorted(calm_phrases)))
+
+    def features(text):
+        own = lexicon.hits(text).values()
+        return [1.0, math.log1p(sum(own)), math.log1p(1000 * sum(own) / len(text.split())), max(own)] if own else [1.0, 0.0, 0.0, 0.0]
+
+    x, y = np.array([features(t) for t, _ in learn]), np.array([b for _, b in learn])
+    beta = np.zeros(4)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(4), x.T @ (y - p) - beta)
+    by = {r.doc_id: r for r in got}
+    for d, text in rows:
+        want = 1 / (1 + math.exp(-float(np.dot(features(text), beta))))
+        assert abs(by[d].score - want) < 1e-6 and by[d].predicted == int(by[d].score >= 0.5)
+        assert by[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+
+
 def slow_rule(url):
     if url is None or "://" not in url:
         return "", "", None
