@@ -155,6 +155,14 @@ def test_a_sector_that_is_the_market(spark):
     assert {r.symbol: r.idio_vol for r in idio.collect()}.keys() == {"A", "B"}
 
 
+def test_names_without_idio_vol_raise(spark):
+    idio = spark.createDataFrame([("A", 0.2), ("B", None)], "symbol string, idio_vol double")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "symbol string")
+    assert [tuple(r) for r in risk.aligned_idio(names("A", "A"), idio).collect()] == [("A", 0.2)]
+    with pytest.raises(KeyError, match="'B', 'C'"):
+        risk.aligned_idio(names("A", "C", "B"), idio)
+
+
 def har_panel(spark, seed=0, scramble=False):
     rng = np.random.default_rng(3)
     rows = []
