@@ -431,7 +431,7 @@ def test_learned_weights_exceptions_and_scores_match_plain_python(make, labels_o
         words = [rng.choice(calm) for _ in range(rng.randrange(3, 60))]
         for _ in range(rng.randrange(1, 5) if y else rng.random() < 0.08):
             words.insert(rng.randrange(len(words)), rng.choice(nasty) + rng.choice(["", "!", "..."]))
-        if not y and i % 13 == 0:
+        if not y and i % 7 == 1:
             words += ["trashy", "novel"]
         rows.append((i, " ".join(words)))
         labels.append((i, 1, y))
