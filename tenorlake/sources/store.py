@@ -91,7 +91,7 @@ def commit(spark: SparkSession, path: str, change: Callable[[dict | None], dict]
         _, target = _files(spark, f"{path}/{COMMITS}/{(numbers[-1] if numbers else 0) + 1:010d}.json")
         try:
             # without the option to overwrite: an error if the number is taken
-            hadoop.FileContext.getFileContext(beside.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(target), spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
             return
         except Py4JJavaError as e:
             fs.delete(beside, False)
