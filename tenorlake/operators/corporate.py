@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof_join
 
 
-def action_table(quotes: DataFrame, split: str = "split", dividend: str = "dividend") -> DataFrame:
-    """``symbol, date, action, value``: the splits and dividends that daily ``quotes`` carry in two columns, as rows."""
+def action_table(quotes: DataFrame, split: str = "split", dividend: str = "dividend", given: dict[str, Column] | None = None) -> DataFrame:
+    """``symbol, date, action, value``: the splits and dividends that daily ``quotes`` carry in two columns, as rows.
+
+    A row has an action where its column is neither zero nor null; where rows say so themselves, ``given`` has the condition for
+    ``split`` and ``dividend``, and any value counts.
+    """
     out = None
     for name, column in (("split", split), ("dividend", dividend)):
-        part = quotes.filter((F.col(column) != 0) & F.col(column).isNotNull()).select("symbol", "date", F.lit(name).alias("action"), F.col(column).cast("double").alias("value"))
+        has = given[name] if given is not None else (F.col(column) != 0) & F.col(column).isNotNull()
+        part = quotes.filter(has).select("symbol", "date", F.lit(name).alias("action"), F.col(column).cast("double").alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
