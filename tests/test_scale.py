@@ -15,3 +15,10 @@ def test_actions_of_any_value_are_kept(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     got = catalog.QUERIES["m22_action_table"](spark, str(tmp_path)).collect()
     assert sorted((r.action, str(r.value)) for r in got) == [("dividend", "0.0"), ("dividend", "3.5"), ("dividend", "None"), ("split", "2.0")]
+
+
+def test_return_after_a_price_of_zero_is_infinite(spark):
+    closes = [0.0, 2.0, 0.0, 0.0, -1.0, None, 1.0]
+    rows = spark.createDataFrame([("A", DAY + timedelta(i), c) for i, c in enumerate(closes)], "symbol string, date date, close double")
+    got = [r.ret for r in rows.select("date", vol.split_adjusted_return().alias("ret")).orderBy("date").collect()]
+    assert got[0] is None and got[1] == math.inf and got[2] == -1.0 and math.isnan(got[3]) and got[4] == -math.inf and got[5] is None and got[6] is None
