@@ -3,7 +3,9 @@
 import math
 from datetime import date, datetime, timedelta
 
-from tenorlake.operators import vol
+import numpy as np
+
+from tenorlake.operators import risk, vol
 from tenorlake.plans import catalog
 
 DAY = date(2024, 1, 1)
@@ -22,3 +24,26 @@ def test_return_after_a_price_of_zero_is_infinite(spark):
     rows = spark.createDataFrame([("A", DAY + timedelta(i), c) for i, c in enumerate(closes)], "symbol string, date date, close double")
     got = [r.ret for r in rows.select("date", vol.split_adjusted_return().alias("ret")).orderBy("date").collect()]
     assert got[0] is None and got[1] == math.inf and got[2] == -1.0 and math.isnan(got[3]) and got[4] == -math.inf and got[5] is None and got[6] is None
+
+
+def test_model_covariance_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(risk, "BLOCK", 7, raising=False)
+    rng = np.random.default_rng(5)
+    names, factors, days = [f"n{i:02}" for i in range(40)], ["MKT", "a", "b"], [DAY, DAY + timedelta(1)]
+    loads = {(d, n): {"MKT": rng.normal(), "ab"[i % 2]: rng.normal()} for d in days for i, n in enumerate(names)}
+    del loads[days[1], "n00"]
+    # a name that shares no factor with half of the others
+    del loads[days[0], "n01"]["MKT"]
+    cov = {d: np.cov(rng.normal(size=(3, 30))) for d in days}
+    cov[days[0]][2, 1] = cov[days[0]][1, 2] = 0.0
+    loadings = spark.createDataFrame([(d, n, f, float(v)) for (d, n), own in loads.items() for f, v in own.items()], "date date, symbol string, factor string, loading double")
+    matrix = spark.createDataFrame([(d, f, g, float(cov[d][i, j])) for d in days for i, f in enumerate(factors) for j, g in enumerate(factors)], "date date, factor_1 string, factor_2 string, covariance double")
+    idio = spark.createDataFrame([(d, n, 0.5 + i) for d in days for i, n in enumerate(names) if n != "n02"], "date date, symbol string, idio_vol double")
+    out = risk.model_covariance(loadings, matrix, idio)
+    got = {(r.date, r.symbol_1, r.symbol_2): r.covariance for r in out.collect()}
+    row = lambda d, n: np.array([loads[d, n].get(f, 0.0) for f in factors])
+    want = {(d, n, m): row(d, n) @ cov[d] @ row(d, m) + ((0.5 + i) ** 2 if n == m and n != "n02" else 0.0) for d in days for i, n in enumerate(names) for m in names if (d, n) in loads and (d, m) in loads}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=1e-9)
+    # nothing keyed by both names of a pair is grouped or shuffled
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if ("Aggregate" in x or "Repartition" in x) and "symbol_1" in x and "symbol_2" in x]
