@@ -7,12 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ahead, average_rank, bucket, by
+from ..functions.windows import ahead, bucket, by
+from ..sources.store import checkpointed
 from .pnl import hold_to_expiry
 from .regress import ols_table
 
 DECILES = 10
 
+#: Rows of a task where the number of tasks has to follow that of the rows.
+TASK_ROWS = 500_000
+
 
 def portfolio_returns(panel: DataFrame, columns: list[str], keys: tuple[str, ...] = ("month",), bucket_col: str = "decile", top: int = DECILES) -> DataFrame:
     """``keys, decile, names, columns``: equal-weighted means, and decile 0 for top less bottom where both are there."""
@@ -133,12 +137,35 @@ def state_table(rows: DataFrame, labels: Column, columns: list[str]) -> DataFram
     return rows.withColumn("state", F.explode(labels)).filter("state is not null").groupBy("state").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in columns))
 
 
+def value_ranks(rows: DataFrame, keys: list[str], value: str, parts: int, to: str = "rank") -> DataFrame:
+    """``keys, value, to``: the average rank of each distinct value within ``keys``, for keys with too many rows for one sorted window.
+
+    Values with their numbers of rows are dealt to ``parts`` ranges; running counts within a range, and what the ranges before it hold.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    # where a range begins is sampled, so it is settled before it is used twice
+    ranged = checkpointed(counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.repartition(parts, *keys, "_part").withColumn("_upto", upto).join(F.broadcast(before), [*keys, "_part"])
+    return placed.select(*keys, value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(to))
+
+
 def forecast_quality(rows: DataFrame, actual: str, predictors: list[str]) -> DataFrame:
-    """``predictor, n, spearman, mean_log_error, rms_log_error``; average ranks over each predictor's own rows."""
+    """``predictor, n, spearman, mean_log_error, rms_log_error``; average ranks over each predictor's own rows.
+
+    Ranks are those of distinct values, looked up by value, in tasks of ``TASK_ROWS`` rows; no predictor is sorted as a whole.
+    """
+    rows = checkpointed(rows.select(actual, *predictors))
+    parts = max(1, -(-rows.count() * len(predictors) // TASK_ROWS))
     long = unpivot(rows, [actual], predictors, "predictor", "value").filter(f"value > 0 and {actual} > 0")
-    ranked = long.withColumns({"_a": average_rank(actual, "predictor"), "_b": average_rank("value", "predictor")})
+    for value, to in ((actual, "_a"), ("value", "_b")):
+        ranks = value_ranks(long.select("predictor", value), ["predictor"], value, parts, to)
+        long = long.repartition(parts, "predictor", value).join(ranks, ["predictor", value])
     error = F.ln("value") - F.ln(actual)
-    return ranked.groupBy("predictor").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("spearman"), F.avg(error).alias("mean_log_error"), F.sqrt(F.avg(error * error)).alias("rms_log_error"))
+    return long.groupBy("predictor").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("spearman"), F.avg(error).alias("mean_log_error"), F.sqrt(F.avg(error * error)).alias("rms_log_error"))
 
 
 def validation(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -4,8 +4,9 @@ import math
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 
-from tenorlake.operators import risk, vol
+from tenorlake.operators import reports, risk, vol
 from tenorlake.plans import catalog
 
 DAY = date(2024, 1, 1)
@@ -47,3 +48,18 @@ def test_model_covariance_shuffles_no_pairs(spark, monkeypatch):
     # nothing keyed by both names of a pair is grouped or shuffled
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [x for x in plan if ("Aggregate" in x or "Repartition" in x) and "symbol_1" in x and "symbol_2" in x]
+
+
+def test_ranks_of_forecasts_are_dealt_to_ranges(spark, monkeypatch):
+    monkeypatch.setattr(reports, "TASK_ROWS", 300, raising=False)
+    rng = np.random.default_rng(6)
+    # ties within and across the ranges, rows that count for one predictor only
+    frame = pd.DataFrame({"actual": rng.integers(0, 40, 900) / 8, "p": rng.integers(-5, 300, 900) / 8, "q": np.where(rng.random(900) < 0.4, 1.5, rng.random(900))})
+    out = reports.forecast_quality(spark.createDataFrame(frame).repartition(5), "actual", ["p", "q"])
+    for r in out.collect():
+        own = frame[(frame.actual > 0) & (frame[r.predictor] > 0)]
+        error = np.log(own[r.predictor]) - np.log(own.actual)
+        assert r.n == len(own) and np.isclose(r.spearman, own.actual.rank().corr(own[r.predictor].rank()), atol=1e-12)
+        assert np.allclose([r.mean_log_error, r.rms_log_error], [error.mean(), np.sqrt((error**2).mean())])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(predictor#" not in plan.replace("\n", "") or "_part#" in plan
