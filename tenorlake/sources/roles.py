@@ -11,6 +11,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a partition where the role's table is laid out by symbol.
+LINES = 200_000
+
 
 class Roles:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -31,6 +34,11 @@ class Roles:
         """Symbols of bars, chains and announcements: one for each 20 suppliers, so they grow with the tables; five at least."""
         return max(5, self.table("supplier").count() // 20)
 
+    @cached_property
+    def parts(self) -> int:
+        """Partitions of ``LINES`` rows of the largest table; counted from its footers."""
+        return max(1, -(-self.table("lineitem").count() // LINES))
+
     def name_of(self, key: str) -> Column:
         return F.concat(F.lit("S"), (F.col(key) % self.names).cast("string"))
 
@@ -57,7 +65,10 @@ class Roles:
 
     @cached_property
     def chain(self) -> DataFrame:
-        """Weekly option quotes on underlyings of 100, a symbol for each 20 suppliers."""
+        """Weekly option quotes on underlyings of 100, a symbol for each 20 suppliers; all of a symbol in one of as many partitions as the rows ask for.
+
+        Queries of the chain group and order by symbol and more, so they need no further shuffle, and their tasks stay the same size.
+        """
         week = F.to_date(F.date_trunc("week", "l_shipdate"))
         key = {
             "date": week,
@@ -66,7 +77,8 @@ class Roles:
             "strike": (10 * F.floor((F.col("l_quantity") - 1) / 10) + 80).cast("double"),
             "right": F.when(F.col("l_tax") < 0.04, "C").otherwise("P"),
         }
-        quotes = self.table("lineitem").groupBy(*(c.alias(n) for n, c in key.items())).agg(
+        lines = self.table("lineitem").withColumns(key).select(*key, "l_discount", "l_tax", "l_linenumber")
+        quotes = lines.repartition(self.parts, "symbol").groupBy(*key).agg(
             F.round(F.min("l_discount") * 10 + 0.05, 4).alias("bid"),
             F.round(F.min("l_discount") * 10 + 0.15 + F.max("l_tax"), 4).alias("ask"),
             F.round(F.avg("l_discount") + 0.1, 6).alias("iv"),

@@ -8,6 +8,7 @@ import pandas as pd
 
 from tenorlake.operators import reports, risk, vol
 from tenorlake.plans import catalog
+from tenorlake.sources import roles
 
 DAY = date(2024, 1, 1)
 
@@ -63,3 +64,12 @@ def test_ranks_of_forecasts_are_dealt_to_ranges(spark, monkeypatch):
         assert np.allclose([r.mean_log_error, r.rms_log_error], [error.mean(), np.sqrt((error**2).mean())])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(predictor#" not in plan.replace("\n", "") or "_part#" in plan
+
+
+def test_chain_is_laid_out_by_symbol_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(roles, "LINES", 1000, raising=False)
+    out = catalog.QUERIES["t2_straddle_pick"](spark, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    exchanges = [x for x in plan.splitlines() if "Exchange " in x]
+    # one shuffle, into partitions that follow the rows, for the chain, the pairs and the picks
+    assert len(exchanges) == 1 and "hashpartitioning(symbol" in exchanges[0] and ", 6)" in exchanges[0]
