@@ -45,17 +45,18 @@ class Roles:
     @cached_property
     def bars(self) -> DataFrame:
         """Daily bars, a symbol for each 20 suppliers."""
-        return self._bars(F.to_date("l_shipdate"), self.name_of("l_suppkey"))
+        return self._bars(self.table("lineitem"), F.to_date("l_shipdate"), self.name_of("l_suppkey"))
 
     @cached_property
     def xs_bars(self) -> DataFrame:
-        """Monthly bars of one symbol for each supplier."""
-        return self._bars(F.to_date(F.date_trunc("month", "l_shipdate")), F.col("l_suppkey").cast("string"))
+        """Monthly bars of one symbol for each supplier; laid out by symbol as the chain is, and kept: books and sweeps read them many times."""
+        month, symbol = F.to_date(F.date_trunc("month", "l_shipdate")), F.col("l_suppkey").cast("string")
+        return self.kept("xs_bars", lambda: self._bars(self.table("lineitem").repartition(self.parts, symbol.alias("symbol")), month, symbol))
 
-    def _bars(self, date, symbol) -> DataFrame:
+    def _bars(self, lines, date, symbol) -> DataFrame:
         price = F.col("l_extendedprice") / F.col("l_quantity")
         order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-        return self.table("lineitem").groupBy(date.alias("date"), symbol.alias("symbol")).agg(
+        return lines.groupBy(date.alias("date"), symbol.alias("symbol")).agg(
             F.round(F.min_by(price, order), 8).alias("open"),
             F.round(F.max(price), 8).alias("high"),
             F.round(F.min(price), 8).alias("low"),

@@ -5,6 +5,8 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tenorlake.operators import reports, risk, vol
 from tenorlake.plans import catalog
@@ -73,3 +75,15 @@ def test_chain_is_laid_out_by_symbol_once(spark, sf_dir, monkeypatch):
     exchanges = [x for x in plan.splitlines() if "Exchange " in x]
     # one shuffle, into partitions that follow the rows, for the chain, the pairs and the picks
     assert len(exchanges) == 1 and "hashpartitioning(symbol" in exchanges[0] and ", 6)" in exchanges[0]
+
+
+def test_monthly_bars_are_made_once_and_lie_by_symbol(spark, sf_dir):
+    r = roles.Roles(spark, sf_dir)
+    r.parts = 3
+    assert r.xs_bars.count()
+    plan = r.xs_bars.withColumn("before", F.lag("close").over(Window.partitionBy("symbol").orderBy("date")))._jdf.queryExecution()
+    # kept once, however often it is read, and a window by symbol shuffles nothing
+    assert "InMemoryRelation" in plan.optimizedPlan().toString()
+    outside = plan.executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Exchange" not in outside
+    assert r.xs_bars.rdd.getNumPartitions() == 3
