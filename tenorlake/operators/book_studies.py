@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quotes import distance_bucket
 from ..functions.windows import average_rank, bucket, by, rolling, zscore
+from ..sources.store import checkpointed
 from .asof import next_event
 from .joins import mark_stale, pivot_sides
 from .panels import stock_months
@@ -26,6 +27,11 @@ def past_signals(source: DataFrame, windows: dict[str, tuple[int, int]], sign: f
     return rows.select("label", "date", "symbol", (sign * zscore("past", "label", "date")).alias("signal")).filter("signal is not null")
 
 
+def window_deciles(reference: DataFrame, windows: dict[str, tuple[int, int]], horizon: int, sign: float = -1.0, min_names: int = 50, source: DataFrame | None = None) -> DataFrame:
+    """The decile table of each window of ``window_sweep``, without its books."""
+    return forward_decile_table(past_signals(reference if source is None else source, windows, sign, min_names), reference, horizon, keys=("label",))
+
+
 def window_sweep(reference: DataFrame, windows: dict[str, tuple[int, int]], horizon: int, rebalances: DataFrame, factors: DataFrame, market: str, sign: float = -1.0, min_names: int = 50, gross: float = 1000.0, source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The study of one signal family over several windows: a summary row a window, and the decile table of each.
 
@@ -35,12 +41,12 @@ def window_sweep(reference: DataFrame, windows: dict[str, tuple[int, int]], hori
     signals are built from; books trade the reference.
     """
     signals = past_signals(reference if source is None else source, windows, sign, min_names)
-    deciles = forward_decile_table(signals, reference, horizon, keys=("label",))
+    deciles = window_deciles(reference, windows, horizon, sign, min_names, source)
     spreads = spread_stats(signals, reference, horizon, keys=("label",))
     targets = rank_targets(signals, gross, keys=("label",))
     labels = list(windows)
-    # costs change no position: one run of the books, a row for each book and session, with and without them
-    paid = book_daily(book(reference, targets, rebalances, 1.0, labels), ("label",))
+    # costs change no position: one run of the books, a row for each book and session, with and without them; read three times from here on
+    paid = checkpointed(book_daily(book(reference, targets, rebalances, 1.0, labels), ("label",)))
     upto = Window.partitionBy("label").orderBy("date")
     daily = paid.withColumns({"cost": F.lit(0.0), "net_pnl": F.col("gross_pnl"), "cumulative_net": F.sum("gross_pnl").over(upto)})
     books = book_summary(daily, ("label",)).select("label", F.col("mean_positions").alias("positions"), F.col("total_gross_pnl").alias("gross_pnl"), "sharpe", "max_drawdown", F.col("annual_turnover_over_gross_vega").alias("turnover"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tenorlake.operators import reports, risk, vol
+from tenorlake.operators import book_studies, reports, risk, vol
 from tenorlake.plans import catalog
 from tenorlake.sources import roles
 
@@ -87,3 +87,18 @@ def test_monthly_bars_are_made_once_and_lie_by_symbol(spark, sf_dir):
     outside = plan.executedPlan().toString().split("InMemoryRelation")[0]
     assert "Exchange" not in outside
     assert r.xs_bars.rdd.getNumPartitions() == 3
+
+
+def test_sweep_runs_its_books_once(spark, monkeypatch):
+    runs = []
+    rng = np.random.default_rng(8)
+    days = [DAY + timedelta(i) for i in range(12)]
+    rows = [(d, f"n{i:02}", float(rng.normal()), 0.01, 0.02, 1.0, 1.0, "") for d in days for i in range(60)]
+    reference = spark.createDataFrame(rows, "date date, symbol string, pnl_per_vega double, cost_per_vega double, exit_cost_per_vega double, dollar_vega double, entry_vega double, event string")
+    factors = spark.createDataFrame([(d, "MKT", float(rng.normal())) for d in days], "date date, factor string, ret double")
+    monkeypatch.setattr(book_studies, "checkpointed", lambda df: runs.append(df) or df.localCheckpoint(), raising=False)
+    summary, deciles = book_studies.window_sweep(reference, {"2": (2, 0), "3": (3, 0)}, 2, reference.select("date").distinct(), factors, "MKT")
+    # the books' days are settled once, and what is made of them holds no book any more
+    assert len(runs) == 1 and runs[0].columns[:2] == ["label", "date"]
+    assert "units" not in summary.select("label", "sharpe", "net_pnl_full_cost", "market_loading")._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.label for r in summary.collect()} == {"2", "3"} == {r.label for r in deciles.collect()}
