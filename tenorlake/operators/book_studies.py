@@ -181,8 +181,8 @@ def chain_stock_months(chain: DataFrame, step: int = 28, traded: bool = True) ->
     """
     days = chain.select("date", F.date_sub("date", step).alias("previous")).distinct()
     wide = pivot_sides(chain, ["date", "symbol", "expiration", "strike", "underlying"], ["bid", "ask", "delta", "iv", "volume"])
-    for side in ("call", "put"):
-        wide = mark_stale(wide, days, ["symbol", "expiration", "strike"], [f"{side}_bid", f"{side}_ask"]).withColumnRenamed("stale", f"{side}_stale")
+    # both sides by one lookup: each one reads the contracts twice
+    wide = mark_stale(wide, days, ["symbol", "expiration", "strike"], {f"{side}_stale": [f"{side}_bid", f"{side}_ask"] for side in ("call", "put")})
     level = chain.groupBy("date", "symbol").agg(F.avg("iv").alias("hv"))
     spots = level.select(F.col("date").alias("expiration"), "symbol", (100 * F.col("hv") / 0.15).alias("spot_at_expiry"))
     wide = wide.join(level, ["date", "symbol"], "left").join(spots, ["expiration", "symbol"], "left").withColumns({"call_iv_error": F.lit(0.0), "put_iv_error": F.lit(0.0)})

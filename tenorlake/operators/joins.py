@@ -25,15 +25,17 @@ def drop_flagged(panel: DataFrame, flagged: DataFrame, keys: list[str], override
     return panel.join(rows, keys, "left_anti")
 
 
-def mark_stale(wide: DataFrame, days: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def mark_stale(wide: DataFrame, days: DataFrame, keys: list[str], columns: list[str] | dict[str, list[str]]) -> DataFrame:
     """``wide`` on the days in ``days (date, previous)`` with ``stale``: all ``columns`` as on the day before.
 
-    A contract without a quote on the day before is not stale.
+    A contract without a quote on the day before is not stale. ``columns`` may name several flags, each with its own columns: all come from one lookup.
     """
-    before = wide.select(F.col("date").alias("_p"), *keys, *(F.col(c).alias(f"_{c}") for c in columns))
+    flags = columns if isinstance(columns, dict) else {"stale": columns}
+    compared = list(dict.fromkeys(c for own in flags.values() for c in own))
+    before = wide.select(F.col("date").alias("_p"), *keys, *(F.col(c).alias(f"_{c}") for c in compared))
     rows = wide.join(days.select("date", F.col("previous").alias("_p")), "date").join(before, ["_p", *keys], "left")
-    same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in columns])
-    return rows.withColumn("stale", F.coalesce(same, F.lit(False))).drop("_p", *(f"_{c}" for c in columns))
+    same = {to: F.coalesce(reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in own]), F.lit(False)) for to, own in flags.items()}
+    return rows.withColumns(same).drop("_p", *(f"_{c}" for c in compared))
 
 
 def lag_key(values: DataFrame, sessions: DataFrame, date: str = "date") -> DataFrame:

@@ -565,13 +565,13 @@ def months_out(df):
 @query(with_roles("chain", _months("cb > 0 and ca > cb and cv > 0 and not cs and pb > 0 and pa > pb and pv > 0 and not ps")))
 def t1_stock_months(r: Roles):
     """One contract a name and month, formed on one quote day and entered on the next."""
-    return months_out(book_studies.chain_stock_months(r.chain))
+    return months_out(book_studies.chain_stock_months(r.kept_chain))
 
 
 @query(with_roles("chain", _months("cb > 0 and ca > cb and pb > 0 and pa > pb")))
 def b9_index_months(r: Roles):
     """The same for index options: quoted, without screens of volume and staleness."""
-    return months_out(book_studies.chain_stock_months(r.chain, traded=False))
+    return months_out(book_studies.chain_stock_months(r.kept_chain, traded=False))
 
 
 @query(with_roles("chain", "select date, symbol, expiration, strike, \"right\", round(abs(volume) * ((ask - bid) / 2 * 100 * 0.5 + 0.65), 5) as option_cost, cast(round(abs(oi) * 0.005::double, 5) as double) as share_cost, round(volume * bid * 100, 5) as dollar_vega, round(-oi * delta * 100, 5) + 0.0 as hedge_shares from chain"))

@@ -89,6 +89,11 @@ class Roles:
         call = 0.5 + (100 - F.col("strike")) / 100
         return quotes.withColumn("underlying", F.lit(100.0)).withColumn("delta", F.round(F.when(F.col("right") == "C", call).otherwise(call - 1), 6))
 
+    @cached_property
+    def kept_chain(self) -> DataFrame:
+        """The chain for queries that read it several times."""
+        return self.kept("chain", lambda: self.chain)
+
     @cached_property
     def announcements(self) -> DataFrame:
         """Of each symbol and month the day of its largest order: a few events a year, from all orders."""

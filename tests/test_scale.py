@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tenorlake.operators import book_studies, reports, risk, vol
+from tenorlake.operators import book_studies, joins, reports, risk, vol
 from tenorlake.plans import catalog
 from tenorlake.sources import roles
 
@@ -102,3 +102,11 @@ def test_sweep_runs_its_books_once(spark, monkeypatch):
     assert len(runs) == 1 and runs[0].columns[:2] == ["label", "date"]
     assert "units" not in summary.select("label", "sharpe", "net_pnl_full_cost", "market_loading")._jdf.queryExecution().optimizedPlan().toString()
     assert {r.label for r in summary.collect()} == {"2", "3"} == {r.label for r in deciles.collect()}
+
+
+def test_both_sides_are_stale_by_one_lookup(spark):
+    rows = [(DAY, "A", 1.0, 5.0), (DAY + timedelta(28), "A", 1.0, 6.0), (DAY + timedelta(28), "B", 1.0, 6.0), (DAY + timedelta(56), "A", None, 6.0)]
+    wide = spark.createDataFrame(rows, "date date, symbol string, call_bid double, put_bid double")
+    days = wide.select("date", F.date_sub("date", 28).alias("previous")).distinct()
+    out = joins.mark_stale(wide, days, ["symbol"], {"call_stale": ["call_bid"], "put_stale": ["put_bid"]})
+    assert {(r.symbol, (r.date - DAY).days): (r.call_stale, r.put_stale) for r in out.collect()} == {("A", 0): (False, False), ("A", 28): (True, False), ("B", 28): (False, False), ("A", 56): (False, True)}
