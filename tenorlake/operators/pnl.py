@@ -241,6 +241,9 @@ def reference_unit(chain: DataFrame, roll_dte: int = 14, max_stale: int = 5, min
     ``unit_vega`` and ``last_mid`` are the last mark's (vega null if the chain has none); ``prior_delta`` the delta that the session
     was hedged with. On sessions without a mark the hedge still moves with the underlying.
 
+    ``chain`` is read several times and should be a stored or kept table. The tables of a row for each name and session are checkpointed after each step,
+    as a chain that is laid out by symbol would have all lookups in the one task, each with memory of its own.
+
     The sessions of a name are those on which its chain has rows. (1) The pick of each day. (2) For each pick the
     session that ends it, by as-of lookups among its own marks. (3) The picks that are really held, by doubling jumps
     from one to the next. (4) Marks, lags and P&L per position.
@@ -250,7 +253,7 @@ def reference_unit(chain: DataFrame, roll_dte: int = 14, max_stale: int = 5, min
     if "vega" not in chain.columns:
         quotes = quotes.withColumn("vega", F.lit(None).cast("double"))
     spot = F.min_by("underlying", F.struct("expiration", "strike", "right"))
-    days = quotes.groupBy("symbol", "date").agg(spot.alias("underlying")).withColumn("session", F.row_number().over(by("symbol")))
+    days = checkpointed(quotes.groupBy("symbol", "date").agg(spot.alias("underlying")).withColumn("session", F.row_number().over(by("symbol"))))
     picks = pick_straddles(quotes, min_dte, max_dte, target_dte, max_moneyness=1.0).drop("dte")
     sums = quotes.filter((F.col("ask") > 0) & (F.col("bid") >= 0) & (F.col("ask") >= F.col("bid"))).groupBy("symbol", "expiration", "strike", "date").agg(
         F.count("*").alias("_legs"), *(F.sum(c).alias(f"unit_{c}") for c in ("mid", "ask", "bid", "delta", "vega"))
@@ -258,12 +261,12 @@ def reference_unit(chain: DataFrame, roll_dte: int = 14, max_stale: int = 5, min
     unit = ["symbol", "expiration", "strike"]
     marks = sums.join(days.select("symbol", "date", "session"), ["symbol", "date"]).select(*unit, "date", "session")
     # (2) a roll: the first later mark near expiry; a forced close: the first session that is at expiry or too stale
-    held = picks.join(days.select("symbol", "date", F.col("session").alias("start")), ["symbol", "date"])
+    held = checkpointed(picks.join(days.select("symbol", "date", F.col("session").alias("start")), ["symbol", "date"]))
     near = marks.filter(F.datediff("expiration", "date") <= roll_dte).select(*unit, "date", F.col("session").alias("roll"))
-    held = asof_join(held, near, unit, ["roll"], direction="forward", exact=False)
+    held = checkpointed(asof_join(held, near, unit, ["roll"], direction="forward", exact=False))
     gap = F.lead("session").over(Window.partitionBy(*unit).orderBy("session")) - F.col("session")
     breaks = marks.withColumn("_gap", gap).filter(F.coalesce("_gap", never) > max_stale + 1).select(*unit, "date", (F.col("session") + max_stale + 1).alias("stale"))
-    held = asof_join(held, breaks, unit, ["stale"], direction="forward").withColumnRenamed("date", "opened")
+    held = checkpointed(asof_join(held, breaks, unit, ["stale"], direction="forward")).withColumnRenamed("date", "opened")
     held = held.withColumn("_end", F.greatest(F.col("expiration"), F.date_add("opened", 1)))
     held = asof_join(held, days.select("symbol", F.col("date").alias("_end"), F.col("session").alias("expiry")), ["symbol"], ["expiry"], on="_end", direction="forward")
     # at expiry a mark means a roll, no mark a forced close

@@ -507,14 +507,14 @@ def b7_event_splits(r: Roles):
 
 def unit_chain(r: Roles):
     """The chain with an underlying that moves and a vega for each contract."""
-    level = r.chain.groupBy("date", "symbol").agg((100 * (0.85 + F.avg("iv"))).alias("underlying"))
-    rows = r.chain.drop("underlying").join(level, ["date", "symbol"]).withColumns({"years": F.datediff("expiration", "date") / 365.0, "is_call": F.col("right") == "C"})
+    level = r.kept_chain.groupBy("date", "symbol").agg((100 * (0.85 + F.avg("iv"))).alias("underlying"))
+    rows = r.kept_chain.drop("underlying").join(level, ["date", "symbol"]).withColumns({"years": F.datediff("expiration", "date") / 365.0, "is_call": F.col("right") == "C"})
     rows = pricing.with_greeks(rows.drop("delta"), "underlying", "strike", "years", "iv", "is_call")
     return rows.drop("price", "gamma", "theta", "years", "is_call")
 
 
 def unit_returns(r: Roles):
-    return r.kept("unit", lambda: pnl.per_vega(pnl.unit_records(pnl.reference_unit(unit_chain(r), 14, 5, 14, 90, 45))))
+    return r.kept("unit", lambda: pnl.per_vega(pnl.unit_records(pnl.reference_unit(r.kept("unit_chain", lambda: unit_chain(r)), 14, 5, 14, 90, 45))))
 
 
 @query(None)
@@ -541,7 +541,7 @@ def m11_unit_factors(r: Roles):
 @query(None)
 def b17_reference_unit(r: Roles):
     """The rolled straddle of each name; checked against a session loop in the tests."""
-    return rounded(pnl.reference_unit(r.chain, 14, 5, 14, 90, 45), 5)
+    return rounded(pnl.reference_unit(r.kept_chain, 14, 5, 14, 90, 45), 5)
 
 
 def _months(clean: str) -> str:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tenorlake.operators import book_studies, joins, reports, risk, vol
+from tenorlake.operators import book_studies, joins, pnl, reports, risk, vol
 from tenorlake.plans import catalog
 from tenorlake.sources import roles
 
@@ -110,3 +110,13 @@ def test_both_sides_are_stale_by_one_lookup(spark):
     days = wide.select("date", F.date_sub("date", 28).alias("previous")).distinct()
     out = joins.mark_stale(wide, days, ["symbol"], {"call_stale": ["call_bid"], "put_stale": ["put_bid"]})
     assert {(r.symbol, (r.date - DAY).days): (r.call_stale, r.put_stale) for r in out.collect()} == {("A", 0): (False, False), ("A", 28): (True, False), ("B", 28): (False, False), ("A", 56): (False, True)}
+
+
+def test_lookups_of_the_unit_are_tasks_of_their_own(spark, sf_dir, monkeypatch):
+    seen = []
+    follow = pnl.follow
+    monkeypatch.setattr(pnl, "follow", lambda rows, *a: seen.append(rows) or follow(rows, *a))
+    pnl.reference_unit(roles.Roles(spark, sf_dir).chain, 14, 5, 14, 90, 45)
+    # a union for each lookup: only the last one is left to do
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.strip(" :+-").startswith("Union") for x in plan.splitlines()) == 1
