@@ -348,7 +348,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     keyed = bands.unionByName(nodes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
     least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("key", "a")
     stars = keyed.join(least, "key").where("node <> a").select("a", F.col("node").alias("b"))
-    near = near_links(prints.select("fp"))
+    near = checkpointed(near_links(prints.select("fp")))
+    clean(nodes.sparkSession)
     a, b = (prints.select(F.col("fp").alias(f), F.col("least").alias(f"node_{f}")) for f in "ab")
     return stars.unionByName(near.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct()
 
@@ -417,15 +418,18 @@ def copies(source: DataFrame) -> DataFrame:
         return rows.select("component", a.cast("int").alias("part_a"), b.cast("int").alias("part_b"), "node", "text", left.alias("left"), right.alias("right"), known.alias("known"))
 
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
-    links = compared(task(found.where("parts = 1"), zero, zero, yes, yes, no))
+    # each comparison is settled by itself, as the driver would hold the plans and tasks of all of them at once
+    links = checkpointed(compared(task(found.where("parts = 1"), zero, zero, yes, yes, no)))
+    clean(spark)
     large = found.where("parts > 1")
     if not large.isEmpty():
         # the leader of a group, its least node, goes to each of the group's parts
         leads, part = F.col("node") == F.col("component"), F.pmod(F.xxhash64("node"), F.col("parts"))
         leaders = large.where(leads).withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1)))
         stars = checkpointed(compared(task(leaders, F.col("part"), zero, yes, no, no).unionByName(task(large.where(~leads), part, zero, no, yes, no))))
-        ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("known", yes)
-        marked = large.join(ends, "node", "left").withColumn("known", F.coalesce("known", leads))
+        ends = checkpointed(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("known", yes))
+        clean(spark)
+        marked = large.join(small(ends), "node", "left").withColumn("known", F.coalesce("known", leads))
         # the known of a group in blocks, and the others in blocks; pairs of blocks of the known alone need no task
         counts = marked.groupBy("component").agg(parts_of(F.col("known")).alias("n_known"), parts_of(~F.col("known")).alias("n_others"))
         marked = marked.join(small(checkpointed(counts)), "component").where("n_others > 0")
@@ -439,7 +443,8 @@ def copies(source: DataFrame) -> DataFrame:
         both = others.withColumn("with", F.explode(F.sequence(zero, F.col("n_others") - 1)))
         low, high = F.least("block", "with"), F.greatest("block", "with")
         rows = rows.unionByName(task(both, low, high, F.col("block") == low, F.col("block") == high, no))
-        links = links.unionByName(stars).unionByName(compared(rows))
+        links = links.unionByName(stars).unionByName(checkpointed(compared(rows)))
+        clean(spark)
     return prints.select("doc_id", "node").join(named(nodes.select("node", "first"), links), "node").select("doc_id", "component_id")
 
 

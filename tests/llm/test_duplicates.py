@@ -332,3 +332,15 @@ def test_the_whole_relation_matches_brute_force(make):
     want = {find(i) for i in range(len(rows))}
     # nothing but copies goes; candidates are drawn at random, so one or two pairs at the relation's edge may be missed
     assert want <= got and len(got - want) <= 2 and len(want) < len(rows) - 10
+
+
+def test_comparisons_are_settled_before_they_are_linked(spark, monkeypatch):
+    from tenorlake.llm import simhash_dedup as module
+
+    plans, components = [], module.components
+    monkeypatch.setattr(module, "components", lambda links: plans.append(links._jdf.queryExecution().optimizedPlan().toString()) or components(links))
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "another text of its own with other words")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in module.copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    # neither candidates nor links of comparisons bring the plans that made them
+    assert len(plans) == 2 and not any("FlatMapGroupsInArrow" in p for p in plans)
