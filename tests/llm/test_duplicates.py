@@ -154,6 +154,14 @@ def test_components_of_paths_stars_and_noise(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_size_estimates_do_not_grow_with_the_rounds_of_components(spark):
+    links = [(i, i + 1) for i in range(300)]
+    got = components(spark.createDataFrame(links, "a long, b long"))
+    # each round's joins multiplied the estimates of the round before: on this path to over three million bits
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 256
+    assert {r.component for r in got.collect()} == {0}
+
+
 def test_one_of_each_class_stays(make):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text), (2, text.upper()), (2, text.upper()), (9, "other words here"), (None, text)]
