@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -117,6 +118,18 @@ def zscore(value: str, *keys: str) -> Column:
     return F.when(spread > 0, (F.col(value) - F.avg(value).over(group)) / spread)
 
 
+def half_away(value: Column, digits: int) -> Column:
+    """``value`` rounded as IEEE engines do it: times the power of ten, to the nearest whole number, halves away from zero, and back.
+
+    Spark's ``round`` rounds the shortest decimal form instead: 0.50468749999999995 prints as 0.5046875 and goes up, but its
+    product with 1e6 is below 504687.5 and goes down. A value whose product overflows stays as it is.
+    """
+    scaled = value * 10.0**digits
+    whole = F.rint(scaled)
+    whole = F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole)
+    return F.when(F.abs(scaled) < math.inf, whole / 10.0**digits).otherwise(value)
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     """Null stays null."""
     return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))

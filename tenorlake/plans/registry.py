@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import half_away
 from ..sources.roles import Roles
 
 QUERIES: dict[str, Callable] = {}
@@ -28,8 +29,8 @@ def query(sql: str | None = None):
 def r6(c: str | Column, digits: int = 6) -> Column:
     """Rounded, since engines add up doubles in different orders; the name stays. Adding zero turns -0.0 into 0.0."""
     if isinstance(c, str):
-        return (F.round(F.col(c), digits) + 0.0).alias(c)
-    return F.round(c, digits) + 0.0
+        return (half_away(F.col(c), digits) + 0.0).alias(c)
+    return half_away(c, digits) + 0.0
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

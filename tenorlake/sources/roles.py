@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.windows import half_away
+
 #: Rows of a partition where the role's table is laid out by symbol.
 LINES = 200_000
 
@@ -112,7 +114,9 @@ class Roles:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        return self.table("events").groupBy(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("date")).agg(F.round(F.max_by("value", F.struct("ts", "event_id")), 6).alias("close"))
+        """Each user's last known value of a day."""
+        known = F.when(F.col("value").isNotNull(), F.struct("ts", "event_id"))
+        return self.table("events").groupBy(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("date")).agg(half_away(F.max_by("value", known), 6).alias("close"))
 
     @cached_property
     def membership(self) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 from datetime import date, datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -30,6 +31,20 @@ def test_return_after_a_price_of_zero_is_infinite(spark):
     assert got[0] is None and got[1] == math.inf and got[2] == -1.0 and math.isnan(got[3]) and got[4] == -math.inf and got[5] is None and got[6] is None
 
 
+def test_returns_are_rounded_as_in_their_sql(spark, tmp_path):
+    # quotients next to halves of the last digit, on either side; a day whose last value is missing; closes beyond the last digit; zeros
+    closes = [25.6, 38.52, 160.0, 77.23, 320.0, 155.74, 32.0, 162.95, 6.4, 220.47, 1.28, 0.01, 0.0, 0.0, 3.0, 0.0000005, 1.0000015, 2.0000025, 9e9 + 0.1234565, None, 4.0]
+    rows = [(i, datetime(2024, 1, 1, 9) + timedelta(i), i // 17, "view", c) for i, c in enumerate(closes)]
+    rows += [(100 + i, datetime(2024, 1, 1, 10) + timedelta(i), i // 17, "signup" if i % 5 == 4 else "view", None) for i in range(len(closes))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("set TimeZone = 'UTC'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    name = "r2_split_adjusted_return"
+    want = sorted((s, d, str(v)) for s, d, v in con.execute(f"select symbol, date, ret from ({catalog.ORACLES[name]})").fetchall())
+    assert sorted((r.symbol, r.date, str(r.ret)) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_model_covariance_shuffles_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(risk, "BLOCK", 7, raising=False)
     rng = np.random.default_rng(5)
