@@ -1,6 +1,7 @@
 """Odd values, and steps that must not grow faster than their tables."""
 
 import math
+import re
 from datetime import date, datetime, timedelta
 
 import duckdb
@@ -68,6 +69,15 @@ def test_model_covariance_shuffles_no_pairs(spark, monkeypatch):
     assert not [x for x in plan if ("Aggregate" in x or "Repartition" in x) and "symbol_1" in x and "symbol_2" in x]
 
 
+def test_model_covariance_sends_names_in_proportion(spark):
+    # 90,000 names, as many as make more blocks than 16 if blocks don't grow; only planned
+    names = spark.range(90_000).select(F.lit(DAY).alias("date"), F.col("id").cast("string").alias("symbol"))
+    matrix = spark.createDataFrame([(DAY, "MKT", "MKT", 2.0)], "date date, factor_1 string, factor_2 string, covariance double")
+    out = risk.model_covariance(names.withColumns({"factor": F.lit("MKT"), "loading": F.lit(1.5)}), matrix, names.withColumn("idio_vol", F.lit(0.5)))
+    blocks = [int(n) for n in re.findall(r"pmod\(xxhash64\(symbol_[12]#\d+, 42\), (\d+)\) as int\) AS _", out._jdf.queryExecution().optimizedPlan().toString())]
+    assert len(blocks) == 2 and set(blocks) == {16}
+
+
 def test_ranks_of_forecasts_are_dealt_to_ranges(spark, monkeypatch):
     monkeypatch.setattr(reports, "TASK_ROWS", 300, raising=False)
     rng = np.random.default_rng(6)
