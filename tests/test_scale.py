@@ -78,6 +78,12 @@ def test_model_covariance_sends_names_in_proportion(spark):
     assert len(blocks) == 2 and set(blocks) == {16}
 
 
+def test_model_covariance_plans_small_tables_alone(spark, sf_dir):
+    # the plans of the whole model were logged again after each stage, hundreds of MB of disk
+    plan = catalog.QUERIES["m16_model_covariance"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "InMemoryRelation" not in plan and "Window" not in plan and len(plan) < 200_000
+
+
 def test_ranks_of_forecasts_are_dealt_to_ranges(spark, monkeypatch):
     monkeypatch.setattr(reports, "TASK_ROWS", 300, raising=False)
     rng = np.random.default_rng(6)
